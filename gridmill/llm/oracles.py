@@ -47,6 +47,45 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+OP5_MIX_SOURCES = r"""
+WITH d AS (
+  SELECT doc_id, source,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS hash
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS weight FROM s
+), o AS (  -- sources in the order in which a growing share per weight reaches their ceiling
+  SELECT *, 3 * source_size / CAST(weight AS DOUBLE) AS ceiling, row_number() OVER (ORDER BY 3 * source_size / CAST(weight AS DOUBLE), source) AS k FROM w
+), r AS (
+  SELECT *, CAST(sum(source_size) OVER () AS BIGINT) - coalesce(CAST(sum(3 * source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS rest,
+         CAST(sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS shared
+  FROM o
+), f AS (
+  SELECT rest, shared FROM r WHERE CAST(rest AS DOUBLE) * weight / shared <= 3 * source_size ORDER BY k LIMIT 1
+), t AS (
+  SELECT source, source_size,
+         CASE WHEN CAST(f.rest AS DOUBLE) * weight / f.shared > 3 * source_size THEN CAST(3 * source_size AS DOUBLE)
+              ELSE CAST(f.rest AS DOUBLE) * weight / f.shared END AS target
+  FROM o, f
+), p AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE CAST(least(floor(target / source_size), 3) AS BIGINT) END AS passes FROM t
+), c AS (
+  SELECT d.doc_id, d.size, p.source_size, p.target, p.passes, d.source,
+         CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.hash) AS BIGINT) AS upto,
+         CAST(sum(d.size) OVER (PARTITION BY d.source, d.hash) AS BIGINT) AS here
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (passes + CASE WHEN upto - here + here / CAST(2 AS DOUBLE) <= target - passes * source_size
+                             AND target - passes * source_size < source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken,
+       source
+FROM c
+"""
+
 ORACLES = {
+    "op5_mix_sources": OP5_MIX_SOURCES,
     "op4_quality_rules": OP4_QUALITY_RULES,
 }

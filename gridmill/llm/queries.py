@@ -5,13 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ._base import table
+from .bpe import encode_documents, token_digests
+from .mixing import mix_report
 from .quality_rules import quality_rules
+from .sharding import shard_manifest
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_manifest(table(spark, sf_dir, "documents"), n_shards=8)
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the public vocabulary file lies on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(encode_documents(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 QUERIES = {
     "op4_quality_rules": op4_quality_rules,
+    "op5_mix_sources": op5_mix_sources,
+    "op8_shards": op8_shards,
+    "op10_bpe": op10_bpe,
 }
