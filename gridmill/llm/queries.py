@@ -9,6 +9,12 @@ from .bpe import encode_documents, token_digests
 from .mixing import mix_report
 from .quality_rules import quality_rules
 from .sharding import shard_manifest
+from .simhash import simhash_components
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +41,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_simhash": op2_simhash,
     "op4_quality_rules": op4_quality_rules,
     "op5_mix_sources": op5_mix_sources,
     "op8_shards": op8_shards,
