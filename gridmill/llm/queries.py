@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import language_id, quality_classifier, toxicity
 from ._base import table
 from .bpe import encode_documents, token_digests
 from .mixing import mix_report
@@ -12,6 +13,11 @@ from .sharding import shard_manifest
 from .simhash import simhash_components
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "fingerprint", "component_id")
@@ -25,6 +31,16 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.score_documents(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_manifest(table(spark, sf_dir, "documents"), n_shards=8)
 
@@ -41,9 +57,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
     "op4_quality_rules": op4_quality_rules,
     "op5_mix_sources": op5_mix_sources,
+    "op6_quality": op6_quality,
+    "op7_language": op7_language,
     "op8_shards": op8_shards,
     "op10_bpe": op10_bpe,
 }
