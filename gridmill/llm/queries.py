@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import language_id, quality_classifier, toxicity
 from ._base import table
 from .bpe import encode_documents, token_digests
+from .line_dedup import line_report
 from .mixing import mix_report
 from .quality_rules import quality_rules
 from .sharding import shard_manifest
@@ -51,6 +52,10 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_manifest(table(spark, sf_dir, "documents"), n_shards=8)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Where the public vocabulary file lies on the driver."""
     import public_tokenizers
@@ -71,5 +76,6 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_language": op7_language,
     "op8_shards": op8_shards,
+    "op9_line_dedup": op9_line_dedup,
     "op10_bpe": op10_bpe,
 }
