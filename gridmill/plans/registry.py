@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import field_queries, particle_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = particle_queries.QUERIES | field_queries.QUERIES
+ORACLES = particle_queries.ORACLES | field_queries.ORACLES
