@@ -109,14 +109,14 @@ def main_first(paths: DataFrame, name: str) -> DataFrame:
 def bounding_box(pixels: DataFrame, width: int, height: int, pad: int = 2) -> DataFrame:
     """(ox, oy, gx, gy) of pixels with a path, padded and clamped; raises if there is none."""
     box = pixels.where("path_index <> -1").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    x0 = F.when(F.col("x0").isNull(), F.raise_error(F.lit("modelled area not found"))).otherwise(F.col("x0"))
     found = box.select(
-        F.greatest(F.lit(0), F.col("x0") - pad).alias("ox"),
-        F.greatest(F.lit(0), F.col("y0") - pad).alias("oy"),
+        F.greatest(F.lit(0), x0 - pad).cast("int").alias("ox"),
+        F.greatest(F.lit(0), F.col("y0") - pad).cast("int").alias("oy"),
         F.least(F.lit(width - 1), F.col("x1") + pad).alias("x1"),
         F.least(F.lit(height - 1), F.col("y1") + pad).alias("y1"),
     )
-    ox = F.when(F.col("x1").isNull() | F.col("ox").isNull(), F.raise_error(F.lit("modelled area not found"))).otherwise(F.col("ox"))
-    return found.select(ox.cast("int").alias("ox"), "oy", (F.col("x1") - F.col("ox") + 1).alias("gx"), (F.col("y1") - F.col("oy") + 1).alias("gy"))
+    return found.select("ox", "oy", (F.col("x1") - F.col("ox") + 1).alias("gx"), (F.col("y1") - F.col("oy") + 1).alias("gy"))
 
 
 def signed_area(boundary: DataFrame) -> DataFrame:
