@@ -11,10 +11,11 @@ matches an earlier one: one with a smaller (id, text hash, line number).
    and each next one instead, as matching lines share two. Equal lines of a
    task are settled there and then, and listed once.
 3. Lines of one list become candidates if they pass the length, positional and
-   bitmap filters. The last compares the parities of hashed words: they can't
+   parity filters. The last compares the parities of hashed words: they can't
    differ in more bits than the sets differ in words.
-4. Candidates are verified on their whole sets. Of a line's candidates the
-   earliest few are tried first; what stays open then is tried with all.
+4. The candidates of a line that differ least in parity are verified on the
+   whole sets. Lines that have others and matched none of these are compared
+   with every line that shares a key with them.
 
 Defined results: lines without words are kept and match nothing; a null text
 has no lines. Rows that share id and text count as one document and stay alike;
@@ -40,14 +41,16 @@ BUCKET_BITS, LEVELS = 20, 8
 #: A word with more occurrences is listed with each next word.
 FREQUENT = 20_000
 #: Candidates of a line that are tried first.
-TRIES = 3
+TRIES = 2
+#: Sets up to this size have one word of parities, larger ones two.
+ONE_WORD = 64
 #: Bytes of text cut up at once, listed lines joined at once, lines of a list compared at once.
 BYTES_AT_ONCE, ROWS_AT_ONCE, SIDE = 1 << 20, 200_000, 256
-#: Lists that are joined pair by pair of offsets; longer ones are joined in blocks.
+#: Lists that are joined offset by offset; longer ones are joined in blocks.
 SHORT_LIST = 24
 #: Lines whose sets a task remembers to settle equal ones.
 REMEMBERED = 400_000
-#: Bits of the filter that picks the lines to verify.
+#: Bits of the filters that pick lines and keys.
 PICK_BITS = 25
 #: Stands for a null id; such rows come first.
 NO_ID = -(1 << 63)
@@ -122,6 +125,16 @@ class Lines:
         source = order[keep][self.start]
         self.doc, self.number = doc[source], number[source]
 
+    @classmethod
+    def of_sets(cls, sets: pa.ListArray, levels: np.ndarray) -> Lines:
+        """From the word hashes of lines that are known to have some, rarest first."""
+        lines = cls.__new__(cls)
+        lines.hashes = sets.flatten().to_numpy().view(np.uint64)
+        lines.level = levels[(lines.hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+        lines.size = np.array([len(x) for x in sets], np.int64)
+        lines.start = np.cumsum(lines.size) - lines.size
+        return lines
+
     def __len__(self) -> int:
         return len(self.start)
 
@@ -131,17 +144,38 @@ class Lines:
             return np.zeros(0, np.uint64)
         return np.add.reduceat(_mix(self.hashes, 0x9FB21C651E98DF25), self.start) + self.size.astype(np.uint64)
 
-    def parities(self, words: int, lines: np.ndarray) -> np.ndarray:
-        """Parities of the lines' hashed words as bitmaps of ``words`` 64-bit words."""
-        at = np.repeat(np.arange(len(self)), self.size)
-        chosen = np.zeros(len(self), bool)
-        chosen[lines] = True
-        hashes = self.hashes[chosen[at]]
-        starts = np.concatenate([[0], np.cumsum(self.size[lines])[:-1]]).astype(np.int64)
-        place = hashes & np.uint64(64 * words - 1)
-        bit = np.uint64(1) << (place & np.uint64(63))
-        out = [np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == k, bit, np.uint64(0)), starts) for k in range(words)]
-        return np.stack(out, 1)
+    def parities(self) -> tuple[np.ndarray, np.ndarray]:
+        """Parities of each line's hashed words, in one or two 64-bit words."""
+        bit = np.uint64(1) << (self.hashes & np.uint64(63))
+        low = np.bitwise_xor.reduceat(bit, self.start)
+        second = (self.hashes >> np.uint64(6)) & np.uint64(1) == 1
+        high = np.bitwise_xor.reduceat(np.where(second, bit, np.uint64(0)), self.start)
+        # Small sets: both halves folded into one.
+        large = self.size > ONE_WORD
+        return np.where(large, low ^ high, low), np.where(large, high, np.uint64(0))
+
+    def keys(self, chosen: np.ndarray, frequent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, place in ``chosen``, position in the set) of the lists of the chosen lines."""
+        size = self.size[chosen]
+        prefix = prefix_length(size)
+        row = np.repeat(np.arange(len(chosen)), prefix)
+        pos = np.arange(len(row)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+        word = self.start[chosen][row] + pos
+        often = (self.level[word] > frequent) & (size[row] > 1)
+        # A frequent word's next words, one place beyond the prefix included.
+        more = np.flatnonzero(often)
+        reach = prefix[row[more]] - pos[more]
+        again = np.repeat(more, reach)
+        step = np.arange(len(again)) - np.repeat(np.cumsum(reach) - reach, reach) + 1
+        pairs = _mix(self.hashes[word[again]] * np.uint64(5) + self.hashes[word[again] + step], 0xA0761D6478BD642F)
+        keys = np.concatenate([self.hashes[word[~often]], pairs]) >> np.uint64(16)  # 48 bits are plenty for lists
+        return keys.view(np.int64), np.concatenate([row[~often], row[again]]), np.concatenate([pos[~often], pos[again]])
+
+    def sets(self, chosen: np.ndarray) -> pa.ListArray:
+        """The word hashes of the chosen lines, rarest words first."""
+        ends = np.concatenate([[0], np.cumsum(self.size[chosen])])
+        at = np.arange(ends[-1]) + np.repeat(self.start[chosen] - ends[:-1], self.size[chosen])
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(self.hashes[at].view(np.int64)))
 
 
 def least_overlap(a, b):
@@ -155,10 +189,6 @@ def prefix_length(size: np.ndarray) -> np.ndarray:
     return size + (-top * size) // bottom + 1
 
 
-def _fold(bitmap: bytes, words: int) -> np.ndarray:
-    return np.bitwise_xor.reduce(np.frombuffer(bitmap, np.uint64).reshape(-1, words), axis=0)
-
-
 def word_levels(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Level of every bucket of words, counted over all documents; a fixed number of bytes."""
 
@@ -167,7 +197,7 @@ def word_levels(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         for batch in batches:
             for _, _, data, offsets in _parts(batch.column(0)):
                 hashes, _, _ = cut_words(data, offsets)
-                np.add.at(counts, (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
+                counts += np.bincount((hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
         some = np.flatnonzero(counts)
         for at in range(0, len(some), 100_000):
             part = some[at : at + 100_000]
@@ -190,15 +220,20 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def frequent_level() -> int:
+    return int(np.log2(FREQUENT) * LEVELS)
+
+
 def listed(docs: DataFrame, levels: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Lines under their keys: (key, id, place, shape, bits, wide).
+    """Lines under their keys: (key, id, place, shape, low, high).
 
     place: text hash and line number; shape: size of the set and position of
-    the key in it. A line that is settled already has shape -1 and its own key.
+    the key in it; low, high: parities. A line that is settled already has
+    shape -1 and a key of its own.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(levels)
-    frequent = int(np.log2(FREQUENT) * LEVELS)
-    names = ["key", "id", "place", "shape", "bits", "wide"]
+    frequent = frequent_level()
+    names = ["key", "id", "place", "shape", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, tuple[int, int]] = {}
@@ -212,8 +247,7 @@ def listed(docs: DataFrame, levels: np.ndarray, id_col: str = "doc_id", text_col
                 id_, place = ids[doc], parts[doc] << 32 | lines.number
                 settled: list[tuple[int, int]] = []
                 go = np.ones(len(lines), bool)
-                names_ = lines.signatures().tolist()
-                for i, (name, mine) in enumerate(zip(names_, zip(id_.tolist(), place.tolist(), strict=True), strict=True)):
+                for i, (name, mine) in enumerate(zip(lines.signatures().tolist(), zip(id_.tolist(), place.tolist(), strict=True), strict=True)):
                     first = seen.setdefault(name, mine)
                     if first is not mine and first != mine:
                         settled.append(max(first, mine))
@@ -223,165 +257,133 @@ def listed(docs: DataFrame, levels: np.ndarray, id_col: str = "doc_id", text_col
                             go[i] = False
                 if len(seen) > REMEMBERED:
                     seen.clear()
-                yield from _list(lines, np.flatnonzero(go), id_, place, frequent)
+                yield from listing(lines, np.flatnonzero(go), id_, place)
                 if settled:
                     a = np.array(settled, np.int64)
                     own = _mix(a[:, 1].astype(np.uint64) * np.uint64(3) + a[:, 0].astype(np.uint64), _BASE).view(np.int64)
-                    n = len(a)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(own), pa.array(a[:, 0]), pa.array(a[:, 1]), pa.array(np.full(n, -1)), pa.array(np.zeros(n, np.int64)), pa.nulls(n, pa.binary())],
-                        names,
-                    )
-
-    def _list(lines: Lines, go: np.ndarray, id_: np.ndarray, place: np.ndarray, frequent: int) -> Iterator[pa.RecordBatch]:
-        if not len(go):
-            return
-        bits = lines.parities(1, go)[:, 0].view(np.int64)
-        wide: list[bytes | None] = [None] * len(go)
-        width = np.where(lines.size[go] > 80, 1 << np.ceil(np.log2(np.maximum(lines.size[go], 2) / 64)).astype(np.int64).clip(1), 1)
-        for w in np.unique(width[width > 1]):
-            some = np.flatnonzero(width == w)
-            for i, row in zip(some.tolist(), lines.parities(int(w), go[some]), strict=True):
-                wide[i] = row.tobytes()
-        size = lines.size[go]
-        prefix = prefix_length(size)
-        row = np.repeat(np.arange(len(go)), prefix)
-        pos = np.arange(len(row)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
-        token = lines.start[go][row] + pos
-        often = (lines.level[token] > frequent) & (size[row] > 1)
-        # A frequent word's next words, one place beyond the prefix included.
-        more = np.flatnonzero(often)
-        reach = prefix[row[more]] - pos[more]
-        again = np.repeat(more, reach)
-        step = np.arange(len(again)) - np.repeat(np.cumsum(reach) - reach, reach) + 1
-        pairs = _mix(lines.hashes[token[again]] * np.uint64(5) + lines.hashes[token[again] + step], 0xA0761D6478BD642F)
-        keys = np.concatenate([lines.hashes[token[~often]], pairs]).view(np.int64)
-        row, pos = np.concatenate([row[~often], row[again]]), np.concatenate([pos[~often], pos[again]])
-        shape = size[row] << 32 | pos
-        wides = pa.array(wide, pa.binary())
+                    none = pa.array(np.zeros(len(a), np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(a[:, 0]), pa.array(a[:, 1]), pa.array(np.full(len(a), -1)), none, none], names)
+
+    def listing(lines: Lines, go: np.ndarray, id_: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        low, high = (x.view(np.int64) for x in lines.parities())
+        keys, row, pos = lines.keys(go, frequent)
         for a in range(0, len(keys), 50_000):
-            r = row[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[a : a + 50_000]), pa.array(id_[go][r]), pa.array(place[go][r]), pa.array(shape[a : a + 50_000]), pa.array(bits[r]), wides.take(pa.array(r))],
-                names,
-            )
+            line = go[row[a : a + 50_000]]
+            shape = lines.size[line] << 32 | pos[a : a + 50_000]
+            columns = (keys[a : a + 50_000], id_[line], place[line], shape, low[line], high[line])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
-    return _rows(docs, id_col, text_col).mapInArrow(run, "key long, id long, place long, shape long, bits long, wide binary")
+    return _rows(docs, id_col, text_col).mapInArrow(run, "key long, id long, place long, shape long, low long, high long")
 
 
 class ListJoin:
     """Candidates among lines of the same list."""
 
-    def __init__(self, batch: pa.RecordBatch | pa.Table, tries: int | None):
-        key, id_, place, shape, bits = (batch.column(k).to_numpy() for k in range(5))
+    def __init__(self, batch: pa.RecordBatch):
+        key, id_, place, shape, low, high = (batch.column(k).to_numpy() for k in range(6))
         order = np.lexsort((place, id_, key))
         self.key, self.id, self.place, shape = key[order], id_[order], place[order], shape[order]
-        self.bits = bits[order].view(np.uint64)
+        self.low, self.high = low[order].view(np.uint64), high[order].view(np.uint64)
         self.size, self.pos = shape >> 32, shape & 0xFFFFFFFF
-        self.wide, self.order = batch.column(5), order
-        self.asks = batch.column(6).to_numpy(zero_copy_only=False)[order] if batch.num_columns > 6 else np.ones(len(order), bool)
-        self.tries = tries
         self.settled = shape < 0
 
-    def passes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether rows a and b, which share a key, may match."""
-        x, y = self.size[a], self.size[b]
+    def compare(self, later: np.ndarray, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether rows that share a key may match, and in how many parities they differ."""
+        x, y = self.size[later], self.size[earlier]
         need = least_overlap(x, y)
-        able = 1 + np.minimum(x - self.pos[a], y - self.pos[b]) - 1
-        differ = np.bitwise_count(self.bits[a] ^ self.bits[b])
-        return (np.minimum(x, y) * MATCH[1] >= np.maximum(x, y) * MATCH[0]) & (able >= need) & (differ <= x + y - 2 * need)
-
-    def also_wide(self, later: np.ndarray, earlier: np.ndarray) -> np.ndarray:
-        ok = np.ones(len(later), bool)
-        long_ = np.flatnonzero((self.size[later] > 80) & (self.size[earlier] > 80))
-        for i in long_:
-            a, b = self.wide[int(self.order[later[i]])].as_py(), self.wide[int(self.order[earlier[i]])].as_py()
-            words = min(len(a), len(b)) // 8
-            differ = int(np.bitwise_count(_fold(a, words) ^ _fold(b, words)).sum())
-            x, y = int(self.size[later[i]]), int(self.size[earlier[i]])
-            ok[i] = differ <= x + y - 2 * least_overlap(x, y)
-        return ok
-
-    def candidates(self) -> tuple[np.ndarray, np.ndarray]:
-        """(later, earlier) rows; for each later row and key the earliest ones."""
+        able = np.minimum(x - self.pos[later], y - self.pos[earlier])
+        # If only one of the two has two words, the other's one is their sum.
+        differ = np.bitwise_count(self.low[later] ^ self.low[earlier]).astype(np.int64)
+        both = (x > ONE_WORD) & (y > ONE_WORD)
+        if both.any():
+            a, b = later[both], earlier[both]
+            high = self.high[a] ^ self.high[b]
+            differ[both] = np.bitwise_count(self.low[a] ^ self.low[b]).astype(np.int64) + np.bitwise_count(high)
+            one = ~both
+            if one.any():
+                a, b = later[one], earlier[one]
+                differ[one] = np.bitwise_count(self.low[a] ^ self.high[a] ^ self.low[b] ^ self.high[b])
+        elif (x > ONE_WORD).any() or (y > ONE_WORD).any():
+            differ = np.bitwise_count(self.low[later] ^ self.high[later] ^ self.low[earlier] ^ self.high[earlier]).astype(np.int64)
+        fits = np.minimum(x, y) * MATCH[1] >= np.maximum(x, y) * MATCH[0]
+        return fits & (able >= need) & (differ <= x + y - 2 * need), differ
+
+    def candidates(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(later, earlier, differ, more): some candidates of each later row in its list.
+
+        In a short list all of them; in a long one a line leaves once it has
+        enough, and ``more`` says that it left early.
+        """
         n = len(self.key)
         edge = np.flatnonzero(np.concatenate([[True], self.key[1:] != self.key[:-1]]))
         length = np.diff(np.concatenate([edge, [n]]))
         group_end = np.repeat(edge + length, length)
         short = np.repeat(length <= SHORT_LIST, length)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, ...]] = []
         live = np.flatnonzero(short & ~self.settled)
         for step in range(1, SHORT_LIST):
             live = live[live + step < group_end[live]]
             if not len(live):
                 break
-            far = live + step
-            ok = self.asks[far]
-            ok[ok] = self.passes(live[ok], far[ok])
-            later, earlier = far[ok], live[ok]
-            wide = self.also_wide(later, earlier)
-            found.append((later[wide], earlier[wide]))
+            ok, differ = self.compare(live + step, live)
+            found.append((live[ok] + step, live[ok], differ[ok], np.zeros(int(ok.sum()), bool)))
         for start, size in zip(edge[length > SHORT_LIST], length[length > SHORT_LIST], strict=True):
             found += self._long(int(start), int(start + size))
         if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        later, earlier = (np.concatenate(x) for x in zip(*found, strict=True))
-        # The same line again (it has the key twice, by a rare hash collision, or is a repeated row).
+            return tuple(np.zeros(0, kind) for kind in (np.int64, np.int64, np.int64, bool))
+        later, earlier, differ, more = (np.concatenate(x) for x in zip(*found, strict=True))
+        # The same line again: a repeated row, or a key that it has twice by a rare collision.
         other = (self.id[later] != self.id[earlier]) | (self.place[later] != self.place[earlier])
-        return later[other], earlier[other]
+        return later[other], earlier[other], differ[other], more[other]
 
-    def _long(self, start: int, end: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """A long list, block by block; a line leaves once it has candidates enough."""
+    def _long(self, start: int, end: int) -> list[tuple[np.ndarray, ...]]:
+        """A long list, block by block."""
         found = []
         for at in range(start, end, SIDE):
             rows = np.arange(at, min(at + SIDE, end))
-            rows = rows[self.asks[rows]]
             count = np.zeros(len(rows), np.int64)
             lo, span = start, 64
             while lo < end and len(rows):
                 hi = min(end, lo + span)
                 a, b = np.repeat(rows, hi - lo), np.tile(np.arange(lo, hi), len(rows))
-                ok = b < a
-                ok[ok] = self.passes(a[ok], b[ok])
+                before = b < a
+                a, b = a[before], b[before]
+                ok, differ = self.compare(a, b)
                 later, earlier = a[ok], b[ok]
-                wide = self.also_wide(later, earlier)
-                later, earlier = later[wide], earlier[wide]
-                found.append((later, earlier))
                 count += np.bincount(np.searchsorted(rows, later), minlength=len(rows))
-                open_ = (rows > hi) & ((count < self.tries) if self.tries else True)
+                left = (count >= TRIES) & (rows > hi)
+                found.append((later, earlier, differ[ok], left[np.searchsorted(rows, later)]))
+                open_ = (rows > hi) & ~left
                 rows, count = rows[open_], count[open_]
                 lo, span = hi, min(4096, span * 4)
         return found
 
 
-def candidate_pairs(rows: DataFrame, tries: int | None = TRIES) -> DataFrame:
-    """(id, place, other_id, other_place, more) of later lines and earlier candidates.
+def candidate_pairs(rows: DataFrame) -> DataFrame:
+    """(id, place, other_id, other_place, differ, more) of later lines and earlier candidates.
 
-    With ``tries``, only that many of a line's earliest candidates under each
-    key; ``more`` says that there are others. Lines settled already have no other.
+    The TRIES candidates of a line under each key that differ least; ``more``
+    says that there may be others. Lines settled already have no other.
     """
-    names = ["id", "place", "other_id", "other_place", "more"]
-
-    def join(held: pa.Table) -> pa.RecordBatch:
-        lists = ListJoin(held, tries)
-        later, earlier = lists.candidates()
-        order = np.lexsort((earlier, later))
-        later, earlier = later[order], earlier[order]
-        more = np.zeros(len(later), bool)
-        if tries and len(later):
+    names = ["id", "place", "other_id", "other_place", "differ", "more"]
+
+    def join(held: pa.RecordBatch) -> pa.RecordBatch:
+        lists = ListJoin(held)
+        later, earlier, differ, more = lists.candidates()
+        order = np.lexsort((earlier, differ, later))
+        later, earlier, differ, more = later[order], earlier[order], differ[order], more[order]
+        if len(later):
             first = np.flatnonzero(np.concatenate([[True], later[1:] != later[:-1]]))
             count = np.diff(np.concatenate([first, [len(later)]]))
-            rank = np.arange(len(later)) - np.repeat(first, count)
-            # A long list may have been left early: as many as were asked for may mean more.
-            more = np.repeat(count >= tries, count)
-            kept = rank < tries
-            later, earlier, more = later[kept], earlier[kept], more[kept]
+            more = np.repeat(np.maximum.reduceat(more, first) | (count > TRIES), count)
+            kept = np.arange(len(later)) - np.repeat(first, count) < TRIES
+            later, earlier, differ, more = later[kept], earlier[kept], differ[kept], more[kept]
         done = np.flatnonzero(lists.settled)
-        n, m = len(later), len(done)
-        ids, places = np.concatenate([lists.id[later], lists.id[done]]), np.concatenate([lists.place[later], lists.place[done]])
-        none = np.arange(n + m) >= n
+        m, none = len(done), np.arange(len(later) + len(done)) >= len(later)
+        mine = [np.concatenate([x[later], x[done]]) for x in (lists.id, lists.place)]
         others = [pa.array(np.concatenate([x[earlier], np.zeros(m, np.int64)]), mask=none) for x in (lists.id, lists.place)]
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(places), *others, pa.array(np.concatenate([more, np.zeros(m, bool)]))], names)
+        rest = [np.concatenate([differ, np.zeros(m, np.int64)]).astype(np.int32), np.concatenate([more, np.zeros(m, bool)])]
+        return pa.RecordBatch.from_arrays([*map(pa.array, mine), *others, *map(pa.array, rest)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -391,95 +393,144 @@ def candidate_pairs(rows: DataFrame, tries: int | None = TRIES) -> DataFrame:
             size += batch.num_rows
             if size < ROWS_AT_ONCE:
                 continue
-            table = pa.Table.from_batches(held).combine_chunks()
-            keys = table.column(0).to_numpy()
+            whole = pa.concat_batches(held)
+            keys = whole.column(0).to_numpy()
             # The last list may go on in the next batch.
             cut = int(np.searchsorted(keys, keys[-1], "left"))
             if cut:
-                yield join(table.slice(0, cut).combine_chunks())
-            held, size = table.slice(cut).to_batches(), table.num_rows - cut
+                yield join(whole.slice(0, cut))
+            held, size = [whole.slice(cut)], whole.num_rows - cut
         if size:
-            yield join(pa.Table.from_batches(held).combine_chunks())
+            yield join(pa.concat_batches(held))
 
     placed = rows.repartition("key").sortWithinPartitions("key")
-    return placed.mapInArrow(run, "id long, place long, other_id long, other_place long, more boolean")
+    return placed.mapInArrow(run, "id long, place long, other_id long, other_place long, differ int, more boolean")
 
 
-def _pick(id_: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return _mix(id_.astype(np.uint64) * np.uint64(_BASE) + place.astype(np.uint64), 0xD6E8FEB86659FD93) >> np.uint64(64 - PICK_BITS)
+def _bit(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+    b = np.asarray(b).astype(np.uint64)
+    return (_mix(a.astype(np.uint64) * np.uint64(_BASE) + b, 0xD6E8FEB86659FD93) >> np.uint64(64 - PICK_BITS)).astype(np.int64)
 
 
-def _picker(lines: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size that has a bit of each of lines(id, place)."""
+def _filter(rows: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size with a bit of each of the rows, of one or two longs."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << PICK_BITS, bool)
         for batch in batches:
-            bits[_pick(batch.column(0).to_numpy(), batch.column(1).to_numpy()).astype(np.int64)] = True
+            second = batch.column(1).to_numpy() if batch.num_columns > 1 else 0
+            bits[_bit(batch.column(0).to_numpy(), second)] = True
         words = np.packbits(bits, bitorder="little").view(np.int64)
         some = np.flatnonzero(words)
         for at in range(0, len(some), 100_000):
             part = some[at : at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(words[part])], ["word", "bits"])
 
-    found = lines.mapInArrow(mark, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = rows.mapInArrow(mark, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros(1 << (PICK_BITS - 6), np.int64)
     words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return words.view(np.uint8)
 
 
-def _sets(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, place, words) of at least the given lines(id, place)."""
-    shipped = docs.sparkSession.sparkContext.broadcast(_picker(lines))
+def _hit(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _sets(docs: DataFrame, levels: np.ndarray, lines: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, place, words) of at least the given lines(id, place), rarest words first."""
+    shipped = docs.sparkSession.sparkContext.broadcast((levels, _filter(lines)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        picked = shipped.value
-        levels = np.zeros(1 << BUCKET_BITS, np.uint8)
+        level, picked = shipped.value
         for batch in batches:
             ids, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for at, _, data, offsets in _parts(batch.column(2)):
-                cut = Lines(data, offsets, levels)
+                cut = Lines(data, offsets, level)
                 id_, place = ids[cut.doc + at], parts[cut.doc + at] << 32 | cut.number
-                bit = _pick(id_, place).astype(np.int64)
-                some = np.flatnonzero(picked[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
-                at_ = np.repeat(np.isin(np.arange(len(cut)), some), cut.size)
-                ends = np.concatenate([[0], np.cumsum(cut.size[some])]).astype(np.int32)
-                words = pa.ListArray.from_arrays(pa.array(ends), pa.array(cut.hashes[at_].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(id_[some]), pa.array(place[some]), words], ["id", "place", "words"])
+                some = np.flatnonzero(_hit(picked, _bit(id_, place)))
+                yield pa.RecordBatch.from_arrays([pa.array(id_[some]), pa.array(place[some]), cut.sets(some)], ["id", "place", "words"])
 
-    return _rows(docs, id_col, text_col).mapInArrow(run, "id long, place long, words array<long>").dropDuplicates(["id", "place"])
+    return _rows(docs, id_col, text_col).mapInArrow(run, "id long, place long, words array<long>")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, place) of the lines of which a candidate is a match."""
-    needed = pairs.select("id", "place").unionByName(pairs.select(F.col("other_id").alias("id"), F.col("other_place").alias("place")))
-    sets = checkpointed(_sets(docs, needed.distinct(), id_col, text_col))
-    theirs = sets.select(F.col("id").alias("other_id"), F.col("place").alias("other_place"), F.col("words").alias("other_words"))
-    both = pairs.join(sets, ["id", "place"]).join(theirs, ["other_id", "other_place"])
-    shared = F.size(F.array_intersect("words", "other_words"))
+def _under_keys(docs: DataFrame, levels: np.ndarray, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, id, place, words) of all lines under at least the given keys(key)."""
+    shipped = docs.sparkSession.sparkContext.broadcast((levels, _filter(keys)))
+    frequent = frequent_level()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level, picked = shipped.value
+        for batch in batches:
+            ids, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for at, _, data, offsets in _parts(batch.column(2)):
+                cut = Lines(data, offsets, level)
+                key, line, _ = cut.keys(np.arange(len(cut)), frequent)
+                some = np.flatnonzero(_hit(picked, _bit(key, 0)))
+                line = line[some]
+                doc = cut.doc[line] + at
+                columns = [pa.array(key[some]), pa.array(ids[doc]), pa.array(parts[doc] << 32 | cut.number[line]), cut.sets(line)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "id", "place", "words"])
+
+    return _rows(docs, id_col, text_col).mapInArrow(run, "key long, id long, place long, words array<long>")
+
+
+def _matches(words: str, others: str):
     top, bottom = MATCH
-    return both.where(shared * (top + bottom) >= top * (F.size("words") + F.size("other_words"))).select("id", "place")
+    return F.size(F.array_intersect(words, others)) * (top + bottom) >= top * (F.size(words) + F.size(others))
+
+
+def _matched(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, place) of the lines of which a candidate is a match."""
+    mine = sets.select(F.col("id").alias("i"), F.col("place").alias("p"), F.col("words").alias("w"))
+    theirs = sets.select(F.col("id").alias("oi"), F.col("place").alias("op"), F.col("words").alias("ow"))
+    half = pairs.join(theirs, (F.col("other_id") == F.col("oi")) & (F.col("other_place") == F.col("op")))
+    both = half.select("id", "place", "ow").join(mine, (F.col("id") == F.col("i")) & (F.col("place") == F.col("p")))
+    return both.where(_matches("w", "ow")).select("id", "place")
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, place) of every line that matches an earlier one."""
-    rows = listed(docs, word_levels(docs, text_col), id_col, text_col)
-    found = candidate_pairs(rows).groupBy("id", "place", "other_id", "other_place").agg(F.max("more").alias("more"))
-    found = checkpointed(found)
-    settled = found.where("other_id IS NULL").select("id", "place")
-    pairs = found.where("other_id IS NOT NULL")
-    gone = checkpointed(settled.unionByName(_verified(docs, pairs, id_col, text_col)).distinct())
-    open_ = pairs.where("more").select("id", "place").distinct().join(gone, ["id", "place"], "left_anti")
-    open_ = checkpointed(open_)
+    levels = word_levels(docs, text_col)
+    found = candidate_pairs(listed(docs, levels, id_col, text_col))
+    # Of all keys' candidates, at most TRIES from each, the best are tried.
+    other = F.struct("differ", "other_id", "other_place")
+    found = found.groupBy("id", "place").agg(
+        F.max(F.col("other_id").isNull()).alias("settled"), F.array_sort(F.collect_set(other)).alias("others"), F.max("more").alias("more")
+    )
+    found = checkpointed(
+        found.select("id", "place", "settled", F.slice("others", 1, TRIES).alias("others"), (F.col("more") | (F.size("others") > TRIES)).alias("more"))
+    )
+    lines = found.where("NOT settled")
+    pairs = lines.select("id", "place", F.inline("others"))
+    needed = lines.select("id", "place").unionByName(pairs.select(F.col("other_id").alias("id"), F.col("other_place").alias("place")))
+    sets = _sets(docs, levels, needed, id_col, text_col)
+    settled = found.where("settled").select("id", "place")
+    gone = checkpointed(settled.unionByName(_matched(sets, pairs)).distinct())
+    open_ = checkpointed(lines.where("more").select("id", "place").join(gone, ["id", "place"], "left_anti"))
     if open_.isEmpty():
         return gone
-    # What the earliest candidates left open is tried with all.
-    asked = rows.join(open_.withColumn("asks", F.lit(True)), ["id", "place"], "left")
-    asked = asked.withColumn("asks", F.coalesce("asks", F.lit(False)))
-    keys = asked.where("asks").select("key").distinct()
-    rest = asked.join(keys, "key", "left_semi").select("key", "id", "place", "shape", "bits", "wide", "asks")
-    every = checkpointed(candidate_pairs(rest, None).where("other_id IS NOT NULL").drop("more").distinct())
-    return checkpointed(gone.unionByName(_verified(docs, every, id_col, text_col)).distinct())
+    # What the best candidates left open is compared with all lines under its keys.
+    asked = _asked(docs, levels, open_, id_col, text_col)
+    others = _under_keys(docs, levels, asked.select("key").distinct(), id_col, text_col)
+    others = others.select("key", F.struct("id", "place").alias("there"), F.col("words").alias("ow"))
+    mine = asked.select("key", "id", "place", F.struct("id", "place").alias("here"), F.col("words").alias("w"))
+    near = mine.join(others, "key").where("there < here").where(_matches("w", "ow")).select("id", "place")
+    return checkpointed(gone.unionByName(near).distinct())
+
+
+def _asked(docs: DataFrame, levels: np.ndarray, lines: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, id, place, words) of the given lines(id, place)."""
+    sets = _sets(docs, levels, lines, id_col, text_col).join(lines, ["id", "place"], "left_semi")
+    shipped = docs.sparkSession.sparkContext.broadcast(levels)
+    frequent = frequent_level()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = Lines.of_sets(batch.column(2), shipped.value)
+            key, line, _ = cut.keys(np.arange(len(cut)), frequent)
+            yield pa.RecordBatch.from_arrays([pa.array(key), *[batch.column(k).take(pa.array(line)) for k in range(3)]], ["key", "id", "place", "words"])
+
+    return checkpointed(sets.select("id", "place", "words").mapInArrow(run, "key long, id long, place long, words array<long>"))
 
 
 def _by_document(gone: DataFrame) -> DataFrame:
