@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -53,6 +54,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have shuffle files deleted that nothing refers to any more.
+
+    Spark deletes them when the driver's JVM happens to collect its garbage; a
+    step that leaves much behind asks for that once.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and hand it to ``body`` as a bound variable."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -13,9 +13,9 @@ matches an earlier one: one with a smaller (id, text hash, line number).
 3. Lines of one list become candidates if they pass the length, positional and
    parity filters. The last compares the parities of hashed words: they can't
    differ in more bits than the sets differ in words.
-4. The candidates of a line that differ least in parity are verified on the
-   whole sets. Lines that have others and matched none of these are compared
-   with every line that shares a key with them.
+4. The candidate that differs least in parity is verified on the whole sets,
+   then, where it isn't a match, the others. Lines that matched none of theirs,
+   though a list held more, are compared with every line under their keys.
 
 Defined results: lines without words are kept and match nothing; a null text
 has no lines. Rows that share id and text count as one document and stay alike;
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import checkpointed
+from ._base import checkpointed, release
 
 #: Lines match from here on: MATCH[0] / MATCH[1].
 MATCH = (4, 5)
@@ -40,8 +40,8 @@ MATCH = (4, 5)
 BUCKET_BITS, LEVELS = 20, 8
 #: A word with more occurrences is listed with each next word.
 FREQUENT = 20_000
-#: Candidates of a line that are tried first.
-TRIES = 2
+#: Candidates of a line that are taken from each list, and more than a line can have of them.
+TRIES, MOST_OTHERS = 2, 1 << 30
 #: Sets up to this size have one word of parities, larger ones two.
 ONE_WORD = 64
 #: Bytes of text cut up at once, listed lines joined at once, lines of a list compared at once.
@@ -50,6 +50,10 @@ BYTES_AT_ONCE, ROWS_AT_ONCE, SIDE = 1 << 20, 200_000, 256
 SHORT_LIST = 24
 #: Lines whose sets a task remembers to settle equal ones.
 REMEMBERED = 400_000
+#: Slices in which word counts are added up.
+SLICES = 64
+#: Lines left open that are shipped to every task at most; more are joined by shuffle.
+SHIPPED_LINES = 20_000
 #: Bits of the filters that pick lines and keys.
 PICK_BITS = 25
 #: Stands for a null id; such rows come first.
@@ -108,14 +112,30 @@ def _parts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         at = to
 
 
+def _order(line: np.ndarray, level: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Order by line, level and hash."""
+    if len(line) and line[-1] < 1 << 20:
+        code = line.astype(np.uint64) << np.uint64(44) | level.astype(np.uint64) << np.uint64(36) | hashes >> np.uint64(28)
+        order = np.argsort(code)
+        code, hashes_ = code[order], hashes[order]
+        if not np.any((code[1:] == code[:-1]) & (hashes_[1:] != hashes_[:-1])):
+            return order
+    return np.lexsort((hashes, (line << 8) | level))
+
+
 class Lines:
     """The word sets of a stretch of texts, rarest words first."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, levels: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, levels: np.ndarray, wanted=None):
+        """``wanted``: says which of the lines (document, number) to keep."""
         hashes, doc, number = cut_words(data, offsets)
+        if wanted is not None and len(doc):
+            first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (number[1:] != number[:-1])]))
+            keep = np.repeat(wanted(doc[first], number[first]), np.diff(np.concatenate([first, [len(doc)]])))
+            hashes, doc, number = hashes[keep], doc[keep], number[keep]
         line = np.cumsum(np.concatenate([[False], (doc[1:] != doc[:-1]) | (number[1:] != number[:-1])])) if len(doc) else doc
         level = levels[(hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
-        order = np.lexsort((hashes, (line << 8) | level))
+        order = _order(line, level, hashes)
         hashes, line, self.level = hashes[order], line[order], level[order]
         first = np.concatenate([[True], (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])]) if len(line) else np.zeros(0, bool)
         keep = np.flatnonzero(first)
@@ -145,14 +165,12 @@ class Lines:
         return np.add.reduceat(_mix(self.hashes, 0x9FB21C651E98DF25), self.start) + self.size.astype(np.uint64)
 
     def parities(self) -> tuple[np.ndarray, np.ndarray]:
-        """Parities of each line's hashed words, in one or two 64-bit words."""
+        """64 parities of each line's hashed words, and of large sets those of half of the words."""
         bit = np.uint64(1) << (self.hashes & np.uint64(63))
         low = np.bitwise_xor.reduceat(bit, self.start)
         second = (self.hashes >> np.uint64(6)) & np.uint64(1) == 1
         high = np.bitwise_xor.reduceat(np.where(second, bit, np.uint64(0)), self.start)
-        # Small sets: both halves folded into one.
-        large = self.size > ONE_WORD
-        return np.where(large, low ^ high, low), np.where(large, high, np.uint64(0))
+        return low, np.where(self.size > ONE_WORD, high, np.uint64(0))
 
     def keys(self, chosen: np.ndarray, frequent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(key, place in ``chosen``, position in the set) of the lists of the chosen lines."""
@@ -198,18 +216,32 @@ def word_levels(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             for _, _, data, offsets in _parts(batch.column(0)):
                 hashes, _, _ = cut_words(data, offsets)
                 counts += np.bincount((hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
-        some = np.flatnonzero(counts)
-        for at in range(0, len(some), 100_000):
-            part = some[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], ["bucket", "n"])
+        yield _slices(counts)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(counts, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["slice", "counts"])
 
-    counted = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(count, "bucket int, n long")
-    found = counted.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    schema = "slice int, counts binary"
+    counted = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(count, schema)
+    found = counted.repartition("slice").mapInArrow(add, schema).toArrow()
     levels = np.zeros(1 << BUCKET_BITS, np.int64)
-    levels[found.column("bucket").to_numpy()] = np.log2(found.column("n").to_numpy()) * LEVELS
+    width = len(levels) // SLICES
+    for k, counts in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
+        n = np.frombuffer(counts, np.int64)
+        levels[k * width : (k + 1) * width] = np.log2(np.maximum(n, 1)) * LEVELS
     return levels.clip(0, 255).astype(np.uint8)
 
 
+def _slices(counts: np.ndarray) -> pa.RecordBatch:
+    """A task's counts in slices of equal length, to be added slice by slice."""
+    parts = [c.tobytes() for c in np.split(counts, SLICES)]
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array(parts, pa.binary())], ["slice", "counts"])
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text hash of 32 bits, text) with the order's id."""
     text = F.col(text_col)
@@ -288,25 +320,21 @@ class ListJoin:
         self.settled = shape < 0
 
     def compare(self, later: np.ndarray, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether rows that share a key may match, and in how many parities they differ."""
+        """Places in the arrays of those that may match, and in how many parities these differ."""
+        # Sets of sizes x and y match only if they differ in (x + y) / 9 words at most.
+        differ = np.bitwise_count(self.low[later] ^ self.low[earlier]).astype(np.int64)
         x, y = self.size[later], self.size[earlier]
+        some = np.flatnonzero(differ <= (x + y) * (MATCH[1] - MATCH[0]) // (MATCH[0] + MATCH[1]))
+        later, earlier, x, y, differ = later[some], earlier[some], x[some], y[some], differ[some]
+        both = np.flatnonzero((x > ONE_WORD) & (y > ONE_WORD))
+        a, b = later[both], earlier[both]
+        high = self.high[a] ^ self.high[b]
+        differ[both] = np.bitwise_count(high).astype(np.int64) + np.bitwise_count(self.low[a] ^ self.low[b] ^ high)
         need = least_overlap(x, y)
         able = np.minimum(x - self.pos[later], y - self.pos[earlier])
-        # If only one of the two has two words, the other's one is their sum.
-        differ = np.bitwise_count(self.low[later] ^ self.low[earlier]).astype(np.int64)
-        both = (x > ONE_WORD) & (y > ONE_WORD)
-        if both.any():
-            a, b = later[both], earlier[both]
-            high = self.high[a] ^ self.high[b]
-            differ[both] = np.bitwise_count(self.low[a] ^ self.low[b]).astype(np.int64) + np.bitwise_count(high)
-            one = ~both
-            if one.any():
-                a, b = later[one], earlier[one]
-                differ[one] = np.bitwise_count(self.low[a] ^ self.high[a] ^ self.low[b] ^ self.high[b])
-        elif (x > ONE_WORD).any() or (y > ONE_WORD).any():
-            differ = np.bitwise_count(self.low[later] ^ self.high[later] ^ self.low[earlier] ^ self.high[earlier]).astype(np.int64)
         fits = np.minimum(x, y) * MATCH[1] >= np.maximum(x, y) * MATCH[0]
-        return fits & (able >= need) & (differ <= x + y - 2 * need), differ
+        ok = fits & (able >= need) & (differ <= x + y - 2 * need)
+        return some[ok], differ[ok]
 
     def candidates(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(later, earlier, differ, more): some candidates of each later row in its list.
@@ -326,7 +354,7 @@ class ListJoin:
             if not len(live):
                 break
             ok, differ = self.compare(live + step, live)
-            found.append((live[ok] + step, live[ok], differ[ok], np.zeros(int(ok.sum()), bool)))
+            found.append((live[ok] + step, live[ok], differ, np.zeros(len(ok), bool)))
         for start, size in zip(edge[length > SHORT_LIST], length[length > SHORT_LIST], strict=True):
             found += self._long(int(start), int(start + size))
         if not found:
@@ -352,7 +380,7 @@ class ListJoin:
                 later, earlier = a[ok], b[ok]
                 count += np.bincount(np.searchsorted(rows, later), minlength=len(rows))
                 left = (count >= TRIES) & (rows > hi)
-                found.append((later, earlier, differ[ok], left[np.searchsorted(rows, later)]))
+                found.append((later, earlier, differ, left[np.searchsorted(rows, later)]))
                 open_ = (rows > hi) & ~left
                 rows, count = rows[open_], count[open_]
                 lo, span = hi, min(4096, span * 4)
@@ -445,10 +473,11 @@ def _sets(docs: DataFrame, levels: np.ndarray, lines: DataFrame, id_col: str, te
         for batch in batches:
             ids, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for at, _, data, offsets in _parts(batch.column(2)):
-                cut = Lines(data, offsets, level)
-                id_, place = ids[cut.doc + at], parts[cut.doc + at] << 32 | cut.number
-                some = np.flatnonzero(_hit(picked, _bit(id_, place)))
-                yield pa.RecordBatch.from_arrays([pa.array(id_[some]), pa.array(place[some]), cut.sets(some)], ["id", "place", "words"])
+                picks = lambda doc, number: _hit(picked, _bit(ids[doc + at], parts[doc + at] << 32 | number))  # noqa: B023, E731
+                cut = Lines(data, offsets, level, picks)
+                place = parts[cut.doc + at] << 32 | cut.number
+                every = np.arange(len(cut))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[cut.doc + at]), pa.array(place), cut.sets(every)], ["id", "place", "words"])
 
     return _rows(docs, id_col, text_col).mapInArrow(run, "id long, place long, words array<long>")
 
@@ -492,36 +521,47 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, place) of every line that matches an earlier one."""
     levels = word_levels(docs, text_col)
     found = candidate_pairs(listed(docs, levels, id_col, text_col))
-    # Of all keys' candidates, at most TRIES from each, the best are tried.
+    # TRIES candidates from each key at most, so a line's list is as bounded as its keys.
     other = F.struct("differ", "other_id", "other_place")
     found = found.groupBy("id", "place").agg(
         F.max(F.col("other_id").isNull()).alias("settled"), F.array_sort(F.collect_set(other)).alias("others"), F.max("more").alias("more")
     )
     found = checkpointed(
-        found.select("id", "place", "settled", F.slice("others", 1, TRIES).alias("others"), (F.col("more") | (F.size("others") > TRIES)).alias("more"))
+        found.select("id", "place", "settled", "others", "more")
     )
+    release(docs.sparkSession)  # the lists, by far the most that is shuffled
     lines = found.where("NOT settled")
     pairs = lines.select("id", "place", F.inline("others"))
     needed = lines.select("id", "place").unionByName(pairs.select(F.col("other_id").alias("id"), F.col("other_place").alias("place")))
-    sets = _sets(docs, levels, needed, id_col, text_col)
+    sets = checkpointed(_sets(docs, levels, needed, id_col, text_col))
     settled = found.where("settled").select("id", "place")
-    gone = checkpointed(settled.unionByName(_matched(sets, pairs)).distinct())
-    open_ = checkpointed(lines.where("more").select("id", "place").join(gone, ["id", "place"], "left_anti"))
-    if open_.isEmpty():
+    best = lines.select("id", "place", F.inline(F.slice("others", 1, 1)))
+    gone = checkpointed(settled.unionByName(_matched(sets, best)).distinct())
+    # What the best candidate leaves open is compared with the line's other candidates …
+    left = checkpointed(lines.where(F.col("more") | (F.size("others") > 1)).join(gone, ["id", "place"], "left_anti"))
+    rest = left.select("id", "place", F.inline(F.slice("others", 2, MOST_OTHERS)))
+    second = checkpointed(_matched(sets, rest).distinct())
+    gone = gone.unionByName(second)
+    open_ = left.where("more").select("id", "place").join(second, ["id", "place"], "left_anti")
+    asked = checkpointed(sets.join(open_, ["id", "place"], "left_semi").dropDuplicates(["id", "place"]).select("id", "place", "words"))
+    n, words = asked.agg(F.count(F.lit(1)), F.sum(F.size("words"))).first()
+    if not n:
         return gone
-    # What the best candidates left open is compared with all lines under its keys.
-    asked = _asked(docs, levels, open_, id_col, text_col)
-    others = _under_keys(docs, levels, asked.select("key").distinct(), id_col, text_col)
-    others = others.select("key", F.struct("id", "place").alias("there"), F.col("words").alias("ow"))
-    mine = asked.select("key", "id", "place", F.struct("id", "place").alias("here"), F.col("words").alias("w"))
-    near = mine.join(others, "key").where("there < here").where(_matches("w", "ow")).select("id", "place")
-    return checkpointed(gone.unionByName(near).distinct())
-
-
-def _asked(docs: DataFrame, levels: np.ndarray, lines: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, id, place, words) of the given lines(id, place)."""
-    sets = _sets(docs, levels, lines, id_col, text_col).join(lines, ["id", "place"], "left_semi")
-    shipped = docs.sparkSession.sparkContext.broadcast(levels)
+    # … and then with every line that shares a key with it.
+    if n <= SHIPPED_LINES and words <= SHIPPED_LINES * 100:
+        near = _met(docs, levels, asked.toArrow(), id_col, text_col)
+    else:
+        mine = _with_keys(asked, levels)
+        others = _under_keys(docs, levels, mine.select("key").distinct(), id_col, text_col)
+        others = others.select("key", F.struct("id", "place").alias("there"), F.col("words").alias("ow"))
+        mine = mine.select("key", "id", "place", F.struct("id", "place").alias("here"), F.col("words").alias("w"))
+        near = mine.join(others, "key").where("there < here").where(_matches("w", "ow")).select("id", "place")
+    return checkpointed(gone.unionByName(near.distinct()))
+
+
+def _with_keys(sets: DataFrame, levels: np.ndarray) -> DataFrame:
+    """(key, id, place, words) of sets(id, place, words)."""
+    shipped = sets.sparkSession.sparkContext.broadcast(levels)
     frequent = frequent_level()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -533,6 +573,50 @@ def _asked(docs: DataFrame, levels: np.ndarray, lines: DataFrame, id_col: str, t
     return checkpointed(sets.select("id", "place", "words").mapInArrow(run, "key long, id long, place long, words array<long>"))
 
 
+def _met(docs: DataFrame, levels: np.ndarray, asked: pa.Table, id_col: str, text_col: str) -> DataFrame:
+    """(id, place) of the asked lines that match an earlier line, found by a pass over all texts.
+
+    asked(id, place, words) is bounded and shipped to every task. There each
+    line is looked up under its keys and compared with the asked ones it finds.
+    """
+    held = asked.combine_chunks()
+    columns = (held.column(0).to_numpy(), held.column(1).to_numpy(), held.column(2).combine_chunks())
+    shipped = docs.sparkSession.sparkContext.broadcast((levels, columns))
+    frequent = frequent_level()
+    top, bottom = MATCH
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level, (asked_id, asked_place, words) = shipped.value
+        theirs = Lines.of_sets(words, level)
+        key, owner, _ = theirs.keys(np.arange(len(theirs)), frequent)
+        order = np.argsort(key, kind="stable")
+        key, owner = key[order], owner[order]
+        done = np.zeros(len(theirs), bool)
+        for batch in batches:
+            ids, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for at, _, data, offsets in _parts(batch.column(2)):
+                cut = Lines(data, offsets, level)
+                mine, line, _ = cut.keys(np.arange(len(cut)), frequent)
+                low, high = np.searchsorted(key, mine, "left"), np.searchsorted(key, mine, "right")
+                hits = np.flatnonzero(high > low)
+                many = high[hits] - low[hits]
+                found = owner[np.repeat(low[hits], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+                pairs = np.unique(np.stack([np.repeat(line[hits], many), found], 1), axis=0)
+                a, b = cut.size[pairs[:, 0]], theirs.size[pairs[:, 1]]
+                pairs = pairs[(np.minimum(a, b) * bottom >= np.maximum(a, b) * top) & ~done[pairs[:, 1]]]
+                for i, j in pairs.tolist():
+                    here = (int(ids[cut.doc[i] + at]), int(parts[cut.doc[i] + at] << 32 | cut.number[i]))
+                    if done[j] or here >= (int(asked_id[j]), int(asked_place[j])):
+                        continue
+                    x = cut.hashes[cut.start[i] : cut.start[i] + cut.size[i]]
+                    y = theirs.hashes[theirs.start[j] : theirs.start[j] + theirs.size[j]]
+                    shared = len(np.intersect1d(x, y, assume_unique=True))
+                    done[j] = shared * (top + bottom) >= top * (len(x) + len(y))
+        yield pa.RecordBatch.from_arrays([pa.array(asked_id[done]), pa.array(asked_place[done])], ["id", "place"])
+
+    return _rows(docs, id_col, text_col).mapInArrow(run, "id long, place long")
+
+
 def _by_document(gone: DataFrame) -> DataFrame:
     """(id, part, numbers) of the documents that lose lines."""
     return gone.groupBy("id", F.shiftrightunsigned("place", 32).alias("part")).agg(

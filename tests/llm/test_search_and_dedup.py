@@ -155,11 +155,16 @@ def hot_rows():
     return rows
 
 
-@pytest.mark.parametrize(("frequent", "tries", "short"), [(20_000, 2, 24), (20, 1, 3)])
-def test_line_dedup_equals_all_pairs(spark, monkeypatch, frequent, tries, short):
+@pytest.mark.parametrize(("frequent", "tries", "shipped"), [(20_000, 2, 20_000), (20, 0, 20_000), (20, 0, 1)])
+def test_line_dedup_equals_all_pairs(spark, monkeypatch, frequent, tries, shipped):
+    """Without tries, every line is left to the last step, shipped or joined."""
     monkeypatch.setattr(line_dedup, "FREQUENT", frequent)
-    monkeypatch.setattr(line_dedup, "SHORT_LIST", short)
-    monkeypatch.setattr(line_dedup, "TRIES", tries)
+    monkeypatch.setattr(line_dedup, "SHIPPED_LINES", shipped)
+    if not tries:
+        matched = line_dedup._matched
+        monkeypatch.setattr(line_dedup, "_matched", lambda sets, pairs: matched(sets, pairs.limit(0)))
+        found = line_dedup.candidate_pairs
+        monkeypatch.setattr(line_dedup, "candidate_pairs", lambda rows: found(rows).withColumn("more", F.lit(True)))
     rows = hot_rows()
     want = plain_lines(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
