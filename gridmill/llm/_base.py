@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -58,10 +59,13 @@ def release(spark: SparkSession) -> None:
     """Have shuffle files deleted that nothing refers to any more.
 
     Spark deletes them when the driver's JVM happens to collect its garbage; a
-    step that leaves much behind asks for that once.
+    step that leaves much behind asks for that. The first collection frees the
+    plans, a later one the shuffles that they held.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -648,7 +648,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     A document that loses all its lines stays, with what blank lines it had.
     """
-    by = _by_document(removed_lines(docs, id_col, text_col)).withColumnsRenamed({"id": "_id", "part": "_part"})
+    gone = removed_lines(docs, id_col, text_col)
+    release(docs.sparkSession)
+    by = _by_document(gone).withColumnsRenamed({"id": "_id", "part": "_part"})
     rows = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("row"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
