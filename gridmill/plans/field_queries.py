@@ -286,8 +286,7 @@ _SEGMENTS = "seg AS (SELECT CAST(p_partkey AS INTEGER) AS seg, p_size AS x0, p_s
 )
 def bezier_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, r = F.col("p_size").cast("double"), F.col("p_retailprice")
-    part = a.table(spark, sf_dir, "part").where("p_partkey <= 200")  # the curves are these parts
-    seg = part.select(
+    seg = a.table(spark, sf_dir, "part").select(
         F.lit(0).alias("path"), F.col("p_partkey").cast("int").alias("seg"),
         s.alias("x0"), (s + 2.5).alias("x1"), (r / 10).alias("x2"), (s * 2).alias("x3"),
         (r / 20).alias("y0"), (s * 1.5).alias("y1"), (s + 7).alias("y2"), (40 - s).alias("y3"),

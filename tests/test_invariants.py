@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gridmill.functions import cells, color, material, naming, stencil
 from gridmill.operators import classify, fields, frames, gather, nodes, partition, raster, sampling, scatter, step
 from gridmill.params import PreparerParams, SimParams
-from gridmill.plans import adapters
+from gridmill.plans import adapters, field_queries
 
 SF = "/root/testdata/sf0.001"
 PRM = adapters.PRM
@@ -174,6 +174,16 @@ def test_frames_and_forces_on_disk(spark, tmp_path):
     assert frames.force_series(spark.createDataFrame([], "frame int, region int, fx double, fy double"), 4).count() == 0
 
 
+def test_every_part_is_a_curve(spark, tmp_path):
+    part = spark.createDataFrame([(k, 1 + k % 50, 900.0 + k) for k in (1, 200, 201, 20_000)], "p_partkey long, p_size int, p_retailprice double")
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    out = field_queries.bezier_eval(spark, str(tmp_path)).collect()
+    assert sorted((r["seg"], r["k"]) for r in out) == [(s, k) for s in (1, 200, 201, 20_000) for k in range(9)]
+    ends = {(r["seg"], r["k"]): (r["x"], r["y"]) for r in out if r["k"] in (0, 8)}
+    for seg, size, price in part.collect():
+        assert ends[seg, 0] == (size, price / 20) and ends[seg, 8] == (2 * size, 40 - size)
+
+
 def test_snapshot_round_trip(spark, tmp_path):
     p = adapters.particles(spark, SF).withColumns({"pid": F.monotonically_increasing_id(), "grain": F.lit(0)})
     frames.write_snapshot(p, str(tmp_path), 3, 77, 1.5)
