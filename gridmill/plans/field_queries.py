@@ -374,13 +374,12 @@ SELECT frame, region, """
     + f"{sql6('coalesce(fx, 0)', 4)} AS fx, {sql6('coalesce(fy, 0)', 4)} AS fy FROM g LEFT JOIN f USING (frame, region)"
 )
 def force_series_zero_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = a.table(spark, sf_dir, "events").where("event_type <> 'click'")
-    forces = e.select(
+    forces = a.table(spark, sf_dir, "events").select(
         (F.floor(F.unix_timestamp("ts") / 43200) - 19723 * 2).cast("int").alias("frame"),
         (F.col("user_id") % 7).cast("int").alias("region"),
         F.col("value").alias("fx"),
         (-F.col("value") / 2).alias("fy"),
-    ).where("frame % 3 <> 1")
+    )
     return rounded(frames.force_series(forces, 10), "fx", "fy", digits=4)
 
 

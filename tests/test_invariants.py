@@ -184,6 +184,18 @@ def test_every_part_is_a_curve(spark, tmp_path):
         assert ends[seg, 0] == (size, price / 20) and ends[seg, 8] == (2 * size, 40 - size)
 
 
+def test_every_event_is_a_force(spark, tmp_path):
+    at = [(0, "view", 3), (1, "view", 3), (1, "click", 4), (2, "click", 4), (4, "click", 4), (4, "view", 10)]  # frame 3 is a gap
+    rows = [(k, frame, kind, user, 2.0 ** (k + 1)) for k, (frame, kind, user) in enumerate(at)]
+    events = spark.createDataFrame(rows, "event_id long, frame int, event_type string, user_id long, value double")
+    ts = F.timestamp_seconds((F.col("frame") + 19723 * 2) * 43200 + 60)
+    events.withColumn("ts", ts).drop("frame").write.parquet(str(tmp_path / "events.parquet"))
+    out = {(r["frame"], r["region"]): (r["fx"], r["fy"]) for r in field_queries.force_series_zero_fill(spark, str(tmp_path)).collect()}
+    assert set(out) == {(f, r) for f in range(5) for r in range(10)}
+    assert {k: fx for k, (fx, _) in out.items() if fx} == {(0, 3): 2.0, (1, 3): 4.0, (1, 4): 8.0, (2, 4): 16.0, (4, 4): 32.0, (4, 3): 64.0}
+    assert all(fy == -fx / 2 for fx, fy in out.values())
+
+
 def test_snapshot_round_trip(spark, tmp_path):
     p = adapters.particles(spark, SF).withColumns({"pid": F.monotonically_increasing_id(), "grain": F.lit(0)})
     frames.write_snapshot(p, str(tmp_path), 3, 77, 1.5)
