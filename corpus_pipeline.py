@@ -16,10 +16,9 @@ from pyspark.sql import functions as F
 from gridmill.llm import quality_classifier
 from gridmill.llm._base import table
 from gridmill.llm.bpe import encode_documents
-from gridmill.llm.line_dedup import dedup_lines
+from gridmill.llm.line_dedup import dedup_documents, dedup_lines
 from gridmill.llm.mixing import mix_documents
 from gridmill.llm.queries import tokenizer_path
-from gridmill.llm.simhash import near_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +32,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each SimHash component."""
-    return near_dedup(docs)
+    """Drop documents whose five-word shingles have Jaccard 0.8 or more with those of an earlier one."""
+    return dedup_documents(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

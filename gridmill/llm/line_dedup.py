@@ -100,6 +100,28 @@ def cut_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return hashes, doc, newlines[start] - newlines[offsets[doc]]
 
 
+def cut_shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, document and line number 0 of every stretch of so many words, lines disregarded.
+
+    A text with fewer words is one stretch, and so is one without any.
+    """
+    hashes, doc, _ = cut_words(data, offsets)
+    count = np.bincount(doc, minlength=len(offsets) - 1)
+    many = np.maximum(count - words + 1, 1)
+    owner = np.repeat(np.arange(len(count)), many)
+    at = (np.cumsum(count) - count)[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+    width = np.minimum(count, words)[owner]
+    out = width.astype(np.uint64)
+    for k in range(words):
+        some = np.flatnonzero(width > k)
+        out[some] = _mix(out[some] * np.uint64(_BASE) + hashes[at[some] + k], 0xD6E8FEB86659FD93)
+    return out, owner, np.zeros(len(owner), np.int64)
+
+
+def _cut(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return cut_shingles(data, offsets, words) if words else cut_words(data, offsets)
+
+
 def _parts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Texts of a batch as (first, last, bytes, offsets), a bounded number of bytes at a time."""
     texts = texts.fill_null(b"")
@@ -126,9 +148,9 @@ def _order(line: np.ndarray, level: np.ndarray, hashes: np.ndarray) -> np.ndarra
 class Lines:
     """The word sets of a stretch of texts, rarest words first."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, levels: np.ndarray, wanted=None):
-        """``wanted``: says which of the lines (document, number) to keep."""
-        hashes, doc, number = cut_words(data, offsets)
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, levels: np.ndarray, wanted=None, words: int = 0):
+        """``wanted``: says which of the lines (document, number) to keep; ``words``: whole texts as sets of shingles."""
+        hashes, doc, number = _cut(data, offsets, words)
         if wanted is not None and len(doc):
             first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (number[1:] != number[:-1])]))
             keep = np.repeat(wanted(doc[first], number[first]), np.diff(np.concatenate([first, [len(doc)]])))
@@ -207,14 +229,14 @@ def prefix_length(size: np.ndarray) -> np.ndarray:
     return size + (-top * size) // bottom + 1
 
 
-def word_levels(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+def word_levels(docs: DataFrame, text_col: str = "text", words: int = 0) -> np.ndarray:
     """Level of every bucket of words, counted over all documents; a fixed number of bytes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in batches:
             for _, _, data, offsets in _parts(batch.column(0)):
-                hashes, _, _ = cut_words(data, offsets)
+                hashes, _, _ = _cut(data, offsets, words)
                 counts += np.bincount((hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
         yield _slices(counts)
 
@@ -256,7 +278,7 @@ def frequent_level() -> int:
     return int(np.log2(FREQUENT) * LEVELS)
 
 
-def listed(docs: DataFrame, levels: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def listed(docs: DataFrame, levels: np.ndarray, id_col: str = "doc_id", text_col: str = "text", words: int = 0) -> DataFrame:
     """Lines under their keys: (key, id, place, shape, low, high).
 
     place: text hash and line number; shape: size of the set and position of
@@ -272,7 +294,7 @@ def listed(docs: DataFrame, levels: np.ndarray, id_col: str = "doc_id", text_col
         for batch in batches:
             ids, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for at, _, data, offsets in _parts(batch.column(2)):
-                lines = Lines(data, offsets, shipped.value)
+                lines = Lines(data, offsets, shipped.value, words=words)
                 if not len(lines):
                     continue
                 doc = lines.doc + at
@@ -464,7 +486,7 @@ def _hit(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
     return (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _sets(docs: DataFrame, levels: np.ndarray, lines: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _sets(docs: DataFrame, levels: np.ndarray, lines: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """(id, place, words) of at least the given lines(id, place), rarest words first."""
     shipped = docs.sparkSession.sparkContext.broadcast((levels, _filter(lines)))
 
@@ -474,7 +496,7 @@ def _sets(docs: DataFrame, levels: np.ndarray, lines: DataFrame, id_col: str, te
             ids, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for at, _, data, offsets in _parts(batch.column(2)):
                 picks = lambda doc, number: _hit(picked, _bit(ids[doc + at], parts[doc + at] << 32 | number))  # noqa: B023, E731
-                cut = Lines(data, offsets, level, picks)
+                cut = Lines(data, offsets, level, picks, words)
                 place = parts[cut.doc + at] << 32 | cut.number
                 every = np.arange(len(cut))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[cut.doc + at]), pa.array(place), cut.sets(every)], ["id", "place", "words"])
@@ -482,7 +504,7 @@ def _sets(docs: DataFrame, levels: np.ndarray, lines: DataFrame, id_col: str, te
     return _rows(docs, id_col, text_col).mapInArrow(run, "id long, place long, words array<long>")
 
 
-def _under_keys(docs: DataFrame, levels: np.ndarray, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _under_keys(docs: DataFrame, levels: np.ndarray, keys: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """(key, id, place, words) of all lines under at least the given keys(key)."""
     shipped = docs.sparkSession.sparkContext.broadcast((levels, _filter(keys)))
     frequent = frequent_level()
@@ -492,7 +514,7 @@ def _under_keys(docs: DataFrame, levels: np.ndarray, keys: DataFrame, id_col: st
         for batch in batches:
             ids, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for at, _, data, offsets in _parts(batch.column(2)):
-                cut = Lines(data, offsets, level)
+                cut = Lines(data, offsets, level, words=words)
                 key, line, _ = cut.keys(np.arange(len(cut)), frequent)
                 some = np.flatnonzero(_hit(picked, _bit(key, 0)))
                 line = line[some]
@@ -517,10 +539,14 @@ def _matched(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.where(_matches("w", "ow")).select("id", "place")
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, place) of every line that matches an earlier one."""
-    levels = word_levels(docs, text_col)
-    found = candidate_pairs(listed(docs, levels, id_col, text_col))
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 0) -> DataFrame:
+    """(id, place) of every line that matches an earlier one.
+
+    With ``words`` a whole text is one line, and its shingles of so many words
+    are what the sets hold.
+    """
+    levels = word_levels(docs, text_col, words)
+    found = candidate_pairs(listed(docs, levels, id_col, text_col, words))
     # TRIES candidates from each key at most, so a line's list is as bounded as its keys.
     other = F.struct("differ", "other_id", "other_place")
     found = found.groupBy("id", "place").agg(
@@ -533,7 +559,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = found.where("NOT settled")
     pairs = lines.select("id", "place", F.inline("others"))
     needed = lines.select("id", "place").unionByName(pairs.select(F.col("other_id").alias("id"), F.col("other_place").alias("place")))
-    sets = checkpointed(_sets(docs, levels, needed, id_col, text_col))
+    sets = checkpointed(_sets(docs, levels, needed, id_col, text_col, words))
     settled = found.where("settled").select("id", "place")
     best = lines.select("id", "place", F.inline(F.slice("others", 1, 1)))
     gone = checkpointed(settled.unionByName(_matched(sets, best)).distinct())
@@ -544,15 +570,15 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     gone = gone.unionByName(second)
     open_ = left.where("more").select("id", "place").join(second, ["id", "place"], "left_anti")
     asked = checkpointed(sets.join(open_, ["id", "place"], "left_semi").dropDuplicates(["id", "place"]).select("id", "place", "words"))
-    n, words = asked.agg(F.count(F.lit(1)), F.sum(F.size("words"))).first()
+    n, size = asked.agg(F.count(F.lit(1)), F.sum(F.size("words"))).first()
     if not n:
         return gone
     # … and then with every line that shares a key with it.
-    if n <= SHIPPED_LINES and words <= SHIPPED_LINES * 100:
-        near = _met(docs, levels, asked.toArrow(), id_col, text_col)
+    if n <= SHIPPED_LINES and size <= SHIPPED_LINES * 100:
+        near = _met(docs, levels, asked.toArrow(), id_col, text_col, words)
     else:
         mine = _with_keys(asked, levels)
-        others = _under_keys(docs, levels, mine.select("key").distinct(), id_col, text_col)
+        others = _under_keys(docs, levels, mine.select("key").distinct(), id_col, text_col, words)
         others = others.select("key", F.struct("id", "place").alias("there"), F.col("words").alias("ow"))
         mine = mine.select("key", "id", "place", F.struct("id", "place").alias("here"), F.col("words").alias("w"))
         near = mine.join(others, "key").where("there < here").where(_matches("w", "ow")).select("id", "place")
@@ -573,7 +599,7 @@ def _with_keys(sets: DataFrame, levels: np.ndarray) -> DataFrame:
     return checkpointed(sets.select("id", "place", "words").mapInArrow(run, "key long, id long, place long, words array<long>"))
 
 
-def _met(docs: DataFrame, levels: np.ndarray, asked: pa.Table, id_col: str, text_col: str) -> DataFrame:
+def _met(docs: DataFrame, levels: np.ndarray, asked: pa.Table, id_col: str, text_col: str, words: int) -> DataFrame:
     """(id, place) of the asked lines that match an earlier line, found by a pass over all texts.
 
     asked(id, place, words) is bounded and shipped to every task. There each
@@ -586,8 +612,8 @@ def _met(docs: DataFrame, levels: np.ndarray, asked: pa.Table, id_col: str, text
     top, bottom = MATCH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, (asked_id, asked_place, words) = shipped.value
-        theirs = Lines.of_sets(words, level)
+        level, (asked_id, asked_place, sets) = shipped.value
+        theirs = Lines.of_sets(sets, level)
         key, owner, _ = theirs.keys(np.arange(len(theirs)), frequent)
         order = np.argsort(key, kind="stable")
         key, owner = key[order], owner[order]
@@ -595,7 +621,7 @@ def _met(docs: DataFrame, levels: np.ndarray, asked: pa.Table, id_col: str, text
         for batch in batches:
             ids, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for at, _, data, offsets in _parts(batch.column(2)):
-                cut = Lines(data, offsets, level)
+                cut = Lines(data, offsets, level, words=words)
                 mine, line, _ = cut.keys(np.arange(len(cut)), frequent)
                 low, high = np.searchsorted(key, mine, "left"), np.searchsorted(key, mine, "right")
                 hits = np.flatnonzero(high > low)
@@ -660,3 +686,26 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines = F.filter(F.split(F.col("row")[text_col], "\n"), lambda x, i: ~F.array_contains(F.col("numbers"), i))
     text = F.when(F.col("numbers").isNull(), F.col("row")[text_col]).otherwise(F.array_join(lines, "\n"))
     return joined.select(F.col("row").withField(text_col, text).alias("row")).select("row.*").select(*docs.columns)
+
+
+def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """The documents that match no earlier one, columns as given.
+
+    Documents match if the sets of their shingles of ``words`` words do, by the
+    same exact join as lines. A text with fewer words is one shingle, and texts
+    without words match each other. Of rows that share id and text one stays.
+    """
+    gone = removed_lines(docs, id_col, text_col, words).select(F.col("id").alias("_id"), F.shiftrightunsigned("place", 32).alias("_part"))
+    release(docs.sparkSession)
+    rows = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
+        F.shiftrightunsigned(F.xxhash64(text_col), 32).alias("part"),
+        docs[text_col].alias("text"),
+    )
+    same = (F.col("id") == F.col("_id")) & (F.col("part") == F.col("_part"))
+    kept = rows.join(gone, same, "left_anti")
+    repeated = kept.groupBy(F.col("id").alias("_id"), F.col("part").alias("_part")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = checkpointed(repeated.select("_id", "_part"))
+    once = kept.join(repeated, same, "left_anti").select("row.*")
+    return once.unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["id", "text"]).select("row.*"))

@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from gridmill.llm import line_dedup, simhash, topk
 from gridmill.llm.components import components
 
@@ -189,3 +190,52 @@ def test_line_dedup_of_odd_documents(odd, none):
     assert texts[4] == [None] and texts[5] == [""] and texts[2] == [""]
     assert texts[14] == ["\nan own line here\nanother own line there"]
     assert line_dedup.line_report(none).count() == 0 and line_dedup.dedup_lines(none).count() == 0
+
+
+def shingles(text):
+    w = words(lower(text))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+@pytest.mark.parametrize(("frequent", "tries", "shipped"), [(20_000, 2, 20_000), (8, 1, 20_000), (8, 1, 0)])
+def test_near_copies_equal_all_pairs(spark, monkeypatch, frequent, tries, shipped):
+    monkeypatch.setattr(line_dedup, "FREQUENT", frequent)
+    monkeypatch.setattr(line_dedup, "TRIES", tries)
+    monkeypatch.setattr(line_dedup, "SHIPPED_LINES", shipped)
+    rng = np.random.default_rng(5)
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts = []
+    for k in range(25):
+        own = [f"w{x}" for x in rng.integers(0, 400, int(rng.integers(3, 250)))]
+        texts.append(" ".join(own))
+        for edits in (0, 1, 2, 4, 6):
+            copy = list(own)
+            for _ in range(edits):
+                copy[int(rng.integers(len(copy)))] = f"x{int(rng.integers(1000))}"
+            texts.append("\n".join(" ".join(copy[i : i + 9]) for i in range(0, len(copy), 9)))
+        texts.append(passage + " " + " ".join(own[: 5 + k]))  # most of it is common to all
+    texts += [None, "", " \n ", "a b", "A  b", "a b c", "a b c d e"]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    sets = [shingles(t) for t in texts]
+    near = [{j for j in range(k) if 5 * len(sets[k] & sets[j]) >= 4 * len(sets[k] | sets[j])} for k in range(len(rows))]
+    assert sum(map(bool, near)) > 60
+    got = line_dedup.dedup_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(r["doc_id"] for r in got) == [k for k in range(len(rows)) if not near[k]]
+
+
+def test_near_copies_of_odd_documents(odd, none):
+    got = line_dedup.dedup_documents(odd)
+    assert got.columns == odd.columns
+    want = [d for d in odd_documents() if d[0] in (None, 1, 3, 4, 7, 8, 9, 11, 12, 13, 14, 15)]
+    assert sorted(map(str, got.collect())) == sorted(map(str, (odd.sparkSession.createDataFrame(want, odd.schema)).collect()))
+    assert line_dedup.dedup_documents(none).count() == 0
+    again = odd.where("doc_id = 8 OR doc_id IS NULL")
+    assert line_dedup.dedup_documents(again.unionByName(again)).count() == 3
+
+
+def test_pipeline_drops_near_copies_of_long_texts(spark, sf):
+    w = [f"w{k}" for k in range(200)]
+    edited = [f"x{k}" if k in (20, 90, 160) else x for k, x in enumerate(w)]  # 181 of 211 shingles are shared
+    assert 0.8 <= len(shingles(" ".join(w)) & shingles(" ".join(edited))) / len(shingles(" ".join(w)) | shingles(" ".join(edited))) < 0.9
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(edited)), (3, " ".join(reversed(w)))], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, sf).collect()) == [1, 3]
