@@ -267,7 +267,7 @@ def simhash_components(
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, budget: int = BITS) -> DataFrame:
-    """The documents that stand for their component, columns as given."""
+    """One document for each component, columns as given; of rows that share its id and text one stays."""
     found = simhash_components(docs, id_col, text_col, words, budget)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("text_hash").eqNullSafe(F.col("keeper_hash")))
     kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
@@ -276,4 +276,5 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(id_col).cast("long").alias("id"),
         F.xxhash64(text_col).alias("hash"),
     )
-    return rows.join(kept, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left_semi").select("row.*")
+    stay = rows.join(kept, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left_semi")
+    return stay.dropDuplicates(["id", "hash"]).select("row.*")

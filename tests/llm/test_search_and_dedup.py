@@ -56,6 +56,12 @@ def test_simhash_of_odd_documents(odd, none):
     assert ids.count(1) == 1 and 2 not in ids and 5 not in ids and 4 in ids
 
 
+def test_one_row_of_each_component_stays(spark):
+    rows = [(7, "a b c"), (7, "a b c"), (9, "a b c"), *[(None, "quite another text than that")] * 3]
+    got = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got), key=str) == [(7, "a b c"), (None, "quite another text than that")]
+
+
 @pytest.mark.parametrize(("budget", "group"), [(0, 200_000), (2, 200_000), (2, 3), (5, 4)])
 def test_trie_join_finds_what_all_pairs_find(spark, monkeypatch, budget, group):
     monkeypatch.setattr(simhash, "GROUP_ROWS", group)
