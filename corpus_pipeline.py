@@ -7,19 +7,21 @@ return the columns of documents.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm import quality_classifier
-from gridmill.llm._base import table
+from gridmill.llm import quality_classifier, simhash
+from gridmill.llm._base import shared_folder, table
 from gridmill.llm.bpe import encode_documents
 from gridmill.llm.line_dedup import dedup_documents, dedup_lines
 from gridmill.llm.mixing import mix_documents
 from gridmill.llm.queries import tokenizer_path
 
+#: Differing bits of two fingerprints of five-word shingles that count as near copies.
+NEAR_BITS = 3
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the compression classifier rejects."""
@@ -32,8 +34,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose five-word shingles have Jaccard 0.8 or more with those of an earlier one."""
-    return dedup_documents(docs)
+    """Of each group of near copies the first document stays.
+
+    A document goes if SimHash links it to an earlier one: fingerprints of its
+    five-word shingles within NEAR_BITS, or a chain of such. Most pairs with a
+    Jaccard similarity just above 0.8 lie beyond any budget that a fingerprint
+    of 64 bits can afford, so a document also goes if the sets of its five-word
+    shingles have 0.8 or more with those of an earlier one, by the exact join.
+    """
+    return dedup_documents(docs, words=5, also=simhash.copies(docs, words=5, budget=NEAR_BITS))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,11 +69,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage, for the documents of sf_dir."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridmill-pipeline-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage, for the documents of sf_dir.
+
+    A stage's output is deleted once the next one is written; that of the last
+    stage but one stays, as the result reads it.
+    """
+    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for at, (name, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{at}-{name}")
-        docs = spark.read.parquet(f"{folder}/{at}-{name}")
+        now = f"{folder}/{at}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(now)
+        if before:
+            path = spark._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        docs, before = spark.read.parquet(now), now
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import gc
-import os
+import atexit
+import re
+import shutil
 import tempfile
-import time
+import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,52 +25,61 @@ BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    bounded_batches(spark)
+    """A table of a registered query; in its session, what a Python worker holds at once is BATCH_ROWS rows at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Keep what a Python worker holds at once to BATCH_ROWS rows at most."""
-    _reachable(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+_SHIPPED: set[str] = set()
 
 
-def _reachable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application."""
+    context, package = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if context.applicationId in _SHIPPED or not package.is_dir():  # in an archive already: it was shipped as one
+        return
+    # Executors fetch it from the driver, at any time until the driver ends.
+    folder = tempfile.mkdtemp(prefix="gridmill-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = f"{folder}/{package.name}-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in [package / "__init__.py", *sorted((package / "llm").glob("*.py"))]:
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder.
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow, with this package at hand where it runs."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: what spark.checkpoint.dir names.
 
-    The folder is the one that the cluster names in spark.checkpoint.dir; a
-    temporary one is made only where none is set, as in local tests.
+    A temporary folder stands in where none is named and everything runs in one
+    process, as in tests.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="gridmill-shared-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared checkpoint folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridmill-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Have shuffle files deleted that nothing refers to any more.
-
-    Spark deletes them when the driver's JVM happens to collect its garbage; a
-    step that leaves much behind asks for that. The first collection frees the
-    plans, a later one the shuffles that they held.
-    """
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and hand it to ``body`` as a bound variable."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._base import map_arrow
+
 #: Words in a worker's cache; it starts anew beyond that.
 CACHE_WORDS = 250_000
 #: Leaves in the trees that are merged side by side.
@@ -260,7 +262,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([some.column(0).cast(id_type), ids, decoded], ["doc_id", "ids", "decoded"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return map_arrow(rows, run, "doc_id long, ids array<int>, decoded string")
 
 
 def token_digests(encoded: DataFrame) -> DataFrame:

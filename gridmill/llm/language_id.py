@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._base import map_arrow
 from ._fit import bounded_sample, id_remainder, letters, with_texts
 
 #: Documents that are clustered at most, about.
@@ -100,7 +101,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             ["bucket", "n"],
         )
 
-    df = learn.select(F.col(text_col).alias("text")).mapInArrow(frequencies, "bucket int, n long")
+    df = map_arrow(learn.select(F.col(text_col).alias("text")), frequencies, "bucket int, n long")
     totals = {r["bucket"]: r["s"] for r in df.groupBy("bucket").agg(F.sum("n").alias("s")).collect()}
     if not totals.get(-1):
         return None
@@ -114,7 +115,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             v = [weighted(ngram_counts(t), idf).astype(np.float32).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v, pa.binary())], ["lang", "v"])
 
-    rows = sorted((r["lang"], bytes(r["v"])) for r in sample.mapInArrow(vectors, "lang string, v binary").collect())
+    rows = sorted((r["lang"], bytes(r["v"])) for r in map_arrow(sample, vectors, "lang string, v binary").collect())
     languages = tuple(sorted({lang for lang, _ in rows}))
     if not languages:
         return None
@@ -153,7 +154,7 @@ def predict(docs: DataFrame, model: CentroidModel | None, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "lang_pred", "score", "rejected"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    out = map_arrow(rows, run, "doc_id long, lang_pred string, score double, rejected boolean")
     return out.select(
         "doc_id", (id_remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score", "rejected"
     )

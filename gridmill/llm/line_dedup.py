@@ -1,18 +1,23 @@
 """Line dedup by an exact set-similarity join.
 
 A line is the set of its lower-cased words. Two lines match if the Jaccard
-similarity of their sets is SIMILARITY or more, and a line is removed if it
-matches an earlier one: one with a smaller (id, text hash, line number).
+similarity of their sets is MATCH or more, and a line is removed if it matches
+an earlier one: one with a smaller (id, text hash, line number).
 
 1. Words are counted over all documents by hash bucket. A word's level is the
    logarithm of its bucket's count; rarer words come first in a line.
-2. A line is listed under each word of its prefix, the rarest words of which a
-   matching line must share one. Under a frequent word it is listed by that word
-   and each next one instead, as matching lines share two. Equal lines of a
-   task are settled there and then, and listed once.
-3. Lines of one list become candidates if they pass the length, positional and
-   parity filters. The last compares the parities of hashed words: they can't
-   differ in more bits than the sets differ in words.
+2. A line is listed under each rare word of its prefix, the rarest words of which
+   a matching line must share one. Where frequent words reach into the prefix, the
+   line is also listed under tuples of neighbours among its frequent words, a
+   prefix of which matching lines share as well (``Lines.keys``). So a line has
+   at most about 0.4 times as many keys as words, however frequent they are.
+3. Lines of a task with equal sets are settled there and then. Listed lines travel
+   as packed arrays, one for each task and bucket of keys, and lists are joined
+   where they meet: equal sets are settled, other lines become candidates if
+   they pass the length, positional and parity filters. The last compares the
+   parities of hashed words, which can't differ in more bits than the sets do in
+   words. A list of more than Bounds.hot unlike lines is cut into chunks, and every
+   pair of chunks is joined by a task of its own.
 4. The candidate that differs least in parity is verified on the whole sets,
    then, where it isn't a match, the others. Lines that matched none of theirs,
    though a list held more, are compared with every line under their keys.
@@ -20,44 +25,61 @@ matches an earlier one: one with a smaller (id, text hash, line number).
 Defined results: lines without words are kept and match nothing; a null text
 has no lines. Rows that share id and text count as one document and stay alike;
 rows with equal ids and unlike texts are told apart by the text's hash. An empty
-table gives no rows. Extra columns are ignored, or kept by ``dedup_lines``.
+table gives no rows. A text is held whole by the task that reads it, whatever
+its length; what is made of it grows in proportion. Extra columns are ignored,
+or kept by ``dedup_lines``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import checkpointed, release
+from ._base import checkpointed, map_arrow
 
 #: Lines match from here on: MATCH[0] / MATCH[1].
 MATCH = (4, 5)
 #: Buckets of the word counts, and levels of a doubling.
 BUCKET_BITS, LEVELS = 20, 8
-#: A word with more occurrences is listed with each next word.
-FREQUENT = 20_000
-#: Candidates of a line that are taken from each list, and more than a line can have of them.
-TRIES, MOST_OTHERS = 2, 1 << 30
+#: A word with more occurrences counts as frequent; neighbours in a tuple of frequent words.
+FREQUENT, TUPLE = 20_000, 2
+#: Smallest set that can match an unequal one.
+SMALLEST = 4
 #: Sets up to this size have one word of parities, larger ones two.
 ONE_WORD = 64
-#: Bytes of text cut up at once, listed lines joined at once, lines of a list compared at once.
-BYTES_AT_ONCE, ROWS_AT_ONCE, SIDE = 1 << 20, 200_000, 256
-#: Lists that are joined offset by offset; longer ones are joined in blocks.
-SHORT_LIST = 24
-#: Lines whose sets a task remembers to settle equal ones.
-REMEMBERED = 400_000
+#: Bytes of text cut up at once.
+BYTES_AT_ONCE = 1 << 20
+#: Buckets of keys in a shuffle partition.
+BUCKETS = 8
 #: Slices in which word counts are added up.
 SLICES = 64
-#: Lines left open that are shipped to every task at most; more are joined by shuffle.
-SHIPPED_LINES = 20_000
 #: Bits of the filters that pick lines and keys.
 PICK_BITS = 25
-#: Stands for a null id; such rows come first.
-NO_ID = -(1 << 63)
+#: Stands for a null id; such rows come last.
+NO_ID = (1 << 63) - 1
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """What a task takes up at once. The result is the same whatever these are."""
+
+    #: Listed lines that are packed or held at once.
+    rows: int = 400_000
+    #: Lines of a list that one task joins; of longer lists, every pair of chunks has a task.
+    hot: int = 20_000
+    #: Lists that are joined offset by offset; longer ones are joined in blocks of ``side`` lines.
+    short: int = 24
+    side: int = 64
+    #: Candidates of a line that are taken from each list; if they fail, the line is compared with all of the list.
+    tries: int = 2
+
+
+BOUNDS = Bounds()
 
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -194,22 +216,38 @@ class Lines:
         high = np.bitwise_xor.reduceat(np.where(second, bit, np.uint64(0)), self.start)
         return low, np.where(self.size > ONE_WORD, high, np.uint64(0))
 
-    def keys(self, chosen: np.ndarray, frequent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(key, place in ``chosen``, position in the set) of the lists of the chosen lines."""
-        size = self.size[chosen]
+    def keys(self, chosen: np.ndarray, frequent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(key, place in ``chosen``, position in the set, whether it is the line's first key) of the lists of the chosen lines.
+
+        Matching lines share a word of their prefixes. If that is a rare one,
+        they meet under it. Otherwise both prefixes reach frequent words, and
+        all their rare words, which come first, differ. Of the frequent words
+        they share ``least_overlap`` at least, and each differing word parts
+        at most one pair of neighbours, so they share neighbours too, and a
+        prefix of these in their common order. A shared pair needn't be the
+        first shared word, so it has position 0: nothing is known about what
+        lies before it. Sets below SMALLEST match equal ones alone and have
+        one key.
+        """
+        size, start = self.size[chosen], self.start[chosen]
+        if not len(chosen):
+            none = np.zeros(0, np.int64)
+            return none, none, none, none.astype(bool)
         prefix = prefix_length(size)
-        row = np.repeat(np.arange(len(chosen)), prefix)
-        pos = np.arange(len(row)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
-        word = self.start[chosen][row] + pos
-        often = (self.level[word] > frequent) & (size[row] > 1)
-        # A frequent word's next words, one place beyond the prefix included.
-        more = np.flatnonzero(often)
-        reach = prefix[row[more]] - pos[more]
-        again = np.repeat(more, reach)
-        step = np.arange(len(again)) - np.repeat(np.cumsum(reach) - reach, reach) + 1
-        pairs = _mix(self.hashes[word[again]] * np.uint64(5) + self.hashes[word[again] + step], 0xA0761D6478BD642F)
-        keys = np.concatenate([self.hashes[word[~often]], pairs]) >> np.uint64(16)  # 48 bits are plenty for lists
-        return keys.view(np.int64), np.concatenate([row[~often], row[again]]), np.concatenate([pos[~often], pos[again]])
+        rare = np.add.reduceat((self.level <= frequent).astype(np.int64), self.start)[chosen]
+        large = size >= SMALLEST
+        single = np.where(large, np.minimum(rare, prefix), 0)
+        pairs = np.where(large & (rare < prefix), size - rare - least_neighbours(size, rare), 0)
+        row, pos = _ramp(single)
+        row2, step = _ramp(pairs)
+        at = start[row2] + rare[row2] + step
+        both = _mix(self.hashes[at] * np.uint64(5) + self.hashes[np.minimum(at + 1, len(self.hashes) - 1)], 0xA0761D6478BD642F)
+        small = np.flatnonzero(~large)
+        own = _mix(self.signatures()[chosen][small], 0x8CB92BA72F3D8DD7)
+        keys = np.concatenate([self.hashes[start[row] + pos], both, own]) >> np.uint64(16)  # 48 bits are plenty for lists
+        first = np.concatenate([pos == 0, (step == 0) & (single[row2] == 0), np.ones(len(small), bool)])
+        none = np.zeros(len(step) + len(small), np.int64)
+        return keys.view(np.int64), np.concatenate([row, row2, small]), np.concatenate([pos, none]), first
 
     def sets(self, chosen: np.ndarray) -> pa.ListArray:
         """The word hashes of the chosen lines, rarest words first."""
@@ -218,6 +256,12 @@ class Lines:
         return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(self.hashes[at].view(np.int64)))
 
 
+def _ramp(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For counts of items: whose each item is, and its number from 0."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 def least_overlap(a, b):
     """Words that sets of sizes a and b must share: a match share / (1 + share) of both."""
     top, bottom = MATCH
@@ -229,6 +273,23 @@ def prefix_length(size: np.ndarray) -> np.ndarray:
     return size + (-top * size) // bottom + 1
 
 
+def least_neighbours(size: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """Pairs of neighbours that the frequent words of matching lines share, if no rare word is shared.
+
+    For a line of ``size`` words of which ``rare`` are rare, with a line of
+    any size that it can match. The least repeats over sums of sizes with the
+    period of the match, so one period from the least sum on is enough.
+    """
+    top, bottom = MATCH
+    lowest, highest = size - (-top * size) // bottom, size + size * bottom // top
+    least = size
+    for step in range(top + bottom):
+        both = np.minimum(lowest + step, highest)
+        share = least_overlap(both, 0)
+        least = np.minimum(least, share - 1 - np.maximum(both - 2 * share - rare, 0))
+    return least
+
+
 def word_levels(docs: DataFrame, text_col: str = "text", words: int = 0) -> np.ndarray:
     """Level of every bucket of words, counted over all documents; a fixed number of bytes."""
 
@@ -248,8 +309,8 @@ def word_levels(docs: DataFrame, text_col: str = "text", words: int = 0) -> np.n
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["slice", "counts"])
 
     schema = "slice int, counts binary"
-    counted = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(count, schema)
-    found = counted.repartition("slice").mapInArrow(add, schema).toArrow()
+    counted = map_arrow(docs.select(F.col(text_col).cast("binary").alias("text")), count, schema)
+    found = map_arrow(counted.repartition("slice"), add, schema).toArrow()
     levels = np.zeros(1 << BUCKET_BITS, np.int64)
     width = len(levels) // SLICES
     for k, counts in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
@@ -278,68 +339,41 @@ def frequent_level() -> int:
     return int(np.log2(FREQUENT) * LEVELS)
 
 
-def listed(docs: DataFrame, levels: np.ndarray, id_col: str = "doc_id", text_col: str = "text", words: int = 0) -> DataFrame:
-    """Lines under their keys: (key, id, place, shape, low, high).
+class Listed:
+    """Lines under their keys, as rows of columns.
 
-    place: text hash and line number; shape: size of the set and position of
-    the key in it; low, high: parities. A line that is settled already has
-    shape -1 and a key of its own.
+    Columns: key, id, place (text hash and line number), signature, two words
+    of parities, and shape: size of the set, position of the key in it, and
+    whether the key is the line's first. Shape -1 is a line settled already.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(levels)
-    frequent = frequent_level()
-    names = ["key", "id", "place", "shape", "low", "high"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, tuple[int, int]] = {}
-        for batch in batches:
-            ids, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for at, _, data, offsets in _parts(batch.column(2)):
-                lines = Lines(data, offsets, shipped.value, words=words)
-                if not len(lines):
-                    continue
-                doc = lines.doc + at
-                id_, place = ids[doc], parts[doc] << 32 | lines.number
-                settled: list[tuple[int, int]] = []
-                go = np.ones(len(lines), bool)
-                for i, (name, mine) in enumerate(zip(lines.signatures().tolist(), zip(id_.tolist(), place.tolist(), strict=True), strict=True)):
-                    first = seen.setdefault(name, mine)
-                    if first is not mine and first != mine:
-                        settled.append(max(first, mine))
-                        if mine < first:
-                            seen[name] = mine
-                        else:
-                            go[i] = False
-                if len(seen) > REMEMBERED:
-                    seen.clear()
-                yield from listing(lines, np.flatnonzero(go), id_, place)
-                if settled:
-                    a = np.array(settled, np.int64)
-                    own = _mix(a[:, 1].astype(np.uint64) * np.uint64(3) + a[:, 0].astype(np.uint64), _BASE).view(np.int64)
-                    none = pa.array(np.zeros(len(a), np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(a[:, 0]), pa.array(a[:, 1]), pa.array(np.full(len(a), -1)), none, none], names)
-
-    def listing(lines: Lines, go: np.ndarray, id_: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-        low, high = (x.view(np.int64) for x in lines.parities())
-        keys, row, pos = lines.keys(go, frequent)
-        for a in range(0, len(keys), 50_000):
-            line = go[row[a : a + 50_000]]
-            shape = lines.size[line] << 32 | pos[a : a + 50_000]
-            columns = (keys[a : a + 50_000], id_[line], place[line], shape, low[line], high[line])
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
-
-    return _rows(docs, id_col, text_col).mapInArrow(run, "key long, id long, place long, shape long, low long, high long")
-
-
-class ListJoin:
-    """Candidates among lines of the same list."""
-
-    def __init__(self, batch: pa.RecordBatch):
-        key, id_, place, shape, low, high = (batch.column(k).to_numpy() for k in range(6))
-        order = np.lexsort((place, id_, key))
-        self.key, self.id, self.place, shape = key[order], id_[order], place[order], shape[order]
-        self.low, self.high = low[order].view(np.uint64), high[order].view(np.uint64)
-        self.size, self.pos = shape >> 32, shape & 0xFFFFFFFF
-        self.settled = shape < 0
+    WIDTH = 7
+
+    def __init__(self, rows: np.ndarray, bounds: Bounds):
+        self.rows, self.bounds = rows, bounds
+        self.key, self.id, self.place, self.sig, low, high, self.shape = rows
+        self.low, self.high = low.view(np.uint64), high.view(np.uint64)
+        self.size, self.pos = self.shape >> 32, (self.shape & 0xFFFFFFFF) >> 1
+
+    def __len__(self) -> int:
+        return self.rows.shape[1]
+
+    def collapsed(self) -> tuple[Listed, np.ndarray]:
+        """The earliest line of each set under each key, in order of key and line; (id, place) of what that settles."""
+        done = self.shape < 0
+        order = np.lexsort((self.place, self.id, self.low, self.sig, self.key))
+        order = order[~done[order]]
+        named = self.rows[[0, 3, 4]][:, order]
+        size = self.size[order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = np.any(named[:, 1:] != named[:, :-1], axis=0) | (size[1:] != size[:-1])
+        first = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
+        other = (self.id[order] != self.id[first]) | (self.place[order] != self.place[first])
+        again = order[other & (self.shape[order] & 1 == 1)]
+        settled = self.rows[1:3][:, np.concatenate([np.flatnonzero(done), again])]
+        kept = order[fresh]
+        kept = kept[np.lexsort((self.place[kept], self.id[kept], self.key[kept]))]
+        return Listed(self.rows[:, kept], self.bounds), settled
 
     def compare(self, later: np.ndarray, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in the arrays of those that may match, and in how many parities these differ."""
@@ -355,106 +389,251 @@ class ListJoin:
         need = least_overlap(x, y)
         able = np.minimum(x - self.pos[later], y - self.pos[earlier])
         fits = np.minimum(x, y) * MATCH[1] >= np.maximum(x, y) * MATCH[0]
-        ok = fits & (able >= need) & (differ <= x + y - 2 * need)
+        # The same line again: a key that it has twice by a rare collision, or a repeated row.
+        other = (self.id[later] != self.id[earlier]) | (self.place[later] != self.place[earlier])
+        ok = fits & (able >= need) & (differ <= x + y - 2 * need) & other
         return some[ok], differ[ok]
 
-    def candidates(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(later, earlier, differ, more): some candidates of each later row in its list.
-
-        In a short list all of them; in a long one a line leaves once it has
-        enough, and ``more`` says that it left early.
-        """
-        n = len(self.key)
-        edge = np.flatnonzero(np.concatenate([[True], self.key[1:] != self.key[:-1]]))
-        length = np.diff(np.concatenate([edge, [n]]))
+    def dense(self, later: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(later, earlier, differ) of those of the later rows that may match one of start to end."""
+        far = np.bitwise_count(self.low[later, None] ^ self.low[None, start:end])
+        # The larger of two sets is 5 / 4 of the smaller at most, so they differ in a quarter of its size at most.
+        row, col = np.nonzero(far <= (self.size[later] // MATCH[0])[:, None])
+        a, b = later[row], start + col
+        before = (self.id[b] < self.id[a]) | ((self.id[b] == self.id[a]) & (self.place[b] < self.place[a]))
+        a, b = a[before], b[before]
+        ok, differ = self.compare(a, b)
+        return a[ok], b[ok], differ
+
+    def lists(self) -> tuple[np.ndarray, np.ndarray]:
+        edge = np.flatnonzero(np.concatenate([[True], self.key[1:] != self.key[:-1]])) if len(self) else np.zeros(0, np.int64)
+        return edge, np.diff(np.concatenate([edge, [len(self)]]))
+
+    def candidates(self) -> pa.RecordBatch:
+        """The best candidates of each line in each list. The rows are collapsed."""
+        edge, length = self.lists()
         group_end = np.repeat(edge + length, length)
-        short = np.repeat(length <= SHORT_LIST, length)
-        found: list[tuple[np.ndarray, ...]] = []
-        live = np.flatnonzero(short & ~self.settled)
-        for step in range(1, SHORT_LIST):
+        found = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)]
+        short, side = self.bounds.short, self.bounds.side
+        live = np.flatnonzero(np.repeat(length <= short, length))
+        for step in range(1, short):
             live = live[live + step < group_end[live]]
             if not len(live):
                 break
             ok, differ = self.compare(live + step, live)
             found.append((live[ok] + step, live[ok], differ, np.zeros(len(ok), bool)))
-        for start, size in zip(edge[length > SHORT_LIST], length[length > SHORT_LIST], strict=True):
-            found += self._long(int(start), int(start + size))
-        if not found:
-            return tuple(np.zeros(0, kind) for kind in (np.int64, np.int64, np.int64, bool))
-        later, earlier, differ, more = (np.concatenate(x) for x in zip(*found, strict=True))
-        # The same line again: a repeated row, or a key that it has twice by a rare collision.
-        other = (self.id[later] != self.id[earlier]) | (self.place[later] != self.place[earlier])
-        return later[other], earlier[other], differ[other], more[other]
-
-    def _long(self, start: int, end: int) -> list[tuple[np.ndarray, ...]]:
-        """A long list, block by block."""
-        found = []
-        for at in range(start, end, SIDE):
-            rows = np.arange(at, min(at + SIDE, end))
-            count = np.zeros(len(rows), np.int64)
-            lo, span = start, 64
-            while lo < end and len(rows):
-                hi = min(end, lo + span)
-                a, b = np.repeat(rows, hi - lo), np.tile(np.arange(lo, hi), len(rows))
-                before = b < a
-                a, b = a[before], b[before]
-                ok, differ = self.compare(a, b)
-                later, earlier = a[ok], b[ok]
-                count += np.bincount(np.searchsorted(rows, later), minlength=len(rows))
-                left = (count >= TRIES) & (rows > hi)
-                found.append((later, earlier, differ, left[np.searchsorted(rows, later)]))
-                open_ = (rows > hi) & ~left
-                rows, count = rows[open_], count[open_]
-                lo, span = hi, min(4096, span * 4)
+        long = np.flatnonzero(length > short)
+        for start, size in zip(edge[long].tolist(), length[long].tolist(), strict=True):
+            for at in range(start, start + size, side):
+                found += self.block(np.arange(at, min(at + side, start + size)), start, min(at + side, start + size))
+        return self.best(found)
+
+    def block(self, rows: np.ndarray, start: int, end: int) -> list[tuple[np.ndarray, ...]]:
+        """Candidates of the rows from start to end; a line leaves once it has enough, ``more`` says that it did so early."""
+        found, lo, span = [], start, 64
+        count = np.zeros(len(rows), np.int64)
+        while lo < end and len(rows):
+            hi = min(end, lo + span)
+            later, earlier, differ = self.dense(rows, lo, hi)
+            count += np.bincount(np.searchsorted(rows, later), minlength=len(rows))
+            left = (count >= self.bounds.tries) & (hi < end)
+            found.append((later, earlier, differ, left[np.searchsorted(rows, later)]))
+            rows, count = rows[~left], count[~left]
+            lo, span = hi, min(4096, span * 4)
         return found
 
-
-def candidate_pairs(rows: DataFrame) -> DataFrame:
-    """(id, place, other_id, other_place, differ, more) of later lines and earlier candidates.
-
-    The TRIES candidates of a line under each key that differ least; ``more``
-    says that there may be others. Lines settled already have no other.
-    """
-    names = ["id", "place", "other_id", "other_place", "differ", "more"]
-
-    def join(held: pa.RecordBatch) -> pa.RecordBatch:
-        lists = ListJoin(held)
-        later, earlier, differ, more = lists.candidates()
+    def best(self, found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        """The best candidates of each row; ``more`` says that it has or may have others."""
+        later, earlier, differ, more = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((earlier, differ, later))
         later, earlier, differ, more = later[order], earlier[order], differ[order], more[order]
         if len(later):
             first = np.flatnonzero(np.concatenate([[True], later[1:] != later[:-1]]))
             count = np.diff(np.concatenate([first, [len(later)]]))
-            more = np.repeat(np.maximum.reduceat(more, first) | (count > TRIES), count)
-            kept = np.arange(len(later)) - np.repeat(first, count) < TRIES
+            more = np.repeat(np.maximum.reduceat(more, first) | (count > self.bounds.tries), count)
+            kept = np.arange(len(later)) - np.repeat(first, count) < self.bounds.tries
             later, earlier, differ, more = later[kept], earlier[kept], differ[kept], more[kept]
-        done = np.flatnonzero(lists.settled)
-        m, none = len(done), np.arange(len(later) + len(done)) >= len(later)
-        mine = [np.concatenate([x[later], x[done]]) for x in (lists.id, lists.place)]
-        others = [pa.array(np.concatenate([x[earlier], np.zeros(m, np.int64)]), mask=none) for x in (lists.id, lists.place)]
-        rest = [np.concatenate([differ, np.zeros(m, np.int64)]).astype(np.int32), np.concatenate([more, np.zeros(m, bool)])]
-        return pa.RecordBatch.from_arrays([*map(pa.array, mine), *others, *map(pa.array, rest)], names)
+        return _found(id=self.id[later], place=self.place[later], other_id=self.id[earlier], other_place=self.place[earlier], differ=differ, more=more)
+
+
+FOUND = pa.schema(
+    [("id", pa.int64()), ("place", pa.int64()), ("other_id", pa.int64()), ("other_place", pa.int64())]
+    + [("differ", pa.int32()), ("more", pa.bool_()), ("chunk", pa.int32()), ("rows", pa.binary())]
+)
+FOUND_DDL = "id long, place long, other_id long, other_place long, differ int, more boolean, chunk int, rows binary"
+
+
+def _found(**columns) -> pa.RecordBatch:
+    """Rows of FOUND; columns that aren't given are null."""
+    n = len(columns["id"])
+    arrays = [pa.array(columns[f.name]).cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in FOUND]
+    return pa.RecordBatch.from_arrays(arrays, schema=FOUND)
+
+
+class Packer:
+    """Gathers the listed lines of a task and packs them by bucket."""
+
+    def __init__(self, buckets: int, frequent: int):
+        self.buckets, self.frequent = buckets, frequent
+        self.lines: list[np.ndarray] = []
+        self.keys: list[np.ndarray] = []
+        self.count = self.size = 0
+
+    def add(self, lines: Lines, id_: np.ndarray, place: np.ndarray) -> None:
+        low, high = lines.parities()
+        key, row, pos, first = lines.keys(np.arange(len(lines)), self.frequent)
+        self.lines.append(np.stack([id_, place, lines.signatures().view(np.int64), low.view(np.int64), high.view(np.int64), lines.size]))
+        self.keys.append(np.stack([key, row + self.count, pos << 1 | first]))
+        self.count += len(lines)
+        self.size += len(key)
+
+    def packed(self) -> pa.RecordBatch:
+        """(bucket, rows), and from then on nothing is held."""
+        lines, keys = np.concatenate(self.lines, 1), np.concatenate(self.keys, 1)
+        self.lines, self.keys, self.count, self.size = [], [], 0, 0
+        # Equal sets are settled here: all but the earliest leave.
+        order = np.lexsort((lines[1], lines[0], lines[5], lines[3], lines[2]))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = np.any(lines[2:6, order[1:]] != lines[2:6, order[:-1]], axis=0)
+        first = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
+        gone = np.any(lines[:2, order] != lines[:2, first], axis=0)
+        out = np.zeros(len(order), bool)
+        out[order[~fresh]] = True
+        settled = order[gone]
+        keys = keys[:, ~out[keys[1]]]
+        rows = np.zeros((Listed.WIDTH, keys.shape[1] + len(settled)), np.int64)
+        n = keys.shape[1]
+        rows[0, :n], rows[1:6, :n] = keys[0], lines[:5, keys[1]]
+        rows[6, :n] = lines[5, keys[1]] << 32 | keys[2]
+        rows[1:3, n:], rows[6, n:] = lines[:2, settled], -1
+        rows[0, n:] = (_mix(lines[1, settled].view(np.uint64) * np.uint64(3) + lines[0, settled].view(np.uint64), _BASE) >> np.uint64(16)).view(np.int64)
+        bucket = rows[0] % self.buckets
+        order = np.argsort(bucket, kind="stable")
+        bucket, rows = bucket[order], rows[:, order]
+        edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist() if n + len(settled) else []
+        packs = [rows[:, a:b].tobytes() for a, b in zip(edge, [*edge[1:], len(bucket)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[edge].astype(np.int32)), pa.array(packs, pa.binary())], ["bucket", "rows"])
+
+
+def _unpacked(rows: bytes) -> np.ndarray:
+    return np.frombuffer(rows, np.int64).reshape(Listed.WIDTH, -1)
+
+
+def listed(docs: DataFrame, levels: np.ndarray, buckets: int, id_col: str, text_col: str, words: int, bounds: Bounds) -> DataFrame:
+    """(bucket, rows): packed lines under their keys."""
+    shipped = docs.sparkSession.sparkContext.broadcast(levels)
+    frequent = frequent_level()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
+        packer = Packer(buckets, frequent)
         for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size < ROWS_AT_ONCE:
+            ids, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for at, _, data, offsets in _parts(batch.column(2)):
+                lines = Lines(data, offsets, shipped.value, words=words)
+                if len(lines):
+                    doc = lines.doc + at
+                    packer.add(lines, ids[doc], parts[doc] << 32 | lines.number)
+                if packer.size >= bounds.rows:
+                    yield packer.packed()
+        if packer.size:
+            yield packer.packed()
+
+    return map_arrow(_rows(docs, id_col, text_col), run, "bucket int, rows binary")
+
+
+class Bucket:
+    """The lists of one bucket, as they come in. Hot lists are handed on in chunks, whatever their length."""
+
+    def __init__(self, bounds: Bounds):
+        self.bounds = bounds
+        self.held: list[np.ndarray] = []
+        self.size, self.limit = 0, bounds.rows
+        self.chunks: dict[int, int] = {}
+
+    def add(self, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append(rows)
+        self.size += rows.shape[1]
+        if self.size > self.limit:
+            lists = yield from self._cooled()
+            self.held, self.size = [lists.rows], len(lists)
+            self.limit = max(self.bounds.rows, 2 * self.size)
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            lists = yield from self._cooled()
+            yield lists.candidates()
+
+    def _cooled(self):
+        """Collapse what is held, and hand on lists that are hot."""
+        lists, settled = Listed(np.concatenate(self.held, 1), self.bounds).collapsed()
+        if settled.shape[1]:
+            yield _found(id=settled[0], place=settled[1])
+        edge, length = lists.lists()
+        cool = np.ones(len(lists), bool)
+        for start, size in zip(edge.tolist(), length.tolist(), strict=True):
+            key = int(lists.key[start])
+            if size <= self.bounds.hot and key not in self.chunks:
                 continue
-            whole = pa.concat_batches(held)
-            keys = whole.column(0).to_numpy()
-            # The last list may go on in the next batch.
-            cut = int(np.searchsorted(keys, keys[-1], "left"))
-            if cut:
-                yield join(whole.slice(0, cut))
-            held, size = [whole.slice(cut)], whole.num_rows - cut
-        if size:
-            yield join(pa.concat_batches(held))
+            cool[start : start + size] = False
+            for at in range(start, start + size, self.bounds.hot):
+                number = self.chunks[key] = self.chunks.get(key, 0) + 1
+                rows = lists.rows[:, at : min(at + self.bounds.hot, start + size)].tobytes()
+                yield _found(id=[key], chunk=[number], rows=[rows])
+        return Listed(lists.rows[:, cool], self.bounds) if not cool.all() else lists
+
 
-    placed = rows.repartition("key").sortWithinPartitions("key")
-    return placed.mapInArrow(run, "id long, place long, other_id long, other_place long, differ int, more boolean")
+def found_in_lists(rows: DataFrame, partitions: int, bounds: Bounds) -> DataFrame:
+    """FOUND rows of the lists(bucket, rows).
+
+    A candidate: a later line, an earlier one, the parities in which they
+    differ, and whether there may be others. A settled line: no other. A chunk
+    of a hot list: its key as id, its number and its rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, bucket = None, Bucket(bounds)
+        for batch in batches:
+            for number, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if number != at:
+                    yield from bucket.end()
+                    at, bucket = number, Bucket(bounds)
+                yield from bucket.add(_unpacked(packed.as_buffer()))
+        yield from bucket.end()
+
+    placed = rows.repartitionById(partitions, F.pmod("bucket", F.lit(partitions))).sortWithinPartitions("bucket")
+    return map_arrow(placed, run, FOUND_DDL)
+
+
+def found_in_chunks(chunks: DataFrame, bounds: Bounds) -> DataFrame:
+    """FOUND rows of the chunks(id, chunk, rows) of hot lists: each pair of chunks of a list meets in a task."""
+    many = chunks.groupBy(F.col("id").alias("key")).agg(F.max("chunk").alias("n"))
+    rows = chunks.join(many, F.col("id") == F.col("key"))
+    # A pair of chunks joins each of them with itself as well.
+    lower = F.when(F.col("n") == 1, F.array(F.lit(1))).otherwise(F.filter(F.sequence(F.lit(1), "n"), lambda k: k != F.col("chunk")))
+    rows = rows.select("key", "chunk", "rows", F.explode(lower).alias("with"))
+    rows = rows.select("key", F.least("chunk", "with").alias("one"), F.greatest("chunk", "with").alias("other"), "rows")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                name = (row["key"], row["one"], row["other"])
+                if name != at:
+                    yield from join(held)
+                    at, held = name, []
+                held.append(_unpacked(row["rows"]))
+        yield from join(held)
+
+    def join(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        lists, settled = Listed(np.concatenate(held, 1), bounds).collapsed()
+        if settled.shape[1]:
+            yield _found(id=settled[0], place=settled[1])
+        yield lists.candidates()
+
+    placed = rows.repartition("key", "one", "other").sortWithinPartitions("key", "one", "other")
+    return map_arrow(placed, run, FOUND_DDL)
 
 
 def _bit(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
@@ -466,17 +645,18 @@ def _filter(rows: DataFrame) -> np.ndarray:
     """A bitmap of fixed size with a bit of each of the rows, of one or two longs."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << PICK_BITS, bool)
+        bitmap = np.zeros(1 << (PICK_BITS - 3), np.uint8)
         for batch in batches:
             second = batch.column(1).to_numpy() if batch.num_columns > 1 else 0
-            bits[_bit(batch.column(0).to_numpy(), second)] = True
-        words = np.packbits(bits, bitorder="little").view(np.int64)
+            bit = _bit(batch.column(0).to_numpy(), second)
+            np.bitwise_or.at(bitmap, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
+        words = bitmap.view(np.int64)
         some = np.flatnonzero(words)
         for at in range(0, len(some), 100_000):
             part = some[at : at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(words[part])], ["word", "bits"])
 
-    found = rows.mapInArrow(mark, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = map_arrow(rows, mark, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros(1 << (PICK_BITS - 6), np.int64)
     words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return words.view(np.uint8)
@@ -501,7 +681,7 @@ def _sets(docs: DataFrame, levels: np.ndarray, lines: DataFrame, id_col: str, te
                 every = np.arange(len(cut))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[cut.doc + at]), pa.array(place), cut.sets(every)], ["id", "place", "words"])
 
-    return _rows(docs, id_col, text_col).mapInArrow(run, "id long, place long, words array<long>")
+    return map_arrow(_rows(docs, id_col, text_col), run, "id long, place long, words array<long>")
 
 
 def _under_keys(docs: DataFrame, levels: np.ndarray, keys: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -515,19 +695,36 @@ def _under_keys(docs: DataFrame, levels: np.ndarray, keys: DataFrame, id_col: st
             ids, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for at, _, data, offsets in _parts(batch.column(2)):
                 cut = Lines(data, offsets, level, words=words)
-                key, line, _ = cut.keys(np.arange(len(cut)), frequent)
+                key, line, _, _ = cut.keys(np.arange(len(cut)), frequent)
                 some = np.flatnonzero(_hit(picked, _bit(key, 0)))
                 line = line[some]
                 doc = cut.doc[line] + at
                 columns = [pa.array(key[some]), pa.array(ids[doc]), pa.array(parts[doc] << 32 | cut.number[line]), cut.sets(line)]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "id", "place", "words"])
 
-    return _rows(docs, id_col, text_col).mapInArrow(run, "key long, id long, place long, words array<long>")
+    return map_arrow(_rows(docs, id_col, text_col), run, "key long, id long, place long, words array<long>")
 
 
-def _matches(words: str, others: str):
+def _verified(rows: DataFrame) -> DataFrame:
+    """(id, place) of the rows(id, place, w, ow) whose two sets match."""
     top, bottom = MATCH
-    return F.size(F.array_intersect(words, others)) * (top + bottom) >= top * (F.size(words) + F.size(others))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = []
+            for column in (batch.column(2), batch.column(3)):
+                size = np.diff(column.offsets.to_numpy()).astype(np.int64)
+                sides.append((size, np.repeat(np.arange(len(size)), size), column.flatten().to_numpy()))
+            (x, row, hashes), (y, row2, hashes2) = sides
+            row, hashes = np.concatenate([row, row2]), np.concatenate([hashes, hashes2])
+            order = np.lexsort((hashes, row))
+            row, hashes = row[order], hashes[order]
+            same = (row[1:] == row[:-1]) & (hashes[1:] == hashes[:-1])
+            shared = np.bincount(row[1:][same], minlength=len(x))
+            match = np.flatnonzero(shared * (top + bottom) >= top * (x + y))
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(k).to_numpy()[match]) for k in (0, 1)], ["id", "place"])
+
+    return map_arrow(rows.select("id", "place", "w", "ow"), run, "id long, place long")
 
 
 def _matched(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -536,55 +733,60 @@ def _matched(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     theirs = sets.select(F.col("id").alias("oi"), F.col("place").alias("op"), F.col("words").alias("ow"))
     half = pairs.join(theirs, (F.col("other_id") == F.col("oi")) & (F.col("other_place") == F.col("op")))
     both = half.select("id", "place", "ow").join(mine, (F.col("id") == F.col("i")) & (F.col("place") == F.col("p")))
-    return both.where(_matches("w", "ow")).select("id", "place")
+    return _verified(both)
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 0) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 0, bounds: Bounds | None = None) -> DataFrame:
     """(id, place) of every line that matches an earlier one.
 
     With ``words`` a whole text is one line, and its shingles of so many words
     are what the sets hold.
     """
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = bounds or BOUNDS
     levels = word_levels(docs, text_col, words)
-    found = candidate_pairs(listed(docs, levels, id_col, text_col, words))
-    # TRIES candidates from each key at most, so a line's list is as bounded as its keys.
+    found = checkpointed(found_in_lists(listed(docs, levels, partitions * BUCKETS, id_col, text_col, words, bounds), partitions, bounds))
+    chunks = found.where("rows IS NOT NULL").select("id", "chunk", "rows")
+    found = found.where("rows IS NULL").drop("rows", "chunk")
+    if chunks.count():
+        found = found.unionByName(checkpointed(found_in_chunks(chunks, bounds)).drop("rows", "chunk"))
     other = F.struct("differ", "other_id", "other_place")
-    found = found.groupBy("id", "place").agg(
-        F.max(F.col("other_id").isNull()).alias("settled"), F.array_sort(F.collect_set(other)).alias("others"), F.max("more").alias("more")
-    )
-    found = checkpointed(
-        found.select("id", "place", "settled", "others", "more")
+    lines = checkpointed(
+        found.groupBy("id", "place").agg(
+            F.max(F.col("other_id").isNull()).alias("settled"), F.min(other).alias("best"), F.max(other).alias("worst"), F.max("more").alias("more")
+        )
     )
-    release(docs.sparkSession)  # the lists, by far the most that is shuffled
-    lines = found.where("NOT settled")
-    pairs = lines.select("id", "place", F.inline("others"))
-    needed = lines.select("id", "place").unionByName(pairs.select(F.col("other_id").alias("id"), F.col("other_place").alias("place")))
-    sets = checkpointed(_sets(docs, levels, needed, id_col, text_col, words))
-    settled = found.where("settled").select("id", "place")
-    best = lines.select("id", "place", F.inline(F.slice("others", 1, 1)))
-    gone = checkpointed(settled.unionByName(_matched(sets, best)).distinct())
+    gone = lines.where("settled").select("id", "place")
+    lines = lines.where("NOT settled")
+    best = lines.select("id", "place", "best.other_id", "best.other_place")
+    gone = checkpointed(gone.unionByName(_matched(_picked(docs, levels, best, id_col, text_col, words), best)))
     # What the best candidate leaves open is compared with the line's other candidates …
-    left = checkpointed(lines.where(F.col("more") | (F.size("others") > 1)).join(gone, ["id", "place"], "left_anti"))
-    rest = left.select("id", "place", F.inline(F.slice("others", 2, MOST_OTHERS)))
-    second = checkpointed(_matched(sets, rest).distinct())
+    left = checkpointed(lines.where("more OR best <> worst").join(gone, ["id", "place"], "left_anti"))
+    if not left.count():
+        return gone
+    rest = found.join(left, ["id", "place"]).where("differ <> best.differ OR other_id <> best.other_id OR other_place <> best.other_place")
+    rest = checkpointed(rest.select("id", "place", "other_id", "other_place").distinct())
+    second = checkpointed(_matched(_picked(docs, levels, rest, id_col, text_col, words), rest).distinct())
     gone = gone.unionByName(second)
-    open_ = left.where("more").select("id", "place").join(second, ["id", "place"], "left_anti")
-    asked = checkpointed(sets.join(open_, ["id", "place"], "left_semi").dropDuplicates(["id", "place"]).select("id", "place", "words"))
-    n, size = asked.agg(F.count(F.lit(1)), F.sum(F.size("words"))).first()
-    if not n:
+    open_ = checkpointed(left.where("more").select("id", "place").join(second, ["id", "place"], "left_anti"))
+    if not open_.count():
         return gone
     # … and then with every line that shares a key with it.
-    if n <= SHIPPED_LINES and size <= SHIPPED_LINES * 100:
-        near = _met(docs, levels, asked.toArrow(), id_col, text_col, words)
-    else:
-        mine = _with_keys(asked, levels)
-        others = _under_keys(docs, levels, mine.select("key").distinct(), id_col, text_col, words)
-        others = others.select("key", F.struct("id", "place").alias("there"), F.col("words").alias("ow"))
-        mine = mine.select("key", "id", "place", F.struct("id", "place").alias("here"), F.col("words").alias("w"))
-        near = mine.join(others, "key").where("there < here").where(_matches("w", "ow")).select("id", "place")
+    asked = _sets(docs, levels, open_, id_col, text_col, words).join(open_, ["id", "place"], "left_semi").dropDuplicates(["id", "place"])
+    mine = _with_keys(checkpointed(asked.select("id", "place", "words")), levels)
+    others = _under_keys(docs, levels, mine.select("key").distinct(), id_col, text_col, words)
+    others = others.select("key", F.struct("id", "place").alias("there"), F.col("words").alias("ow"))
+    mine = mine.select("key", "id", "place", F.struct("id", "place").alias("here"), F.col("words").alias("w"))
+    near = _verified(mine.join(others, "key").where("there < here"))
     return checkpointed(gone.unionByName(near.distinct()))
 
 
+def _picked(docs: DataFrame, levels: np.ndarray, pairs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, place, words) of both lines of the pairs, and of few others."""
+    both = pairs.select("id", "place").unionByName(pairs.select(F.col("other_id").alias("id"), F.col("other_place").alias("place")))
+    return checkpointed(_sets(docs, levels, both, id_col, text_col, words))
+
+
 def _with_keys(sets: DataFrame, levels: np.ndarray) -> DataFrame:
     """(key, id, place, words) of sets(id, place, words)."""
     shipped = sets.sparkSession.sparkContext.broadcast(levels)
@@ -593,54 +795,10 @@ def _with_keys(sets: DataFrame, levels: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cut = Lines.of_sets(batch.column(2), shipped.value)
-            key, line, _ = cut.keys(np.arange(len(cut)), frequent)
+            key, line, _, _ = cut.keys(np.arange(len(cut)), frequent)
             yield pa.RecordBatch.from_arrays([pa.array(key), *[batch.column(k).take(pa.array(line)) for k in range(3)]], ["key", "id", "place", "words"])
 
-    return checkpointed(sets.select("id", "place", "words").mapInArrow(run, "key long, id long, place long, words array<long>"))
-
-
-def _met(docs: DataFrame, levels: np.ndarray, asked: pa.Table, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, place) of the asked lines that match an earlier line, found by a pass over all texts.
-
-    asked(id, place, words) is bounded and shipped to every task. There each
-    line is looked up under its keys and compared with the asked ones it finds.
-    """
-    held = asked.combine_chunks()
-    columns = (held.column(0).to_numpy(), held.column(1).to_numpy(), held.column(2).combine_chunks())
-    shipped = docs.sparkSession.sparkContext.broadcast((levels, columns))
-    frequent = frequent_level()
-    top, bottom = MATCH
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, (asked_id, asked_place, sets) = shipped.value
-        theirs = Lines.of_sets(sets, level)
-        key, owner, _ = theirs.keys(np.arange(len(theirs)), frequent)
-        order = np.argsort(key, kind="stable")
-        key, owner = key[order], owner[order]
-        done = np.zeros(len(theirs), bool)
-        for batch in batches:
-            ids, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for at, _, data, offsets in _parts(batch.column(2)):
-                cut = Lines(data, offsets, level, words=words)
-                mine, line, _ = cut.keys(np.arange(len(cut)), frequent)
-                low, high = np.searchsorted(key, mine, "left"), np.searchsorted(key, mine, "right")
-                hits = np.flatnonzero(high > low)
-                many = high[hits] - low[hits]
-                found = owner[np.repeat(low[hits], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-                pairs = np.unique(np.stack([np.repeat(line[hits], many), found], 1), axis=0)
-                a, b = cut.size[pairs[:, 0]], theirs.size[pairs[:, 1]]
-                pairs = pairs[(np.minimum(a, b) * bottom >= np.maximum(a, b) * top) & ~done[pairs[:, 1]]]
-                for i, j in pairs.tolist():
-                    here = (int(ids[cut.doc[i] + at]), int(parts[cut.doc[i] + at] << 32 | cut.number[i]))
-                    if done[j] or here >= (int(asked_id[j]), int(asked_place[j])):
-                        continue
-                    x = cut.hashes[cut.start[i] : cut.start[i] + cut.size[i]]
-                    y = theirs.hashes[theirs.start[j] : theirs.start[j] + theirs.size[j]]
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    done[j] = shared * (top + bottom) >= top * (len(x) + len(y))
-        yield pa.RecordBatch.from_arrays([pa.array(asked_id[done]), pa.array(asked_place[done])], ["id", "place"])
-
-    return _rows(docs, id_col, text_col).mapInArrow(run, "id long, place long")
+    return checkpointed(map_arrow(sets.select("id", "place", "words"), run, "key long, id long, place long, words array<long>"))
 
 
 def _by_document(gone: DataFrame) -> DataFrame:
@@ -650,32 +808,34 @@ def _by_document(gone: DataFrame) -> DataFrame:
     )
 
 
+#: From the first letter of a word to the end of its line.
+_LINE = r"[^\x20\x09-\x0D][^\n]*"
+
+
 def _line_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
         F.shiftrightunsigned(F.xxhash64(text_col), 32).alias("part"),
         F.col(id_col).cast("long").alias("doc_id"),
-        F.size(F.filter(lines, lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))).cast("long").alias("n_lines"),
+        F.coalesce(F.regexp_count(text_col, F.lit(_LINE)), F.lit(0)).cast("long").alias("n_lines"),
     )
     return rows
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bounds: Bounds | None = None) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed) of every document; line numbers from 0."""
-    by = _by_document(removed_lines(docs, id_col, text_col))
+    by = _by_document(removed_lines(docs, id_col, text_col, bounds=bounds))
     joined = _line_counts(docs, id_col, text_col).join(by, ["id", "part"], "left")
     numbers = F.coalesce("numbers", F.array().cast("array<int>"))
     return joined.select("doc_id", "n_lines", F.size(numbers).cast("long").alias("n_removed"), numbers.alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bounds: Bounds | None = None) -> DataFrame:
     """The documents without the removed lines, other columns as given.
 
     A document that loses all its lines stays, with what blank lines it had.
     """
-    gone = removed_lines(docs, id_col, text_col)
-    release(docs.sparkSession)
+    gone = removed_lines(docs, id_col, text_col, bounds=bounds)
     by = _by_document(gone).withColumnsRenamed({"id": "_id", "part": "_part"})
     rows = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("row"),
@@ -688,15 +848,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return joined.select(F.col("row").withField(text_col, text).alias("row")).select("row.*").select(*docs.columns)
 
 
-def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+def dedup_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, also: DataFrame | None = None, bounds: Bounds | None = None
+) -> DataFrame:
     """The documents that match no earlier one, columns as given.
 
     Documents match if the sets of their shingles of ``words`` words do, by the
     same exact join as lines. A text with fewer words is one shingle, and texts
     without words match each other. Of rows that share id and text one stays.
+    ``also``: (id, text_hash) of further rows that go, as ``simhash.copies``
+    gives them.
     """
-    gone = removed_lines(docs, id_col, text_col, words).select(F.col("id").alias("_id"), F.shiftrightunsigned("place", 32).alias("_part"))
-    release(docs.sparkSession)
+    gone = removed_lines(docs, id_col, text_col, words, bounds).select(F.col("id").alias("_id"), F.shiftrightunsigned("place", 32).alias("_part"))
+    if also is not None:
+        named = also.select(F.coalesce("id", F.lit(NO_ID)).alias("_id"), F.shiftrightunsigned("text_hash", 32).alias("_part"))
+        gone = gone.unionByName(named)
     rows = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("row"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),

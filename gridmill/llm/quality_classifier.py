@@ -24,6 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._base import map_arrow
 from ._fit import apply_logistic, bounded_sample, fit_logistic, id_remainder, with_texts
 
 #: Labelled documents that a fit uses at most, about.
@@ -102,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             chunks = [_spread(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chunks, pa.list_(pa.binary()))], ["label", "chunks"])
 
-    rows = known.where("for_dictionary").mapInArrow(cut, "label int, chunks array<binary>").collect()
+    rows = map_arrow(known.where("for_dictionary"), cut, "label int, chunks array<binary>").collect()
     rows.sort(key=lambda r: (r["label"], [bytes(c) for c in r["chunks"]]))  # the fit mustn't hang on the order of tasks
     kinds = [[bytes(c) for r in rows if r["label"] == kind for c in r["chunks"]] for kind in (0, 1)]
     prior = float(np.mean([r["label"] for r in rows])) if rows else 0.5
@@ -117,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             x = [meter.difference(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.float64())], ["label", "x"])
 
-    seen = sorted((r["x"], r["label"]) for r in known.where("NOT for_dictionary").mapInArrow(measure, "label int, x double").collect())
+    seen = sorted((r["x"], r["label"]) for r in map_arrow(known.where("NOT for_dictionary"), measure, "label int, x double").collect())
     x, y = np.array([s[0] for s in seen]), np.array([s[1] for s in seen])
     if len(set(y.tolist())) < 2:
         return model
@@ -136,7 +137,7 @@ def _scored(rows: DataFrame, model: CompressionModel, schema: str) -> DataFrame:
             scores = pa.array(meter.score(batch.column(0).to_pylist()), pa.float64())
             yield pa.RecordBatch.from_arrays([scores, *batch.columns[1:]], ["score", *batch.schema.names[1:]])
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def score_documents(docs: DataFrame, model: CompressionModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,4 +164,4 @@ def keep_good(docs: DataFrame, model: CompressionModel, text_col: str = "text")
             yield batch.filter(pa.array(meter.score(texts) >= 0.5))
 
     packed = docs.select(row.alias("row"))
-    return packed.mapInArrow(run, packed.schema).select("row.*")
+    return map_arrow(packed, run, packed.schema).select("row.*")

@@ -14,10 +14,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._base import checkpointed
+from ._base import checkpointed, ship
 
 #: Rows of a shard that one task numbers, about.
 BUCKET_ROWS = 20_000
@@ -45,6 +45,7 @@ def jump_hash(keys: np.ndarray, n_shards: int) -> np.ndarray:
 
 def shard_of(key: Column, n_shards: int) -> Column:
     """Shard of a key column of any type."""
+    ship(SparkSession.active())
 
     @F.pandas_udf("int")
     def shard(hashes: pd.Series) -> pd.Series:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._base import checkpointed
+from ._base import checkpointed, map_arrow
 from .components import components
 
 #: Fingerprints of one block value that a single task joins; more are split.
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text")
     )
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return map_arrow(rows, run, "doc_id long, text_hash long, fp long")
 
 
 class Forest:
@@ -239,7 +239,7 @@ def links(fps: DataFrame, budget: int = BITS) -> DataFrame:
             yield _join_groups(np.concatenate(held), budget, blocks)
 
     placed = rows.select(*group, "key").repartition(*group).sortWithinPartitions(*group)
-    return placed.mapInArrow(run, "a long, b long")
+    return map_arrow(placed, run, "a long, b long")
 
 
 def simhash_components(
@@ -266,6 +266,13 @@ def simhash_components(
     )
 
 
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, budget: int = BITS) -> DataFrame:
+    """(id, text_hash) of the rows other than the one that stands for their component."""
+    found = simhash_components(docs, id_col, text_col, words, budget)
+    keeps = F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("text_hash").eqNullSafe(F.col("keeper_hash"))
+    return found.where(~keeps).select(F.col("doc_id").alias("id"), "text_hash")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, budget: int = BITS) -> DataFrame:
     """One document for each component, columns as given; of rows that share its id and text one stays."""
     found = simhash_components(docs, id_col, text_col, words, budget)

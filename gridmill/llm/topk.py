@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._base import ship
+
 #: Rows of an index block; queries of a query block, at least and at most; tasks wanted.
 BLOCK_ROWS, BLOCK_QUERIES, MOST_QUERIES, TASKS = 65_536, 256, 4096, 64
 #: Largest magnitude of a quantised component.
@@ -188,6 +190,7 @@ def top_k(
         ]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"], dtype="int64")
 
+    ship(vectors.sparkSession)
     found = indexed.unionByName(asked).groupBy("block", "group").applyInPandas(search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import checkpointed
+from ._base import checkpointed, map_arrow
 from ._fit import apply_logistic, bounded_sample, fit_logistic, letters, with_texts
 
 #: Labelled documents that a fit uses at most, about.
@@ -124,11 +124,11 @@ def _marks(known: DataFrame) -> list[bytes]:
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(1):
         return []
-    toxic = known.where("toxic = 1").mapInArrow(count, "feature binary, toxic long, clean long")
+    toxic = map_arrow(known.where("toxic = 1"), count, "feature binary, toxic long, clean long")
     often = toxic.groupBy("feature").agg(F.sum("toxic").alias("toxic")).where(F.col("toxic") >= MIN_DOCUMENTS)
     common = {bytes(r["feature"]): r["toxic"] for r in often.orderBy(F.desc("toxic"), "feature").limit(40_000).collect()}
     wanted = common.keys()
-    against = known.where("toxic = 0").mapInArrow(clean, "feature binary, clean long")
+    against = map_arrow(known.where("toxic = 0"), clean, "feature binary, clean long")
     seen = {bytes(r["feature"]): r["n"] for r in against.groupBy("feature").agg(F.sum("clean").alias("n")).collect()}
     n1, n0 = sizes[1], max(1, sizes.get(0, 0))
 
@@ -167,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 [batch.column(0), batch.column(2), pa.array(hits, pa.list_(pa.int32()))], ["toxic", "fold", "hits"]
             )
 
-    rows = known.mapInArrow(find, "toxic int, fold int, hits array<int>").collect()
+    rows = map_arrow(known, find, "toxic int, fold int, hits array<int>").collect()
     rows = sorted((r["toxic"], r["fold"], sorted(r["hits"])) for r in rows)
     toxic = np.array([r[0] for r in rows], float)
     many = np.array([len(r[2]) >= DENSE for r in rows], bool)
@@ -188,6 +188,6 @@ def score_documents(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(p[:, k]) for k in range(p.shape[1])]], ["doc_id", *names])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scored = rows.mapInArrow(run, ", ".join(["doc_id long", *[f"{n} double" for n in names]]))
+    scored = map_arrow(rows, run, ", ".join(["doc_id long", *[f"{n} double" for n in names]]))
     last = F.col(names[-1])
     return scored.select("doc_id", (last >= 0.5).cast("int").alias("toxic"), last.alias("score"), *names[:-1])

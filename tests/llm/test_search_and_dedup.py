@@ -3,6 +3,7 @@
 import collections
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -137,7 +138,7 @@ def plain_lines(rows):
         t = xxhash.xxh64_intdigest((text or "").encode(), 42) if text is not None else 42
         for k, line in enumerate((text or "").split("\n")):
             if words(line):
-                lines.append(((-(2**63) if i is None else i, t >> 32, k), frozenset(words(lower(line)))))
+                lines.append(((2**63 - 1 if i is None else i, t >> 32, k), frozenset(words(lower(line)))))
     gone = collections.defaultdict(set)
     for place, w in lines:
         for other, v in lines:
@@ -162,32 +163,78 @@ def hot_rows():
     return rows
 
 
-@pytest.mark.parametrize(("frequent", "tries", "shipped"), [(20_000, 2, 20_000), (20, 0, 20_000), (20, 0, 1)])
-def test_line_dedup_equals_all_pairs(spark, monkeypatch, frequent, tries, shipped):
-    """Without tries, every line is left to the last step, shipped or joined."""
+SMALL = line_dedup.Bounds(rows=40, hot=12, short=5, side=3, tries=1)
+
+
+@pytest.mark.parametrize(
+    ("frequent", "bounds", "left"), [(20_000, None, False), (20, None, False), (20, SMALL, False), (200, SMALL, True), (1, None, True)]
+)
+def test_line_dedup_equals_all_pairs(spark, monkeypatch, frequent, bounds, left):
+    """With ``left``, no candidate is taken for a match, so that every line is left to the last step."""
     monkeypatch.setattr(line_dedup, "FREQUENT", frequent)
-    monkeypatch.setattr(line_dedup, "SHIPPED_LINES", shipped)
-    if not tries:
+    if left:
         matched = line_dedup._matched
         monkeypatch.setattr(line_dedup, "_matched", lambda sets, pairs: matched(sets, pairs.limit(0)))
-        found = line_dedup.candidate_pairs
-        monkeypatch.setattr(line_dedup, "candidate_pairs", lambda rows: found(rows).withColumn("more", F.lit(True)))
+        for name in ("found_in_lists", "found_in_chunks"):
+            found = getattr(line_dedup, name)
+            monkeypatch.setattr(line_dedup, name, lambda *given, found=found: found(*given).withColumn("more", F.lit(True)))
     rows = hot_rows()
     want = plain_lines(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = {r["doc_id"]: set(r["removed"]) for r in line_dedup.line_report(df).collect()}
+    got = {r["doc_id"]: set(r["removed"]) for r in line_dedup.line_report(df, bounds=bounds).collect()}
     assert len(got) == len(rows)
     for (i, _), numbers in want.items():
         assert got[i] == numbers
     assert sum(map(len, got.values())) == sum(map(len, want.values())) > 300
 
 
+def test_matching_sets_share_a_key():
+    """Any two sets that match are listed under a common key, whatever their words' levels; keys stay few."""
+    rng = np.random.default_rng(3)
+    levels = rng.integers(0, 250, 1 << line_dedup.BUCKET_BITS).astype(np.uint8)
+
+    def lists(sets, frequent):
+        held = line_dedup.Lines.of_sets(pa.array([sorted(s, key=lambda h: (levels[h % 2**64 >> 44], h % 2**64)) for s in sets], pa.list_(pa.int64())), levels)
+        key, row, _, first = held.keys(np.arange(len(sets)), frequent)
+        assert np.array_equal(np.sort(row[first]), np.arange(len(sets)))
+        assert np.all(np.bincount(row, minlength=len(sets)) <= np.maximum(1, [0.4 * len(s) + 3 for s in sets]))
+        return [set(key[row == k].tolist()) for k in range(len(sets))]
+
+    for frequent in (-1, 100, 200, 230, 255):
+        for n in [*range(4, 30), 64, 100, 333]:
+            for _ in range(30):
+                a = set(rng.integers(-(2**63), 2**63 - 1, n).tolist())
+                cut = int(rng.integers(0, n // 5 + 1))
+                b = set(rng.permutation(list(a))[cut:].tolist())
+                while len(a & b) / len(a | b) >= 0.8:
+                    last, b = b, b | {int(rng.integers(-(2**63), 2**63 - 1))}
+                    if rng.random() < 0.2:
+                        break
+                b = last if len(a & b) / len(a | b) < 0.8 else b
+                x, y = lists([a, b], frequent)
+                assert a == b or x & y
+
+
+def test_long_lines_of_frequent_words_and_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "FREQUENT", 50)
+    rng = np.random.default_rng(12)
+    common = [f"c{k}" for k in range(6000)]
+    long_ = " ".join(common)
+    rows = [(k, " ".join(common[: 6000 - 300 * k])) for k in range(6)] + [(6, long_ + " end")]
+    rows += [(100 + k, "rare " + " ".join(f"u{x}" for x in rng.integers(0, 10**9, 6))) for k in range(400)]  # unlike lines of one key
+    rows += [(1000 + k, rows[7 + 3 * k][1] + " u0") for k in range(60)]
+    want = plain_lines(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], n) for r in line_dedup.line_report(df, bounds=line_dedup.Bounds(rows=100, hot=30, short=4, side=7)).collect() for n in r["removed"]}
+    assert got == {(i, n) for (i, _), numbers in want.items() for n in numbers} and len(got) > 60
+
+
 def test_line_dedup_of_odd_documents(odd, none):
     rows = [(d[0], d[1]) for d in odd_documents()]
     want = plain_lines(rows)
     report = line_dedup.line_report(odd).collect()
     assert len(report) == len(rows)
-    assert sum(r["n_removed"] for r in report) == sum(len(want.get((-(2**63) if i is None else i, (xxhash.xxh64_intdigest(t.encode(), 42) >> 32) if t is not None else 0), ())) for i, t in rows)
+    assert sum(r["n_removed"] for r in report) == sum(len(want.get((2**63 - 1 if i is None else i, (xxhash.xxh64_intdigest(t.encode(), 42) >> 32) if t is not None else 0), ())) for i, t in rows)
     out = line_dedup.dedup_lines(odd)
     assert out.columns == odd.columns
     texts = collections.defaultdict(list)
@@ -203,11 +250,9 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
 
 
-@pytest.mark.parametrize(("frequent", "tries", "shipped"), [(20_000, 2, 20_000), (8, 1, 20_000), (8, 1, 0)])
-def test_near_copies_equal_all_pairs(spark, monkeypatch, frequent, tries, shipped):
+@pytest.mark.parametrize(("frequent", "bounds"), [(20_000, None), (8, SMALL)])
+def test_near_copies_equal_all_pairs(spark, monkeypatch, frequent, bounds):
     monkeypatch.setattr(line_dedup, "FREQUENT", frequent)
-    monkeypatch.setattr(line_dedup, "TRIES", tries)
-    monkeypatch.setattr(line_dedup, "SHIPPED_LINES", shipped)
     rng = np.random.default_rng(5)
     passage = " ".join(f"p{k}" for k in range(60))
     texts = []
@@ -225,7 +270,7 @@ def test_near_copies_equal_all_pairs(spark, monkeypatch, frequent, tries, shippe
     sets = [shingles(t) for t in texts]
     near = [{j for j in range(k) if 5 * len(sets[k] & sets[j]) >= 4 * len(sets[k] | sets[j])} for k in range(len(rows))]
     assert sum(map(bool, near)) > 60
-    got = line_dedup.dedup_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    got = line_dedup.dedup_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), bounds=bounds).collect()
     assert sorted(r["doc_id"] for r in got) == [k for k in range(len(rows)) if not near[k]]
 
 
