@@ -18,9 +18,9 @@ an earlier one: one with a smaller (id, text hash, line number).
    parities of hashed words, which can't differ in more bits than the sets do in
    words. A list of more than Bounds.hot unlike lines is cut into chunks, and every
    pair of chunks is joined by a task of its own.
-4. The candidate that differs least in parity is verified on the whole sets,
-   then, where it isn't a match, the others. Lines that matched none of theirs,
-   though a list held more, are compared with every line under their keys.
+4. A line's best candidates in each list, those that differ least in parity, are
+   verified on the whole sets. Lines that match none of them, though a list held
+   more, are compared with every line under their keys.
 
 Defined results: lines without words are kept and match nothing; a null text
 has no lines. Rows that share id and text count as one document and stay alike;
@@ -37,7 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._base import checkpointed, map_arrow
@@ -73,10 +73,10 @@ class Bounds:
     #: Lines of a list that one task joins; of longer lists, every pair of chunks has a task.
     hot: int = 20_000
     #: Lists that are joined offset by offset; longer ones are joined in blocks of ``side`` lines.
-    short: int = 24
+    short: int = 64
     side: int = 64
     #: Candidates of a line that are taken from each list; if they fail, the line is compared with all of the list.
-    tries: int = 2
+    tries: int = 4
 
 
 BOUNDS = Bounds()
@@ -359,21 +359,25 @@ class Listed:
         return self.rows.shape[1]
 
     def collapsed(self) -> tuple[Listed, np.ndarray]:
-        """The earliest line of each set under each key, in order of key and line; (id, place) of what that settles."""
+        """The earliest line of each set under each key, in order of key and size; (id, place) of what that settles."""
         done = self.shape < 0
-        order = np.lexsort((self.place, self.id, self.low, self.sig, self.key))
+        order = np.argsort(self.key)
+        group = np.cumsum(np.concatenate([[0], self.key[order[1:]] != self.key[order[:-1]]])) if len(order) else order
+        if len(order) and group[-1] < 1 << 20:
+            name = (self.sig[order].view(np.uint64) >> np.uint64(36)).view(np.int64)
+            order = order[np.argsort(group << 44 | np.clip(self.size[order], 0, 0xFFFF) << 28 | name)]
+        else:
+            order = np.lexsort((self.sig, self.size, self.key))
         order = order[~done[order]]
         named = self.rows[[0, 3, 4]][:, order]
         size = self.size[order]
         fresh = np.ones(len(order), bool)
         fresh[1:] = np.any(named[:, 1:] != named[:, :-1], axis=0) | (size[1:] != size[:-1])
-        first = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
+        first = _earliest(order, fresh, self.id, self.place)
         other = (self.id[order] != self.id[first]) | (self.place[order] != self.place[first])
         again = order[other & (self.shape[order] & 1 == 1)]
         settled = self.rows[1:3][:, np.concatenate([np.flatnonzero(done), again])]
-        kept = order[fresh]
-        kept = kept[np.lexsort((self.place[kept], self.id[kept], self.key[kept]))]
-        return Listed(self.rows[:, kept], self.bounds), settled
+        return Listed(self.rows[:, first[fresh]], self.bounds), settled
 
     def compare(self, later: np.ndarray, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in the arrays of those that may match, and in how many parities these differ."""
@@ -394,17 +398,6 @@ class Listed:
         ok = fits & (able >= need) & (differ <= x + y - 2 * need) & other
         return some[ok], differ[ok]
 
-    def dense(self, later: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(later, earlier, differ) of those of the later rows that may match one of start to end."""
-        far = np.bitwise_count(self.low[later, None] ^ self.low[None, start:end])
-        # The larger of two sets is 5 / 4 of the smaller at most, so they differ in a quarter of its size at most.
-        row, col = np.nonzero(far <= (self.size[later] // MATCH[0])[:, None])
-        a, b = later[row], start + col
-        before = (self.id[b] < self.id[a]) | ((self.id[b] == self.id[a]) & (self.place[b] < self.place[a]))
-        a, b = a[before], b[before]
-        ok, differ = self.compare(a, b)
-        return a[ok], b[ok], differ
-
     def lists(self) -> tuple[np.ndarray, np.ndarray]:
         edge = np.flatnonzero(np.concatenate([[True], self.key[1:] != self.key[:-1]])) if len(self) else np.zeros(0, np.int64)
         return edge, np.diff(np.concatenate([edge, [len(self)]]))
@@ -412,34 +405,50 @@ class Listed:
     def candidates(self) -> pa.RecordBatch:
         """The best candidates of each line in each list. The rows are collapsed."""
         edge, length = self.lists()
-        group_end = np.repeat(edge + length, length)
         found = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)]
-        short, side = self.bounds.short, self.bounds.side
-        live = np.flatnonzero(np.repeat(length <= short, length))
-        for step in range(1, short):
+        group_end = np.repeat(edge + length, length)
+        live = np.flatnonzero(np.repeat(length <= self.bounds.short, length))
+        for step in range(1, self.bounds.short):
             live = live[live + step < group_end[live]]
+            # By size: once the second line is too large, so are those after it.
+            live = live[self.size[live + step] * MATCH[0] <= self.size[live] * MATCH[1]]
             if not len(live):
                 break
-            ok, differ = self.compare(live + step, live)
-            found.append((live[ok] + step, live[ok], differ, np.zeros(len(ok), bool)))
-        long = np.flatnonzero(length > short)
+            ok, differ = self.compare(live, live + step)
+            a, b = live[ok], live[ok] + step
+            swap = (self.id[a] > self.id[b]) | ((self.id[a] == self.id[b]) & (self.place[a] > self.place[b]))
+            found.append((np.where(swap, a, b), np.where(swap, b, a), differ, np.zeros(len(ok), bool)))
+        long = np.flatnonzero(length > self.bounds.short)
         for start, size in zip(edge[long].tolist(), length[long].tolist(), strict=True):
-            for at in range(start, start + size, side):
-                found += self.block(np.arange(at, min(at + side, start + size)), start, min(at + side, start + size))
+            found += self.long(start + np.lexsort((self.place[start : start + size], self.id[start : start + size])))
         return self.best(found)
 
-    def block(self, rows: np.ndarray, start: int, end: int) -> list[tuple[np.ndarray, ...]]:
-        """Candidates of the rows from start to end; a line leaves once it has enough, ``more`` says that it did so early."""
-        found, lo, span = [], start, 64
-        count = np.zeros(len(rows), np.int64)
-        while lo < end and len(rows):
-            hi = min(end, lo + span)
-            later, earlier, differ = self.dense(rows, lo, hi)
-            count += np.bincount(np.searchsorted(rows, later), minlength=len(rows))
-            left = (count >= self.bounds.tries) & (hi < end)
-            found.append((later, earlier, differ, left[np.searchsorted(rows, later)]))
-            rows, count = rows[~left], count[~left]
-            lo, span = hi, min(4096, span * 4)
+    def long(self, line: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        """Candidates in a long list, given in order: a block of lines is compared with ever later stretches.
+
+        A line leaves once it has enough candidates, and ``more`` says that
+        it did so early. So a list of near copies takes linear time.
+        """
+        found, side = [], self.bounds.side
+        low, most = self.low[line], self.size[line] // MATCH[0]
+        for at in range(0, len(line), side):
+            rows = np.arange(at, min(at + side, len(line)))
+            count = np.zeros(len(rows), np.int64)
+            lo, end, span = 0, int(rows[-1]), 64
+            while lo < end and len(rows):
+                hi = min(end, lo + span)
+                # The larger of two sets is 5 / 4 of the smaller at most, so they differ in a quarter of its size at most.
+                far = np.bitwise_count(low[rows, None] ^ low[None, lo:hi])
+                row, col = np.nonzero(far <= most[rows][:, None])
+                before = lo + col < rows[row]
+                row, b = row[before], lo + col[before]
+                ok, differ = self.compare(line[rows[row]], line[b])
+                row, b = row[ok], b[ok]
+                count += np.bincount(row, minlength=len(rows))
+                left = (count >= self.bounds.tries) & (hi < rows)
+                found.append((line[rows[row]], line[b], differ, left[row]))
+                rows, count = rows[~left], count[~left]
+                lo, span = hi, min(4096, span * 4)
         return found
 
     def best(self, found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
@@ -452,15 +461,26 @@ class Listed:
             count = np.diff(np.concatenate([first, [len(later)]]))
             more = np.repeat(np.maximum.reduceat(more, first) | (count > self.bounds.tries), count)
             kept = np.arange(len(later)) - np.repeat(first, count) < self.bounds.tries
-            later, earlier, differ, more = later[kept], earlier[kept], differ[kept], more[kept]
-        return _found(id=self.id[later], place=self.place[later], other_id=self.id[earlier], other_place=self.place[earlier], differ=differ, more=more)
+            later, earlier, more = later[kept], earlier[kept], more[kept]
+        return _found(id=self.id[later], place=self.place[later], other_id=self.id[earlier], other_place=self.place[earlier], more=more)
+
+
+def _earliest(order: np.ndarray, fresh: np.ndarray, id_: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """For rows in an order where a group begins at each fresh one: the earliest row of each one's group."""
+    group = np.cumsum(fresh) - 1
+    many = np.flatnonzero((np.bincount(group) > 1)[group]) if len(order) else order
+    first = order[fresh]
+    rows = many[np.lexsort((place[order[many]], id_[order[many]], group[many]))]
+    begins = rows[np.concatenate([[True], group[rows[1:]] != group[rows[:-1]]])] if len(rows) else rows
+    first[group[begins]] = order[begins]
+    return first[group]
 
 
 FOUND = pa.schema(
     [("id", pa.int64()), ("place", pa.int64()), ("other_id", pa.int64()), ("other_place", pa.int64())]
-    + [("differ", pa.int32()), ("more", pa.bool_()), ("chunk", pa.int32()), ("rows", pa.binary())]
+    + [("more", pa.bool_()), ("chunk", pa.int32()), ("rows", pa.binary())]
 )
-FOUND_DDL = "id long, place long, other_id long, other_place long, differ int, more boolean, chunk int, rows binary"
+FOUND_DDL = "id long, place long, other_id long, other_place long, more boolean, chunk int, rows binary"
 
 
 def _found(**columns) -> pa.RecordBatch:
@@ -492,13 +512,13 @@ class Packer:
         lines, keys = np.concatenate(self.lines, 1), np.concatenate(self.keys, 1)
         self.lines, self.keys, self.count, self.size = [], [], 0, 0
         # Equal sets are settled here: all but the earliest leave.
-        order = np.lexsort((lines[1], lines[0], lines[5], lines[3], lines[2]))
+        order = np.argsort(lines[2])
         fresh = np.ones(len(order), bool)
         fresh[1:] = np.any(lines[2:6, order[1:]] != lines[2:6, order[:-1]], axis=0)
-        first = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
+        first = _earliest(order, fresh, lines[0], lines[1])
         gone = np.any(lines[:2, order] != lines[:2, first], axis=0)
-        out = np.zeros(len(order), bool)
-        out[order[~fresh]] = True
+        out = np.ones(len(order), bool)
+        out[first[fresh]] = False
         settled = order[gone]
         keys = keys[:, ~out[keys[1]]]
         rows = np.zeros((Listed.WIDTH, keys.shape[1] + len(settled)), np.int64)
@@ -585,9 +605,9 @@ class Bucket:
 def found_in_lists(rows: DataFrame, partitions: int, bounds: Bounds) -> DataFrame:
     """FOUND rows of the lists(bucket, rows).
 
-    A candidate: a later line, an earlier one, the parities in which they
-    differ, and whether there may be others. A settled line: no other. A chunk
-    of a hot list: its key as id, its number and its rows.
+    A candidate: a later line, an earlier one, and whether there may be others.
+    A settled line: no other. A chunk of a hot list: its key as id, its number
+    and its rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -684,25 +704,42 @@ def _sets(docs: DataFrame, levels: np.ndarray, lines: DataFrame, id_col: str, te
     return map_arrow(_rows(docs, id_col, text_col), run, "id long, place long, words array<long>")
 
 
-def _under_keys(docs: DataFrame, levels: np.ndarray, keys: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(key, id, place, words) of all lines under at least the given keys(key)."""
-    shipped = docs.sparkSession.sparkContext.broadcast((levels, _filter(keys)))
-    frequent = frequent_level()
+def _under_keys(docs: DataFrame, levels: np.ndarray, keys: DataFrame | None, lines: DataFrame | None, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(key, id, place, size, low, high) of all lines under at least the given keys(key), or of at least the given lines(id, place)."""
+    shipped = docs.sparkSession.sparkContext.broadcast((levels, _filter(keys if lines is None else lines)))
+    frequent, by_key = frequent_level(), lines is None
+    names = ["key", "id", "place", "size", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, picked = shipped.value
         for batch in batches:
             ids, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for at, _, data, offsets in _parts(batch.column(2)):
-                cut = Lines(data, offsets, level, words=words)
+                picks = lambda doc, number: _hit(picked, _bit(ids[doc + at], parts[doc + at] << 32 | number))  # noqa: B023, E731
+                cut = Lines(data, offsets, level, None if by_key else picks, words)
+                if not len(cut):
+                    continue
                 key, line, _, _ = cut.keys(np.arange(len(cut)), frequent)
-                some = np.flatnonzero(_hit(picked, _bit(key, 0)))
-                line = line[some]
+                if by_key:
+                    some = np.flatnonzero(_hit(picked, _bit(key, 0)))
+                    key, line = key[some], line[some]
+                low, high = cut.parities()
                 doc = cut.doc[line] + at
-                columns = [pa.array(key[some]), pa.array(ids[doc]), pa.array(parts[doc] << 32 | cut.number[line]), cut.sets(line)]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "id", "place", "words"])
+                columns = (key, ids[doc], parts[doc] << 32 | cut.number[line], cut.size[line], low[line].view(np.int64), high[line].view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
-    return map_arrow(_rows(docs, id_col, text_col), run, "key long, id long, place long, words array<long>")
+    return map_arrow(_rows(docs, id_col, text_col), run, "key long, id long, place long, size long, low long, high long")
+
+
+def _may_match() -> Column:
+    """Condition on two lines of (size, low, high) and (size2, low2, high2): the length and parity filters."""
+    top, bottom = MATCH
+    low, high = F.col("low").bitwiseXOR(F.col("low2")), F.col("high").bitwiseXOR(F.col("high2"))
+    both = F.col("size") + F.col("size2")
+    large = (F.col("size") > ONE_WORD) & (F.col("size2") > ONE_WORD)
+    differ = F.when(large, F.bit_count(high) + F.bit_count(low.bitwiseXOR(high))).otherwise(F.bit_count(low))
+    most = both - 2 * F.ceil(top * both / (top + bottom))
+    return (F.least("size", "size2") * bottom >= F.greatest("size", "size2") * top) & (differ <= most)
 
 
 def _verified(rows: DataFrame) -> DataFrame:
@@ -727,13 +764,19 @@ def _verified(rows: DataFrame) -> DataFrame:
     return map_arrow(rows.select("id", "place", "w", "ow"), run, "id long, place long")
 
 
-def _matched(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, place) of the lines of which a candidate is a match."""
-    mine = sets.select(F.col("id").alias("i"), F.col("place").alias("p"), F.col("words").alias("w"))
-    theirs = sets.select(F.col("id").alias("oi"), F.col("place").alias("op"), F.col("words").alias("ow"))
-    half = pairs.join(theirs, (F.col("other_id") == F.col("oi")) & (F.col("other_place") == F.col("op")))
-    both = half.select("id", "place", "ow").join(mine, (F.col("id") == F.col("i")) & (F.col("place") == F.col("p")))
-    return _verified(both)
+def _matched(docs: DataFrame, levels: np.ndarray, pairs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, place) of the lines of pairs(id, place, other_id, other_place) that match their other."""
+    here, there = F.struct("id", "place"), F.struct(F.col("other_id").alias("id"), F.col("other_place").alias("place"))
+    sides = pairs.select(
+        here.alias("here"), there.alias("there"), F.inline(F.array(*[F.struct(F.lit(k).alias("side"), line.alias("line")) for k, line in enumerate((here, there))]))
+    )
+    sides = sides.select("here", "there", "side", F.col("line.id").alias("i"), F.col("line.place").alias("p"))
+    sets = _sets(docs, levels, sides.select("i", "p"), id_col, text_col, words)
+    met = sides.join(sets, (F.col("i") == F.col("id")) & (F.col("p") == F.col("place")))
+    both = met.groupBy("here", "there").agg(
+        F.first(F.when(F.col("side") == 0, F.col("words")), True).alias("w"), F.first(F.when(F.col("side") == 1, F.col("words")), True).alias("ow")
+    )
+    return _verified(both.select("here.*", "w", "ow"))
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 0, bounds: Bounds | None = None) -> DataFrame:
@@ -749,56 +792,30 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     chunks = found.where("rows IS NOT NULL").select("id", "chunk", "rows")
     found = found.where("rows IS NULL").drop("rows", "chunk")
     if chunks.count():
-        found = found.unionByName(checkpointed(found_in_chunks(chunks, bounds)).drop("rows", "chunk"))
-    other = F.struct("differ", "other_id", "other_place")
+        found = found.unionByName(found_in_chunks(chunks, bounds).drop("rows", "chunk"))
     lines = checkpointed(
         found.groupBy("id", "place").agg(
-            F.max(F.col("other_id").isNull()).alias("settled"), F.min(other).alias("best"), F.max(other).alias("worst"), F.max("more").alias("more")
+            F.max(F.col("other_id").isNull()).alias("settled"),
+            F.max("more").alias("more"),
+            F.collect_set(F.when(F.col("other_id").isNotNull(), F.struct("other_id", "other_place"))).alias("others"),
         )
     )
     gone = lines.where("settled").select("id", "place")
     lines = lines.where("NOT settled")
-    best = lines.select("id", "place", "best.other_id", "best.other_place")
-    gone = checkpointed(gone.unionByName(_matched(_picked(docs, levels, best, id_col, text_col, words), best)))
-    # What the best candidate leaves open is compared with the line's other candidates …
-    left = checkpointed(lines.where("more OR best <> worst").join(gone, ["id", "place"], "left_anti"))
-    if not left.count():
-        return gone
-    rest = found.join(left, ["id", "place"]).where("differ <> best.differ OR other_id <> best.other_id OR other_place <> best.other_place")
-    rest = checkpointed(rest.select("id", "place", "other_id", "other_place").distinct())
-    second = checkpointed(_matched(_picked(docs, levels, rest, id_col, text_col, words), rest).distinct())
-    gone = gone.unionByName(second)
-    open_ = checkpointed(left.where("more").select("id", "place").join(second, ["id", "place"], "left_anti"))
+    pairs = lines.select("id", "place", F.inline("others"))
+    gone = checkpointed(gone.unionByName(_matched(docs, levels, pairs, id_col, text_col, words)).distinct())
+    open_ = checkpointed(lines.where("more").select("id", "place").join(gone, ["id", "place"], "left_anti"))
     if not open_.count():
         return gone
-    # … and then with every line that shares a key with it.
-    asked = _sets(docs, levels, open_, id_col, text_col, words).join(open_, ["id", "place"], "left_semi").dropDuplicates(["id", "place"])
-    mine = _with_keys(checkpointed(asked.select("id", "place", "words")), levels)
-    others = _under_keys(docs, levels, mine.select("key").distinct(), id_col, text_col, words)
-    others = others.select("key", F.struct("id", "place").alias("there"), F.col("words").alias("ow"))
-    mine = mine.select("key", "id", "place", F.struct("id", "place").alias("here"), F.col("words").alias("w"))
-    near = _verified(mine.join(others, "key").where("there < here"))
-    return checkpointed(gone.unionByName(near.distinct()))
-
-
-def _picked(docs: DataFrame, levels: np.ndarray, pairs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, place, words) of both lines of the pairs, and of few others."""
-    both = pairs.select("id", "place").unionByName(pairs.select(F.col("other_id").alias("id"), F.col("other_place").alias("place")))
-    return checkpointed(_sets(docs, levels, both, id_col, text_col, words))
-
-
-def _with_keys(sets: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(key, id, place, words) of sets(id, place, words)."""
-    shipped = sets.sparkSession.sparkContext.broadcast(levels)
-    frequent = frequent_level()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cut = Lines.of_sets(batch.column(2), shipped.value)
-            key, line, _, _ = cut.keys(np.arange(len(cut)), frequent)
-            yield pa.RecordBatch.from_arrays([pa.array(key), *[batch.column(k).take(pa.array(line)) for k in range(3)]], ["key", "id", "place", "words"])
-
-    return checkpointed(map_arrow(sets.select("id", "place", "words"), run, "key long, id long, place long, words array<long>"))
+    # What its best candidates leave open is compared with every line that shares a key with it.
+    mine = _under_keys(docs, levels, None, open_, id_col, text_col, words).join(open_, ["id", "place"], "left_semi")
+    mine = checkpointed(mine.dropDuplicates(["key", "id", "place"]))
+    others = _under_keys(docs, levels, mine.select("key").distinct(), None, id_col, text_col, words)
+    others = others.withColumnsRenamed({"id": "other_id", "place": "other_place", "size": "size2", "low": "low2", "high": "high2"})
+    earlier = (F.col("other_id") < F.col("id")) | ((F.col("other_id") == F.col("id")) & (F.col("other_place") < F.col("place")))
+    pairs = mine.join(others, (mine["key"] == others["key"]) & earlier & _may_match())
+    pairs = checkpointed(pairs.select("id", "place", "other_id", "other_place").distinct())
+    return checkpointed(gone.unionByName(_matched(docs, levels, pairs, id_col, text_col, words).distinct()))
 
 
 def _by_document(gone: DataFrame) -> DataFrame:

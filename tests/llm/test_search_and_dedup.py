@@ -1,6 +1,9 @@
 """Top-k, SimHash and line dedup against brute force."""
 
 import collections
+import fractions
+import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -104,23 +107,27 @@ def test_top_k_of_odd_vectors(spark):
     rng = np.random.default_rng(5)
     rows = [(k, rng.normal(0, 0.4, 6).tolist(), "x") for k in range(300)]
     rows += [(300 + k, rows[k][1], "x") for k in range(60)]  # ties
-    rows += [(400, None, "x"), (401, [0.1, None], "x"), (402, [float("nan")] * 6, "x"), (450, [float("inf")] * 6, "x"), (403, [1e30] * 6, "x"), (404, [], "x"), (405, [0.5, -0.25], "x"), (None, [0.1] * 6, "x"), (50, [9.0] * 6, "x")]
+    rows += [(400, None, "x"), (401, [0.1, None], "x"), (402, [float("nan")] * 6, "x"), (450, [float("inf")] * 6, "x"), (407, [70_000.0, 1.0], "x"), (408, [0.0] * 5 + [0.25, -1e300], "x"), (409, [], "x"), (404, [], "x"), (405, [0.5, -0.25], "x"), (None, [0.1] * 6, "x"), (50, [9.0] * 6, "x")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
     got = collections.defaultdict(list)
     for r in topk.top_k(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
-    held = [(i, [int(np.floor(256 * x)) for x in v]) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) and abs(x) < 1e6 for x in v)]
+    held = [(i, [math.floor(fractions.Fraction(x) * 256) for x in v]) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     for q, v in held:
         if q % 50 == 0 and q != 50:
             scores = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in held if i != q)[:5]
             assert got[q] == [(i, -s) for s, i in scores]
     assert set(got) == {q for q, _ in held if q % 50 == 0}
+    assert any(i == 407 for found in got.values() for i, _ in found)
+    beyond = df.unionByName(spark.createDataFrame([(403, [1e30] * 6, "x")], df.schema))
+    with pytest.raises(Exception, match="beyond a long"):
+        topk.top_k(beyond, F.col("vec_id") % 50 == 0).count()
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     assert topk.top_k(df.where("vec_id = 0"), F.col("vec_id") % 50 == 0).count() == 0
 
 
 def test_top_k_over_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK_ROWS", 37)
+    monkeypatch.setattr(topk, "BLOCK_VALUES", 37 * 8)
     monkeypatch.setattr(topk, "BLOCK_QUERIES", 3)
     rng = np.random.default_rng(6)
     x = rng.normal(0, 0.3, (400, 8))
@@ -170,11 +177,11 @@ SMALL = line_dedup.Bounds(rows=40, hot=12, short=5, side=3, tries=1)
     ("frequent", "bounds", "left"), [(20_000, None, False), (20, None, False), (20, SMALL, False), (200, SMALL, True), (1, None, True)]
 )
 def test_line_dedup_equals_all_pairs(spark, monkeypatch, frequent, bounds, left):
-    """With ``left``, no candidate is taken for a match, so that every line is left to the last step."""
+    """With ``left``, no candidate is taken for a match at first, so that every line is left to the last step."""
     monkeypatch.setattr(line_dedup, "FREQUENT", frequent)
     if left:
-        matched = line_dedup._matched
-        monkeypatch.setattr(line_dedup, "_matched", lambda sets, pairs: matched(sets, pairs.limit(0)))
+        matched, calls = line_dedup._matched, itertools.count()
+        monkeypatch.setattr(line_dedup, "_matched", lambda docs, levels, pairs, *given: matched(docs, levels, pairs if next(calls) else pairs.limit(0), *given))
         for name in ("found_in_lists", "found_in_chunks"):
             found = getattr(line_dedup, name)
             monkeypatch.setattr(line_dedup, name, lambda *given, found=found: found(*given).withColumn("more", F.lit(True)))
