@@ -20,7 +20,7 @@ an earlier one: one with a smaller (id, text hash, line number).
    pair of chunks is joined by a task of its own.
 4. A line's best candidates in each list, those that differ least in parity, are
    verified on the whole sets. Lines that match none of them, though a list held
-   more, are compared with every line under their keys.
+   more, are compared with every line of such lists.
 
 Defined results: lines without words are kept and match nothing; a null text
 has no lines. Rows that share id and text count as one document and stay alike;
@@ -51,9 +51,9 @@ FREQUENT, TUPLE = 20_000, 2
 #: Smallest set that can match an unequal one.
 SMALLEST = 4
 #: Sets up to this size have one word of parities, larger ones two.
-ONE_WORD = 64
-#: Bytes of text cut up at once.
-BYTES_AT_ONCE = 1 << 20
+ONE_WORD = 16
+#: Bytes of text cut up, and pairs of listed lines compared at once.
+BYTES_AT_ONCE, PAIRS_AT_ONCE = 1 << 20, 1 << 18
 #: Buckets of keys in a shuffle partition.
 BUCKETS = 8
 #: Slices in which word counts are added up.
@@ -72,11 +72,11 @@ class Bounds:
     rows: int = 400_000
     #: Lines of a list that one task joins; of longer lists, every pair of chunks has a task.
     hot: int = 20_000
-    #: Lists that are joined offset by offset; longer ones are joined in blocks of ``side`` lines.
-    short: int = 64
+    #: Lists that are joined at once, by size; longer ones are joined in blocks of ``side`` lines.
+    short: int = 1024
     side: int = 64
     #: Candidates of a line that are taken from each list; if they fail, the line is compared with all of the list.
-    tries: int = 4
+    tries: int = 8
 
 
 BOUNDS = Bounds()
@@ -406,18 +406,25 @@ class Listed:
         """The best candidates of each line in each list. The rows are collapsed."""
         edge, length = self.lists()
         found = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)]
-        group_end = np.repeat(edge + length, length)
-        live = np.flatnonzero(np.repeat(length <= self.bounds.short, length))
-        for step in range(1, self.bounds.short):
-            live = live[live + step < group_end[live]]
-            # By size: once the second line is too large, so are those after it.
-            live = live[self.size[live + step] * MATCH[0] <= self.size[live] * MATCH[1]]
-            if not len(live):
-                break
-            ok, differ = self.compare(live, live + step)
-            a, b = live[ok], live[ok] + step
+        # By size: the partners of a line that follow it end at the first that is too large, or with the list.
+        short = np.flatnonzero(np.repeat(length <= self.bounds.short, length))
+        code = np.repeat(np.arange(len(edge)), length) << 32 | self.size
+        last = np.searchsorted(code, code[short] - self.size[short] + self.size[short] * MATCH[1] // MATCH[0], "right")
+        many, most = last - short - 1, np.minimum(self.size // MATCH[0], 255).astype(np.uint8)
+        total = np.cumsum(many)
+        at = 0
+        while at < len(short):
+            to = max(at + 1, int(np.searchsorted(total, total[at] - many[at] + PAIRS_AT_ONCE, "right")))
+            row, step = _ramp(many[at:to])
+            a = short[at:to][row]
+            b = a + step + 1
+            near = np.flatnonzero(np.bitwise_count(self.low[a] ^ self.low[b]) <= most[a])
+            a, b = a[near], b[near]
+            ok, differ = self.compare(a, b)
+            a, b = a[ok], b[ok]
             swap = (self.id[a] > self.id[b]) | ((self.id[a] == self.id[b]) & (self.place[a] > self.place[b]))
             found.append((np.where(swap, a, b), np.where(swap, b, a), differ, np.zeros(len(ok), bool)))
+            at = to
         long = np.flatnonzero(length > self.bounds.short)
         for start, size in zip(edge[long].tolist(), length[long].tolist(), strict=True):
             found += self.long(start + np.lexsort((self.place[start : start + size], self.id[start : start + size])))
@@ -462,7 +469,7 @@ class Listed:
             more = np.repeat(np.maximum.reduceat(more, first) | (count > self.bounds.tries), count)
             kept = np.arange(len(later)) - np.repeat(first, count) < self.bounds.tries
             later, earlier, more = later[kept], earlier[kept], more[kept]
-        return _found(id=self.id[later], place=self.place[later], other_id=self.id[earlier], other_place=self.place[earlier], more=more)
+        return _found(id=self.id[later], place=self.place[later], other_id=self.id[earlier], other_place=self.place[earlier], key=self.key[later], more=more)
 
 
 def _earliest(order: np.ndarray, fresh: np.ndarray, id_: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -478,9 +485,9 @@ def _earliest(order: np.ndarray, fresh: np.ndarray, id_: np.ndarray, place: np.n
 
 FOUND = pa.schema(
     [("id", pa.int64()), ("place", pa.int64()), ("other_id", pa.int64()), ("other_place", pa.int64())]
-    + [("more", pa.bool_()), ("chunk", pa.int32()), ("rows", pa.binary())]
+    + [("key", pa.int64()), ("more", pa.bool_()), ("chunk", pa.int32()), ("rows", pa.binary())]
 )
-FOUND_DDL = "id long, place long, other_id long, other_place long, more boolean, chunk int, rows binary"
+FOUND_DDL = "id long, place long, other_id long, other_place long, key long, more boolean, chunk int, rows binary"
 
 
 def _found(**columns) -> pa.RecordBatch:
@@ -605,7 +612,7 @@ class Bucket:
 def found_in_lists(rows: DataFrame, partitions: int, bounds: Bounds) -> DataFrame:
     """FOUND rows of the lists(bucket, rows).
 
-    A candidate: a later line, an earlier one, and whether there may be others.
+    A candidate: a later line, an earlier one, their key, and whether there may be others under it.
     A settled line: no other. A chunk of a hot list: its key as id, its number
     and its rows.
     """
@@ -688,11 +695,13 @@ def _hit(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
 
 def _sets(docs: DataFrame, levels: np.ndarray, lines: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """(id, place, words) of at least the given lines(id, place), rarest words first."""
-    shipped = docs.sparkSession.sparkContext.broadcast((levels, _filter(lines)))
+    named = lines.select("id", F.shiftrightunsigned("place", 32).alias("part"))
+    shipped = docs.sparkSession.sparkContext.broadcast((levels, _filter(named), _filter(lines)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, picked = shipped.value
+        level, documents, picked = shipped.value
         for batch in batches:
+            batch = batch.filter(pa.array(_hit(documents, _bit(batch.column(0).to_numpy(), batch.column(1).to_numpy()))))
             ids, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for at, _, data, offsets in _parts(batch.column(2)):
                 picks = lambda doc, number: _hit(picked, _bit(ids[doc + at], parts[doc + at] << 32 | number))  # noqa: B023, E731
@@ -704,10 +713,10 @@ def _sets(docs: DataFrame, levels: np.ndarray, lines: DataFrame, id_col: str, te
     return map_arrow(_rows(docs, id_col, text_col), run, "id long, place long, words array<long>")
 
 
-def _under_keys(docs: DataFrame, levels: np.ndarray, keys: DataFrame | None, lines: DataFrame | None, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(key, id, place, size, low, high) of all lines under at least the given keys(key), or of at least the given lines(id, place)."""
-    shipped = docs.sparkSession.sparkContext.broadcast((levels, _filter(keys if lines is None else lines)))
-    frequent, by_key = frequent_level(), lines is None
+def _under_keys(docs: DataFrame, levels: np.ndarray, keys: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(key, id, place, size, low, high) of all lines under at least the given keys(key)."""
+    shipped = docs.sparkSession.sparkContext.broadcast((levels, _filter(keys)))
+    frequent = frequent_level()
     names = ["key", "id", "place", "size", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -715,14 +724,12 @@ def _under_keys(docs: DataFrame, levels: np.ndarray, keys: DataFrame | None, lin
         for batch in batches:
             ids, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for at, _, data, offsets in _parts(batch.column(2)):
-                picks = lambda doc, number: _hit(picked, _bit(ids[doc + at], parts[doc + at] << 32 | number))  # noqa: B023, E731
-                cut = Lines(data, offsets, level, None if by_key else picks, words)
+                cut = Lines(data, offsets, level, words=words)
                 if not len(cut):
                     continue
                 key, line, _, _ = cut.keys(np.arange(len(cut)), frequent)
-                if by_key:
-                    some = np.flatnonzero(_hit(picked, _bit(key, 0)))
-                    key, line = key[some], line[some]
+                some = np.flatnonzero(_hit(picked, _bit(key, 0)))
+                key, line = key[some], line[some]
                 low, high = cut.parities()
                 doc = cut.doc[line] + at
                 columns = (key, ids[doc], parts[doc] << 32 | cut.number[line], cut.size[line], low[line].view(np.int64), high[line].view(np.int64))
@@ -771,7 +778,7 @@ def _matched(docs: DataFrame, levels: np.ndarray, pairs: DataFrame, id_col: str,
         here.alias("here"), there.alias("there"), F.inline(F.array(*[F.struct(F.lit(k).alias("side"), line.alias("line")) for k, line in enumerate((here, there))]))
     )
     sides = sides.select("here", "there", "side", F.col("line.id").alias("i"), F.col("line.place").alias("p"))
-    sets = _sets(docs, levels, sides.select("i", "p"), id_col, text_col, words)
+    sets = _sets(docs, levels, sides.select(F.col("i").alias("id"), F.col("p").alias("place")), id_col, text_col, words)
     met = sides.join(sets, (F.col("i") == F.col("id")) & (F.col("p") == F.col("place")))
     both = met.groupBy("here", "there").agg(
         F.first(F.when(F.col("side") == 0, F.col("words")), True).alias("w"), F.first(F.when(F.col("side") == 1, F.col("words")), True).alias("ow")
@@ -796,7 +803,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = checkpointed(
         found.groupBy("id", "place").agg(
             F.max(F.col("other_id").isNull()).alias("settled"),
-            F.max("more").alias("more"),
+            F.collect_set(F.when(F.col("more"), F.col("key"))).alias("keys"),
             F.collect_set(F.when(F.col("other_id").isNotNull(), F.struct("other_id", "other_place"))).alias("others"),
         )
     )
@@ -804,14 +811,13 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = lines.where("NOT settled")
     pairs = lines.select("id", "place", F.inline("others"))
     gone = checkpointed(gone.unionByName(_matched(docs, levels, pairs, id_col, text_col, words)).distinct())
-    open_ = checkpointed(lines.where("more").select("id", "place").join(gone, ["id", "place"], "left_anti"))
+    open_ = checkpointed(lines.where(F.size("keys") > 0).join(gone, ["id", "place"], "left_anti").select("id", "place", F.explode("keys").alias("key")))
     if not open_.count():
         return gone
-    # What its best candidates leave open is compared with every line that shares a key with it.
-    mine = _under_keys(docs, levels, None, open_, id_col, text_col, words).join(open_, ["id", "place"], "left_semi")
-    mine = checkpointed(mine.dropDuplicates(["key", "id", "place"]))
-    others = _under_keys(docs, levels, mine.select("key").distinct(), None, id_col, text_col, words)
-    others = others.withColumnsRenamed({"id": "other_id", "place": "other_place", "size": "size2", "low": "low2", "high": "high2"})
+    # What its best candidates leave open is compared with all lines of the lists that held more.
+    listed_ = checkpointed(_under_keys(docs, levels, open_.select("key").distinct(), id_col, text_col, words))
+    others = listed_.withColumnsRenamed({"id": "other_id", "place": "other_place", "size": "size2", "low": "low2", "high": "high2"})
+    mine = listed_.join(open_, ["key", "id", "place"], "left_semi").dropDuplicates(["key", "id", "place"])
     earlier = (F.col("other_id") < F.col("id")) | ((F.col("other_id") == F.col("id")) & (F.col("other_place") < F.col("place")))
     pairs = mine.join(others, (mine["key"] == others["key"]) & earlier & _may_match())
     pairs = checkpointed(pairs.select("id", "place", "other_id", "other_place").distinct())

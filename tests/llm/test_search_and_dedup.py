@@ -184,7 +184,7 @@ def test_line_dedup_equals_all_pairs(spark, monkeypatch, frequent, bounds, left)
         monkeypatch.setattr(line_dedup, "_matched", lambda docs, levels, pairs, *given: matched(docs, levels, pairs if next(calls) else pairs.limit(0), *given))
         for name in ("found_in_lists", "found_in_chunks"):
             found = getattr(line_dedup, name)
-            monkeypatch.setattr(line_dedup, name, lambda *given, found=found: found(*given).withColumn("more", F.lit(True)))
+            monkeypatch.setattr(line_dedup, name, lambda *given, found=found: found(*given).withColumn("more", F.col("other_id").isNotNull()))
     rows = hot_rows()
     want = plain_lines(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
