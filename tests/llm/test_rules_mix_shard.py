@@ -61,8 +61,9 @@ def brute_mix(rows, weights=(5, 2, 1), top=3):
     import hashlib
 
     by = collections.defaultdict(list)
-    for doc_id, source, size in rows:
-        by[source].append((int(hashlib.md5(("" if doc_id is None else str(doc_id)).encode()).hexdigest()[:15], 16), size))
+    for k, (doc_id, source, text) in enumerate(rows):
+        named = ("" if doc_id is None else str(doc_id)) + "\n" + (text or "")
+        by[source].append(((int(hashlib.md5(named.encode()).hexdigest()[:12], 16), k), len(words(text))))
     order = sorted(by, key=lambda s: (s is None, s or ""))
     total, size = sum(x[1] for v in by.values() for x in v), {s: sum(x[1] for x in by[s]) for s in by}
     w = {s: weights[k % len(weights)] for k, s in enumerate(order)}
@@ -92,7 +93,7 @@ def brute_mix(rows, weights=(5, 2, 1), top=3):
 
 def test_mix_of_odd_documents(odd, none):
     got = mixing.mix_report(odd).collect()
-    target, taken, size = brute_mix([(d[0], d[3], len(words(d[1]))) for d in odd_documents()])
+    target, taken, size = brute_mix([(d[0], d[3], d[1]) for d in odd_documents()])
     mine = collections.Counter()
     for r in got:
         mine[r["source"]] += r["taken"]
@@ -109,11 +110,23 @@ def test_mix_emits_what_it_reports(documents):
     assert mixed.select(mixing.word_count(F.col("text")).alias("n")).agg(F.sum("n")).first()[0] == want
 
 
+@pytest.mark.parametrize("same", [False, True])
+def test_mix_of_many_rows_of_one_id(spark, same):
+    """Rows that share an id, or id and text, don't move together: targets are met to a document or two."""
+    rows = [(None if k % 2 else 7, f"{'x' if same else k} " * 10, "ab"[k % 3 == 0]) for k in range(1000)]
+    got = mixing.mix_report(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()
+    assert len(got) == 1000
+    for source in "ab":
+        taken = sum(r["taken"] for r in got if r["source"] == source)
+        target = next(r["target"] for r in got if r["source"] == source)
+        assert abs(taken - target) <= 30
+
+
 def test_excess_is_reshared_until_none_is_above(spark):
     rows = [(i, s, n) for i, (s, n) in enumerate([("a", 1), ("b", 2), ("c", 400), ("d", 3), ("e", 5), ("f", 900)])]
     sized = spark.createDataFrame(rows, "doc_id long, source string, source_size long").select("source", "source_size")
     got = {r["source"]: r["target"] for r in mixing.targets(sized).collect()}
-    want = brute_mix([(i, s, n) for i, s, n in rows])[0]
+    want = brute_mix([(i, s, "w " * n) for i, s, n in rows])[0]
     assert all(abs(got[s] - want[s]) < 1e-9 for s in want) and abs(sum(got.values()) - 1311) < 1e-6
 
 
