@@ -6,7 +6,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_GRAIN = 1 << 20
+from ._base import checkpointed
+
+#: Grain of the hash by which rows are sampled.
+_GRAIN = 1 << 40
 
 
 def id_remainder(id_: Column, divisor: int) -> Column:
@@ -14,29 +17,44 @@ def id_remainder(id_: Column, divisor: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")), F.lit(divisor))
 
 
-def bounded_sample(rows: DataFrame, id_col: str, bound: int) -> DataFrame:
-    """About ``bound`` rows at most, chosen by the hash of their ids."""
-    n = rows.count()
-    if n <= bound:
-        return rows
-    return rows.where(F.pmod(F.xxhash64(id_col), F.lit(_GRAIN)) < F.lit(max(1, _GRAIN * bound // n)))
+def sampled_texts(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, bound: int) -> DataFrame:
+    """(id, label, text, weight) of about ``bound`` rows at most, as many of each label as of any other.
 
+    labelled(id, hash, label) names rows of docs by their id and the hash of
+    their text, so neither an id nor a text that occurs again and again
+    multiplies rows: each (id, text, label) counts once, and a label that has
+    few keeps all of them. weight: how many rows a sampled one stands for. The
+    number of labels is taken to be small; what is broadcast is the sample's
+    ids and hashes, of about ``bound`` rows.
+    """
+    known = checkpointed(labelled.where(F.col("id").isNotNull() & F.col("label").isNotNull()).distinct())
+    sizes = known.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    share = F.lit(max(1, bound // max(1, sizes.count())))
+    sizes = sizes.select(F.col("label").alias("_label"), F.greatest(F.lit(1.0), F.col("n") / share).alias("weight"))
+    place = F.pmod(F.xxhash64("id", "hash"), F.lit(_GRAIN))
+    chosen = known.join(F.broadcast(sizes), F.col("label") == F.col("_label")).where(place < F.lit(_GRAIN) / F.col("weight"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("text"))
+    same = (F.col("id") == F.col("_id")) & (F.col("hash") == F.col("_hash"))
+    return rows.join(F.broadcast(chosen), same).groupBy("id", "hash", "label").agg(F.first("text").alias("text"), F.first("weight").alias("weight")).drop("hash")
 
-def with_texts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The sample's rows with the whole texts of their documents.
 
-    The sample is broadcast: ``bounded_sample`` holds it to a fixed size.
-    """
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(sample), F.col("_id") == F.col(id_col)).drop("_id")
+def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """labels(id, label) with the hash of each text that has the id."""
+    known = labels.select(F.col(id_col).alias("id"), "label").distinct()
+    keys = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("hash")).distinct()
+    return keys.join(known, F.col("_id") == F.col("id")).select("id", "hash", "label")
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> np.ndarray:
-    """Weights (the last is the intercept) of a ridge logistic model, by Newton steps."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40, weight: np.ndarray | None = None) -> np.ndarray:
+    """Weights (the last is the intercept) of a ridge logistic model, by Newton steps.
+
+    ``weight``: what each row counts for; only their proportions matter.
+    """
+    counts = np.ones(len(x)) if weight is None else weight * (len(x) / weight.sum())
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     if not len(x):
@@ -45,8 +63,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
     penalty[-1] = 1e-3
     for _ in range(steps):
         p = sigmoid(x @ w)
-        gradient = x.T @ (p - y) + penalty * w
-        curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        gradient = x.T @ (counts * (p - y)) + penalty * w
+        curve = (x * (counts * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
         step = np.linalg.solve(curve, gradient)
         w = w - step
         if np.abs(step).max() < 1e-6:

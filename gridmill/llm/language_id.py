@@ -7,7 +7,8 @@ cosine lies below that centroid's limit, a low quantile of its own members, is
 marked as rejected.
 
 Document frequencies cover all documents that may be learned from; clustering
-uses at most SAMPLE_ROWS of them. Whole texts are read.
+uses at most SAMPLE_ROWS of them, which every language shares alike, so that a
+rare one is learned from as well. Whole texts are read.
 
 Defined results: texts that are null or hold no letter are ``und`` with score
 0, and so is everything when nothing can be learned. Repeated rows are judged
@@ -25,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._base import map_arrow
-from ._fit import bounded_sample, id_remainder, letters, with_texts
+from ._fit import id_remainder, letters, sampled_texts
 
-#: Documents that are clustered at most, about.
+#: Documents that are clustered at most, about, as many of each language as of any other.
 SAMPLE_ROWS = 4000
 #: Hash buckets of n-grams, n-gram lengths in bytes, clusters of a language.
 BUCKETS, LENGTHS, CLUSTERS = 4096, (2, 3, 4), 4
@@ -107,8 +108,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return None
     idf = np.log((1 + totals[-1]) / (1 + np.array([totals.get(b, 0) for b in range(BUCKETS)], float))) + 0.1
 
-    ids = bounded_sample(learn.where(F.col(id_col).isNotNull()).select(id_col, F.col(lang_col).alias("lang")), id_col, SAMPLE_ROWS)
-    sample = with_texts(docs, ids, id_col, text_col).select("lang", "text")
+    keys = learn.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(lang_col).alias("label"))
+    sample = sampled_texts(learn, keys, id_col, text_col, SAMPLE_ROWS).select(F.col("label").alias("lang"), "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

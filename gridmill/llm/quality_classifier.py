@@ -5,7 +5,8 @@ A text is cut into short chunks, each compressed with both. The difference of
 the summed sizes over their sum is the only feature; a logistic curve fitted on
 labelled texts that no dictionary has seen turns it into a score.
 
-The fit uses at most SAMPLE_ROWS labelled documents. Whole texts are scored.
+The fit uses about SAMPLE_ROWS labelled documents at most, whole, and weighs
+either label by the rows that it stands for. Whole texts are scored.
 
 Defined results: null and empty texts have difference 0 and get the score at
 that point; without labels of both kinds every score is the share of good ones
@@ -24,13 +25,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import map_arrow
-from ._fit import apply_logistic, bounded_sample, fit_logistic, id_remainder, with_texts
+from ._base import checkpointed, map_arrow
+from ._fit import apply_logistic, fit_logistic, id_remainder, labelled_rows, sampled_texts
 
-#: Labelled documents that a fit uses at most, about.
-SAMPLE_ROWS = 6000
-#: Bytes of a chunk, chunks of a text that a dictionary learns from, bytes of a dictionary.
-CHUNK, CHUNKS_PER_TEXT, DICTIONARY = 512, 8, 65536
+#: Labelled documents that a fit uses at most, about, half of them of either label.
+SAMPLE_ROWS = 4000
+#: Bytes of a chunk and of a dictionary.
+CHUNK, DICTIONARY = 512, 65536
 #: Held-out rows: the crc32 of the id has this remainder.
 FOLDS, HELD_OUT = 3, 1
 
@@ -63,7 +64,7 @@ class Meter:
         """Above 0 if the text lies nearer to the good texts."""
         if not text or not self.compressors:
             return 0.0
-        chunks = [text[at : at + CHUNK] for at in range(0, len(text), CHUNK)]
+        chunks = _chunks(text)
         good, bad = (sum([len(c.compress(x)) for x in chunks]) for c in self.compressors)
         return (bad - good) / (bad + good)
 
@@ -83,30 +84,27 @@ def _dictionary(chunks: list[bytes]) -> bytes:
         return b"".join(chunks)[-DICTIONARY:]
 
 
-def _spread(text: bytes) -> list[bytes]:
-    """Chunks from all over a text."""
-    n = (len(text) + CHUNK - 1) // CHUNK
-    picked = range(n) if n <= CHUNKS_PER_TEXT else [i * n // CHUNKS_PER_TEXT for i in range(CHUNKS_PER_TEXT)]
-    return [text[i * CHUNK : (i + 1) * CHUNK] for i in picked]
+def _chunks(text: bytes) -> list[bytes]:
+    return [text[at : at + CHUNK] for at in range(0, len(text), CHUNK)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> CompressionModel:
     """Learn from labels (id, 0 or 1) of rows that aren't held out."""
     usable = labels.where((id_remainder(F.col(id_col), FOLDS) != HELD_OUT) & F.col(label_col).isin(0, 1))
-    sample = bounded_sample(usable.select(id_col, F.col(label_col).cast("int").alias("label")), id_col, SAMPLE_ROWS)
-    part = F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(5)) < 3
-    known = with_texts(docs, sample.withColumn("for_dictionary", part), id_col, text_col)
-    known = known.select("label", F.coalesce("text", F.lit("")).cast("binary").alias("text"), "for_dictionary")
+    rows = labelled_rows(docs, usable.select(id_col, F.col(label_col).cast("int").alias("label")), id_col, text_col)
+    known = sampled_texts(docs, rows, id_col, text_col, SAMPLE_ROWS)
+    part = F.pmod(F.xxhash64(F.col("id"), F.lit(7)), F.lit(5)) < 3
+    known = checkpointed(known.select("label", F.coalesce("text", F.lit("")).cast("binary").alias("text"), "weight", part.alias("for_dictionary")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chunks = [_spread(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chunks, pa.list_(pa.binary()))], ["label", "chunks"])
+            chunks = [_chunks(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(chunks, pa.list_(pa.binary()))], ["label", "weight", "chunks"])
 
-    rows = map_arrow(known.where("for_dictionary"), cut, "label int, chunks array<binary>").collect()
+    rows = map_arrow(known.where("for_dictionary"), cut, "label int, weight double, chunks array<binary>").collect()
     rows.sort(key=lambda r: (r["label"], [bytes(c) for c in r["chunks"]]))  # the fit mustn't hang on the order of tasks
     kinds = [[bytes(c) for r in rows if r["label"] == kind for c in r["chunks"]] for kind in (0, 1)]
-    prior = float(np.mean([r["label"] for r in rows])) if rows else 0.5
+    prior = float(np.average([r["label"] for r in rows], weights=[r["weight"] for r in rows])) if rows else 0.5
     if not all(kinds):
         return CompressionModel(b"", b"", (0.0, 1.0), (), prior)
     model = CompressionModel(_dictionary(kinds[1]), _dictionary(kinds[0]), (0.0, 1.0), (), prior)
@@ -116,14 +114,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         meter = Meter(shipped.value)
         for batch in batches:
             x = [meter.difference(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.float64())], ["label", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.float64()), batch.column(2)], ["label", "x", "weight"])
 
-    seen = sorted((r["x"], r["label"]) for r in map_arrow(known.where("NOT for_dictionary"), measure, "label int, x double").collect())
-    x, y = np.array([s[0] for s in seen]), np.array([s[1] for s in seen])
+    measured = map_arrow(known.where("NOT for_dictionary"), measure, "label int, x double, weight double").collect()
+    seen = sorted((r["x"], r["label"], r["weight"]) for r in measured)
+    x, y, weight = (np.array([s[k] for s in seen]) for k in range(3))
     if len(set(y.tolist())) < 2:
         return model
     scale = (float(x.mean()), float(x.std()) or 1.0)
-    weights = fit_logistic(((x - scale[0]) / scale[1])[:, None], y, ridge=1e-2)
+    weights = fit_logistic(((x - scale[0]) / scale[1])[:, None], y, ridge=1e-2, weight=weight)
     return CompressionModel(model.good, model.bad, scale, tuple(weights.tolist()), prior)
 
 

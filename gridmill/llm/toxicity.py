@@ -5,14 +5,17 @@ word features and the probabilities of the categories before it. In training
 those come from models that haven't seen the row (out-of-fold), so a link
 learns from predictions as good as those that it will get.
 
-Features are words and word beginnings that mark a category, chosen by how much
-more often they occur in its documents. Fitting uses at most SAMPLE_ROWS
-labelled documents; whole texts are scored.
+The categories are columns of the labelled table. Features are words and word
+beginnings that mark the last category, chosen by how much more often they
+occur in its documents: for each fold from the other folds alone, so that what
+a fold's models are judged by has no part in them. Fitting uses about
+SAMPLE_ROWS labelled documents at most; whole texts are scored.
 
 Defined results: null, empty and letterless texts have no feature and get the
 intercepts' probabilities; a category without both kinds of labels has its
-share as its probability (0 without labels). Repeated rows are scored alike,
-extra columns are ignored.
+share as its probability (0 without labels). A row counts as labelled where it
+has the last category's label; a missing label of an earlier one counts as 0.
+Repeated rows are scored alike and learned from once; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,20 +26,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._base import checkpointed, map_arrow
-from ._fit import apply_logistic, bounded_sample, fit_logistic, letters, with_texts
+from ._fit import apply_logistic, fit_logistic, labelled_rows, letters, sampled_texts
 
 #: Labelled documents that a fit uses at most, about.
 SAMPLE_ROWS = 12_000
-#: Features, fewest marked documents of a feature, folds of the chain.
+#: Features of a link, fewest marked documents of a feature, folds of the chain.
 FEATURES, MIN_DOCUMENTS, FOLDS = 400, 3, 5
 #: Lengths of the word beginnings that count as features.
 BEGINNINGS = (4, 5, 6)
-#: Distinct features from which a marked document counts as dense.
-DENSE = 4
+#: Categories in the chain's order, as conditions on the labelled table. Low quality comes first, as the
+#: table has no finer toxicity label than the one that the chain ends with.
+CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"))
 
 
 def features(text: str | None) -> set[bytes]:
@@ -53,6 +57,9 @@ class Chain:
     categories: tuple[str, ...]
     index: dict[bytes, int]
     weights: tuple[np.ndarray, ...]
+    #: Share of the labelled rows whose last category is predicted by models that haven't seen them, with its rows.
+    unseen_right: float = 0.0
+    unseen_rows: int = 0
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         """One column per category, in the chain's order."""
@@ -71,109 +78,119 @@ class Chain:
         return [self.index[f] for f in self.index.keys() & features(text)]
 
 
-def _link(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _link(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.0
         w = np.zeros(x.shape[1] + 1)
         w[-1] = np.log((share + 1e-9) / (1 - share + 1e-9))
         return w
-    return fit_logistic(x, y, ridge=0.3)
+    return fit_logistic(x, y, ridge=0.3, weight=weight)
 
 
-def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Weights of each link; ``labels`` has a column per category, in order."""
+def fit_chain(
+    x: np.ndarray, labels: np.ndarray, folds: np.ndarray, weight: np.ndarray, columns: dict[int, list[int]] | None = None
+) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """Weights of each link, and the out-of-fold probabilities; ``labels`` has a column per category, in order.
+
+    columns: the columns of x that models without a fold may use, and under -1
+    those of the final links; all of them where it isn't given.
+    """
+    every = list(range(x.shape[1]))
+    use = {f: (columns or {}).get(f, every) for f in [-1, *np.unique(folds).tolist()]}
     weights, so_far = [], np.zeros((len(x), 0))
     for k in range(labels.shape[1]):
-        inputs, y = np.hstack([x, so_far]), labels[:, k]
-        weights.append(_link(inputs, y))
+        y = labels[:, k]
+        weights.append(_link(np.hstack([x[:, use[-1]], so_far]), y, weight))
         unseen = np.zeros(len(x))
-        for fold in np.unique(folds):
-            out = folds == fold
-            unseen[out] = apply_logistic(inputs[out], _link(inputs[~out], y[~out]))
+        for fold in np.unique(folds).tolist():
+            out, inputs = folds == fold, np.hstack([x[:, use[fold]], so_far])
+            unseen[out] = apply_logistic(inputs[out], _link(inputs[~out], y[~out], weight[~out]))
         so_far = np.hstack([so_far, unseen[:, None]])
-    return tuple(weights)
+    return tuple(weights), so_far
+
 
+def _counted(known: DataFrame) -> DataFrame:
+    """(feature, t_0 …, c_0 …): marked and other documents of known(last, text, fold) with each feature, by fold.
 
-def _marks(known: DataFrame) -> list[bytes]:
-    """Features that occur most, and most exclusively, in toxic documents of known(toxic, text)."""
+    Features with too few marked documents are left out.
+    """
+    names = [f"{kind}_{k}" for kind in "tc" for k in range(FOLDS)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = (Counter(), Counter())
-        for batch in batches:
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts[toxic].update(features(text))
-        names = list(counts[1])  # what no toxic document has can't mark one
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(names, pa.binary()),
-                pa.array([counts[1][f] for f in names], pa.int64()),
-                pa.array([counts[0][f] for f in names], pa.int64()),
-            ],
-            ["feature", "toxic", "clean"],
-        )
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts = [Counter() for _ in names]
         for batch in batches:
-            for text in batch.column(1).to_pylist():
-                counts.update(wanted & features(text))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["feature", "clean"]
-        )
-
-    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes.get(1):
-        return []
-    toxic = map_arrow(known.where("toxic = 1"), count, "feature binary, toxic long, clean long")
-    often = toxic.groupBy("feature").agg(F.sum("toxic").alias("toxic")).where(F.col("toxic") >= MIN_DOCUMENTS)
-    common = {bytes(r["feature"]): r["toxic"] for r in often.orderBy(F.desc("toxic"), "feature").limit(40_000).collect()}
-    wanted = common.keys()
-    against = map_arrow(known.where("toxic = 0"), clean, "feature binary, clean long")
-    seen = {bytes(r["feature"]): r["n"] for r in against.groupBy("feature").agg(F.sum("clean").alias("n")).collect()}
-    n1, n0 = sizes[1], max(1, sizes.get(0, 0))
-
-    def worth(f: bytes) -> float:
-        """Log-likelihood gain of knowing whether the feature occurs, where it speaks for toxic."""
-        a, b = common[f] / n1, seen.get(f, 0) / n0
-        if a <= b:
-            return 0.0
-        q = (common[f] + seen.get(f, 0)) / (n1 + n0)
-        gain = n1 * (a * np.log(a / q) + (1 - a) * np.log((1 - a + 1e-12) / (1 - q + 1e-12)))
-        return gain + n0 * ((b * np.log(b / q) if b else 0.0) + (1 - b) * np.log((1 - b + 1e-12) / (1 - q + 1e-12)))
-
-    return sorted((f for f in common if worth(f) > 0), key=lambda f: (-worth(f), f))[:FEATURES]
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Chain:
-    """A chain of the categories dense, sparse and toxic.
-
-    The labelled table knows only toxic or not. Its toxic documents are told
-    apart by how many distinct marks they hold: dense and sparse come first in
-    the chain, and the label itself is its last category.
-    """
-    usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
-    sample = bounded_sample(usable.select(id_col, F.col(label_col).cast("int").alias("toxic")), id_col, SAMPLE_ROWS)
-    sample = sample.withColumn("fold", F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(FOLDS)).cast("int"))
-    # The bounded sample's texts are read three times: kept once in the shared folder.
-    known = checkpointed(with_texts(docs, sample, id_col, text_col).select("toxic", "text", "fold"))
-    index = {f: i for i, f in enumerate(_marks(known.select("toxic", "text")))}
-    empty = Chain(("dense", "sparse", "toxic"), index, ())
-    shipped = docs.sparkSession.sparkContext.broadcast(empty)
+            for last, text, fold in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
+                counts[fold + FOLDS * (1 - last)].update(features(text))
+        found = list(set().union(*counts))
+        columns = [pa.array([c[f] for f in found], pa.int64()) for c in counts]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *columns], ["feature", *names])
+
+    rows = map_arrow(known.select("last", "text", "fold"), count, ", ".join(["feature binary", *[f"{n} long" for n in names]]))
+    summed = rows.groupBy("feature").agg(*[F.sum(n).alias(n) for n in names])
+    return checkpointed(summed.where(_total("t") >= MIN_DOCUMENTS))
+
+
+def _total(kind: str, without: int = -1) -> Column:
+    return sum((F.col(f"{kind}_{k}") for k in range(FOLDS) if k != without), F.lit(0))
+
+
+def _marks(counted: DataFrame, n1: float, n0: float, without: int) -> list[bytes]:
+    """The FEATURES features that say most for the last category, in documents outside a fold."""
+    a, b = _total("t", without) / F.lit(max(1.0, n1)), _total("c", without) / F.lit(max(1.0, n0))
+    both = (n1 * a + n0 * b) / (n1 + n0)
+
+    def gain(n: float, share: Column) -> Column:
+        """Log-likelihood gained by knowing whether the feature occurs."""
+        tiny = 1e-12
+        return n * (share * F.log((share + tiny) / (both + tiny)) + (1 - share) * F.log((1 - share + tiny) / (1 - both + tiny)))
+
+    worth = F.round(gain(n1, a) + gain(n0, b), 6)
+    told = counted.where((a > b) & (_total("t", without) >= MIN_DOCUMENTS)).select("feature", worth.alias("worth"))
+    return [bytes(r["feature"]) for r in told.where("worth > 0").orderBy(F.desc("worth"), "feature").limit(FEATURES).collect()]
+
+
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    categories: Sequence[tuple[str, str]] = CATEGORIES,
+) -> Chain:
+    """A chain of the categories, each a name and a condition on labels; the last one is the chain's verdict."""
+    parts = [F.coalesce(F.expr(condition).cast("int"), F.lit(0)) for _, condition in categories]
+    usable = labels.where(F.expr(categories[-1][1]).isNotNull() & F.col(id_col).isNotNull())
+    # One label of all categories as bits, the last one highest.
+    label = sum((p * (1 << k) for k, p in enumerate(parts)), F.lit(0))
+    rows = labelled_rows(docs, usable.select(id_col, label.alias("label")), id_col, text_col)
+    sample = sampled_texts(docs, rows, id_col, text_col, SAMPLE_ROWS)
+    fold = F.pmod(F.xxhash64(F.col("id"), F.lit(3)), F.lit(FOLDS)).cast("int")
+    last = F.col("label") >= 1 << (len(categories) - 1)
+    # The bounded sample's texts are read twice: kept once in the shared folder.
+    known = checkpointed(sample.select(last.cast("int").alias("last"), "text", fold.alias("fold"), F.col("label").cast("int").alias("label"), "weight"))
+    sizes = {(r["last"], r["fold"]): r["n"] for r in known.groupBy("last", "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = _counted(known)
+    marks = {}
+    for without in (-1, *range(FOLDS)):
+        n1, n0 = (float(sum(n for (kind, k), n in sizes.items() if kind == which and k != without)) for which in (1, 0))
+        marks[without] = _marks(counted, n1, n0, without) if n1 and n0 else []
+    every = {f: i for i, f in enumerate(dict.fromkeys(f for some in marks.values() for f in some))}
+    names = tuple(name for name, _ in categories)
+    shipped = docs.sparkSession.sparkContext.broadcast(Chain(names, every, ()))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = [shipped.value.hits(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(hits, pa.list_(pa.int32()))], ["toxic", "fold", "hits"]
-            )
-
-    rows = map_arrow(known, find, "toxic int, fold int, hits array<int>").collect()
-    rows = sorted((r["toxic"], r["fold"], sorted(r["hits"])) for r in rows)
-    toxic = np.array([r[0] for r in rows], float)
-    many = np.array([len(r[2]) >= DENSE for r in rows], bool)
-    categories = np.stack([toxic * many, toxic * ~many, toxic], 1) if rows else np.zeros((0, 3))
-    weights = fit_chain(empty.matrix([r[2] for r in rows]), categories, np.array([r[1] for r in rows]))
-    return Chain(empty.categories, index, weights)
+            hits = [sorted(shipped.value.hits(t)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(hits, pa.list_(pa.int32()))], ["fold", "label", "weight", "hits"])
+
+    found = map_arrow(known.select("text", "fold", "label", "weight"), find, "fold int, label int, weight double, hits array<int>").collect()
+    found = sorted((r["label"], r["fold"], r["hits"], r["weight"]) for r in found)
+    y = np.array([[r[0] >> k & 1 for k in range(len(names))] for r in found], float).reshape(len(found), len(names))
+    x = Chain(names, every, ()).matrix([r[2] for r in found])
+    columns = {f: [every[m] for m in some] for f, some in marks.items()}
+    weight = np.array([r[3] for r in found])
+    weights, unseen = fit_chain(x, y, np.array([r[1] for r in found], int), weight, columns)
+    right = float(np.average((unseen[:, -1] >= 0.5) == (y[:, -1] == 1), weights=weight)) if found else 0.0
+    return Chain(names, {f: i for i, f in enumerate(marks[-1])}, weights, right, len(found))
 
 
 def score_documents(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -87,6 +87,7 @@ def test_toxicity_learns_for_unseen_rows(middle):
     chain = toxicity.fit(docs, seen)
     rows = toxicity.score_documents(docs, chain).join(labels.withColumnRenamed("toxic", "label").join(seen, "doc_id", "left_anti"), "doc_id").collect()
     assert np.mean([r["toxic"] == r["label"] for r in rows]) > 0.95
+    assert chain.unseen_right > 0.92 and chain.unseen_rows == seen.count()
 
 
 def test_chain_uses_earlier_probabilities():
@@ -95,7 +96,8 @@ def test_chain_uses_earlier_probabilities():
     first = x[:, 0]
     y = np.stack([first, first * x[:, 1], np.zeros(600)], 1)
     folds = np.arange(600) % 5
-    weights = toxicity.fit_chain(x, y, folds)
+    weights, unseen = toxicity.fit_chain(x, y, folds, np.ones(600))
+    assert ((unseen >= 0.5) == (y == 1)).all()
     assert [len(w) for w in weights] == [5, 6, 7]
     p = toxicity.Chain(("a", "b", "c"), {}, weights).probabilities(x)
     assert ((p >= 0.5) == (y == 1)).all()
@@ -105,7 +107,7 @@ def test_toxicity_of_odd_documents(odd, none, middle):
     chain = toxicity.fit(*middle)
     assert toxicity.score_documents(odd, chain).where("toxic = 1").count() == 0
     assert toxicity.score_documents(none, chain).count() == 0
-    blank = toxicity.fit(none, none.select("doc_id", F.lit(1).alias("toxic")))
+    blank = toxicity.fit(none, none.select("doc_id", F.lit(1).alias("toxic"), F.lit(1).alias("quality")))
     assert toxicity.score_documents(odd, blank).where("toxic = 0").count() == len(odd_documents())
 
 
