@@ -6,16 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def equal_split(df: DataFrame, parts: int, order: list[Column], lanes: int = 64) -> DataFrame:
+#: Rows that one task ranks, about.
+LANE_ROWS = 1_000_000
+
+
+def equal_split(df: DataFrame, parts: int, order: list[Column], lanes: int | None = None) -> DataFrame:
     """Add ``part``: equal counts of the ordered rows, the small parts first.
 
     Part k takes floor(what is left / parts left). Rows are ranked without
     meeting in one task: they are dealt into range partitions, ranked there,
-    and shifted by what precedes each partition. Counts of partitions, of which
-    there are ``lanes``, are all that reaches the driver.
+    and shifted by what precedes each partition. Counts of partitions are all
+    that reaches the driver; there is one for LANE_ROWS rows, or ``lanes``.
     """
     from ..plans.lineage import cut
 
+    lanes = lanes or max(8, df.count() // LANE_ROWS)
     dealt = cut(df.repartitionByRange(lanes, *order).withColumn("lane", F.spark_partition_id()))
     sizes = {r["lane"]: r["n"] for r in dealt.groupBy("lane").agg(F.count(F.lit(1)).alias("n")).collect()}
     total, ahead, starts = sum(sizes.values()), 0, {}

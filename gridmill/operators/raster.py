@@ -98,9 +98,9 @@ def closed_only(paths: DataFrame) -> DataFrame:
     return paths.where("closed")
 
 
-def main_first(paths: DataFrame, name: str) -> DataFrame:
-    """Swap the named path with path 0 and mark it; without such a path nothing changes."""
-    main = paths.where(F.col("name") == name).agg(F.min("path").alias("main"))
+def main_first(paths: DataFrame, main: str | Column) -> DataFrame:
+    """Swap the main path, given by its name or by a condition, with path 0 and mark it; without such a path nothing changes."""
+    main = paths.where(F.col("name") == main if isinstance(main, str) else main).agg(F.min("path").alias("main"))
     marked = paths.join(F.broadcast(main))  # an aggregate without keys: one row
     path = F.when(F.col("main").isNull(), F.col("path")).when(F.col("path") == F.col("main"), 0).when(F.col("path") == 0, F.col("main"))
     return marked.withColumns({"is_main": F.coalesce(F.col("path") == F.col("main"), F.lit(False)), "path": path.otherwise(F.col("path"))}).drop("main")

@@ -81,7 +81,7 @@ def sample_grid(spark: SparkSession, gx: int, gy: int, per_cell: int = POINTS_PE
 
 def cached_points(spark: SparkSession, folder: str, gx: int, gy: int, per_cell: int = POINTS_PER_CELL) -> DataFrame:
     """Points of a grid from the cache, or made and put there."""
-    path = f"{folder}/point_cache_{gx:05d}_{gy:05d}"
+    path = f"{folder}/point_cache_{gx:05d}_{gy:05d}_{per_cell:03d}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
         sample_grid(spark, gx, gy, per_cell).write.mode("overwrite").parquet(path)

@@ -275,7 +275,7 @@ def flow_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fields.with_norm(c).select("x", "y", "norm"), "norm")
 
 
-_SEGMENTS = "seg AS (SELECT CAST(p_partkey AS INTEGER) AS seg, p_size AS x0, p_size + 2.5 AS x1, p_retailprice / 10 AS x2, p_size * 2 AS x3, p_retailprice / 20 AS y0, p_size * 1.5 AS y1, p_size + 7 AS y2, 40 - p_size AS y3 FROM part WHERE p_partkey <= 200)"
+_SEGMENTS = "seg AS (SELECT CAST(p_partkey AS INTEGER) AS seg, p_size AS x0, p_size + 2.5 AS x1, p_retailprice / 10 AS x2, p_size * 2 AS x3, p_retailprice / 20 AS y0, p_size * 1.5 AS y1, p_size + 7 AS y2, 40 - p_size AS y3 FROM part)"
 
 
 @query(
@@ -347,9 +347,8 @@ def shoelace(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def main_path_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = a.table(spark, sf_dir, "nation")
-    main = nation.where("n_nationkey = 7").first()["n_name"]
     paths = nation.select(F.col("n_nationkey").alias("path"), F.col("n_name").alias("name"), ((F.col("n_regionkey") != 4) | (F.col("n_nationkey") == 7)).alias("closed"))
-    return raster.main_first(raster.closed_only(paths), main).select("path", "name", "is_main")
+    return raster.main_first(raster.closed_only(paths), F.col("path") == 7).select("path", "name", "is_main")
 
 
 @query(
@@ -367,8 +366,8 @@ def frame_time_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT CAST(floor(epoch(ts) / 43200) - 19723 * 2 AS INTEGER) AS frame, CAST(user_id % 7 AS INTEGER) AS region, value FROM events WHERE event_type <> 'click'),
-f AS (SELECT frame, region, sum(value) AS fx, sum(-value / 2) AS fy FROM e WHERE frame % 3 <> 1 GROUP BY frame, region),
+    """WITH e AS (SELECT CAST(floor(epoch(ts) / 43200) - 19723 * 2 AS INTEGER) AS frame, CAST(user_id % 7 AS INTEGER) AS region, value FROM events),
+f AS (SELECT frame, region, sum(value) AS fx, sum(-value / 2) AS fy FROM e GROUP BY frame, region),
 g AS (SELECT CAST(frame AS INTEGER) AS frame, CAST(region AS INTEGER) AS region FROM (SELECT unnest(range(0, (SELECT max(frame) + 1 FROM f))) AS frame), (SELECT range AS region FROM range(10)))
 SELECT frame, region, """
     + f"{sql6('coalesce(fx, 0)', 4)} AS fx, {sql6('coalesce(fy, 0)', 4)} AS fy FROM g LEFT JOIN f USING (frame, region)"
@@ -444,5 +443,5 @@ def water_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def poisson_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points of a small grid; their number and least distance are tested."""
-    return sampling.sample_grid(spark, 24, 16)
+    """Points of the grid; their number and least distance are tested."""
+    return sampling.sample_grid(spark, GX, GY)

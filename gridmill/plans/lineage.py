@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint into the folder of spark.checkpoint.dir; into a temporary one only where none is set."""
+    """Checkpoint into the folder of spark.checkpoint.dir.
+
+    A temporary folder stands in only where none is named and everything runs
+    in one process, as in tests: elsewhere executors wouldn't share it.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridmill-checkpoint-"))
     return df.checkpoint(eager=True)

@@ -214,7 +214,7 @@ def test_path_ids(spark, tmp_path):
 
 def test_two_steps_conserve_particles(spark):
     p = adapters.particles(spark, SF)
-    out = step.run_steps(p, adapters.cells(spark), PRM, 2, adapters.GX, adapters.GY)
+    out = step.run_steps(p, adapters.cells(spark), PRM, 2, adapters.GX, adapters.GY).particles
     assert out.count() == p.count() and out.columns == p.columns
     assert out.where("abs(fx) > 0.5 OR abs(fy) > 0.5 OR isnan(fe00)").count() == 0
 
