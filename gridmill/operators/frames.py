@@ -72,3 +72,36 @@ def write_path_ids(path_ids: DataFrame, path: str) -> None:
 
 def read_path_ids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, schema="k int, name string", header=False)
+
+
+def write_map(pixels: DataFrame, path: str) -> None:
+    """Store a prepared map: path index, normal, ice status and thickness of every pixel."""
+    rows = pixels.withColumns({c: F.lit(0.0) for c in ("nx", "ny") if c not in pixels.columns})
+    rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.MAP_PX.fields]).write.mode("overwrite").parquet(path)
+
+
+def read_map(spark: SparkSession, path: str) -> DataFrame:
+    return schema.checked(spark.read.parquet(path), schema.MAP_PX, "the map")
+
+
+def write_flow(flow: DataFrame, path: str) -> None:
+    """Store flow(x, y, vx, vy) with the norm of each velocity."""
+    rows = flow.withColumn("norm", F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")))
+    rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.FLOW.fields]).write.mode("overwrite").parquet(path)
+
+
+def read_flow(spark: SparkSession, path: str) -> DataFrame:
+    return schema.checked(spark.read.parquet(path), schema.FLOW, "the flow")
+
+
+def write_point_colours(points: DataFrame, path: str) -> None:
+    """Store the colours of points(pid, r, g, b), packed into one number each."""
+    packed = F.shiftleft("r", 16).bitwiseOR(F.shiftleft("g", 8)).bitwiseOR(F.col("b"))
+    points.select(F.col("pid").cast("long"), packed.cast("int").alias("rgb")).write.mode("overwrite").parquet(path)
+
+
+def with_point_colours(particles: DataFrame, colours: DataFrame) -> DataFrame:
+    """Particles with the colours of their points, by an equi-join on pid; black where a point has none."""
+    rgb = F.coalesce("rgb", F.lit(0))
+    channels = {c: F.shiftright(rgb, by).bitwiseAND(0xFF) for c, by in (("r", 16), ("g", 8), ("b", 0))}
+    return particles.drop(*"rgb").join(colours.select("pid", "rgb"), "pid", "left").withColumns(channels).drop("rgb")

@@ -39,6 +39,11 @@ def equal_split(df: DataFrame, parts: int, order: list[Column], lanes: int | Non
     return dealt.withColumn("rank", rank).withColumn("part", part).drop("lane", "rank")
 
 
+def find_cell(particles: DataFrame, i: int, j: int) -> DataFrame:
+    """Particles of one cell. Where they are stored as ``squeeze`` lays them out, files and row groups of other cells are skipped."""
+    return particles.where((F.col("ci") == i) & (F.col("cj") == j))
+
+
 def squeeze(particles: DataFrame) -> DataFrame:
     """Drop disabled particles and lay the rest out by cell: range partitions, sorted within."""
     return particles.where(~F.col("disabled")).repartitionByRange("ci", "cj").sortWithinPartitions("ci", "cj")

@@ -24,23 +24,31 @@ def bezier_slope(t: Column, points: tuple[str, str, str, str]) -> Column:
 X, Y = ("x0", "x1", "x2", "x3"), ("y0", "y1", "y2", "y3")
 
 
-def sample_curves(segments: DataFrame, steps: int) -> DataFrame:
-    """(path, seg, k, x, y, tx, ty): points and unit tangents at t = k / steps of each segment."""
-    at = segments.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps))))
-    t = F.col("k") / steps
+def sample_curves(segments: DataFrame, steps: int | Column) -> DataFrame:
+    """(path, seg, k, steps, x, y, tx, ty): points and unit tangents at t = k / steps of each segment."""
+    at = segments.withColumn("steps", F.lit(steps) if isinstance(steps, int) else steps)
+    at = at.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("steps").cast("int"))))
+    t = F.col("k") / F.col("steps")
     sampled = at.withColumns({"x": bezier(t, X), "y": bezier(t, Y), "sx": bezier_slope(t, X), "sy": bezier_slope(t, Y)})
     long_ = F.sqrt(F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy"))
     unit = [F.coalesce(F.try_divide(F.col(s), long_), F.lit(0.0)).alias(n) for s, n in (("sx", "tx"), ("sy", "ty"))]
-    return sampled.select("path", "seg", "k", "x", "y", *unit)
+    return sampled.select("path", "seg", "k", "steps", "x", "y", *unit)
 
 
-def outline(segments: DataFrame, steps: int) -> DataFrame:
-    """(path, seq, x, y): the distinct consecutive pixels of densely sampled curves."""
-    points = sample_curves(segments, steps).select(
-        "path", (F.col("seg") * (steps + 1) + F.col("k")).alias("seq"), F.floor("x").cast("int").alias("x"), F.floor("y").cast("int").alias("y")
-    )
-    order = Window.partitionBy("path").orderBy("seq")
-    before = F.lag(F.struct("x", "y")).over(order)
+def steps_without_gaps() -> Column:
+    """Steps of a segment after which neighbouring points are a pixel apart at most, along either axis.
+
+    A coordinate's slope is three times a mix of the differences of its control
+    points, so it is three times the largest of them at most.
+    """
+    leaps = [F.abs(F.col(b) - F.col(a)) for axis in (X, Y) for a, b in zip(axis, axis[1:], strict=False)]
+    return F.greatest(F.ceil(3 * F.greatest(*leaps)), F.lit(1)).cast("int")
+
+
+def outline(segments: DataFrame) -> DataFrame:
+    """(path, seg, k, x, y): the consecutive pixels of curves, each touching the next."""
+    points = sample_curves(segments, steps_without_gaps()).select("path", "seg", "k", F.floor("x").cast("int").alias("x"), F.floor("y").cast("int").alias("y"))
+    before = F.lag(F.struct("x", "y")).over(Window.partitionBy("path").orderBy("seg", "k"))
     return points.withColumn("before", before).where(~F.struct("x", "y").eqNullSafe(F.col("before"))).drop("before")
 
 

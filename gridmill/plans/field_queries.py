@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import cells as cell
 from ..functions import color, naming
 from ..operators import classify, fields, frames, raster, sampling
+from ..sources import mesh
 from . import adapters as a
 from .adapters import CELLS, COLOURS, GX, GY, IMAGE, MAP_PX, OPEN_WATER, PARTICLES, POLYGON_SQL, SOLID, STENCIL, sql6
 from .particle_queries import _FRAME, _MASKED, _NUDGE, _blend, _frame, _masked, rounded
@@ -291,7 +292,35 @@ def bezier_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
         s.alias("x0"), (s + 2.5).alias("x1"), (r / 10).alias("x2"), (s * 2).alias("x3"),
         (r / 20).alias("y0"), (s * 1.5).alias("y1"), (s + 7).alias("y2"), (40 - s).alias("y3"),
     )
-    return rounded(rounded(raster.sample_curves(seg, 8).drop("path"), "x", "y", digits=11), "tx", "ty")
+    return rounded(rounded(raster.sample_curves(seg, 8).drop("path", "steps"), "x", "y", digits=11), "tx", "ty")
+
+
+def _curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, r = F.col("p_size").cast("double"), F.col("p_retailprice")
+    return a.table(spark, sf_dir, "part").select(
+        (F.col("p_partkey") % 40).cast("int").alias("path"), F.col("p_partkey").cast("int").alias("seg"),
+        s.alias("x0"), (s + 2.5).alias("x1"), (r / 10).alias("x2"), (s * 2).alias("x3"),
+        (r / 20).alias("y0"), (s * 1.5).alias("y1"), (s + 7).alias("y2"), (40 - s).alias("y3"),
+    )
+
+
+def _bezier_sql(c: str) -> str:
+    s = "(1 - t)"
+    return f"{s} * {s} * {s} * {c}0 + 3 * {s} * {s} * t * {c}1 + 3 * {s} * t * t * {c}2 + t * t * t * {c}3"
+
+
+_LEAPS = ", ".join(f"abs({c}{k + 1} - {c}{k})" for c in "xy" for k in range(3))
+
+
+@query(
+    f"""WITH {_SEGMENTS}, n AS (SELECT *, seg % 40 AS path, greatest(CAST(ceil(3 * greatest({_LEAPS})) AS INTEGER), 1) AS steps FROM seg),
+k AS (SELECT *, CAST(k AS DOUBLE) / steps AS t FROM (SELECT *, CAST(unnest(range(0, steps + 1)) AS INTEGER) AS k FROM n)),
+px AS (SELECT path, seg, k, CAST(floor({_bezier_sql('x')}) AS INTEGER) AS x, CAST(floor({_bezier_sql('y')}) AS INTEGER) AS y FROM k),
+b AS (SELECT *, lag(x) OVER o AS bx, lag(y) OVER o AS by_ FROM px WINDOW o AS (PARTITION BY path ORDER BY seg, k))
+SELECT path, seg, k, x, y FROM b WHERE bx IS NULL OR x <> bx OR y <> by_"""
+)
+def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.outline(_curves(spark, sf_dir))
 
 
 _FILLED = """
@@ -413,6 +442,72 @@ def mesh_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fields.probe(t, GX, GY, ["s"]), "s", digits=4)
 
 
+@query(
+    """SELECT k AS cell_id, CAST(c_nationkey AS INTEGER) AS zone, 3 AS type, [k * 4 + 2, k * 4 + 3, k * 4, k * 4 + 1] AS nodes
+FROM (SELECT *, c_custkey + 1 AS k FROM customer) WHERE c_nationkey <> 7"""
+)
+def mesh_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quadrilateral for each customer, from edges in mixed order and direction; those of nation 7 are refined away."""
+    c = a.table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1).cast("long").alias("k"), F.col("c_nationkey").alias("zone"))
+    corner = [F.col("k") * 4 + n for n in range(4)]
+    edges = [(corner[2], corner[3], True), (corner[1], corner[0], False), (corner[0], corner[3], False), (corner[1], corner[2], True)]
+    none = F.lit(0).cast("long")
+    faces = c.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        (F.col("k") * 4 + at).alias("face_id"), F.array(x, y).alias("nodes"),
+                        (F.col("k") if mine else none).alias("c0"), (none if mine else F.col("k")).alias("c1"),
+                    )
+                    for at, (x, y, mine) in enumerate(edges)
+                ]
+            )
+        )
+    )
+    cells = c.select(F.col("k").alias("cell_id"), F.col("zone").cast("int").alias("zone"), F.lit(3).alias("type"))
+    return mesh.require_complete(mesh.cells_from_faces(faces, cells, cells.where("zone = 7")))
+
+
+@query(
+    f"""WITH {CELLS}, q AS (SELECT c_custkey AS cell_id, c_custkey * 7 % 100 AS x, c_custkey * 5 % 40 AS y, c_acctbal AS s FROM customer),
+t AS (
+  SELECT cell_id, x AS ax, y AS ay, x + 9 AS bx, y + 1 AS by_, x + 8 AS cx, y + 6 AS cy, s AS sa, s * 2 AS sb, s + 100 AS sc FROM q
+  UNION ALL SELECT cell_id, x, y, x + 8, y + 6, x + 1, y + 7, s, s + 100, s - 50 FROM q
+), b AS (
+  SELECT t.*, i AS x, j AS y, ((by_ - cy) * (i - cx) + (cx - bx) * (j - cy)) / CAST((by_ - cy) * (ax - cx) + (cx - bx) * (ay - cy) AS DOUBLE) AS u,
+         ((cy - ay) * (i - cx) + (ax - cx) * (j - cy)) / CAST((by_ - cy) * (ax - cx) + (cx - bx) * (ay - cy) AS DOUBLE) AS v FROM t, cells
+) SELECT x, y, {sql6('any_value(u * sa + v * sb + (1 - u - v) * sc)', 4)} AS s FROM b WHERE u >= 0 AND v >= 0 AND 1 - u - v >= 0
+GROUP BY x, y, cell_id QUALIFY row_number() OVER (PARTITION BY x, y ORDER BY cell_id) = 1"""
+)
+def mesh_probe_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of quadrilaterals at pixels, each as a fan of triangles."""
+    k = F.col("c_custkey")
+    c = a.table(spark, sf_dir, "customer").select(k.alias("cell_id"), (k * 7 % 100).alias("x"), (k * 5 % 40).alias("y"), F.col("c_acctbal").alias("s"))
+    s, corners = F.col("s"), ((0, 0), (9, 1), (8, 6), (1, 7))
+    values = (s, s * 2, s + 100, s - 50)
+    nodes = c.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct((F.col("cell_id") * 4 + n).alias("node_id"), (F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), v.alias("s"))
+                    for n, ((dx, dy), v) in enumerate(zip(corners, values, strict=True))
+                ]
+            )
+        )
+    )
+    quads = c.select("cell_id", F.array(*[F.col("cell_id") * 4 + n for n in range(4)]).alias("nodes"))
+    return rounded(fields.probe(mesh.triangles(quads, nodes, ["s"]), GX, GY, ["s"]), "s", digits=4)
+
+
+@query(
+    f"WITH {CELLS} SELECT CAST(count(*) FILTER (WHERE cvx * 3 + 0.5 <> 0) AS BIGINT) AS nonzero FROM cells"
+)
+def require_nonzero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = fields.transform_mesh(a.cells(spark).select(F.col("cvx").alias("x"), F.col("cvy").alias("y")), 3.0, 0.5, -1.0)
+    return fields.require_nonzero(moved, "x")
+
+
 _U32 = 4294967296
 
 

@@ -445,6 +445,12 @@ def equal_count_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min(code).alias("first_cell"), F.max(code).alias("last_cell"))
 
 
+@query(f"WITH {PARTICLES} SELECT okey, line, {sql6('fx')} AS fx, {sql6('fy')} AS fy FROM p WHERE ci = 31 AND cj = 12")
+def cell_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points of one cell."""
+    return rounded(partition.find_cell(a.particles(spark, sf_dir), 31, 12).select("okey", "line", "fx", "fy"), "fx", "fy")
+
+
 @query(f"WITH {PARTICLES} SELECT okey, line, ci, cj FROM p WHERE NOT disabled")
 def squeeze_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partition.squeeze(a.particles(spark, sf_dir)).select("okey", "line", "ci", "cj")

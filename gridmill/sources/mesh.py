@@ -4,23 +4,61 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Cell types and their numbers of nodes; 7 is a polyhedron of any number.
 CELL_NODES = {1: 3, 2: 4, 3: 4, 4: 8, 5: 5, 6: 6}
 
 
-def cells_from_faces(faces: DataFrame, cells: DataFrame, parents: DataFrame | None = None) -> DataFrame:
-    """cells(cell_id, zone, type) with their distinct nodes from faces(face_id, nodes, c0, c1).
+def cells_from_faces(faces: DataFrame, cells: DataFrame, parents: DataFrame | None = None, children: DataFrame | None = None) -> DataFrame:
+    """cells(cell_id, zone, type) with their nodes in order, from faces(face_id, nodes, c0, c1).
 
-    A face belongs to the cells on its two sides (0: none). Cells that were
-    refined into others, parents(cell_id), are dropped.
+    A face belongs to the cells on its two sides (0: none) and runs forward as
+    seen from c0. The nodes of a flat cell, whose faces are edges, are the ring
+    that begins with its first face. Those of a solid are its first face's,
+    then the others in the order of faces. Cells that were refined into others,
+    parents(cell_id), and faces that are parts of others, children(face_id),
+    are dropped.
     """
-    sides = faces.select("nodes", F.explode(F.array("c0", "c1")).alias("cell_id")).where("cell_id <> 0")
-    nodes = sides.groupBy("cell_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("nodes")))).alias("nodes"))
+    whole = faces if children is None else faces.join(children.select("face_id"), "face_id", "left_anti")
+    forward, back = F.struct(F.col("c0").alias("cell_id"), F.col("nodes").alias("run")), F.struct("c1", F.reverse("nodes"))
+    sides = whole.select("face_id", F.inline(F.array(forward, back.cast("struct<cell_id:bigint,run:array<bigint>>")))).where("cell_id <> 0")
+    runs = sides.groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("face_id", "run"))).alias("runs"))
+    runs = runs.select("cell_id", F.transform("runs", lambda r: r["run"]).alias("runs"))
+    flat = F.forall("runs", lambda r: F.size(r) == 2)
+    nodes = F.when(flat, _ring(F.col("runs"))).otherwise(F.array_distinct(F.flatten("runs")))
     live = cells if parents is None else cells.join(parents.select("cell_id"), "cell_id", "left_anti")
-    return live.join(nodes, "cell_id")
+    return live.join(runs.select("cell_id", nodes.alias("nodes")), "cell_id")
+
+
+def _ring(edges: Column) -> Column:
+    """Nodes of edges in the order in which they join, from the first edge on."""
+
+    def grow(ring: Column, _: Column) -> Column:
+        last = F.element_at(ring, -1)
+        ends = F.transform(
+            edges, lambda e: F.when(e[0] == last, e[1]).when(e[1] == last, e[0])
+        )
+        fresh = F.filter(ends, lambda n: n.isNotNull() & ~F.array_contains(ring, n))
+        return F.when(F.size(fresh) > 0, F.concat(ring, F.slice(fresh, 1, 1))).otherwise(ring)
+
+    return F.aggregate(F.slice(edges, 3, F.greatest(F.size(edges) - 2, F.lit(0))), edges[0], grow)
+
+
+def triangles(cells: DataFrame, nodes: DataFrame, names: list[str]) -> DataFrame:
+    """Flat cells(cell_id, nodes) as the triangles of ``fields.probe``: a fan from each cell's first node.
+
+    nodes(node_id, x, y, names…).
+    """
+    fan = cells.select("cell_id", F.explode(F.sequence(F.lit(2), F.size("nodes") - 1)).alias("k"), "nodes")
+    corners = fan.select("cell_id", "k", *[F.element_at("nodes", F.lit(1) if c == "a" else F.col("k") + at).alias(f"{c}_id") for c, at in (("a", 0), ("b", 0), ("c", 1))])
+    for c in "abc":
+        place = nodes.select(
+            F.col("node_id").alias(f"{c}_id"), F.col("x").alias(f"{c}x"), F.col("y").alias(f"{c}y"), *[F.col(n).alias(f"{c}_{n}") for n in names]
+        )
+        corners = corners.join(place, f"{c}_id")
+    return corners.drop("k", "a_id", "b_id", "c_id")
 
 
 def require_complete(cells: DataFrame) -> DataFrame:
@@ -36,8 +74,8 @@ def field_names(header: str) -> list[str]:
 
 
 def phase_name(phase: int, name: str) -> str:
-    """Fields of the first phase keep their names."""
-    return name if phase == 1 else f"phase_{phase}-{name}"
+    """Fields of the first phase keep their names; those of the second are named after phase 1, and so on."""
+    return name if phase == 1 else f"phase_{phase - 1}-{name}"
 
 
 def join_sections(sections: list[DataFrame], wanted: list[str] | None = None) -> DataFrame:

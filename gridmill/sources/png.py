@@ -38,34 +38,29 @@ def decode(data: bytes) -> np.ndarray:
         raise ValueError("only 8-bit PNGs without palette or interlacing are read")
     n = _CHANNELS[colour]
     rows = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(height, 1 + width * n)
-    out = np.zeros((height + 1, width, n), np.uint8)  # a blank row above the first
-    for y in range(height):
-        line, above = rows[y, 1:].reshape(width, n), out[y]
-        out[y + 1] = _unfiltered(int(rows[y, 0]), line, above)
-    return out[1:]
-
-
-def _unfiltered(kind: int, line: np.ndarray, above: np.ndarray) -> np.ndarray:
-    if kind == 0:
-        return line
-    if kind == 1:
-        return np.cumsum(line, 0, dtype=np.uint8)
-    if kind == 2:
-        return line + above
-    done = np.zeros((len(line) + 1, line.shape[1]), np.int64)
-    up, corner = above.astype(np.int64), np.vstack([np.zeros((1, line.shape[1]), np.int64), above[:-1]])
-    for x in range(len(line)):
-        left = done[x]
-        if kind == 3:
-            guess = (left + up[x]) // 2
-        elif kind == 4:
-            p = left + up[x] - corner[x]
-            a, b, c = abs(p - left), abs(p - up[x]), abs(p - corner[x])
-            guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up[x], corner[x]))
-        else:
-            raise ValueError(f"unknown PNG filter {kind}")
-        done[x + 1] = (line[x] + guess) & 0xFF
-    return done[1:].astype(np.uint8)
+    return _unfiltered(rows[:, 0], rows[:, 1:].reshape(height, width, n))
+
+
+def _unfiltered(kinds: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """Samples of filtered lines.
+
+    A sample follows from those to its left, above and at the corner between,
+    so all samples of an anti-diagonal are found at once.
+    """
+    if np.any(kinds > 4):
+        raise ValueError(f"unknown PNG filter {int(kinds.max())}")
+    height, width, n = lines.shape
+    done = np.zeros((height + 1, width + 1, n), np.int16)  # blank above the first line and before the first column
+    for t in range(width + height - 1):
+        y = np.arange(max(0, t - width + 1), min(height - 1, t) + 1)
+        x, kind = t - y, kinds[y][:, None]
+        left, up, corner = done[y + 1, x], done[y, x + 1], done[y, x]
+        p = left + up - corner
+        a, b, c = np.abs(p - left), np.abs(p - up), np.abs(p - corner)
+        paeth = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+        guess = np.select([kind == 1, kind == 2, kind == 3, kind == 4], [left, up, (left + up) // 2, paeth], 0)
+        done[y + 1, x + 1] = (lines[y, x] + guess) & 0xFF
+    return done[1:, 1:].astype(np.uint8)
 
 
 def encode(pixels: np.ndarray) -> bytes:

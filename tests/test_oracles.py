@@ -38,7 +38,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_query_has_a_check():
-    assert set(registry.QUERIES) - set(registry.ORACLES) == {"step_k", "poisson_disk"}
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"step_k", "force_accumulate_k", "poisson_disk"}
 
 
 def test_entry(spark):
