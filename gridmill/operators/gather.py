@@ -16,6 +16,10 @@ from ..functions.stencil import STENCIL, weight2
 from ..params import SimParams
 
 
+#: Cells whose stencils are broadcast at most: of 19 numbers each.
+BROADCAST_CELLS = 100_000
+
+
 def stencils(grid: DataFrame, columns: tuple[str, ...] = ("vx", "vy")) -> DataFrame:
     """(ci, cj, c_0 … c_8 for each column c): the nodes around every cell that has any."""
     spread = grid.select(
@@ -39,10 +43,18 @@ def _node(c: str, k: int) -> Column:
     return F.coalesce(F.col(f"{c}_{k}"), F.lit(0.0))
 
 
-def gather(particles: DataFrame, grid: DataFrame, prm: SimParams) -> DataFrame:
-    """Particles with velocity (gvx, gvy) and velocity gradient gb00 … gb11 of their nodes."""
+def gather(particles: DataFrame, grid: DataFrame, prm: SimParams, size: tuple[int, int] | None = None) -> DataFrame:
+    """Particles with velocity (gvx, gvy) and velocity gradient gb00 … gb11 of their nodes.
+
+    ``size``: the grid's extent where it is known; cells beyond its rim have no
+    nodes then. Up to BROADCAST_CELLS cells go to the particles, which needn't
+    be shuffled; a larger grid meets them in a shuffle join.
+    """
     fx, fy = F.col("fx"), F.col("fy")
-    joined = particles.join(stencils(grid), ["ci", "cj"], "left")
+    around = stencils(grid)
+    if size and (size[0] + 2) * (size[1] + 2) <= BROADCAST_CELLS:
+        around = F.broadcast(around.where(F.col("ci").between(-1, size[0]) & F.col("cj").between(-1, size[1])))
+    joined = particles.join(around, ["ci", "cj"], "left")
     scale = 4 / prm.cellsize
 
     def total(value) -> Column:
@@ -98,5 +110,5 @@ def update_particles(particles: DataFrame, grid: DataFrame, prm: SimParams, gx:
     """One grid-to-particle step; disabled particles stay as they are."""
     columns = particles.columns
     live = particles.where(~F.col("disabled")).withColumns({"old_ci": F.col("ci"), "old_cj": F.col("cj")})
-    moved = leave_rim(advance(gather(live, grid, prm), prm), gx, gy)
+    moved = leave_rim(advance(gather(live, grid, prm, (gx, gy)), prm), gx, gy)
     return settle(moved, prm).select(*columns).unionByName(particles.where("disabled"))

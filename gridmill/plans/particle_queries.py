@@ -308,7 +308,7 @@ def _velocities(spark: SparkSession) -> DataFrame:
     + " FROM r JOIN got USING (rid)"
 )
 def gather_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = gather.gather(a.particles(spark, sf_dir), _velocities(spark), PRM)
+    g = gather.gather(a.particles(spark, sf_dir), _velocities(spark), PRM, (GX, GY))
     names = {"gvx": "vx", "gvy": "vy", **{f"gb{k}": f"b{k}" for k in ("00", "01", "10", "11")}}
     out = g.select("okey", "line", *[F.col(c).alias(n) for c, n in names.items()])
     return rounded(out, *names.values(), digits=9)
@@ -329,7 +329,7 @@ FROM m"""
 def advect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Velocities are scaled up so that particles do leave their cells."""
     fast = _velocities(spark).withColumns({c: F.col(c) * 5000 for c in ("vx", "vy")})
-    out = gather.advance(gather.gather(a.particles(spark, sf_dir), fast, PRM), PRM)
+    out = gather.advance(gather.gather(a.particles(spark, sf_dir), fast, PRM, (GX, GY)), PRM)
     names = ("fx", "fy", "fe00", "fe01", "fe10", "fe11")
     return rounded(out.select("okey", "line", "ci", "cj", *names), *names, digits=9)
 
