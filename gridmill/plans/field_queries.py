@@ -443,7 +443,7 @@ def mesh_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT k AS cell_id, CAST(c_nationkey AS INTEGER) AS zone, 3 AS type, [k * 4 + 2, k * 4 + 3, k * 4, k * 4 + 1] AS nodes
+    """SELECT k AS cell_id, CAST(c_nationkey AS INTEGER) AS zone, 3 AS type, concat_ws(' ', k * 4 + 2, k * 4 + 3, k * 4, k * 4 + 1) AS nodes
 FROM (SELECT *, c_custkey + 1 AS k FROM customer) WHERE c_nationkey <> 7"""
 )
 def mesh_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -466,7 +466,8 @@ def mesh_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     cells = c.select(F.col("k").alias("cell_id"), F.col("zone").cast("int").alias("zone"), F.lit(3).alias("type"))
-    return mesh.require_complete(mesh.cells_from_faces(faces, cells, cells.where("zone = 7")))
+    whole = mesh.require_complete(mesh.cells_from_faces(faces, cells, cells.where("zone = 7")))
+    return whole.withColumn("nodes", F.array_join(F.col("nodes").cast("array<string>"), " "))
 
 
 @query(
