@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame. Its output is
 written as Parquet and read again as the next stage's docs. All but the last
-return the columns of documents.
+return the columns of documents, extra ones untouched whatever their names.
+Null and empty texts, repeated rows, empty tables and very long texts pass
+through: each stage gives what its operator's module defines for them.
 """
 
 from __future__ import annotations
@@ -29,8 +31,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove lines that match an earlier line; every document stays."""
-    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Remove lines that match an earlier line; every document stays, and its n_chars, where it has one, is counted anew."""
+    out = dedup_lines(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

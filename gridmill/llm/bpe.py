@@ -4,14 +4,16 @@ A word's symbols are the leaves of a segment tree that holds, for each symbol,
 the rank of the merge with its right neighbour. The root yields the leftmost
 merge of lowest rank; a merge changes three leaves and their paths, so a word
 of m symbols takes O(m log m). Trees of words of like length are kept as rows
-of one array and merged side by side.
+of one array and merged side by side. A long word's tree is merged rank by
+rank, all merges of the root's rank at once.
 
 The tokenizer file is read on the driver and shipped once; it is a fixed file,
 not data. Each word is encoded once per worker and batch group: a bounded cache
 maps words to their tokens.
 
 Defined results: a null text encodes as the empty one, with no tokens and an
-empty decoding. Repeated rows are encoded alike. Extra columns are ignored.
+empty decoding. Texts and words of any length are encoded whole. Repeated rows
+are encoded alike, an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from ._base import map_arrow
 
 #: Words in a worker's cache; it starts anew beyond that.
 CACHE_WORDS = 250_000
-#: Leaves in the trees that are merged side by side.
-LEAVES_AT_ONCE = 1 << 20
+#: Leaves in the trees that are merged side by side, and in the largest of these; a longer word is merged alone.
+LEAVES_AT_ONCE, LONG_WORD = 1 << 20, 256
 
 _NONE = np.int64(np.iinfo(np.int64).max)
 #: The white space of Unicode.
@@ -67,6 +69,12 @@ class Vocabulary:
         right = np.array([ids[b] for _, b in merges], np.int64)
         self.made = np.array([ids[a + b] for a, b in merges], np.int64)
         self._index(left * len(self.names) + right)
+        # A merge makes a symbol; where no pair with that symbol comes before the merge itself, as is usual, all
+        # merges of one rank that don't touch can be done at once: none of them makes way for an earlier one.
+        first_use = np.full(len(self.names), len(merges))
+        np.minimum.at(first_use, left, np.arange(len(merges)))
+        np.minimum.at(first_use, right, np.arange(len(merges)))
+        self.at_once = first_use[self.made] > np.arange(len(merges)) if len(merges) else np.zeros(0, bool)
 
     def _index(self, pairs: np.ndarray) -> None:
         """An open-addressing table from pair to rank; of equal pairs the last counts."""
@@ -110,7 +118,9 @@ class Vocabulary:
         raw = [p.encode() for p in pieces]
         width = np.array([1 << max(1, (len(b) - 1).bit_length()) for b in raw])
         out: list[np.ndarray] = [np.empty(0, np.int32)] * len(raw)
-        for w in np.unique(width):
+        for i in np.flatnonzero(width > LONG_WORD):
+            out[i] = self._merge_long(raw[i], int(width[i]))
+        for w in np.unique(width[width <= LONG_WORD]):
             same = np.flatnonzero(width == w)
             step = max(1, LEAVES_AT_ONCE // int(w))
             for at in range(0, len(same), step):
@@ -162,6 +172,51 @@ class Vocabulary:
         ids = padded[:, :width][kept].astype(np.int32)
         return np.split(ids, np.cumsum(kept.sum(1))[:-1])
 
+    def _merge_long(self, word: bytes, width: int) -> np.ndarray:
+        """Merge one long word: in its tree, all merges of the lowest rank that don't touch, the leftmost first."""
+        n, flat = len(word), np.frombuffer(word, np.uint8)
+        symbols = np.full(width + 1, -1, np.int64)  # one more: no neighbour
+        symbols[:n] = self.byte_ids[flat]
+        symbols[n - 1] = self.last_ids[flat[-1]]
+        place = np.arange(width)
+        after, before = np.where(place + 1 < n, place + 1, width), place - 1
+        tree = np.full(2 * width, _NONE, np.int64)
+        rank = self.rank(symbols[:-1], symbols[1:])
+        tree[width:] = np.where(rank < 0, _NONE, rank << 32 | place)
+        for node in range(width.bit_length() - 2, -1, -1):
+            level = np.arange(1 << node, 2 << node)
+            tree[level] = np.minimum(tree[2 * level], tree[2 * level + 1])
+        while tree[1] != _NONE:
+            rank = int(tree[1] >> 32)
+            at = self._lowest(tree, rank, width) if self.at_once[rank] else np.array([tree[1] & 0xFFFFFFFF])
+            if len(at) > 1:  # of merges that touch, every other one, from the left
+                run = np.flatnonzero(np.concatenate([[True], after[at[:-1]] != at[1:]]))
+                at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
+            gone = after[at]
+            symbols[at], symbols[gone] = self.made[rank], -1
+            after[at] = after[gone]
+            inner = after[at] < width
+            before[after[at][inner]] = at[inner]
+            prior = before[at]
+            near = np.unique(np.concatenate([at, prior[prior >= 0]]))
+            fresh = self.rank(symbols[near], symbols[after[near]])
+            tree[width + near] = np.where(fresh < 0, _NONE, fresh << 32 | near)
+            tree[width + gone] = _NONE
+            node = np.unique(np.concatenate([near, gone]) + width)
+            while node[0] > 1:
+                node = np.unique(node >> 1)
+                tree[node] = np.minimum(tree[2 * node], tree[2 * node + 1])
+        return symbols[symbols >= 0].astype(np.int32)
+
+    @staticmethod
+    def _lowest(tree: np.ndarray, rank: int, width: int) -> np.ndarray:
+        """Places of all leaves of a rank, from the root down along the nodes that have it."""
+        node = np.array([1])
+        while node[0] < width:
+            node = np.stack([2 * node, 2 * node + 1], 1).ravel()
+            node = node[tree[node] >> 32 == rank]
+        return node - width
+
     @staticmethod
     def _set(tree: np.ndarray, rows: np.ndarray, at: np.ndarray, rank: np.ndarray, width: int) -> None:
         tree[rows, width + at] = np.where(rank < 0, _NONE, rank << 32 | at)

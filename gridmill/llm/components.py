@@ -32,8 +32,8 @@ def _small_star(links: DataFrame) -> DataFrame:
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) of every node that has a link; the root is the smallest node.
 
-    Nodes of any ordered type. Links of a node with itself and repeated links
-    do no harm; an empty table gives no rows.
+    Nodes of any ordered type. Links of a node with itself, repeated links and
+    links with a null end do no harm; an empty table gives no rows.
     """
     ordered = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
     now = checkpointed(ordered)

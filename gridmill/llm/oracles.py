@@ -100,7 +100,37 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM p QUALIFY rank <= 5
 """
 
+#: Ids are taken to be unique and not null here, as in the given tables: the order of lines is that of (id, number).
+OP9_LINE_DEDUP = r"""
+WITH l AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS number FROM documents
+), s AS (
+  SELECT doc_id, number, list_sort(list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) AS words FROM l
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), d AS (  -- the first line of each set; the others match it
+  SELECT words, min((doc_id, number)) AS place, len(words) AS n FROM s GROUP BY words
+), w AS (
+  SELECT place, n, unnest(words) AS word FROM d
+), c AS (
+  SELECT word, count(*) AS often FROM w GROUP BY word
+), p AS (  -- the rarest words, of which a match must share one
+  SELECT place, n, word, row_number() OVER (PARTITION BY place ORDER BY often, word) AS pos FROM w JOIN c USING (word)
+  QUALIFY pos <= n - (4 * n + 4) // 5 + 1
+), m AS (
+  SELECT DISTINCT a.place AS later, b.place AS earlier FROM p a JOIN p b ON a.word = b.word AND b.place < a.place AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+), gone AS (
+  SELECT DISTINCT later AS place FROM m JOIN d a ON a.place = later JOIN d b ON b.place = earlier
+  WHERE 9 * len(list_intersect(a.words, b.words)) >= 4 * (a.n + b.n)
+), r AS (
+  SELECT s.doc_id, s.number FROM s JOIN d USING (words) WHERE (s.doc_id, s.number) <> d.place OR d.place IN (SELECT place FROM gone)
+)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed
+FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n_lines FROM s GROUP BY doc_id) USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n_removed, string_agg(number, ' ' ORDER BY number) AS removed FROM r GROUP BY doc_id) USING (doc_id)
+"""
+
 ORACLES = {
+    "op9_line_dedup": OP9_LINE_DEDUP,
     "op3_top_k": OP3_TOP_K,
     "op5_mix_sources": OP5_MIX_SOURCES,
     "op4_quality_rules": OP4_QUALITY_RULES,

@@ -6,7 +6,8 @@ rule adds a row to the table and a term to the projection, no stage.
 
 Defined results: a null text counts as empty; texts without words have
 n_words 0 and fail the base rule; ties and repeated rows are judged alike, row
-by row; extra columns of the input are ignored, so their names can't clash.
+by row, and texts of any length whole; an empty table gives no rows; extra
+columns of the input are ignored, so their names can't clash.
 """
 
 from __future__ import annotations

@@ -53,7 +53,8 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_report(table(spark, sf_dir, "documents"))
+    report = line_report(table(spark, sf_dir, "documents"))
+    return report.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), " "))
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -5,7 +5,8 @@ ring table. Appending a shard moves rows only into the new one, about one in
 n + 1 of them.
 
 Defined results: rows with a null key share one shard; a null text has no
-bytes (size 1, CRC 0); an empty table gives no rows. Rows equal in key, size
+bytes (size 1, CRC 0), and texts of any length count whole; an empty table
+gives no rows. Rows equal in key, size
 and checksum are interchangeable and get consecutive slots. Extra columns of
 the input are ignored.
 """

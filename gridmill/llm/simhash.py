@@ -15,7 +15,7 @@ as they can lie within the budget.
 Defined results: a null text counts as empty; texts without words have
 fingerprint 0 and are linked like any other; an empty table gives no rows. Rows
 that share id and text count as one document. A null id is passed through and
-is never the smallest. Extra columns are ignored, or kept by ``near_dedup``.
+is never the smallest. Texts of any length are read whole. Extra columns are ignored, or kept by ``near_dedup``.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from .components import components
 
 #: Fingerprints of one block value that a single task joins; more are split.
 GROUP_ROWS = 200_000
+#: Share of all rows, as one in so many, beyond which a fingerprint's class counts as large.
+MOST_LARGE = 1000
 #: Fingerprints joined side by side, and node pairs expanded at once.
 ROWS_AT_ONCE, PAIRS_AT_ONCE = 100_000, 1 << 19
 #: Words in a shingle, differing bits of a link, and the hash's seed.
@@ -252,12 +254,18 @@ def simhash_components(
     """
     prints = checkpointed(fingerprints(docs, id_col, text_col, words))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
-    classes = checkpointed(prints.groupBy("fp").agg(first.alias("first")))
+    classes = checkpointed(prints.groupBy("fp").agg(first.alias("first"), F.count(F.lit(1)).alias("n")))
     roots = components(links(classes.select("fp"), budget), "a", "b")
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     leaders = rooted.groupBy("root").agg(F.min("first").alias("leader"))
-    named = checkpointed(rooted.join(leaders, "root").select("fp", "leader"))
-    return prints.join(named, "fp").select(
+    named = checkpointed(rooted.join(leaders, "root").select("fp", "leader", "n"))
+    # Large classes, of which there are MOST_LARGE at most, go to the rows; the rows of the others go to their classes.
+    rows = named.agg(F.sum("n")).first()[0] or 0
+    large = named.where(F.col("n") > F.lit(rows // MOST_LARGE)).select("fp", "leader")
+    found = prints.join(F.broadcast(large), "fp").unionByName(
+        prints.join(F.broadcast(large), "fp", "left_anti").join(named.select("fp", "leader"), "fp").select("fp", "doc_id", "text_hash", "leader")
+    )
+    return found.select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("leader.doc_id").alias("component_id"),

@@ -130,6 +130,18 @@ def test_bpe_equals_the_library_on_random_texts(library):
         assert decoded == library.decode(want, skip_special_tokens=False)
 
 
+def test_long_words_are_merged_at_once(library):
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        vocabulary = Vocabulary(f.read())
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("etaoinshrdlu") for _ in range(n)) for n in (257, 300, 1000, 5000)]
+    texts += ["a" * n for n in (256, 257, 511, 4097)] + ["the" * 700 + "a", "ab" * 300 + "aab" * 200, "😀" * 200]
+    for at_once in (vocabulary.at_once, np.zeros_like(vocabulary.at_once)):
+        vocabulary.at_once = at_once
+        for text, (ids, _) in zip(texts, Encoder(vocabulary).encode(texts), strict=True):
+            assert np.frombuffer(ids, np.int32).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_bpe_of_odd_documents(odd, none, library):
     encoded = encode_documents(odd, tokenizer_path())
     got = collections.Counter(tuple(r) for r in token_digests(encoded).collect())
