@@ -786,6 +786,17 @@ def _matched(docs: DataFrame, levels: np.ndarray, pairs: DataFrame, id_col: str,
     return _verified(both.select("here.*", "w", "ow"))
 
 
+def _by_line(found: DataFrame) -> DataFrame:
+    """(id, place, settled, keys, others) of each line found: the lists that held more, and its candidates; chunks as they are."""
+    other = F.col("other_id").isNotNull()
+    return found.groupBy("id", "place", "chunk").agg(
+        F.max(~other).alias("settled"),
+        F.collect_set(F.when(F.col("more"), F.col("key"))).alias("keys"),
+        F.collect_set(F.when(other, F.struct("other_id", "other_place"))).alias("others"),
+        F.first("rows", True).alias("rows"),
+    )
+
+
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 0, bounds: Bounds | None = None) -> DataFrame:
     """(id, place) of every line that matches an earlier one.
 
@@ -795,18 +806,18 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = bounds or BOUNDS
     levels = word_levels(docs, text_col, words)
-    found = checkpointed(found_in_lists(listed(docs, levels, partitions * BUCKETS, id_col, text_col, words, bounds), partitions, bounds))
-    chunks = found.where("rows IS NOT NULL").select("id", "chunk", "rows")
-    found = found.where("rows IS NULL").drop("rows", "chunk")
+    found = found_in_lists(listed(docs, levels, partitions * BUCKETS, id_col, text_col, words, bounds), partitions, bounds)
+    lines = checkpointed(_by_line(found))
+    chunks = lines.where("rows IS NOT NULL").select("id", "chunk", "rows")
     if chunks.count():
-        found = found.unionByName(found_in_chunks(chunks, bounds).drop("rows", "chunk"))
-    lines = checkpointed(
-        found.groupBy("id", "place").agg(
-            F.max(F.col("other_id").isNull()).alias("settled"),
-            F.collect_set(F.when(F.col("more"), F.col("key"))).alias("keys"),
-            F.collect_set(F.when(F.col("other_id").isNotNull(), F.struct("other_id", "other_place"))).alias("others"),
+        both = lines.where("rows IS NULL").unionByName(_by_line(found_in_chunks(chunks, bounds)))
+        lines = checkpointed(
+            both.groupBy("id", "place").agg(
+                F.max("settled").alias("settled"),
+                F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"),
+                F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"),
+            )
         )
-    )
     gone = lines.where("settled").select("id", "place")
     lines = lines.where("NOT settled")
     pairs = lines.select("id", "place", F.inline("others"))
@@ -815,7 +826,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not open_.count():
         return gone
     # What its best candidates leave open is compared with all lines of the lists that held more.
-    listed_ = checkpointed(_under_keys(docs, levels, open_.select("key").distinct(), id_col, text_col, words))
+    listed_ = checkpointed(_under_keys(docs, levels, open_.select("key").distinct(), id_col, text_col, words).repartition("key"))
     others = listed_.withColumnsRenamed({"id": "other_id", "place": "other_place", "size": "size2", "low": "low2", "high": "high2"})
     mine = listed_.join(open_, ["key", "id", "place"], "left_semi").dropDuplicates(["key", "id", "place"])
     earlier = (F.col("other_id") < F.col("id")) | ((F.col("other_id") == F.col("id")) & (F.col("other_place") < F.col("place")))
