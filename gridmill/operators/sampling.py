@@ -1,17 +1,22 @@
-"""Blue-noise points. The dart throwing is sequential, so it runs once per grid and is stored."""
+"""Blue-noise points, thrown tile by tile. They are made once per grid and stored."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cells import encode
+from ..plans.lineage import cut
+from ..shipping import ship
 
 #: Points wanted in a cell, and tries around an active point.
 POINTS_PER_CELL, ATTEMPTS = 5, 30
+#: Radii in a tile's side.
+TILE_RADII = 64
 
 
 def _hash(seed: int) -> int:
@@ -23,10 +28,16 @@ def _hash(seed: int) -> int:
     return (i + (((i << 5) & mask) ^ (i >> 12))) & mask
 
 
-def poisson_disk(width: float, height: float, radius: float, seed: int = 0, attempts: int = ATTEMPTS) -> np.ndarray:
-    """Points of a box no two of which are nearer than ``radius``, until no more fit around any."""
+def poisson_disk(
+    width: float, height: float, radius: float, seed: int = 0, attempts: int = ATTEMPTS, held: np.ndarray | None = None
+) -> np.ndarray:
+    """Points of a box no two of which are nearer than ``radius``, until no more fit around any.
+
+    ``held``: points that there are already, some of them beyond the box; new
+    ones keep their distance from these and grow from them as well.
+    """
     side = radius / math.sqrt(2)
-    nx, ny = int(math.ceil(width / side)), int(math.ceil(height / side))
+    nx, ny = int(math.ceil(width / side)) + 6, int(math.ceil(height / side)) + 6  # three cells more at every side
     cell = np.full((nx, ny), -1, np.int64)
     state = seed
 
@@ -39,18 +50,24 @@ def poisson_disk(width: float, height: float, radius: float, seed: int = 0, atte
     active: list[int] = []
 
     def place(x: float, y: float) -> None:
-        cell[min(nx - 1, int(x / side)), min(ny - 1, int(y / side))] = len(points)
+        i, j = int(x // side) + 3, int(y // side) + 3
+        if 0 <= i < nx and 0 <= j < ny:
+            cell[i, j] = len(points)
         active.append(len(points))
         points.append((x, y))
 
     def fits(x: float, y: float) -> bool:
-        i, j = int(x / side), int(y / side)
-        for k in cell[max(0, i - 2) : i + 3, max(0, j - 2) : j + 3].ravel():
+        i, j = int(x // side) + 3, int(y // side) + 3
+        for k in cell[i - 2 : i + 3, j - 2 : j + 3].ravel():
             if k >= 0 and (points[k][0] - x) ** 2 + (points[k][1] - y) ** 2 < radius * radius:
                 return False
         return True
 
-    place(uniform() * width, uniform() * height)
+    for x, y in [] if held is None else held.tolist():
+        place(x, y)
+    known = len(points)
+    if not known:
+        place(uniform() * width, uniform() * height)
     while active:
         at = int(uniform() * len(active)) % len(active)
         px, py = points[active[at]]
@@ -63,20 +80,52 @@ def poisson_disk(width: float, height: float, radius: float, seed: int = 0, atte
         else:
             active[at] = active[-1]
             active.pop()
-    return np.array(points)
+    return np.array(points[known:]).reshape(-1, 2)
+
+
+def poisson_tiles(spark: SparkSession, width: float, height: float, radius: float, seed: int = 0, side: int = TILE_RADII) -> DataFrame:
+    """(x, y) as of ``poisson_disk``, made tile by tile.
+
+    Tiles are of ``side`` radii. Every second one along either axis is filled
+    at a time, four times in all, so no two that are filled at once touch. A
+    task gets its tile with the points around it that there are already.
+    """
+    ship(spark)
+    tile = side * radius
+    nx, ny = max(1, math.ceil(width / tile)), max(1, math.ceil(height / tile))
+    tiles = spark.range(nx * ny).select((F.col("id") % nx).alias("tx"), F.floor(F.col("id") / nx).alias("ty"))
+
+    def fill(part: pd.DataFrame) -> pd.DataFrame:
+        tx, ty = int(part["tx"].iloc[0]), int(part["ty"].iloc[0])
+        there = part.dropna()[["x", "y"]].sort_values(["x", "y"]).to_numpy()
+        low = np.array([tx * tile, ty * tile])
+        found = poisson_disk(min(tile, width - low[0]), min(tile, height - low[1]), radius, seed + (ty * nx + tx) * 7919, held=there - low if len(there) else None)
+        return pd.DataFrame(found + low, columns=["x", "y"])
+
+    points = None
+    for a, b in ((0, 0), (1, 0), (0, 1), (1, 1)):
+        rows = tiles.where((F.col("tx") % 2 == a) & (F.col("ty") % 2 == b)).select("tx", "ty", *[F.lit(None).cast("double").alias(c) for c in "xy"])
+        if points is not None:
+            own = [F.floor(F.col(c) / tile) for c in "xy"]
+            around = [F.struct((own[0] + i).alias("tx"), (own[1] + j).alias("ty")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+            near = points.select(F.inline(F.array(*around)), "x", "y").where((F.col("tx") % 2 == a) & (F.col("ty") % 2 == b))
+            close = [(F.col(c) >= F.col(t) * tile - 2 * radius) & (F.col(c) <= (F.col(t) + 1) * tile + 2 * radius) for c, t in (("x", "tx"), ("y", "ty"))]
+            rows = rows.unionByName(near.where(close[0] & close[1]))
+            rows = rows.join(tiles, ["tx", "ty"], "left_semi")
+        new = rows.groupBy("tx", "ty").applyInPandas(fill, "x double, y double")
+        points = cut(new if points is None else points.unionByName(new))
+    return points
 
 
 def sample_grid(spark: SparkSession, gx: int, gy: int, per_cell: int = POINTS_PER_CELL) -> DataFrame:
     """(ci, cj, fx, fy) of points over a grid, ``per_cell`` of them a cell on average, sorted by cell."""
     high = gy / gx
-    points = poisson_disk(1.0, high, math.sqrt(0.6 / (per_cell * gx * gx)))
-    scale = math.sqrt(len(points) / (gx * gy) / (1.0005 * per_cell))
+    points = poisson_tiles(spark, 1.0, high, math.sqrt(0.6 / (per_cell * gx * gx)))
+    scale = math.sqrt(points.count() / (gx * gx) / (1.0005 * per_cell) / high)
     if scale < 1:
         raise ValueError("the sampling gave too few points")
-    points = points * scale
-    points = points[(points[:, 0] < 1) & (points[:, 1] < high)]
-    table = spark.createDataFrame([tuple(p) for p in points.tolist()], "x double, y double")
-    return encode(table, 1 / (gx - 1)).sortWithinPartitions("ci", "cj")
+    scaled = points.select(*[(F.col(c) * scale).alias(c) for c in "xy"]).where((F.col("x") < 1) & (F.col("y") < high))
+    return encode(scaled, 1 / (gx - 1)).repartitionByRange("ci", "cj").sortWithinPartitions("ci", "cj")
 
 
 def cached_points(spark: SparkSession, folder: str, gx: int, gy: int, per_cell: int = POINTS_PER_CELL) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import color
 from ..operators import colouring, nodes, scatter
 from . import adapters as a
-from .adapters import CELLS, GX, GY, IMAGE, MAP_PX, PARTICLES, PRM, STENCIL, sql6
+from .adapters import CELLS, IMAGE, MAP_PX, PARTICLES, PRM, STENCIL, sql6
 from .field_queries import _BASE, _FRAME, _MASKED, _NUDGE, _lookup_sql, _masked, _merge_sql, _zeroed
 from .particle_queries import _GRID, _MOMENTUM, _NODES, _TAU
 

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
 #: Pixels of a slab, about.
 SLAB_PIXELS = 1 << 20
 
@@ -49,6 +51,7 @@ def raster_table(spark: SparkSession, shape: tuple[int, int], read: Callable[[in
                 columns = {"x": x, "y": y, **arrays}
                 yield pa.RecordBatch.from_arrays([pa.array(columns[n].ravel()) for n in names], names)
 
+    ship(spark)
     slabs = -(-height // step)
     return spark.range(0, slabs, 1, max(1, slabs)).mapInArrow(run, schema)
 

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Channels by colour type: grey, RGB, grey with alpha, RGB with alpha.
 _CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
@@ -98,6 +100,7 @@ def read_png(spark: SparkSession, path: str, size: tuple[int, int] | None = None
                         {"path": name, "x": x.ravel(), "y": height - 1 - y.ravel(), "r": flat[:, 0], "g": flat[:, 1], "b": flat[:, 2]}
                     )
 
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(run, "path string, x int, y int, r short, g short, b short")
 

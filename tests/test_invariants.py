@@ -223,6 +223,11 @@ def test_poisson_points_keep_their_distance(spark, tmp_path):
     points = sampling.poisson_disk(1.0, 0.5, 0.05)
     table = spark.createDataFrame([(x / 0.05, y / 0.05) for x, y in points.tolist()], "x double, y double")
     assert len(points) > 100 and sampling.nearest_gap(table).first()[0] >= 1 - 1e-9
+    tiled = sampling.poisson_tiles(spark, 1.0, 0.5, 0.02, side=8)
+    again = sampling.poisson_tiles(spark, 1.0, 0.5, 0.02, side=8)
+    assert sorted(map(tuple, tiled.collect())) == sorted(map(tuple, again.collect()))
+    assert sampling.nearest_gap(tiled.select(F.col("x") / 0.02, F.col("y") / 0.02).toDF("x", "y")).first()[0] >= 1 - 1e-9
+    assert abs(tiled.count() / len(sampling.poisson_disk(1.0, 0.5, 0.02)) - 1) < 0.1
     first = sampling.cached_points(spark, str(tmp_path), 12, 8)
     assert first.count() == sampling.cached_points(spark, str(tmp_path), 12, 8).count() > 12 * 8 * 4
 
