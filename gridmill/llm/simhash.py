@@ -181,7 +181,7 @@ def _join_groups(rows: np.ndarray, budget: int, blocks: list[tuple[int, int]]) -
     return pa.RecordBatch.from_arrays([pa.array(fps[x]), pa.array(fps[y])], ["a", "b"])
 
 
-def links(fps: DataFrame, budget: int = BITS) -> DataFrame:
+def links(fps: DataFrame, budget: int = BITS, rows_at_once: int = ROWS_AT_ONCE) -> DataFrame:
     """Links (a, b) that connect whatever the budget links, for distinct fps(fp).
 
     Each task's links form a forest, so there are fewer of them than rows.
@@ -229,7 +229,7 @@ def links(fps: DataFrame, budget: int = BITS) -> DataFrame:
         for batch in batches:
             held.append(np.stack([c.to_numpy() for c in batch.columns], 1))
             size += batch.num_rows
-            if size >= ROWS_AT_ONCE:
+            if size >= rows_at_once:
                 rows = np.concatenate(held)
                 # The last group may go on in the next batch.
                 other = np.flatnonzero(np.any(rows[:, :4] != rows[-1, :4], axis=1))

@@ -91,7 +91,9 @@ def brute_mix(rows, weights=(5, 2, 1), top=3):
     return target, taken, size
 
 
-def test_mix_of_odd_documents(odd, none):
+@pytest.mark.parametrize("broadcast", [20_000, 0])
+def test_mix_of_odd_documents(odd, none, monkeypatch, broadcast):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
     got = mixing.mix_report(odd).collect()
     target, taken, size = brute_mix([(d[0], d[3], d[1]) for d in odd_documents()])
     mine = collections.Counter()
