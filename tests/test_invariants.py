@@ -253,3 +253,20 @@ def test_palette_ends_and_clamps(spark):
     got = [tuple(r) for r in df.select(*color.lookup("ANSYS", F.col("v")).named()).collect()]
     assert got == [(0, 0, 255), (0, 0, 255), (255, 0, 0), (255, 0, 0)]
     assert math.isclose(color.PALETTES["Ridges"][-1][2], 0.251)
+
+
+def test_fixed_colours():
+    """Sizes and ends of the palettes, and the colours of water and paths, as plain values."""
+    from gridmill.functions import color
+
+    ends = {name: (len(c), tuple(round(v * 255) for v in c[0]), tuple(round(v * 255) for v in c[-1])) for name, c in color.PALETTES.items()}
+    assert ends == {
+        "SpecialJ": (5, (87, 166, 197), (148, 0, 88)),
+        "P2": (6, (237, 223, 214), (45, 30, 23)),
+        "Pressure": (7, (3, 54, 179), (183, 36, 48)),
+        "ANSYS": (20, (0, 0, 255), (255, 0, 0)),
+        "Pastel": (40, (196, 226, 252), (244, 154, 154)),
+        "NCD": (3, (0, 178, 0), (26, 26, 26)),
+        "Ridges": (11, (0, 128, 0), (64, 0, 64)),
+    }
+    assert color.WATER == (21, 31, 47) and color.CATEGORIES[0] == (255, 87, 51) and color.CATEGORIES[-1] == (127, 140, 141)
