@@ -18,10 +18,12 @@ are encoded alike, an empty table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 
 from ._base import map_arrow
 
-#: Words in a worker's cache; it starts anew beyond that.
-CACHE_WORDS = 250_000
+#: Words in a worker's cache; beyond that it starts anew, with what is still in use of as many words before.
+CACHE_WORDS = 125_000
 #: Leaves in the trees that are merged side by side, and in the largest of these; a longer word is merged alone.
 LEAVES_AT_ONCE, LONG_WORD = 1 << 20, 256
 
@@ -113,24 +115,32 @@ class Vocabulary:
         word = word.lower()
         return [word] if word.isascii() and word.isalpha() else self.pieces.findall(word)
 
-    def encode(self, pieces: list[str]) -> list[np.ndarray]:
-        """Token ids of each piece."""
+    def encode(self, pieces: list[str]) -> list[tuple[bytes, str]]:
+        """Token ids of each piece as 32-bit integers, and their names with a space between: the file names no decoder."""
         raw = [p.encode() for p in pieces]
         width = np.array([1 << max(1, (len(b) - 1).bit_length()) for b in raw])
-        out: list[np.ndarray] = [np.empty(0, np.int32)] * len(raw)
-        for i in np.flatnonzero(width > LONG_WORD):
-            out[i] = self._merge_long(raw[i], int(width[i]))
-        for w in np.unique(width[width <= LONG_WORD]):
-            same = np.flatnonzero(width == w)
-            step = max(1, LEAVES_AT_ONCE // int(w))
+        out = [(b"", "")] * len(raw)
+        names = self.names
+
+        def put(places: list[int], ids: np.ndarray, counts: np.ndarray) -> None:
+            data, said, at = ids.tobytes(), [names[i] for i in ids.tolist()], 0
+            for place, to in zip(places, np.cumsum(counts).tolist(), strict=True):
+                out[place] = (data[4 * at : 4 * to], " ".join(said[at:to]))
+                at = to
+
+        for i in np.flatnonzero(width > LONG_WORD).tolist():
+            ids = self._merge_long(raw[i], int(width[i]))
+            put([i], ids, np.array([len(ids)]))
+        for w in np.unique(width[width <= LONG_WORD]).tolist():
+            same = np.flatnonzero(width == w).tolist()
+            step = max(1, LEAVES_AT_ONCE // w)
             for at in range(0, len(same), step):
                 some = same[at : at + step]
-                for i, ids in zip(some, self._merge([raw[i] for i in some], int(w)), strict=True):
-                    out[i] = ids
+                put(some, *self._merge([raw[i] for i in some], w))
         return out
 
-    def _merge(self, words: list[bytes], width: int) -> list[np.ndarray]:
-        """Merge words of at most ``width`` bytes, one segment tree a word."""
+    def _merge(self, words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Merge words of at most ``width`` bytes, one segment tree a word: all their ids, and how many each has."""
         n = len(words)
         lengths = np.array([len(w) for w in words])
         flat = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
@@ -169,8 +179,7 @@ class Vocabulary:
             self._lift(tree, r, p, width)
             rows = rows[tree[rows, 1] != _NONE]
         kept = padded[:, :width] >= 0
-        ids = padded[:, :width][kept].astype(np.int32)
-        return np.split(ids, np.cumsum(kept.sum(1))[:-1])
+        return padded[:, :width][kept].astype(np.int32), kept.sum(1)
 
     def _merge_long(self, word: bytes, width: int) -> np.ndarray:
         """Merge one long word: in its tree, all merges of the lowest rank that don't touch, the leftmost first."""
@@ -241,7 +250,9 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
+        #: Words of late, and those before them, from which a word in use is taken over.
         self.words: dict[str, tuple[bytes, str]] = {}
+        self.before: dict[str, tuple[bytes, str]] = {}
 
     def _words(self, text: str) -> list[str]:
         return _NOT_SPACE.findall(text) if _SEPARATORS.search(text) else text.split()
@@ -255,23 +266,23 @@ class Encoder:
 
     def learn(self, parts: list[list[str]]) -> None:
         """Put what is new in the cache."""
-        new = list(set().union(*parts).difference(self.words))
-        v = self.vocabulary
+        if len(self.words) > CACHE_WORDS:
+            self.before, self.words = self.words, {}
+        words, before, v = self.words, self.before, self.vocabulary
+        missing = set().union(*parts).difference(words)
+        again = missing.intersection(before)
+        words.update([(w, before[w]) for w in again])
+        new = list(missing.difference(again))
         split = [[] if w in v.special else v.split(w) for w in new]
-        pieces = list(dict.fromkeys(p for s in split for p in s))
-        known = {p: (ids.tobytes(), self.decode(ids)) for p, ids in zip(pieces, v.encode(pieces), strict=True)}
+        pieces = list(dict.fromkeys([p for s in split for p in s]))
+        known = dict(zip(pieces, v.encode(pieces), strict=True))
         for word, of in zip(new, split, strict=True):
-            if word in v.special:
-                self.words[word] = (np.array([v.special[word]], np.int32).tobytes(), word)
-            elif len(of) == 1:
-                self.words[word] = known[of[0]]
+            if len(of) == 1:
+                words[word] = known[of[0]]
+            elif word in v.special:
+                words[word] = (np.array([v.special[word]], np.int32).tobytes(), word)
             else:
-                self.words[word] = (b"".join(known[p][0] for p in of), " ".join(known[p][1] for p in of))
-
-    def decode(self, ids) -> str:
-        """The tokens' names, a space between: the file names no decoder."""
-        names = self.vocabulary.names
-        return " ".join([names[i] for i in ids])
+                words[word] = (b"".join([known[p][0] for p in of]), " ".join([known[p][1] for p in of]))
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """Ids as 32-bit integers, and their decoding, of each text."""
@@ -281,11 +292,21 @@ class Encoder:
         for part in parts:
             found = [words[w] for w in part]
             out.append((b"".join([f[0] for f in found]), " ".join([f[1] for f in found])))
-        if len(words) > CACHE_WORDS:
-            words.clear()
         return out
 
 
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """No cyclic collections: they would walk the whole cache again and again, and nothing in it is part of a cycle."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 _ENCODERS: dict[int, Encoder] = {}
 
 
@@ -306,6 +327,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shipped.value)
+        with _uncollected():
+            yield from encoded(encoder, batches)
+
+    def encoded(encoder: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
                 some = batch.slice(at, 250)
