@@ -37,7 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._base import checkpointed, map_arrow
@@ -832,7 +832,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     earlier = (F.col("other_id") < F.col("id")) | ((F.col("other_id") == F.col("id")) & (F.col("other_place") < F.col("place")))
     pairs = mine.join(others, (mine["key"] == others["key"]) & earlier & _may_match())
     pairs = checkpointed(pairs.select("id", "place", "other_id", "other_place").distinct())
-    return checkpointed(gone.unionByName(_matched(docs, levels, pairs, id_col, text_col, words).distinct()))
+    return gone.unionByName(_matched(docs, levels, pairs, id_col, text_col, words).distinct())
 
 
 def _by_document(gone: DataFrame) -> DataFrame:
@@ -897,15 +897,14 @@ def dedup_documents(
     if also is not None:
         named = also.select(F.coalesce("id", F.lit(NO_ID)).alias("_id"), F.shiftrightunsigned("text_hash", 32).alias("_part"))
         gone = gone.unionByName(named)
+    row = F.struct(*[docs[c] for c in docs.columns])
     rows = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+        row.alias("row"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
         F.shiftrightunsigned(F.xxhash64(text_col), 32).alias("part"),
-        docs[text_col].alias("text"),
+        F.xxhash64(*[docs[c] for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]).alias("order"),
     )
-    same = (F.col("id") == F.col("_id")) & (F.col("part") == F.col("_part"))
-    kept = rows.join(gone, same, "left_anti")
-    repeated = kept.groupBy(F.col("id").alias("_id"), F.col("part").alias("_part")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    repeated = checkpointed(repeated.select("_id", "_part"))
-    once = kept.join(repeated, same, "left_anti").select("row.*")
-    return once.unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["id", "text"]).select("row.*"))
+    kept = rows.join(gone, (F.col("id") == F.col("_id")) & (F.col("part") == F.col("_part")), "left_anti")
+    # Where the join has put rows together anyway, of those that share id and text the first is taken.
+    first = F.row_number().over(Window.partitionBy("id", "part").orderBy("order"))
+    return kept.withColumn("first", first).where("first = 1").select("row.*")

@@ -203,14 +203,13 @@ def links(fps: DataFrame, budget: int = BITS, rows_at_once: int = ROWS_AT_ONCE)
         )
     )
     groups = rows.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP_ROWS)
-    hot = checkpointed(groups)
-    largest = hot.agg(F.max("n")).first()[0]
+    largest = groups.agg(F.max("n")).first()[0]
     if largest is None:
         rows = rows.withColumns({"one": F.lit(0).cast("long"), "other": F.lit(0).cast("long")})
     else:
         bits = min(16, int(np.ceil(np.log2(largest / GROUP_ROWS))) + 1)
         width = F.element_at(F.array(*[F.lit(w) for _, w in blocks]), F.col("block").cast("int") + 1)
-        rows = rows.join(hot, ["block", "value"], "left").withColumn("width", width)
+        rows = rows.join(checkpointed(groups), ["block", "value"], "left").withColumn("width", width)
         rows = rows.withColumn("prefix", F.expr(f"shiftrightunsigned(shiftleft(key, width), {64 - bits})"))
         masks = F.array(*[F.lit(m).cast("long") for m in range(1 << bits) if m.bit_count() <= budget])
         rows = rows.withColumn("mask", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(None).cast("long"))).otherwise(masks)))
@@ -258,9 +257,9 @@ def simhash_components(
     roots = components(links(classes.select("fp"), budget), "a", "b")
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     leaders = rooted.groupBy("root").agg(F.min("first").alias("leader"))
-    named = checkpointed(rooted.join(leaders, "root").select("fp", "leader", "n"))
+    named = rooted.join(leaders, "root").select("fp", "leader", "n")
     # Large classes, of which there are MOST_LARGE at most, go to the rows; the rows of the others go to their classes.
-    rows = named.agg(F.sum("n")).first()[0] or 0
+    rows = classes.agg(F.sum("n")).first()[0] or 0
     large = named.where(F.col("n") > F.lit(rows // MOST_LARGE)).select("fp", "leader")
     found = prints.join(F.broadcast(large), "fp").unionByName(
         prints.join(F.broadcast(large), "fp", "left_anti").join(named.select("fp", "leader"), "fp").select("fp", "doc_id", "text_hash", "leader")
