@@ -14,7 +14,7 @@ from gridmill.llm import language_id, quality_classifier, toxicity
 from gridmill.llm.bpe import Encoder, Vocabulary, encode_documents, token_digests
 from gridmill.llm.queries import QUERIES, tokenizer_path
 
-from .conftest import doc, odd_documents
+from .conftest import odd_documents
 
 MIDDLE = "/root/testdata/sf0.01"
 
@@ -173,4 +173,3 @@ def test_pipeline_stages_take_empty_tables(spark, sf):
     empty = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
-    assert doc(1, "x")[0] == 1
