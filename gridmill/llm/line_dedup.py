@@ -53,7 +53,7 @@ SMALLEST = 4
 #: Sets up to this size have one word of parities, larger ones two.
 ONE_WORD = 16
 #: Bytes of text cut up, and pairs of listed lines compared at once.
-BYTES_AT_ONCE, PAIRS_AT_ONCE = 1 << 20, 1 << 18
+BYTES_AT_ONCE, PAIRS_AT_ONCE = 1 << 19, 1 << 18
 #: Buckets of keys in a shuffle partition.
 BUCKETS = 8
 #: Slices in which word counts are added up.
@@ -69,7 +69,7 @@ class Bounds:
     """What a task takes up at once. The result is the same whatever these are."""
 
     #: Listed lines that are packed or held at once.
-    rows: int = 400_000
+    rows: int = 200_000
     #: Lines of a list that one task joins; of longer lists, every pair of chunks has a task.
     hot: int = 20_000
     #: Lists that are joined at once, by size; longer ones are joined in blocks of ``side`` lines.
