@@ -164,7 +164,7 @@ def sized_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str
 
 def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """What the mix takes of every document."""
-    sized = checkpointed(sized_documents(docs, id_col, text_col, source_col))
+    sized = checkpointed(sized_documents(docs, id_col, text_col, source_col).repartition("hash"))
     plan, n_sources = mix_plan(sized)
     return _by_source(sized, plan, n_sources).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * _copies(F.col("hash"))).alias("taken"), "source"
@@ -173,7 +173,7 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it, columns as given."""
-    plan, n_sources = mix_plan(checkpointed(sized_documents(docs, id_col, text_col, source_col)))
+    plan, n_sources = mix_plan(checkpointed(sized_documents(docs, id_col, text_col, source_col).repartition("hash")))
     rows = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(source_col).alias("source"), row_hash(F.col(id_col), F.col(text_col)).alias("hash")
     )

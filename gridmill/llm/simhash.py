@@ -251,7 +251,8 @@ def simhash_components(
     component_id is the smallest id reachable over links; keeper_hash is the
     text hash of the row that stands for the component.
     """
-    prints = checkpointed(fingerprints(docs, id_col, text_col, words))
+    # Narrow rows are dealt anew before they are stored, so that there are as few files as their size asks for.
+    prints = checkpointed(fingerprints(docs, id_col, text_col, words).repartition("doc_id", "text_hash"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     classes = checkpointed(prints.groupBy("fp").agg(first.alias("first"), F.count(F.lit(1)).alias("n")))
     roots = components(links(classes.select("fp"), budget), "a", "b")
