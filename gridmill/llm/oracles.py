@@ -129,7 +129,45 @@ FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n_lines FROM s GROUP BY doc
 LEFT JOIN (SELECT doc_id, count(*) AS n_removed, string_agg(number, ' ' ORDER BY number) AS removed FROM r GROUP BY doc_id) USING (doc_id)
 """
 
+#: DuckDB has no crc32: the bytes are folded over the table of the reflected polynomial 0xEDB88320.
+OP11_TARGET_RATES = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce([b] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), f AS (
+  SELECT sale_id, xor(list_reduce([4294967295] || list_transform(string_split(CAST(sale_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 5 AS fold
+  FROM (SELECT DISTINCT sale_id FROM sales WHERE sale_id IS NOT NULL), crc
+), l AS (
+  SELECT l.sale_id, coalesce(l.item_id, -1) AS item, l.vendor_id AS vendor, coalesce(s.client_id, -1) AS client, s.sold_at AS sold, f.fold,
+         count(*) AS n, count(*) FILTER (WHERE flag = 'returned') AS s
+  FROM sale_lines l JOIN sales s ON l.sale_id = s.sale_id JOIN f ON f.sale_id = s.sale_id
+  WHERE s.sold_at IS NOT NULL GROUP BY ALL
+), g AS (
+  SELECT l.*, i.kind, v.nation_id AS nation, c.segment
+  FROM l LEFT JOIN items i ON i.item_id = l.item LEFT JOIN vendors v ON v.vendor_id = l.vendor LEFT JOIN clients c ON c.client_id = l.client
+), h AS (
+  SELECT *,
+""" + ", ".join(
+    f"coalesce(sum({x}) OVER (PARTITION BY {of} ORDER BY sold RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING), 0)"
+    f" - coalesce(sum({x}) OVER (PARTITION BY {of}, fold ORDER BY sold RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING), 0) AS {name}_{x}"
+    for name, of in (("a", "true"), *((c, c) for c in ("kind", "nation", "segment", "item", "vendor", "client")))
+    for x in "ns"
+) + r"""
+  FROM g
+), r0 AS (SELECT *, CASE WHEN a_n < 1 THEN 500000 ELSE (1000000 * a_s + 50 * 500000) // (a_n + 50) END AS p FROM h
+), r1 AS (SELECT *,
+""" + ", ".join(f"CASE WHEN {c}_n < 1 THEN p ELSE (1000000 * {c}_s + 50 * p) // ({c}_n + 50) END AS {c}_p" for c in ("kind", "nation", "segment")) + r"""
+  FROM r0)
+SELECT sale_id, item AS item_id, vendor AS vendor_id, n AS n_lines, s AS n_returned,
+""" + ", ".join(
+    f"CAST({c}_n AS BIGINT) AS {c}_n, CAST(CASE WHEN {c}_n < 1 THEN {p}_p ELSE (1000000 * {c}_s + 50 * {p}_p) // ({c}_n + 50) END AS BIGINT) AS {c}_rate"
+    for c, p in (("item", "kind"), ("vendor", "nation"), ("client", "segment"))
+) + r"""
+FROM r1
+"""
+
 ORACLES = {
+    "op11_target_rates": OP11_TARGET_RATES,
     "op9_line_dedup": OP9_LINE_DEDUP,
     "op3_top_k": OP3_TOP_K,
     "op5_mix_sources": OP5_MIX_SOURCES,

@@ -13,6 +13,7 @@ from .mixing import mix_report
 from .quality_rules import quality_rules
 from .sharding import shard_manifest
 from .simhash import simhash_components
+from .target_encoding import sale_line_rates
 from .topk import top_k
 
 
@@ -68,6 +69,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(encode_documents(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op11_target_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sale_line_rates(*(table(spark, sf_dir, name) for name in ("sale_lines", "sales", "items", "vendors", "clients")))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
@@ -79,4 +84,5 @@ QUERIES = {
     "op8_shards": op8_shards,
     "op9_line_dedup": op9_line_dedup,
     "op10_bpe": op10_bpe,
+    "op11_target_rates": op11_target_rates,
 }
