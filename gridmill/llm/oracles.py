@@ -166,7 +166,66 @@ SELECT sale_id, item AS item_id, vendor AS vendor_id, n AS n_lines, s AS n_retur
 FROM r1
 """
 
+OP12_DECONTAMINATION = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), i AS (
+  SELECT item_id, w, least(len(w), 10) AS m
+  FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark)
+  WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item_id, m, array_to_string(list_slice(w, p, p + m - 1), ' ') AS gram
+  FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS p FROM i)
+), grams AS (
+  SELECT doc_id, m, p, array_to_string(list_slice(w, p, p + m - 1), ' ') AS gram
+  FROM (SELECT d.*, m, unnest(range(1, greatest(len(w) - m + 2, 1))) AS p FROM d, (SELECT DISTINCT m FROM windows))
+), hits AS (
+  SELECT doc_id, item_id, m, p FROM grams JOIN windows USING (m, gram)
+), hit_words AS (
+  SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + m)) AS word FROM hits) GROUP BY doc_id
+), hit_items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""
+
+_FLOOR_MEAN = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+
+
+def _round(k: int) -> str:
+    """SQL of a round: the nearest of centroids c<k> for each vector as a<k>, and the next centroids."""
+    return f"""
+a{k} AS MATERIALIZED (
+  SELECT vec_id, v, c, d FROM (
+    SELECT vec_id, v, c, CAST(list_sum(list_transform(range(1, 65), lambda i: (v[i] - x[i]) * (v[i] - x[i]))) AS BIGINT) AS d FROM vectors, c{k})
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1
+), c{k + 1} AS MATERIALIZED (
+  SELECT c, coalesce(m.x, c{k}.x) AS x FROM c{k} LEFT JOIN (
+    SELECT c, list({_FLOOR_MEAN} ORDER BY i) AS x FROM (
+      SELECT c, i, sum(v[i]) AS s, count(*) AS n FROM (SELECT c, v, unnest(range(1, 65)) AS i FROM a{k}) GROUP BY c, i)
+    GROUP BY c) m USING (c)
+)"""
+
+
+#: Ids are taken to be unique and not null here.
+OP13_CENTROIDS = f"""
+WITH vectors AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, v AS x FROM vectors QUALIFY c < 16
+), {_round(0)}, {_round(1)}, {_round(2)}, {_round(3)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.x, ',')) AS centroid_sha256
+FROM a3 JOIN c3 USING (c)
+"""
+
 ORACLES = {
+    "op13_centroids": OP13_CENTROIDS,
+    "op12_decontamination": OP12_DECONTAMINATION,
     "op11_target_rates": OP11_TARGET_RATES,
     "op9_line_dedup": OP9_LINE_DEDUP,
     "op3_top_k": OP3_TOP_K,

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from . import language_id, quality_classifier, toxicity
 from ._base import table
 from .bpe import encode_documents, token_digests
+from .centroids import cluster_vectors
+from .decontaminate import contamination_report
 from .line_dedup import line_report
 from .mixing import mix_report
 from .quality_rules import quality_rules
@@ -73,6 +75,14 @@ def op11_target_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sale_line_rates(*(table(spark, sf_dir, name) for name in ("sale_lines", "sales", "items", "vendors", "clients")))
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
@@ -85,4 +95,6 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_bpe": op10_bpe,
     "op11_target_rates": op11_target_rates,
+    "op12_decontamination": op12_decontamination,
+    "op13_centroids": op13_centroids,
 }
