@@ -6,12 +6,17 @@ the summed sizes over their sum is the only feature; a logistic curve fitted on
 labelled texts that no dictionary has seen turns it into a score.
 
 The fit uses about SAMPLE_ROWS labelled documents at most, whole, and weighs
-either label by the rows that it stands for. Whole texts are scored.
+either label by the rows that it stands for. Dictionaries are trained on the
+driver, on documents of SAMPLE_BYTES a label at most; one that doesn't fit is
+passed over. Whole texts are scored.
 
 Defined results: null and empty texts have difference 0 and get the score at
 that point; without labels of both kinds every score is the share of good ones
-(0.5 without any). Repeated rows are scored alike, documents that repeat an id
-are scored one by one, extra columns are ignored or kept by ``keep_good``.
+(0.5 without any). Labels of null ids are not learned from; documents with null
+ids are scored like others, and are held out if the checksum of an empty text
+says so. Repeated rows are scored alike, documents that repeat an id are scored
+one by one, an empty table gives no rows, extra columns are ignored or kept by
+``keep_good``.
 """
 
 from __future__ import annotations
@@ -30,6 +35,8 @@ from ._fit import apply_logistic, fit_logistic, id_remainder, labelled_rows, sam
 
 #: Labelled documents that a fit uses at most, about, half of them of either label.
 SAMPLE_ROWS = 4000
+#: Bytes of whole texts of each label from which a dictionary is trained, at most.
+SAMPLE_BYTES = 32 << 20
 #: Bytes of a chunk and of a dictionary.
 CHUNK, DICTIONARY = 512, 65536
 #: Held-out rows: the crc32 of the id has this remainder.
@@ -88,20 +95,35 @@ def _chunks(text: bytes) -> list[bytes]:
     return [text[at : at + CHUNK] for at in range(0, len(text), CHUNK)]
 
 
+def _within(budget: int, sizes: list) -> list[int]:
+    """Places of the rows(label, place, bytes) whose texts fit, whole, into a budget for each label; a row that doesn't is passed over."""
+    left: dict[int, int] = {}
+    places = []
+    for label, place, size in sorted(sizes):
+        if size <= left.setdefault(label, budget):
+            left[label] -= size
+            places.append(place)
+    return places
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> CompressionModel:
     """Learn from labels (id, 0 or 1) of rows that aren't held out."""
     usable = labels.where((id_remainder(F.col(id_col), FOLDS) != HELD_OUT) & F.col(label_col).isin(0, 1))
     rows = labelled_rows(docs, usable.select(id_col, F.col(label_col).cast("int").alias("label")), id_col, text_col)
     known = sampled_texts(docs, rows, id_col, text_col, SAMPLE_ROWS)
     part = F.pmod(F.xxhash64(F.col("id"), F.lit(7)), F.lit(5)) < 3
-    known = checkpointed(known.select("label", F.coalesce("text", F.lit("")).cast("binary").alias("text"), "weight", part.alias("for_dictionary")))
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    known = checkpointed(known.select("label", text.alias("text"), "weight", part.alias("for_dictionary"), F.xxhash64("id", "text").alias("place")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             chunks = [_chunks(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(chunks, pa.list_(pa.binary()))], ["label", "weight", "chunks"])
 
-    rows = map_arrow(known.where("for_dictionary"), cut, "label int, weight double, chunks array<binary>").collect()
+    chosen = known.where("for_dictionary")
+    sizes = chosen.select("label", "place", F.octet_length("text").alias("bytes")).collect()  # SAMPLE_ROWS narrow rows at most
+    chosen = chosen.where(F.col("place").isin(_within(SAMPLE_BYTES, sizes)))
+    rows = map_arrow(chosen, cut, "label int, weight double, chunks array<binary>").collect()
     rows.sort(key=lambda r: (r["label"], [bytes(c) for c in r["chunks"]]))  # the fit mustn't hang on the order of tasks
     kinds = [[bytes(c) for r in rows if r["label"] == kind for c in r["chunks"]] for kind in (0, 1)]
     prior = float(np.average([r["label"] for r in rows], weights=[r["weight"] for r in rows])) if rows else 0.5

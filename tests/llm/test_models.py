@@ -173,3 +173,18 @@ def test_pipeline_stages_take_empty_tables(spark, sf):
     empty = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_dictionaries_are_trained_on_texts_of_bounded_size(spark, monkeypatch):
+    from gridmill.llm import quality_classifier
+
+    assert quality_classifier._within(10, [(0, 5, 7), (0, 2, 4), (0, 9, 6), (1, 1, 11), (1, 3, 10)]) == [2, 9, 3]
+    docs = spark.createDataFrame([(k, f"{'good plain words' if k % 2 else 'zz## $$ qq'} {k} " * (3000 if k == 4 else 20)) for k in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, quality int")
+    monkeypatch.setattr(quality_classifier, "SAMPLE_BYTES", 10_000)
+    model = quality_classifier.fit(docs, labels)
+    assert 0 < len(model.good) <= 65536 and 0 < len(model.bad) <= 65536
+    scored = quality_classifier.score_documents(docs, model).collect()
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in scored)
+    monkeypatch.setattr(quality_classifier, "SAMPLE_BYTES", 1)
+    assert {r["score"] for r in quality_classifier.score_documents(docs, quality_classifier.fit(docs, labels)).collect()} == {0.5}
