@@ -2,7 +2,8 @@
 
 A line is the set of its lower-cased words. Two lines match if the Jaccard
 similarity of their sets is MATCH or more, and a line is removed if it matches
-an earlier one: one with a smaller (id, text hash, line number).
+an earlier one: one with a smaller (id, text hash, line number). Documents are known
+by id, all 64 bits of the text's hash, and whether the id is null.
 
 1. Words are counted over all documents by hash bucket. A word's level is the
    logarithm of its bucket's count; rarer words come first in a line.
@@ -24,7 +25,8 @@ an earlier one: one with a smaller (id, text hash, line number).
 
 Defined results: lines without words are kept and match nothing; a null text
 has no lines. Rows that share id and text count as one document and stay alike;
-rows with equal ids and unlike texts are told apart by the text's hash. An empty
+rows with equal ids, or none, and unlike texts are told apart by the text's hash.
+Null ids come last. An empty
 table gives no rows. A text is held whole by the task that reads it, whatever
 its length; what is made of it grows in proportion. Extra columns are ignored,
 or kept by ``dedup_lines``.
@@ -54,14 +56,18 @@ SMALLEST = 4
 ONE_WORD = 16
 #: Bytes of text cut up, and pairs of listed lines compared at once.
 BYTES_AT_ONCE, PAIRS_AT_ONCE = 1 << 19, 1 << 18
-#: Buckets of keys in a shuffle partition.
-BUCKETS = 8
+#: Least buckets of keys in a shuffle partition, and listed lines in a bucket, about: there are as many buckets as both ask for.
+BUCKETS, BUCKET_ROWS = 8, 200_000
 #: Slices in which word counts are added up.
 SLICES = 64
 #: Bits of the filters that pick lines and keys.
 PICK_BITS = 25
-#: Stands for a null id; such rows come last.
-NO_ID = (1 << 63) - 1
+#: Stands for a null id in the order, so that such rows come last; a flag above the line number tells it from an id.
+NO_ID, NONE_BIT = (1 << 63) - 1, 32
+#: By which signed numbers get the order of unsigned ones.
+SIGN = -(1 << 63)
+#: What names a line.
+LINE = ["id", "hash", "line"]
 
 
 @dataclass(frozen=True)
@@ -290,8 +296,8 @@ def least_neighbours(size: np.ndarray, rare: np.ndarray) -> np.ndarray:
     return least
 
 
-def word_levels(docs: DataFrame, text_col: str = "text", words: int = 0) -> np.ndarray:
-    """Level of every bucket of words, counted over all documents; a fixed number of bytes."""
+def word_levels(docs: DataFrame, text_col: str = "text", words: int = 0) -> tuple[np.ndarray, int]:
+    """Level of every bucket of words, counted over all documents, a fixed number of bytes; and the number of words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
@@ -312,11 +318,12 @@ def word_levels(docs: DataFrame, text_col: str = "text", words: int = 0) -> np.n
     counted = map_arrow(docs.select(F.col(text_col).cast("binary").alias("text")), count, schema)
     found = map_arrow(counted.repartition("slice"), add, schema).toArrow()
     levels = np.zeros(1 << BUCKET_BITS, np.int64)
-    width = len(levels) // SLICES
+    total, width = 0, len(levels) // SLICES
     for k, counts in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
         n = np.frombuffer(counts, np.int64)
         levels[k * width : (k + 1) * width] = np.log2(np.maximum(n, 1)) * LEVELS
-    return levels.clip(0, 255).astype(np.uint8)
+        total += int(n.sum())
+    return levels.clip(0, 255).astype(np.uint8), total
 
 
 def _slices(counts: np.ndarray) -> pa.RecordBatch:
@@ -325,14 +332,28 @@ def _slices(counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array(parts, pa.binary())], ["slice", "counts"])
 
 
+def _name(id_col: str, text_col: str) -> list[Column]:
+    """What a document is known by: id, hash and none (1 for a null id), in the order of documents."""
+    id_ = F.col(id_col).cast("long")
+    return [
+        F.coalesce(id_, F.lit(NO_ID)).alias("id"),
+        F.xxhash64(text_col).bitwiseXOR(F.lit(SIGN)).alias("hash"),
+        id_.isNull().cast("long").alias("none"),
+    ]
+
+
+def _none(line: Column) -> Column:
+    return F.shiftright(line, NONE_BIT).alias("none")
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text hash of 32 bits, text) with the order's id."""
-    text = F.col(text_col)
-    return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
-        F.shiftrightunsigned(F.xxhash64(text), 32).alias("part"),
-        text.cast("binary").alias("text"),
-    )
+    """(id, hash, none, text)."""
+    return docs.select(*_name(id_col, text_col), F.col(text_col).cast("binary").alias("text"))
+
+
+def _names(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents (id, hash, none, …): ids, hashes, and what their line numbers are added to."""
+    return batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy() << NONE_BIT
 
 
 def frequent_level() -> int:
@@ -342,16 +363,17 @@ def frequent_level() -> int:
 class Listed:
     """Lines under their keys, as rows of columns.
 
-    Columns: key, id, place (text hash and line number), signature, two words
-    of parities, and shape: size of the set, position of the key in it, and
-    whether the key is the line's first. Shape -1 is a line settled already.
+    Columns: key, the line's name (id, text hash, line number), signature, two
+    words of parities, and shape: size of the set, position of the key in it,
+    and whether the key is the line's first. Shape -1 is a line settled already.
     """
 
-    WIDTH = 7
+    WIDTH = 8
 
     def __init__(self, rows: np.ndarray, bounds: Bounds):
         self.rows, self.bounds = rows, bounds
-        self.key, self.id, self.place, self.sig, low, high, self.shape = rows
+        self.key, self.id, self.hash, self.line, self.sig, low, high, self.shape = rows
+        self.name = rows[1:4]
         self.low, self.high = low.view(np.uint64), high.view(np.uint64)
         self.size, self.pos = self.shape >> 32, (self.shape & 0xFFFFFFFF) >> 1
 
@@ -359,7 +381,7 @@ class Listed:
         return self.rows.shape[1]
 
     def collapsed(self) -> tuple[Listed, np.ndarray]:
-        """The earliest line of each set under each key, in order of key and size; (id, place) of what that settles."""
+        """The earliest line of each set under each key, in order of key and size; the names of what that settles."""
         done = self.shape < 0
         order = np.argsort(self.key)
         group = np.cumsum(np.concatenate([[0], self.key[order[1:]] != self.key[order[:-1]]])) if len(order) else order
@@ -369,16 +391,24 @@ class Listed:
         else:
             order = np.lexsort((self.sig, self.size, self.key))
         order = order[~done[order]]
-        named = self.rows[[0, 3, 4]][:, order]
+        named = self.rows[[0, 4, 5]][:, order]
         size = self.size[order]
         fresh = np.ones(len(order), bool)
         fresh[1:] = np.any(named[:, 1:] != named[:, :-1], axis=0) | (size[1:] != size[:-1])
-        first = _earliest(order, fresh, self.id, self.place)
-        other = (self.id[order] != self.id[first]) | (self.place[order] != self.place[first])
-        again = order[other & (self.shape[order] & 1 == 1)]
-        settled = self.rows[1:3][:, np.concatenate([np.flatnonzero(done), again])]
+        first = _earliest(order, fresh, self.name)
+        again = order[self.other(order, first) & (self.shape[order] & 1 == 1)]
+        settled = self.name[:, np.concatenate([np.flatnonzero(done), again])]
         return Listed(self.rows[:, first[fresh]], self.bounds), settled
 
+    def other(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether rows a and b are unlike lines."""
+        return (self.id[a] != self.id[b]) | (self.hash[a] != self.hash[b]) | (self.line[a] != self.line[b])
+
+    def after(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether rows a come after rows b."""
+        same_id, same_text = self.id[a] == self.id[b], self.hash[a] == self.hash[b]
+        return (self.id[a] > self.id[b]) | (same_id & ((self.hash[a] > self.hash[b]) | (same_text & (self.line[a] > self.line[b]))))
+
     def compare(self, later: np.ndarray, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in the arrays of those that may match, and in how many parities these differ."""
         # Sets of sizes x and y match only if they differ in (x + y) / 9 words at most.
@@ -394,8 +424,7 @@ class Listed:
         able = np.minimum(x - self.pos[later], y - self.pos[earlier])
         fits = np.minimum(x, y) * MATCH[1] >= np.maximum(x, y) * MATCH[0]
         # The same line again: a key that it has twice by a rare collision, or a repeated row.
-        other = (self.id[later] != self.id[earlier]) | (self.place[later] != self.place[earlier])
-        ok = fits & (able >= need) & (differ <= x + y - 2 * need) & other
+        ok = fits & (able >= need) & (differ <= x + y - 2 * need) & self.other(later, earlier)
         return some[ok], differ[ok]
 
     def lists(self) -> tuple[np.ndarray, np.ndarray]:
@@ -422,12 +451,12 @@ class Listed:
             a, b = a[near], b[near]
             ok, differ = self.compare(a, b)
             a, b = a[ok], b[ok]
-            swap = (self.id[a] > self.id[b]) | ((self.id[a] == self.id[b]) & (self.place[a] > self.place[b]))
+            swap = self.after(a, b)
             found.append((np.where(swap, a, b), np.where(swap, b, a), differ, np.zeros(len(ok), bool)))
             at = to
         long = np.flatnonzero(length > self.bounds.short)
         for start, size in zip(edge[long].tolist(), length[long].tolist(), strict=True):
-            found += self.long(start + np.lexsort((self.place[start : start + size], self.id[start : start + size])))
+            found += self.long(start + np.lexsort(self.name[::-1, start : start + size]))
         return self.best(found)
 
     def long(self, line: np.ndarray) -> list[tuple[np.ndarray, ...]]:
@@ -469,25 +498,28 @@ class Listed:
             more = np.repeat(np.maximum.reduceat(more, first) | (count > self.bounds.tries), count)
             kept = np.arange(len(later)) - np.repeat(first, count) < self.bounds.tries
             later, earlier, more = later[kept], earlier[kept], more[kept]
-        return _found(id=self.id[later], place=self.place[later], other_id=self.id[earlier], other_place=self.place[earlier], key=self.key[later], more=more)
+        mine = dict(zip(LINE, self.name[:, later], strict=True))
+        others = {f"other_{n}": column for n, column in zip(LINE, self.name[:, earlier], strict=True)}
+        return _found(**mine, **others, key=self.key[later], more=more)
 
 
-def _earliest(order: np.ndarray, fresh: np.ndarray, id_: np.ndarray, place: np.ndarray) -> np.ndarray:
+def _earliest(order: np.ndarray, fresh: np.ndarray, name: np.ndarray) -> np.ndarray:
     """For rows in an order where a group begins at each fresh one: the earliest row of each one's group."""
     group = np.cumsum(fresh) - 1
     many = np.flatnonzero((np.bincount(group) > 1)[group]) if len(order) else order
     first = order[fresh]
-    rows = many[np.lexsort((place[order[many]], id_[order[many]], group[many]))]
+    rows = many[np.lexsort((*name[::-1, order[many]], group[many]))]
     begins = rows[np.concatenate([[True], group[rows[1:]] != group[rows[:-1]]])] if len(rows) else rows
     first[group[begins]] = order[begins]
     return first[group]
 
 
 FOUND = pa.schema(
-    [("id", pa.int64()), ("place", pa.int64()), ("other_id", pa.int64()), ("other_place", pa.int64())]
+    [(f"{other}{n}", pa.int64()) for other in ("", "other_") for n in LINE]
     + [("key", pa.int64()), ("more", pa.bool_()), ("chunk", pa.int32()), ("rows", pa.binary())]
 )
-FOUND_DDL = "id long, place long, other_id long, other_place long, key long, more boolean, chunk int, rows binary"
+LINE_DDL = "id long, hash long, line long"
+FOUND_DDL = f"{LINE_DDL}, other_id long, other_hash long, other_line long, key long, more boolean, chunk int, rows binary"
 
 
 def _found(**columns) -> pa.RecordBatch:
@@ -506,10 +538,10 @@ class Packer:
         self.keys: list[np.ndarray] = []
         self.count = self.size = 0
 
-    def add(self, lines: Lines, id_: np.ndarray, place: np.ndarray) -> None:
+    def add(self, lines: Lines, name: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
         low, high = lines.parities()
         key, row, pos, first = lines.keys(np.arange(len(lines)), self.frequent)
-        self.lines.append(np.stack([id_, place, lines.signatures().view(np.int64), low.view(np.int64), high.view(np.int64), lines.size]))
+        self.lines.append(np.stack([*name, lines.signatures().view(np.int64), low.view(np.int64), high.view(np.int64), lines.size]))
         self.keys.append(np.stack([key, row + self.count, pos << 1 | first]))
         self.count += len(lines)
         self.size += len(key)
@@ -519,21 +551,22 @@ class Packer:
         lines, keys = np.concatenate(self.lines, 1), np.concatenate(self.keys, 1)
         self.lines, self.keys, self.count, self.size = [], [], 0, 0
         # Equal sets are settled here: all but the earliest leave.
-        order = np.argsort(lines[2])
+        order = np.argsort(lines[3])
         fresh = np.ones(len(order), bool)
-        fresh[1:] = np.any(lines[2:6, order[1:]] != lines[2:6, order[:-1]], axis=0)
-        first = _earliest(order, fresh, lines[0], lines[1])
-        gone = np.any(lines[:2, order] != lines[:2, first], axis=0)
+        fresh[1:] = np.any(lines[3:7, order[1:]] != lines[3:7, order[:-1]], axis=0)
+        first = _earliest(order, fresh, lines[:3])
+        gone = np.any(lines[:3, order] != lines[:3, first], axis=0)
         out = np.ones(len(order), bool)
         out[first[fresh]] = False
         settled = order[gone]
         keys = keys[:, ~out[keys[1]]]
         rows = np.zeros((Listed.WIDTH, keys.shape[1] + len(settled)), np.int64)
         n = keys.shape[1]
-        rows[0, :n], rows[1:6, :n] = keys[0], lines[:5, keys[1]]
-        rows[6, :n] = lines[5, keys[1]] << 32 | keys[2]
-        rows[1:3, n:], rows[6, n:] = lines[:2, settled], -1
-        rows[0, n:] = (_mix(lines[1, settled].view(np.uint64) * np.uint64(3) + lines[0, settled].view(np.uint64), _BASE) >> np.uint64(16)).view(np.int64)
+        rows[0, :n], rows[1:7, :n] = keys[0], lines[:6, keys[1]]
+        rows[7, :n] = lines[6, keys[1]] << 32 | keys[2]
+        rows[1:4, n:], rows[7, n:] = lines[:3, settled], -1
+        spread = (lines[2, settled] + lines[1, settled]).view(np.uint64) * np.uint64(3) + lines[0, settled].view(np.uint64)
+        rows[0, n:] = (_mix(spread, _BASE) >> np.uint64(16)).view(np.int64)
         bucket = rows[0] % self.buckets
         order = np.argsort(bucket, kind="stable")
         bucket, rows = bucket[order], rows[:, order]
@@ -554,12 +587,12 @@ def listed(docs: DataFrame, levels: np.ndarray, buckets: int, id_col: str, text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(buckets, frequent)
         for batch in batches:
-            ids, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for at, _, data, offsets in _parts(batch.column(2)):
+            ids, hashes, base = _names(batch)
+            for at, _, data, offsets in _parts(batch.column(3)):
                 lines = Lines(data, offsets, shipped.value, words=words)
                 if len(lines):
                     doc = lines.doc + at
-                    packer.add(lines, ids[doc], parts[doc] << 32 | lines.number)
+                    packer.add(lines, (ids[doc], hashes[doc], base[doc] + lines.number))
                 if packer.size >= bounds.rows:
                     yield packer.packed()
         if packer.size:
@@ -594,7 +627,7 @@ class Bucket:
         """Collapse what is held, and hand on lists that are hot."""
         lists, settled = Listed(np.concatenate(self.held, 1), self.bounds).collapsed()
         if settled.shape[1]:
-            yield _found(id=settled[0], place=settled[1])
+            yield _found(**dict(zip(LINE, settled, strict=True)))
         edge, length = lists.lists()
         cool = np.ones(len(lists), bool)
         for start, size in zip(edge.tolist(), length.tolist(), strict=True):
@@ -656,26 +689,27 @@ def found_in_chunks(chunks: DataFrame, bounds: Bounds) -> DataFrame:
             return
         lists, settled = Listed(np.concatenate(held, 1), bounds).collapsed()
         if settled.shape[1]:
-            yield _found(id=settled[0], place=settled[1])
+            yield _found(**dict(zip(LINE, settled, strict=True)))
         yield lists.candidates()
 
     placed = rows.repartition("key", "one", "other").sortWithinPartitions("key", "one", "other")
     return map_arrow(placed, run, FOUND_DDL)
 
 
-def _bit(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
-    b = np.asarray(b).astype(np.uint64)
-    return (_mix(a.astype(np.uint64) * np.uint64(_BASE) + b, 0xD6E8FEB86659FD93) >> np.uint64(64 - PICK_BITS)).astype(np.int64)
+def _bit(*columns: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        h = _mix(h * np.uint64(_BASE) + c.astype(np.uint64), 0xD6E8FEB86659FD93)
+    return (h >> np.uint64(64 - PICK_BITS)).astype(np.int64)
 
 
 def _filter(rows: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size with a bit of each of the rows, of one or two longs."""
+    """A bitmap of fixed size with a bit of each of the rows of longs."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.zeros(1 << (PICK_BITS - 3), np.uint8)
         for batch in batches:
-            second = batch.column(1).to_numpy() if batch.num_columns > 1 else 0
-            bit = _bit(batch.column(0).to_numpy(), second)
+            bit = _bit(*(c.to_numpy() for c in batch.columns))
             np.bitwise_or.at(bitmap, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
         words = bitmap.view(np.int64)
         some = np.flatnonzero(words)
@@ -694,48 +728,49 @@ def _hit(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, levels: np.ndarray, lines: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, place, words) of at least the given lines(id, place), rarest words first."""
-    named = lines.select("id", F.shiftrightunsigned("place", 32).alias("part"))
+    """(id, hash, line, words) of at least the given lines(id, hash, line), rarest words first."""
+    named = lines.select("id", "hash", _none(F.col("line")))
     shipped = docs.sparkSession.sparkContext.broadcast((levels, _filter(named), _filter(lines)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, documents, picked = shipped.value
         for batch in batches:
-            batch = batch.filter(pa.array(_hit(documents, _bit(batch.column(0).to_numpy(), batch.column(1).to_numpy()))))
-            ids, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for at, _, data, offsets in _parts(batch.column(2)):
-                picks = lambda doc, number: _hit(picked, _bit(ids[doc + at], parts[doc + at] << 32 | number))  # noqa: B023, E731
+            batch = batch.filter(pa.array(_hit(documents, _bit(*(batch.column(k).to_numpy() for k in range(3))))))
+            ids, hashes, base = _names(batch)
+            for at, _, data, offsets in _parts(batch.column(3)):
+                picks = lambda doc, number: _hit(picked, _bit(ids[doc + at], hashes[doc + at], base[doc + at] + number))  # noqa: B023, E731
                 cut = Lines(data, offsets, level, picks, words)
-                place = parts[cut.doc + at] << 32 | cut.number
-                every = np.arange(len(cut))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[cut.doc + at]), pa.array(place), cut.sets(every)], ["id", "place", "words"])
+                doc = cut.doc + at
+                name = [pa.array(c) for c in (ids[doc], hashes[doc], base[doc] + cut.number)]
+                yield pa.RecordBatch.from_arrays([*name, cut.sets(np.arange(len(cut)))], [*LINE, "words"])
 
-    return map_arrow(_rows(docs, id_col, text_col), run, "id long, place long, words array<long>")
+    return map_arrow(_rows(docs, id_col, text_col), run, f"{LINE_DDL}, words array<long>")
 
 
 def _under_keys(docs: DataFrame, levels: np.ndarray, keys: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(key, id, place, size, low, high) of all lines under at least the given keys(key)."""
+    """(key, id, hash, line, size, low, high) of all lines under at least the given keys(key)."""
     shipped = docs.sparkSession.sparkContext.broadcast((levels, _filter(keys)))
     frequent = frequent_level()
-    names = ["key", "id", "place", "size", "low", "high"]
+    names = ["key", *LINE, "size", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, picked = shipped.value
         for batch in batches:
-            ids, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for at, _, data, offsets in _parts(batch.column(2)):
+            ids, hashes, base = _names(batch)
+            for at, _, data, offsets in _parts(batch.column(3)):
                 cut = Lines(data, offsets, level, words=words)
                 if not len(cut):
                     continue
                 key, line, _, _ = cut.keys(np.arange(len(cut)), frequent)
-                some = np.flatnonzero(_hit(picked, _bit(key, 0)))
+                some = np.flatnonzero(_hit(picked, _bit(key)))
                 key, line = key[some], line[some]
                 low, high = cut.parities()
                 doc = cut.doc[line] + at
-                columns = (key, ids[doc], parts[doc] << 32 | cut.number[line], cut.size[line], low[line].view(np.int64), high[line].view(np.int64))
+                name = (ids[doc], hashes[doc], base[doc] + cut.number[line])
+                columns = (key, *name, cut.size[line], low[line].view(np.int64), high[line].view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
-    return map_arrow(_rows(docs, id_col, text_col), run, "key long, id long, place long, size long, low long, high long")
+    return map_arrow(_rows(docs, id_col, text_col), run, f"key long, {LINE_DDL}, size long, low long, high long")
 
 
 def _may_match() -> Column:
@@ -750,13 +785,13 @@ def _may_match() -> Column:
 
 
 def _verified(rows: DataFrame) -> DataFrame:
-    """(id, place) of the rows(id, place, w, ow) whose two sets match."""
+    """(id, hash, line) of the rows(id, hash, line, w, ow) whose two sets match."""
     top, bottom = MATCH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sides = []
-            for column in (batch.column(2), batch.column(3)):
+            for column in (batch.column(3), batch.column(4)):
                 size = np.diff(column.offsets.to_numpy()).astype(np.int64)
                 sides.append((size, np.repeat(np.arange(len(size)), size), column.flatten().to_numpy()))
             (x, row, hashes), (y, row2, hashes2) = sides
@@ -766,20 +801,20 @@ def _verified(rows: DataFrame) -> DataFrame:
             same = (row[1:] == row[:-1]) & (hashes[1:] == hashes[:-1])
             shared = np.bincount(row[1:][same], minlength=len(x))
             match = np.flatnonzero(shared * (top + bottom) >= top * (x + y))
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column(k).to_numpy()[match]) for k in (0, 1)], ["id", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(k).to_numpy()[match]) for k in range(3)], LINE)
 
-    return map_arrow(rows.select("id", "place", "w", "ow"), run, "id long, place long")
+    return map_arrow(rows.select(*LINE, "w", "ow"), run, LINE_DDL)
 
 
 def _matched(docs: DataFrame, levels: np.ndarray, pairs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, place) of the lines of pairs(id, place, other_id, other_place) that match their other."""
-    here, there = F.struct("id", "place"), F.struct(F.col("other_id").alias("id"), F.col("other_place").alias("place"))
+    """Names of the lines of pairs(id, hash, line, other_id, other_hash, other_line) that match their other."""
+    here, there = F.struct(*LINE), F.struct(*[F.col(f"other_{n}").alias(n) for n in LINE])
     sides = pairs.select(
         here.alias("here"), there.alias("there"), F.inline(F.array(*[F.struct(F.lit(k).alias("side"), line.alias("line")) for k, line in enumerate((here, there))]))
     )
-    sides = sides.select("here", "there", "side", F.col("line.id").alias("i"), F.col("line.place").alias("p"))
-    sets = _sets(docs, levels, sides.select(F.col("i").alias("id"), F.col("p").alias("place")), id_col, text_col, words)
-    met = sides.join(sets, (F.col("i") == F.col("id")) & (F.col("p") == F.col("place")))
+    sides = sides.select("here", "there", "side", "line.*")
+    sets = _sets(docs, levels, sides.select(*LINE), id_col, text_col, words)
+    met = sides.join(sets, LINE)
     both = met.groupBy("here", "there").agg(
         F.first(F.when(F.col("side") == 0, F.col("words")), True).alias("w"), F.first(F.when(F.col("side") == 1, F.col("words")), True).alias("ow")
     )
@@ -787,58 +822,60 @@ def _matched(docs: DataFrame, levels: np.ndarray, pairs: DataFrame, id_col: str,
 
 
 def _by_line(found: DataFrame) -> DataFrame:
-    """(id, place, settled, keys, others) of each line found: the lists that held more, and its candidates; chunks as they are."""
+    """(id, hash, line, settled, keys, others) of each line found: the lists that held more, and its candidates; chunks as they are."""
     other = F.col("other_id").isNotNull()
-    return found.groupBy("id", "place", "chunk").agg(
+    return found.groupBy(*LINE, "chunk").agg(
         F.max(~other).alias("settled"),
         F.collect_set(F.when(F.col("more"), F.col("key"))).alias("keys"),
-        F.collect_set(F.when(other, F.struct("other_id", "other_place"))).alias("others"),
+        F.collect_set(F.when(other, F.struct(*[f"other_{n}" for n in LINE]))).alias("others"),
         F.first("rows", True).alias("rows"),
     )
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 0, bounds: Bounds | None = None) -> DataFrame:
-    """(id, place) of every line that matches an earlier one.
+    """(id, hash, line) of every line that matches an earlier one.
 
-    With ``words`` a whole text is one line, and its shingles of so many words
-    are what the sets hold.
+    line: its number, and 1 << NONE_BIT more where the document has no id. With ``words`` a whole text is one line, and its shingles of so many words are what
+    the sets hold.
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = bounds or BOUNDS
-    levels = word_levels(docs, text_col, words)
-    found = found_in_lists(listed(docs, levels, partitions * BUCKETS, id_col, text_col, words, bounds), partitions, bounds)
+    levels, n_words = word_levels(docs, text_col, words)
+    # A line has at most about 0.4 times as many keys as words, so what a task holds doesn't depend on the session's settings.
+    buckets = max(partitions * BUCKETS, 2 * n_words // (5 * BUCKET_ROWS) + 1)
+    found = found_in_lists(listed(docs, levels, buckets, id_col, text_col, words, bounds), partitions, bounds)
     lines = checkpointed(_by_line(found))
     chunks = lines.where("rows IS NOT NULL").select("id", "chunk", "rows")
     if chunks.count():
         both = lines.where("rows IS NULL").unionByName(_by_line(found_in_chunks(chunks, bounds)))
         lines = checkpointed(
-            both.groupBy("id", "place").agg(
+            both.groupBy(*LINE).agg(
                 F.max("settled").alias("settled"),
                 F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"),
                 F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"),
             )
         )
-    gone = lines.where("settled").select("id", "place")
+    gone = lines.where("settled").select(*LINE)
     lines = lines.where("NOT settled")
-    pairs = lines.select("id", "place", F.inline("others"))
+    pairs = lines.select(*LINE, F.inline("others"))
     gone = checkpointed(gone.unionByName(_matched(docs, levels, pairs, id_col, text_col, words)).distinct())
-    open_ = checkpointed(lines.where(F.size("keys") > 0).join(gone, ["id", "place"], "left_anti").select("id", "place", F.explode("keys").alias("key")))
+    open_ = checkpointed(lines.where(F.size("keys") > 0).join(gone, LINE, "left_anti").select(*LINE, F.explode("keys").alias("key")))
     if not open_.count():
         return gone
     # What its best candidates leave open is compared with all lines of the lists that held more.
     listed_ = checkpointed(_under_keys(docs, levels, open_.select("key").distinct(), id_col, text_col, words).repartition("key"))
-    others = listed_.withColumnsRenamed({"id": "other_id", "place": "other_place", "size": "size2", "low": "low2", "high": "high2"})
-    mine = listed_.join(open_, ["key", "id", "place"], "left_semi").dropDuplicates(["key", "id", "place"])
-    earlier = (F.col("other_id") < F.col("id")) | ((F.col("other_id") == F.col("id")) & (F.col("other_place") < F.col("place")))
+    others = listed_.withColumnsRenamed({"size": "size2", "low": "low2", "high": "high2", **{n: f"other_{n}" for n in LINE}})
+    mine = listed_.join(open_, ["key", *LINE], "left_semi").dropDuplicates(["key", *LINE])
+    earlier = F.struct(*[F.col(f"other_{n}").alias(n) for n in LINE]) < F.struct(*LINE)
     pairs = mine.join(others, (mine["key"] == others["key"]) & earlier & _may_match())
-    pairs = checkpointed(pairs.select("id", "place", "other_id", "other_place").distinct())
+    pairs = checkpointed(pairs.select(*LINE, *[f"other_{n}" for n in LINE]).distinct())
     return gone.unionByName(_matched(docs, levels, pairs, id_col, text_col, words).distinct())
 
 
 def _by_document(gone: DataFrame) -> DataFrame:
-    """(id, part, numbers) of the documents that lose lines."""
-    return gone.groupBy("id", F.shiftrightunsigned("place", 32).alias("part")).agg(
-        F.sort_array(F.collect_list(F.col("place").bitwiseAND(0xFFFFFFFF).cast("int"))).alias("numbers")
+    """(id, hash, none, numbers) of the documents that lose lines."""
+    return gone.groupBy("id", "hash", _none(F.col("line"))).agg(
+        F.sort_array(F.collect_list(F.col("line").bitwiseAND((1 << NONE_BIT) - 1).cast("int"))).alias("numbers")
     )
 
 
@@ -848,8 +885,7 @@ _LINE = r"[^\x20\x09-\x0D][^\n]*"
 
 def _line_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
-        F.shiftrightunsigned(F.xxhash64(text_col), 32).alias("part"),
+        *_name(id_col, text_col),
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.regexp_count(text_col, F.lit(_LINE)), F.lit(0)).cast("long").alias("n_lines"),
     )
@@ -859,7 +895,7 @@ def _line_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bounds: Bounds | None = None) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed) of every document; line numbers from 0."""
     by = _by_document(removed_lines(docs, id_col, text_col, bounds=bounds))
-    joined = _line_counts(docs, id_col, text_col).join(by, ["id", "part"], "left")
+    joined = _line_counts(docs, id_col, text_col).join(by, ["id", "hash", "none"], "left")
     numbers = F.coalesce("numbers", F.array().cast("array<int>"))
     return joined.select("doc_id", "n_lines", F.size(numbers).cast("long").alias("n_removed"), numbers.alias("removed"))
 
@@ -870,13 +906,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A document that loses all its lines stays, with what blank lines it had.
     """
     gone = removed_lines(docs, id_col, text_col, bounds=bounds)
-    by = _by_document(gone).withColumnsRenamed({"id": "_id", "part": "_part"})
-    rows = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
-        F.shiftrightunsigned(F.xxhash64(text_col), 32).alias("part"),
-    )
-    joined = rows.join(by, (F.col("id") == F.col("_id")) & (F.col("part") == F.col("_part")), "left")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *_name(id_col, text_col))
+    joined = rows.join(_by_document(gone), ["id", "hash", "none"], "left")
     lines = F.filter(F.split(F.col("row")[text_col], "\n"), lambda x, i: ~F.array_contains(F.col("numbers"), i))
     text = F.when(F.col("numbers").isNull(), F.col("row")[text_col]).otherwise(F.array_join(lines, "\n"))
     return joined.select(F.col("row").withField(text_col, text).alias("row")).select("row.*").select(*docs.columns)
@@ -893,18 +924,17 @@ def dedup_documents(
     ``also``: (id, text_hash) of further rows that go, as ``simhash.copies``
     gives them.
     """
-    gone = removed_lines(docs, id_col, text_col, words, bounds).select(F.col("id").alias("_id"), F.shiftrightunsigned("place", 32).alias("_part"))
+    gone = removed_lines(docs, id_col, text_col, words, bounds).select("id", "hash", _none(F.col("line")))
     if also is not None:
-        named = also.select(F.coalesce("id", F.lit(NO_ID)).alias("_id"), F.shiftrightunsigned("text_hash", 32).alias("_part"))
-        gone = gone.unionByName(named)
+        hash_ = F.col("text_hash").bitwiseXOR(F.lit(SIGN)).alias("hash")
+        gone = gone.unionByName(also.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), hash_, F.col("id").isNull().cast("long").alias("none")))
     row = F.struct(*[docs[c] for c in docs.columns])
     rows = docs.select(
         row.alias("row"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
-        F.shiftrightunsigned(F.xxhash64(text_col), 32).alias("part"),
+        *_name(id_col, text_col),
         F.xxhash64(*[docs[c] for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]).alias("order"),
     )
-    kept = rows.join(gone, (F.col("id") == F.col("_id")) & (F.col("part") == F.col("_part")), "left_anti")
+    kept = rows.join(gone, ["id", "hash", "none"], "left_anti")
     # Where the join has put rows together anyway, of those that share id and text the first is taken.
-    first = F.row_number().over(Window.partitionBy("id", "part").orderBy("order"))
+    first = F.row_number().over(Window.partitionBy("id", "hash", "none").orderBy("order"))
     return kept.withColumn("first", first).where("first = 1").select("row.*")

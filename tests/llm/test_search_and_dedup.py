@@ -297,3 +297,33 @@ def test_pipeline_drops_near_copies_of_long_texts(spark, sf):
     assert 0.8 <= len(shingles(" ".join(w)) & shingles(" ".join(edited))) / len(shingles(" ".join(w)) | shingles(" ".join(edited))) < 0.9
     docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(edited)), (3, " ".join(reversed(w)))], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, sf).collect()) == [1, 3]
+
+
+#: The upper 32 bits of their hashes are equal.
+COLLIDING = ("text number 224286 alpha beta", "text number 385346 alpha beta")
+
+
+@pytest.mark.parametrize("id_", [None, 5, 2**63 - 1])
+def test_texts_that_share_half_a_hash_stay_apart(spark, id_):
+    schema = "doc_id long, text string"
+    both = spark.createDataFrame([(id_, t) for t in COLLIDING], schema)
+    assert sorted(r["text"] for r in line_dedup.dedup_documents(both).collect()) == sorted(COLLIDING)
+    assert [r["removed"] for r in line_dedup.line_report(both).collect()] == [[], []]
+    rows = spark.createDataFrame([(1, COLLIDING[0]), *((id_, t) for t in COLLIDING)], schema)
+    assert sorted(r["text"] for r in line_dedup.dedup_documents(rows).collect()) == sorted(COLLIDING)
+    assert sorted((r["doc_id"] == 1, r["n_removed"]) for r in line_dedup.line_report(rows).collect()) == [(False, 0), (False, 1), (True, 0)]
+    assert sorted(r["text"] for r in line_dedup.dedup_lines(rows).collect()) == sorted(["", *COLLIDING])
+
+
+def test_the_largest_id_is_no_null(spark):
+    rows = spark.createDataFrame([(2**63 - 1, "one and the same text here"), (None, "one and the same text here")], "doc_id long, text string")
+    assert [r["doc_id"] for r in line_dedup.dedup_documents(rows).collect()] == [2**63 - 1]
+    assert sorted((r["doc_id"] is None, r["n_removed"]) for r in line_dedup.line_report(rows).collect()) == [(False, 0), (True, 1)]
+
+
+def test_more_buckets_than_the_session_asks_for(spark, monkeypatch):
+    rows = [(k, f"{' '.join(f'w{(k * 7 + j) % 40}' for j in range(6))}\nw1 w2 w3 w4 w{k % 9}") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole = sorted(map(str, line_dedup.line_report(df).collect()))
+    monkeypatch.setattr(line_dedup, "BUCKET_ROWS", 1)
+    assert sorted(map(str, line_dedup.line_report(df).collect())) == whole
