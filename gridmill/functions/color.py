@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .cells import MODELLED
+
 
 def _hex(*codes: str) -> list[tuple[float, float, float]]:
     return [tuple(int(c[k : k + 2], 16) / 255 for k in (0, 2, 4)) for c in codes]
@@ -98,6 +100,12 @@ def merge(a: Rgb, b: Rgb, alpha: Column) -> Rgb:
     return Rgb(*[F.floor(x * (1 - t) + y * t).cast("int") for x, y in zip(a, b, strict=True)])
 
 
+def fill_water(pixels: DataFrame) -> DataFrame:
+    """Pixels(status, r, g, b) with those of modelled cells in the colour of water."""
+    modelled = F.col("status") == MODELLED
+    return pixels.withColumns({c: F.when(modelled, w).otherwise(F.col(c)).cast("int") for c, w in zip("rgb", WATER, strict=True)})
+
+
 def diverging(value: Column) -> Rgb:
     """Blue at -1, white at 0, red at 1."""
     v = clamp(value, -1.0, 1.0)

@@ -158,27 +158,70 @@ OPEN_WATER = ((0.0, 0.0, 0.0), (0.08235, 0.12157, 0.18431), (0.11373, 0.16078, 0
 SOLID = ((0.67451, 0.69020, 0.69412), (0.76863, 0.78431, 0.79608), (0.78431, 0.78824, 0.79216))
 
 
-def polygons(spark: SparkSession) -> DataFrame:
-    """(path, seq, x, y): closed polylines, nested and overlapping."""
-    return spark.createDataFrame(POLYGONS, "path int, seq int, x int, y int")
-
-
-POLYGONS = [
-    (path, seq, x, y)
-    for path, corners in enumerate(
-        [
-            [(5, 4), (70, 6), (66, 40), (30, 44), (4, 36)],
-            [(12, 10), (40, 12), (36, 30), (14, 28)],
-            [(30, 8), (60, 20), (44, 38), (28, 24)],
-            [(20, 14), (28, 16), (24, 24)],
-        ]
+#: Width of the map whose pixels are the orders; its height grows with their number.
+MAP_WIDTH = 120
+
+
+def order_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(x, y, path_index, ice_status, ice_thickness, vx, vy, r, g, b): a pixel of a map, a flow and a picture for each order."""
+    k, c, price = F.col("o_orderkey"), F.col("o_custkey"), F.floor("o_totalprice")
+    x, y = k % MAP_WIDTH, F.floor(k / MAP_WIDTH)
+    path = F.when((x < 3) | (y < 2), -1).when(c % 11 == 0, F.floor(c / 11) % 7).when(c % 7 == 0, 1000 + F.floor(c / 7) % 9)
+    return table(spark, sf_dir, "orders").select(
+        x.cast("int").alias("x"),
+        y.cast("int").alias("y"),
+        path.otherwise(1000).cast("int").alias("path_index"),
+        (price % 4).cast("int").alias("ice_status"),
+        (0.8 + (price % 5) * 0.05).alias("ice_thickness"),
+        ((c % 101 - 50) * 0.01).alias("vx"),
+        ((price % 89 - 44) * 0.02).alias("vy"),
+        (c * 2 % 256).cast("int").alias("r"),
+        (price % 256).cast("int").alias("g"),
+        (x * y % 256).cast("int").alias("b"),
     )
-    for seq, (x, y) in enumerate(corners)
-]
-_SQL_POLYGONS = ", ".join(f"({a}, {b}, {c}, {d})" for a, b, c, d in POLYGONS)
+
+
+def map_height(spark: SparkSession, sf_dir: str) -> int:
+    last = table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0]
+    return 0 if last is None else int(last) // MAP_WIDTH + 1
+
+
+ORDER_MAP = f"""
+omap AS (
+  SELECT x, y, CAST(CASE WHEN x < 3 OR y < 2 THEN -1 WHEN c % 11 = 0 THEN c // 11 % 7 WHEN c % 7 = 0 THEN 1000 + c // 7 % 9 ELSE 1000 END AS INTEGER) AS path_index,
+         price % 4 AS ice_status, 0.8e0 + (price % 5) * 0.05e0 AS ice_thickness, (c % 101 - 50) * 0.01e0 AS vx, (price % 89 - 44) * 0.02e0 AS vy,
+         c * 2 % 256 AS r, price % 256 AS g, x * y % 256 AS b
+  FROM (SELECT o_orderkey % {MAP_WIDTH} AS x, o_orderkey // {MAP_WIDTH} AS y, o_custkey AS c, CAST(floor(o_totalprice) AS BIGINT) AS price FROM orders)
+)"""
+
+#: Corners of a polygon, and the directions in which they lie from its centre.
+CORNERS = 16
+DIRECTIONS = [(8, 0), (7, 3), (6, 6), (3, 7), (0, 8), (-3, 7), (-6, 6), (-7, 3), (-8, 0), (-7, -3), (-6, -6), (-3, -7), (0, -8), (3, -7), (6, -6), (7, -3)]
+
+
+def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, seq, x, y): closed polylines with a corner for each customer, overlapping, in rows of eight; their number grows with the table."""
+    k = F.col("c_custkey")
+    path, seq, far = F.floor(k / CORNERS), (k % CORNERS).cast("int"), 1 + F.col("c_nationkey") % 3
+
+    def corner(axis: int) -> Column:
+        return F.element_at(F.array(*[F.lit(d[axis]) for d in DIRECTIONS]), seq + 1) * far
+
+    return table(spark, sf_dir, "customer").select(
+        path.cast("int").alias("path"), seq.alias("seq"), (corner(0) + 30 + path % 8 * 22).cast("int").alias("x"), (corner(1) + 30 + F.floor(path / 8) * 22).cast("int").alias("y")
+    )
+
+
+def _directions(axis: int) -> str:
+    return "[" + ", ".join(str(d[axis]) for d in DIRECTIONS) + "]"
+
+
 POLYGON_SQL = f"""
-poly AS (SELECT * FROM (VALUES {_SQL_POLYGONS}) t(path, seq, x, y)),
-edges AS (
+poly AS (
+  SELECT CAST(k // {CORNERS} AS INTEGER) AS path, CAST(k % {CORNERS} AS INTEGER) AS seq,
+         CAST({_directions(0)}[k % {CORNERS} + 1] * far + 30 + k // {CORNERS} % 8 * 22 AS INTEGER) AS x, CAST({_directions(1)}[k % {CORNERS} + 1] * far + 30 + k // {CORNERS} // 8 * 22 AS INTEGER) AS y
+  FROM (SELECT c_custkey AS k, 1 + c_nationkey % 3 AS far FROM customer)
+), edges AS (
   SELECT path, x AS xa, y AS ya, coalesce(lead(x) OVER o, first_value(x) OVER o) AS xb, coalesce(lead(y) OVER o, first_value(y) OVER o) AS yb
   FROM poly WINDOW o AS (PARTITION BY path ORDER BY seq)
 )"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import color
 from ..operators import colouring, nodes, scatter
 from . import adapters as a
-from .adapters import CELLS, IMAGE, MAP_PX, PARTICLES, PRM, STENCIL, sql6
+from .adapters import CELLS, IMAGE, MAP_PX, ORDER_MAP, PARTICLES, PRM, STENCIL, sql6
 from .field_queries import _BASE, _FRAME, _MASKED, _NUDGE, _lookup_sql, _masked, _merge_sql, _zeroed
 from .particle_queries import _GRID, _MOMENTUM, _NODES, _TAU
 
@@ -209,14 +209,12 @@ def _map_sql() -> str:
 
 
 @query(
-    f"""WITH {CELLS}, {IMAGE}, {MAP_PX}, prepared AS (
-  SELECT image.*, path_index, ice_status, ice_thickness, cvx * i AS vx, cvy * j AS vy FROM image JOIN map_px USING (x, y) JOIN cells ON x = i AND y = j
-) {_map_sql()}"""
+    f"WITH {ORDER_MAP}, prepared AS (SELECT * FROM omap) {_map_sql()}"
 )
 def map_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the preparation shows of a map: boundaries, flow and ice."""
-    flow = a.cells(spark).select(F.col("i").alias("x"), F.col("j").alias("y"), (F.col("cvx") * F.col("i")).alias("vx"), (F.col("cvy") * F.col("j")).alias("vy"))
-    return colouring.map_images(a.map_px(spark).join(flow, ["x", "y"]), a.image(spark))
+    whole = a.order_map(spark, sf_dir)
+    return colouring.map_images(whole.drop("r", "g", "b"), whole.select("x", "y", "r", "g", "b"))
 
 
 def _bars_sql() -> str:
@@ -227,12 +225,15 @@ def _bars_sql() -> str:
         low = f"CAST(least(floor({at}), {last - 1}) AS INTEGER)"
         tones = ["[" + ", ".join(f"CAST({x[c]!r} AS DOUBLE)" for x in colours) + "]" for c in range(3)]
         mixed = [sql6(f"(1 - ({at} - {low})) * {t}[{low} + 1] + ({at} - {low}) * {t}[{low} + 2]") for t in tones]
-        out.append(f"SELECT entry, '{name}' AS palette, " + ", ".join(f"{e} AS {c}" for e, c in zip(mixed, "rgb", strict=True)) + " FROM bar")
-    return "WITH bar AS (SELECT range AS entry FROM range(256)) " + " UNION ALL ".join(out)
+        out.append(f"SELECT vec_id, entry, '{name}' AS palette, " + ", ".join(f"{e} AS {c}" for e, c in zip(mixed, "rgb", strict=True)) + " FROM bar")
+    return "WITH bar AS (SELECT vec_id, least(greatest(CAST(floor((CAST(embedding[1] AS DOUBLE) + 0.5e0) * 256) AS BIGINT), 0), 255) AS entry FROM embeddings) " + " UNION ALL ".join(out)
 
 
 @query(_bars_sql())
 def color_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """256 colours from end to end of every palette."""
+    """The entry of a value in a bar of 256 colours from end to end of every palette, looked up in the bars' table."""
     bars = colouring.colour_bars(spark.range(color.BAR).withColumnRenamed("id", "entry"))
-    return bars.select("entry", "palette", *[F.round(c, 6).alias(c) for c in "rgb"])
+    entry = F.floor((F.element_at("embedding", 1).cast("double") + 0.5) * color.BAR)
+    values = a.table(spark, sf_dir, "embeddings").select("vec_id", F.least(F.greatest(entry, F.lit(0)), F.lit(color.BAR - 1)).alias("entry"))
+    found = values.join(F.broadcast(bars), "entry")  # BAR rows for each palette
+    return found.select("vec_id", "entry", "palette", *[F.round(c, 6).alias(c) for c in "rgb"])

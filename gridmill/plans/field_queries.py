@@ -10,7 +10,7 @@ from ..functions import color, naming
 from ..operators import classify, fields, frames, raster, sampling
 from ..sources import mesh
 from . import adapters as a
-from .adapters import CELLS, COLOURS, GX, GY, IMAGE, MAP_PX, OPEN_WATER, PARTICLES, POLYGON_SQL, SOLID, STENCIL, sql6
+from .adapters import CELLS, COLOURS, GX, GY, MAP_WIDTH, OPEN_WATER, ORDER_MAP, PARTICLES, POLYGON_SQL, SOLID, STENCIL, sql6
 from .particle_queries import _FRAME, _MASKED, _NUDGE, _blend, _frame, _masked, rounded
 
 QUERIES = {}
@@ -28,19 +28,19 @@ def query(sql: str | None):
 
 
 @query(
-    f"""WITH {CELLS}, {MAP_PX}, s AS (SELECT x, y, path_index, CASE WHEN path_index < 1000 THEN path_index + 1 ELSE path_index - 900 END AS status FROM map_px)
+    f"""WITH {ORDER_MAP}, s AS (SELECT x, y, path_index, CASE WHEN path_index < 1000 THEN path_index + 1 ELSE path_index - 900 END AS status FROM omap)
 SELECT x, y, path_index, status, CASE WHEN status >= 100 THEN status - 99 ELSE status END AS region FROM s"""
 )
 def status_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = a.map_px(spark).select("x", "y", "path_index").withColumn("status", cell.status_of(F.col("path_index")))
+    s = a.order_map(spark, sf_dir).select("x", "y", "path_index").withColumn("status", cell.status_of(F.col("path_index")))
     return s.withColumn("region", cell.region_of(F.col("status")))
 
 
 @query(
-    f"""WITH {CELLS}, {MAP_PX} SELECT x - 7 AS i, y - 5 AS j, path_index FROM map_px WHERE x BETWEEN 7 AND 46 AND y BETWEEN 5 AND 24"""
+    f"""WITH {ORDER_MAP} SELECT x - 7 AS i, y - 5 AS j, path_index FROM omap WHERE x BETWEEN 7 AND 46 AND y BETWEEN 5 AND 24"""
 )
 def window_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cell.window(a.map_px(spark).select("x", "y", "path_index"), 7, 5, 40, 20)
+    return cell.window(a.order_map(spark, sf_dir).select("x", "y", "path_index"), 7, 5, 40, 20)
 
 
 def _project_sql(name: str, curve) -> str:
@@ -178,12 +178,12 @@ _CATEGORY = "[" + ", ".join(f"[{r}, {g}, {b}]" for r, g, b in color.CATEGORIES)
 
 
 @query(
-    f"WITH {CELLS}, {MAP_PX} SELECT x, y, "
+    f"WITH {ORDER_MAP} SELECT x, y, "
     + ", ".join(f"{_CATEGORY}[(path_index + CASE WHEN path_index >= 1000 THEN 5 ELSE 0 END) % 20 + 1][{k + 1}] AS {c}" for k, c in enumerate("rgb"))
-    + " FROM map_px WHERE path_index <> -1"
+    + " FROM omap WHERE path_index <> -1"
 )
 def category_color(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return a.map_px(spark).where("path_index <> -1").select("x", "y", *color.category(F.col("path_index")).named())
+    return a.order_map(spark, sf_dir).where("path_index <> -1").select("x", "y", *color.category(F.col("path_index")).named())
 
 
 _WATER = tuple(map(str, color.WATER))
@@ -250,30 +250,41 @@ def restore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _diffusion_sql(n: int) -> str:
-    steps = []
-    for k in range(n):
-        near = " + ".join(f"CASE WHEN {m}.active THEN {m}.{{0}} WHEN NOT {m}.active THEN 0 WHEN c.active THEN c.{{0}} ELSE 0 END" for m in ("e", "w", "u", "d"))
-        moved = [f"CASE WHEN c.active THEN c.{v} + 0.02 * ({near.format(v)} - 4 * c.{v}) ELSE c.{v} END AS {v}" for v in ("vx", "vy")]
-        steps.append(
-            f"d{k + 1} AS (SELECT c.x, c.y, c.active, {', '.join(moved)} FROM d{k} c LEFT JOIN d{k} e ON e.x = c.x + 1 AND e.y = c.y LEFT JOIN d{k} w ON w.x = c.x - 1 AND w.y = c.y "
-            f"LEFT JOIN d{k} u ON u.x = c.x AND u.y = c.y + 1 LEFT JOIN d{k} d ON d.x = c.x AND d.y = c.y - 1)"
-        )
-    return f"WITH {CELLS}, d0 AS (SELECT i AS x, j AS y, status = 100 AS active, cvx * i AS vx, cvy * j AS vy FROM cells), {', '.join(steps)} SELECT x, y, {sql6('vx')} AS vx, {sql6('vy')} AS vy FROM d{n}"
+    """Steps one after another over a grid of every pixel up to the last row; pixels without an order are no part of it."""
+    moved = ", ".join(
+        f"CASE WHEN active THEN {v} + 0.02e0 * (CASE WHEN x + 1 < {MAP_WIDTH} THEN coalesce(lead({v}) OVER r, 0) ELSE {v} END + CASE WHEN x > 0 THEN coalesce(lag({v}) OVER r, 0) ELSE {v} END"
+        f" + CASE WHEN y + 1 < height THEN coalesce(lead({v}) OVER c, 0) ELSE {v} END + CASE WHEN y > 0 THEN coalesce(lag({v}) OVER c, 0) ELSE {v} END - 4 * {v}) ELSE 0 END AS {v}"
+        for v in ("vx", "vy")
+    )
+    steps = [
+        f"d{k + 1} AS MATERIALIZED (SELECT x, y, height, known, active, {moved} FROM d{k} WINDOW r AS (PARTITION BY y ORDER BY x), c AS (PARTITION BY x ORDER BY y))" for k in range(n)
+    ]
+    return f"""WITH {ORDER_MAP}, h AS (SELECT max(y) + 1 AS height FROM omap), every AS (
+  SELECT range % {MAP_WIDTH} AS x, range // {MAP_WIDTH} AS y, height FROM h, range((SELECT height * {MAP_WIDTH} FROM h))
+), d0 AS MATERIALIZED (
+  SELECT x, y, height, path_index IS NOT NULL AS known, coalesce(path_index = 1000, FALSE) AS active, CASE WHEN path_index = 1000 THEN vx ELSE 0 END AS vx, CASE WHEN path_index = 1000 THEN vy ELSE 0 END AS vy
+  FROM every LEFT JOIN omap USING (x, y)
+), {', '.join(steps)} SELECT x, y, {sql6('vx')} AS vx, {sql6('vy')} AS vy FROM d{n} WHERE known"""
+
+
+def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return a.order_map(spark, sf_dir).select("x", "y", (F.col("path_index") == cell.INTERIOR).alias("active"), "vx", "vy")
 
 
 @query(_diffusion_sql(4))
 def diffusion_4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = a.cells(spark)
-    flow = c.select(
-        F.col("i").alias("x"), F.col("j").alias("y"), (F.col("status") == 100).alias("active"), (F.col("cvx") * F.col("i")).alias("vx"), (F.col("cvy") * F.col("j")).alias("vy")
-    )
-    return rounded(fields.diffuse(flow, 4, 0.02, GX, GY).drop("active"), "vx", "vy")
+    return rounded(fields.diffuse(_flow(spark, sf_dir), 4, 0.02, MAP_WIDTH, a.map_height(spark, sf_dir)).drop("active"), "vx", "vy")
 
 
-@query(f"WITH {CELLS} SELECT i AS x, j AS y, {sql6('sqrt(cvx * cvx + cvy * cvy)')} AS norm FROM cells")
+@query(_diffusion_sql(32))
+def diffusion_32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many steps, eight for each exchange of tiles."""
+    return rounded(fields.diffuse_tiled(_flow(spark, sf_dir), 32, 0.02, MAP_WIDTH, a.map_height(spark, sf_dir), halo=8).drop("active"), "vx", "vy")
+
+
+@query(f"WITH {ORDER_MAP} SELECT x, y, {sql6('sqrt(vx * vx + vy * vy)')} AS norm FROM omap")
 def flow_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = a.cells(spark).select(F.col("i").alias("x"), F.col("j").alias("y"), F.col("cvx").alias("vx"), F.col("cvy").alias("vy"))
-    return rounded(fields.with_norm(c).select("x", "y", "norm"), "norm")
+    return rounded(fields.with_norm(_flow(spark, sf_dir)).select("x", "y", "norm"), "norm")
 
 
 _SEGMENTS = "seg AS (SELECT CAST(p_partkey AS INTEGER) AS seg, p_size AS x0, p_size + 2.5 AS x1, p_retailprice / 10 AS x2, p_size * 2 AS x3, p_retailprice / 20 AS y0, p_size * 1.5 AS y1, p_size + 7 AS y2, 40 - p_size AS y3 FROM part)"
@@ -324,19 +335,20 @@ def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FILLED = """
-filled AS (  -- the winding number of each pixel: crossings at or left of it on its row
-  SELECT p.path, px.x, px.y FROM (SELECT DISTINCT path FROM poly) p, px
-  JOIN edges e ON e.path = p.path AND e.ya <> e.yb AND px.y >= least(e.ya, e.yb) AND px.y < greatest(e.ya, e.yb)
-  GROUP BY p.path, px.x, px.y
-  HAVING sum(CASE WHEN e.xa + (px.y + 0.5 - e.ya) * (e.xb - e.xa) / CAST(e.yb - e.ya AS DOUBLE) < px.x THEN sign(e.yb - e.ya) ELSE 0 END) <> 0
-      OR bool_or(e.xa + (px.y + 0.5 - e.ya) * (e.xb - e.xa) / CAST(e.yb - e.ya AS DOUBLE) = px.x)
+crossed AS (  -- where an edge crosses a row, and the pixels of the path's box on that row
+  SELECT e.path, y, xa + (y + 0.5e0 - ya) * (xb - xa) / CAST(yb - ya AS DOUBLE) AS spot, sign(yb - ya) AS turn
+  FROM (SELECT *, unnest(range(least(ya, yb), greatest(ya, yb))) AS y FROM edges WHERE ya <> yb) e
+), across AS (
+  SELECT path, y, unnest(range(low, high + 1)) AS x FROM (SELECT path, y, CAST(floor(min(spot)) AS BIGINT) AS low, CAST(ceil(max(spot)) AS BIGINT) AS high FROM crossed GROUP BY path, y)
+), filled AS (  -- the winding number of each pixel: crossings at or left of it on its row
+  SELECT p.path, CAST(p.x AS INTEGER) AS x, CAST(p.y AS INTEGER) AS y FROM across p JOIN crossed c USING (path, y) GROUP BY p.path, p.x, p.y
+  HAVING sum(CASE WHEN spot < p.x THEN turn ELSE 0 END) <> 0 OR bool_or(spot = p.x)
 )"""
-_PX = "px AS (SELECT i AS x, j AS y FROM cells)"
 
 
-@query(f"WITH {CELLS}, {_PX}, {POLYGON_SQL}, {_FILLED} SELECT path, x, y FROM filled")
+@query(f"WITH {POLYGON_SQL}, {_FILLED} SELECT path, x, y FROM filled")
 def scanline_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.filled(a.polygons(spark))
+    return raster.filled(a.polygons(spark, sf_dir))
 
 
 _CANDIDATES = "cand AS (SELECT x, y, path, FALSE AS boundary FROM filled UNION ALL SELECT x, y, path, TRUE FROM poly)"
@@ -346,29 +358,33 @@ pidx AS (
 )"""
 
 
-def _candidates(spark: SparkSession) -> DataFrame:
-    poly = a.polygons(spark)
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    poly = a.polygons(spark, sf_dir)
     inner = raster.filled(poly).select("x", "y", "path", F.lit(False).alias("boundary"))
     return inner.unionByName(poly.select("x", "y", "path", F.lit(True).alias("boundary")))
 
 
-@query(f"WITH {CELLS}, {_PX}, {POLYGON_SQL}, {_FILLED}, {_CANDIDATES}, {_PRECEDENCE} SELECT x, y, CAST(path_index AS INTEGER) AS path_index FROM pidx")
+@query(f"WITH {POLYGON_SQL}, {_FILLED}, {_CANDIDATES}, {_PRECEDENCE} SELECT x, y, CAST(path_index AS INTEGER) AS path_index FROM pidx")
 def fill_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.fill_precedence(_candidates(spark))
+    return raster.fill_precedence(_candidates(spark, sf_dir))
+
+
+#: The canvas of the polygons' rows: as wide as eight of them, and so high that the topmost are cut off.
+_CANVAS = (230, 20_000)
 
 
 @query(
-    f"""WITH {CELLS}, {_PX}, {POLYGON_SQL}, {_FILLED}, {_CANDIDATES}, {_PRECEDENCE}, box AS (
-  SELECT greatest(min(x) - 2, 0) AS ox, greatest(min(y) - 2, 0) AS oy, least(max(x) + 2, {GX - 1}) AS x1, least(max(y) + 2, {GY - 1}) AS y1 FROM pidx WHERE path_index <> -1
+    f"""WITH {POLYGON_SQL}, {_FILLED}, {_CANDIDATES}, {_PRECEDENCE}, box AS (
+  SELECT greatest(min(x) - 2, 0) AS ox, greatest(min(y) - 2, 0) AS oy, least(max(x) + 2, {_CANVAS[0] - 1}) AS x1, least(max(y) + 2, {_CANVAS[1] - 1}) AS y1 FROM pidx WHERE path_index <> -1
 ) SELECT ox, oy, x1 - ox + 1 AS gx, y1 - oy + 1 AS gy FROM box"""
 )
 def bounding_box_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.bounding_box(raster.fill_precedence(_candidates(spark)), GX, GY)
+    return raster.bounding_box(raster.fill_precedence(_candidates(spark, sf_dir)), *_CANVAS)
 
 
 @query(f"WITH {POLYGON_SQL} SELECT path, sum(xa * yb - xb * ya) / CAST(2 AS DOUBLE) AS area FROM edges GROUP BY path")
 def shoelace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.signed_area(a.polygons(spark))
+    return raster.signed_area(a.polygons(spark, sf_dir))
 
 
 @query(
@@ -502,11 +518,14 @@ def mesh_probe_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {CELLS} SELECT CAST(count(*) FILTER (WHERE cvx * 3 + 0.5 <> 0) AS BIGINT) AS nonzero FROM cells"
+    f"""WITH {ORDER_MAP} SELECT CAST(count(*) FILTER (WHERE vx * 3 + 0.5e0 <> 0) AS BIGINT) AS nonzero,
+  {sql6('min(vx * 3 + 0.5e0)')} AS low_x, {sql6('max(vx * 3 + 0.5e0)')} AS high_x, {sql6('min(vy * 3 - 1)')} AS low_y, {sql6('max(vy * 3 - 1)')} AS high_y FROM omap"""
 )
 def require_nonzero(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moved = fields.transform_mesh(a.cells(spark).select(F.col("cvx").alias("x"), F.col("cvy").alias("y")), 3.0, 0.5, -1.0)
-    return fields.require_nonzero(moved, "x")
+    """Nodes scaled, then shifted, how many have an x other than 0, and where they lie."""
+    moved = fields.transform_mesh(a.order_map(spark, sf_dir).select(F.col("vx").alias("x"), F.col("vy").alias("y")), 3.0, 0.5, -1.0)
+    ends = moved.agg(*[f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("low", F.min), ("high", F.max))])
+    return rounded(fields.require_nonzero(moved, "x").join(F.broadcast(ends)), *ends.columns)  # aggregates without keys: one row each
 
 
 _U32 = 4294967296
@@ -528,16 +547,16 @@ def hash_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {CELLS}, {IMAGE}, {MAP_PX} SELECT x, y, CASE WHEN status = 100 THEN 21 ELSE r END AS r, CASE WHEN status = 100 THEN 31 ELSE g END AS g, CASE WHEN status = 100 THEN 47 ELSE b END AS b
-FROM image JOIN cells ON x = i AND y = j"""
+    f"""WITH {ORDER_MAP} SELECT x, y, CASE WHEN path_index = 1000 THEN 21 ELSE r END AS r, CASE WHEN path_index = 1000 THEN 31 ELSE g END AS g, CASE WHEN path_index = 1000 THEN 47 ELSE b END AS b
+FROM omap"""
 )
 def water_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = a.cells(spark).select(F.col("i").alias("x"), F.col("j").alias("y"), "status")
-    filled = [F.when(F.col("status") == cell.MODELLED, w).otherwise(F.col(c)).cast("int").alias(c) for c, w in zip("rgb", color.WATER, strict=True)]
-    return a.image(spark).join(status, ["x", "y"]).select("x", "y", *filled)
+    pixels = a.order_map(spark, sf_dir).withColumn("status", cell.status_of(F.col("path_index")))
+    return color.fill_water(pixels).select("x", "y", *"rgb")
 
 
 @query(None)
 def poisson_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points of the grid; their number and least distance are tested."""
-    return sampling.sample_grid(spark, GX, GY)
+    """A point a cell, about, over the map's grid, and of these the ones in modelled cells; their least distance is tested."""
+    modelled = a.order_map(spark, sf_dir).where(F.col("path_index") == cell.INTERIOR).select(F.col("x").alias("ci"), F.col("y").alias("cj"))
+    return sampling.sample_grid(spark, MAP_WIDTH, a.map_height(spark, sf_dir), per_cell=1).join(modelled, ["ci", "cj"], "left_semi")
