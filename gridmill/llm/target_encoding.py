@@ -148,22 +148,27 @@ def snapshots(events: DataFrame, keys: list[str], parents: list[DataFrame], fold
     )
 
 
-def _replayed(places: list[int], asks: list[int], frees: list[int], at: list[int], free_at: list[int], fold: list[int], n: list[int], s: list[int], state: tuple[list[int], list[int], int]):
+def _replayed(places: np.ndarray, asks: list[int], frees: list[int], at: list[int], free_at: list[int], fold: np.ndarray, n: list[int], s: list[int], start: tuple[np.ndarray, np.ndarray]):
     """History counts of each asking row: its value's sums without those of its own fold, once what is due has been released."""
-    sum_n, sum_s, folds = state
+    cells = (places * start[0].shape[1] + fold).tolist()
+    of_fold_n, of_fold_s = (x.ravel().tolist() for x in start)
+    of_all_n, of_all_s = (x.sum(axis=1).tolist() for x in start)
+    places = places.tolist()
     got_n, got_s, waiting, last = [], [], 0, len(frees)
     for row in asks:
         now = at[row]
         while waiting < last and free_at[waiting] < now:
             free = frees[waiting]
-            to = places[free] * folds + fold[free]
-            sum_n[to] += n[free]
-            sum_s[to] += s[free]
+            cell, place, count = cells[free], places[free], n[free]
+            of_fold_n[cell] += count
+            of_all_n[place] += count
+            if count := s[free]:
+                of_fold_s[cell] += count
+                of_all_s[place] += count
             waiting += 1
-        first = places[row] * folds
-        own, upto = first + fold[row], first + folds
-        got_n.append(sum(sum_n[first:upto]) - sum_n[own])
-        got_s.append(sum(sum_s[first:upto]) - sum_s[own])
+        cell, place = cells[row], places[row]
+        got_n.append(of_all_n[place] - of_fold_n[cell])
+        got_s.append(of_all_s[place] - of_fold_s[cell])
     return np.array(got_n, np.int64), np.array(got_s, np.int64)
 
 
@@ -176,7 +181,7 @@ def replay_slice(rows: pa.Table, state: pa.Table, keys: list[str], carried: list
     order = np.argsort(rows["at"].to_numpy(), kind="stable")
     rows = rows.take(pa.array(order))
     at = rows["at"].to_numpy().tolist()
-    fold, n, s = (rows[c].to_pylist() for c in ("fold", "n", "s"))
+    fold, n, s = rows["fold"].to_numpy(), rows["n"].to_pylist(), rows["s"].to_pylist()
     ask, free = (np.flatnonzero(rows[c].to_numpy()).tolist() for c in ("ask", "release"))
     free_at = [at[k] for k in free]
 
@@ -186,10 +191,10 @@ def replay_slice(rows: pa.Table, state: pa.Table, keys: list[str], carried: list
         (level, parent if level >= top else key): k for k, (level, key, parent) in enumerate(zip(levels, values, parents, strict=True))
     }
 
-    start_n, start_s = (np.stack([state[f"{what}{k}"].to_numpy() for k in range(how.folds)], axis=1).ravel().tolist() for what in "ns")
+    start = tuple(np.stack([state[f"{what}{k}"].to_numpy() for k in range(how.folds)], axis=1) for what in "ns")
 
     def history(places: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        return _replayed(places, ask, free, at, free_at, fold, n, s, (start_n.copy(), start_s.copy(), how.folds))
+        return _replayed(np.array(places, np.int64), ask, free, at, free_at, fold, n, s, start)
 
     base = rates(*history([place[-1, 0]] * len(at)), how.prior, how.weight)
     out = rows.select(carried).take(pa.array(ask, pa.int64()))
