@@ -6,10 +6,11 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import layout, nearest, thinning, tiles
+from ..operators import layout, nearest, thinning, tiles, walk
+from ..streaming import forces
 from . import adapters as a
 from .adapters import sql6
 from .particle_queries import rounded
@@ -164,3 +165,50 @@ def stored_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     layout.store(points, path, zones=32)
     found = [layout.lookup(spark, path, *box).select(F.lit(n).alias("box"), "okey", "line", "ci", "cj") for n, box in enumerate(_BOXES)]
     return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+#: Segments of curves: eight parts each, every one beginning where the one before ends.
+_WALKED = """raw AS (
+  SELECT p_partkey // 8 AS path, p_partkey AS seg, p_size * 1e0 AS x0, p_size + 2.5e0 AS x1, p_retailprice / 10 AS x2, p_size * 2e0 AS x3, p_retailprice / 20 AS y0, p_size * 1.5e0 AS y1, p_size + 7e0 AS y2, 40e0 - p_size AS y3 FROM part
+), seg AS (SELECT path, seg, coalesce(lag(x3) OVER o, x0) AS x0, x1, x2, x3, coalesce(lag(y3) OVER o, y0) AS y0, y1, y2, y3 FROM raw WINDOW o AS (PARTITION BY path ORDER BY seg))"""
+_AT_T = " ".join(f"CAST(trunc((1 - t) * (1 - t) * (1 - t) * {c}0 + 3 * ((1 - t) * (1 - t)) * t * {c}1 + 3 * (1 - t) * (t * t) * {c}2 + t * t * t * {c}3) AS BIGINT) AS n{c}," for c in "xy")
+
+
+@query(
+    f"""WITH RECURSIVE {_WALKED}, w AS (
+  SELECT path, seg, 0e0 AS t, 1e0 / {max(a.GX, a.GY)} AS step, CAST(trunc(x0) AS BIGINT) AS px, CAST(trunc(y0) AS BIGINT) AS py, 0 AS k, TRUE AS fresh, x0, x1, x2, x3, y0, y1, y2, y3 FROM seg
+  UNION ALL
+  SELECT path, seg, CASE WHEN far THEN was ELSE t END, CASE WHEN far THEN step / 2 ELSE step END, CASE WHEN far THEN px ELSE nx END, CASE WHEN far THEN py ELSE ny END,
+         CASE WHEN NOT far AND (nx <> px OR ny <> py) THEN k + 1 ELSE k END, NOT far AND (nx <> px OR ny <> py), x0, x1, x2, x3, y0, y1, y2, y3
+  FROM (SELECT *, abs(nx - px) > 1 OR abs(ny - py) > 1 AS far FROM (SELECT {_AT_T} * FROM (SELECT * EXCLUDE (t), t AS was, least(t + step, 1e0) AS t FROM w WHERE t < 1)))
+) SELECT path, CAST(seg AS INTEGER) AS seg, k, px AS x, py AS y FROM w WHERE fresh"""
+)
+def curve_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pixel of the parts' curves, in order."""
+    k, s, r = F.col("p_partkey"), F.col("p_size").cast("double"), F.col("p_retailprice")
+    raw = a.table(spark, sf_dir, "part").select(
+        F.floor(k / 8).alias("path"), k.cast("int").alias("seg"), s.alias("x0"), (s + 2.5).alias("x1"), (r / 10).alias("x2"), (s * 2).alias("x3"),
+        (r / 20).alias("y0"), (s * 1.5).alias("y1"), (s + 7).alias("y2"), (40 - s).alias("y3"),
+    )
+    before = Window.partitionBy("path").orderBy("seg")
+    joined = raw.withColumns({f"{c}0": F.coalesce(F.lag(f"{c}3").over(before), F.col(f"{c}0")) for c in "xy"})
+    return walk.walk(joined, a.GX, a.GY).drop("t")
+
+
+_ORIGIN = 19723 * 86_400
+
+
+@query(
+    f"""WITH e AS (SELECT CAST(floor((epoch(ts) - {_ORIGIN}) / 43200) AS INTEGER) AS frame, CAST(user_id % 7 AS INTEGER) AS region, event_id, value FROM events),
+f AS (SELECT frame, region, arg_max(value, event_id) AS fx FROM e GROUP BY frame, region),
+g AS (SELECT region, CAST(unnest(range(0, last + 1)) AS INTEGER) AS frame FROM (SELECT region, max(frame) AS last FROM f GROUP BY region))
+SELECT region, frame, {sql6('coalesce(fx, 0)', 4)} AS fx, {sql6('coalesce(-fx / 2, 0)', 4)} AS fy FROM g LEFT JOIN f USING (region, frame)"""
+)
+def force_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest event of each region and frame, streamed from shuffled files with a restart in between; gaps are 0."""
+    rows = a.table(spark, sf_dir, "events").select(
+        F.timestamp_seconds(F.unix_timestamp("ts")).alias("ts"), (F.col("user_id") % 7).cast("int").alias("region"), F.col("event_id").alias("seq"),
+        F.col("value").alias("fx"), (-F.col("value") / 2).alias("fy"),
+    )
+    found = forces.replay(spark, rows, shared_folder(spark), _ORIGIN, "60 days", files=8, starts=2)
+    return rounded(found, "fx", "fy", digits=4)
