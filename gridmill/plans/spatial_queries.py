@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import layout, nearest, thinning, tiles, walk
+from ..sources import mesh, strips
 from ..streaming import forces
 from . import adapters as a
-from .adapters import sql6
+from .adapters import MAP_WIDTH, ORDER_MAP, sql6
 from .particle_queries import rounded
 
 QUERIES = {}
@@ -212,3 +213,78 @@ def force_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = forces.replay(spark, rows, shared_folder(spark), _ORIGIN, "60 days", files=8, starts=2)
     return rounded(found, "fx", "fy", digits=4)
+
+
+@query(f"WITH {ORDER_MAP} SELECT x, y, r, b FROM omap WHERE y BETWEEN 5 AND 40 AND x >= 20")
+def image_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map's picture written as a PNG, and a window of it read back with two of its channels."""
+    uri = f"{shared_folder(spark)}/map-{uuid.uuid4().hex}.png"
+    strips.write_png(a.order_map(spark, sf_dir), uri, MAP_WIDTH, a.map_height(spark, sf_dir), lines=16)
+    pixels = strips.read_strips(spark, uri, "x int, y int, r short, b short").where("y BETWEEN 5 AND 40 AND x >= 20")
+    last = a.table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0]
+    return pixels.where(F.col("y") * MAP_WIDTH + F.col("x") <= F.lit(last))  # the end of the last line has no orders
+
+
+#: Faces of solids, outward, by the numbers of their nodes.
+_FACES = {
+    2: [[0, 2, 1], [0, 1, 3], [1, 2, 3], [2, 0, 3]],
+    4: [[0, 3, 2, 1], [4, 5, 6, 7], [0, 1, 5, 4], [1, 2, 6, 5], [2, 3, 7, 6], [3, 0, 4, 7]],
+    5: [[0, 3, 2, 1], [0, 1, 4], [1, 2, 4], [2, 3, 4], [3, 0, 4]],
+    6: [[0, 2, 1], [3, 4, 5], [0, 1, 4, 3], [1, 2, 5, 4], [2, 0, 3, 5]],
+}
+_KINDS = [2, 4, 5, 6]
+
+
+@query(
+    f"""WITH c AS (SELECT c_custkey + 1 AS k, CAST([2, 4, 5, 6][c_custkey % 4 + 1] AS INTEGER) AS type FROM customer),
+f0 AS (SELECT k, type, unnest(CASE type {' '.join(f'WHEN {t} THEN {f}' for t, f in _FACES.items())} END) AS run, generate_subscripts(CASE type {' '.join(f'WHEN {t} THEN {f}' for t, f in _FACES.items())} END, 1) - 1 AS f FROM c),
+f1 AS (SELECT k, type, f, k * 8 + (f + k) % CASE type WHEN 2 THEN 4 WHEN 4 THEN 6 ELSE 5 END AS face_id, list_transform(run, lambda n: k * 8 + n) AS run, (k + f) % len(run) AS turn FROM f0),
+faces AS (SELECT k, type, face_id, list_concat(list_slice(run, turn + 1, len(run)), list_slice(run, 1, turn)) AS run FROM f1),
+seen AS (SELECT k, type, face_id, run FROM faces),
+base AS (SELECT k, type, run AS base FROM seen WHERE type IN (2, 4) OR (type = 5 AND len(run) = 4) OR (type = 6 AND len(run) = 3) QUALIFY row_number() OVER (PARTITION BY k ORDER BY face_id) = 1),
+edges AS (SELECT k, run[i] AS a, run[i % len(run) + 1] AS b FROM (SELECT k, run, unnest(range(1, len(run) + 1)) AS i FROM seen)),
+above AS (SELECT DISTINCT e.k, a, b FROM (SELECT k, a, b FROM edges UNION ALL SELECT k, b, a FROM edges) e JOIN base USING (k) WHERE list_contains(base, a) AND NOT list_contains(base, b)),
+tops AS (SELECT b.k, list(above.b ORDER BY list_position(base, a)) AS top FROM base b JOIN above USING (k) GROUP BY b.k)
+SELECT base.k AS cell_id, type, array_to_string(CASE WHEN type IN (2, 5) THEN list_concat(base, top[1:1]) ELSE list_concat(base, top) END, ' ') AS nodes FROM base JOIN tops USING (k)"""
+)
+def solid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A solid for each customer, from faces in mixed order, turned, and seen from either side."""
+    k = F.col("k")
+    kinds = F.array(*[F.lit(t) for t in _KINDS])
+    c = a.table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1).alias("k"), F.element_at(kinds, (F.col("c_custkey") % 4 + 1).cast("int")).alias("type"))
+
+    def of_kind(t: int):
+        return F.array(*[F.array(*[F.lit(n).cast("long") for n in run]) for run in _FACES[t]])
+
+    runs = F.when(F.col("type") == 2, of_kind(2)).when(F.col("type") == 4, of_kind(4)).when(F.col("type") == 5, of_kind(5)).otherwise(of_kind(6))
+    listed = c.select("k", "type", F.size(runs).alias("n"), F.posexplode(runs).alias("f", "run"))
+    turn = ((k + F.col("f")) % F.size("run")).cast("int")
+    run = F.transform("run", lambda n: k * 8 + n)
+    turned = listed.select("k", "n", "f", F.concat(F.slice(run, turn + 1, F.size("run")), F.slice(run, F.lit(1), turn)).alias("run"))
+    mine, none = (k + F.col("f")) % 2 == 0, F.lit(0).cast("long")
+    faces = turned.select(
+        (k * 8 + (F.col("f") + k) % F.col("n")).alias("face_id"),
+        F.when(mine, F.col("run")).otherwise(F.reverse("run")).alias("nodes"),
+        F.when(mine, k).otherwise(none).alias("c0"),
+        F.when(mine, none).otherwise(k).alias("c1"),
+    )
+    cells = c.select(k.alias("cell_id"), F.lit(1).alias("zone"), "type")
+    whole = mesh.require_complete(mesh.cells_from_faces(faces, cells))
+    return whole.select("cell_id", "type", F.array_join(F.col("nodes").cast("array<string>"), " ").alias("nodes"))
+
+
+@query(
+    f"""WITH RECURSIVE t AS (SELECT CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey // 3 ELSE o_orderkey - o_orderkey % 4 END AS parent, o_orderkey AS child, o_totalprice AS u FROM orders WHERE o_orderkey > 0),
+w AS (SELECT 0::BIGINT AS cell_id, 0::BIGINT AS root, 0::BIGINT AS depth UNION ALL SELECT child, root, depth + 1 FROM w JOIN t ON parent = cell_id),
+inner_ AS (SELECT DISTINCT parent AS cell_id FROM t),
+v AS (SELECT o_orderkey AS cell_id, o_totalprice AS u FROM orders WHERE o_orderkey NOT IN (SELECT cell_id FROM inner_)
+  UNION ALL SELECT parent, coalesce(avg(t.u) FILTER (WHERE child NOT IN (SELECT cell_id FROM inner_)), 0) FROM t GROUP BY parent)
+SELECT cell_id, root, depth, cell_id NOT IN (SELECT cell_id FROM inner_) AS leaf, {sql6('u', 4)} AS u FROM w JOIN v USING (cell_id)"""
+)
+def refinement_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root and depth of every cell of a tree of orders, and values of its parents."""
+    k = F.col("o_orderkey")
+    o = a.table(spark, sf_dir, "orders")
+    tree = o.where(k > 0).select(F.when(k % 4 == 0, F.floor(k / 3)).otherwise(k - k % 4).alias("parent"), k.alias("child"))
+    values = mesh.parent_values(tree, o.select(k.alias("cell_id"), F.col("o_totalprice").alias("u")), ["u"])
+    return rounded(mesh.tree_closure(tree).join(values, "cell_id"), "u", digits=4)

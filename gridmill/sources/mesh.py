@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+
 #: Cell types and their numbers of nodes; 7 is a polyhedron of any number.
 CELL_NODES = {1: 3, 2: 4, 3: 4, 4: 8, 5: 5, 6: 6}
 
@@ -16,20 +18,115 @@ def cells_from_faces(faces: DataFrame, cells: DataFrame, parents: DataFrame | No
 
     A face belongs to the cells on its two sides (0: none) and runs forward as
     seen from c0. The nodes of a flat cell, whose faces are edges, are the ring
-    that begins with its first face. Those of a solid are its first face's,
-    then the others in the order of faces. Cells that were refined into others,
-    parents(cell_id), and faces that are parts of others, children(face_id),
-    are dropped.
+    that begins with its first face; those of a solid are as ``solid_nodes`` says.
+    Cells that were refined into others, parents(cell_id), and faces that are
+    parts of others, children(face_id), are dropped.
     """
     whole = faces if children is None else faces.join(children.select("face_id"), "face_id", "left_anti")
     forward, back = F.struct(F.col("c0").alias("cell_id"), F.col("nodes").alias("run")), F.struct("c1", F.reverse("nodes"))
-    sides = whole.select("face_id", F.inline(F.array(forward, back.cast("struct<cell_id:bigint,run:array<bigint>>")))).where("cell_id <> 0")
-    runs = sides.groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("face_id", "run"))).alias("runs"))
-    runs = runs.select("cell_id", F.transform("runs", lambda r: r["run"]).alias("runs"))
-    flat = F.forall("runs", lambda r: F.size(r) == 2)
-    nodes = F.when(flat, _ring(F.col("runs"))).otherwise(F.array_distinct(F.flatten("runs")))
+    sides = whole.select("face_id", "nodes", F.inline(F.array(forward, back.cast("struct<cell_id:bigint,run:array<bigint>>")))).where("cell_id <> 0")
+    runs = sides.groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("face_id", "run", "nodes"))).alias("faces"))
+    runs = runs.select("cell_id", F.transform("faces", lambda r: r["run"]).alias("runs"), F.transform("faces", lambda r: r["nodes"]).alias("given"))
     live = cells if parents is None else cells.join(parents.select("cell_id"), "cell_id", "left_anti")
-    return live.join(runs.select("cell_id", nodes.alias("nodes")), "cell_id")
+    found = live.join(runs, "cell_id")
+    flat = F.forall("runs", lambda r: F.size(r) == 2)
+    nodes = F.when(flat, _ring(F.col("runs"))).otherwise(solid_nodes(F.col("type"), F.col("runs"), F.col("given")))
+    return found.withColumn("nodes", nodes).drop("runs", "given")
+
+
+def _has(run: Column, *nodes: Column) -> Column:
+    found = F.lit(True)
+    for n in nodes:
+        found = found & F.array_contains(run, n)
+    return found
+
+
+def _turned(run: Column, first: Column) -> Column:
+    """A run that begins with one of its nodes, or as it is without that."""
+    at = F.array_position(run, first).cast("int")
+    return F.when(at > 1, F.concat(F.slice(run, at, F.size(run)), F.slice(run, F.lit(1), F.greatest(at - 1, F.lit(0))))).otherwise(run)
+
+
+def _prism(base: Column, top: Column, sides: Column) -> Column:
+    """The nodes of a base, then those of the face opposite to it, each above its own.
+
+    The node above the first one is that which the two sides at the first one
+    share; sides meet the base in its first and last edges.
+    """
+    first = F.element_at(base, 1)
+    one = F.element_at(F.filter(sides, lambda r: _has(r, first, F.element_at(base, 2))), -1)
+    other = F.element_at(F.filter(sides, lambda r: _has(r, first, F.element_at(base, -1))), -1)
+    above = F.try_element_at(F.filter(one, lambda n: (n != first) & F.array_contains(other, n)), F.lit(-1))
+    return F.concat(base, _turned(F.reverse(top), above))
+
+
+def solid_nodes(kind: Column, runs: Column, given: Column) -> Column:
+    """Nodes of a solid cell in the order of its type, from its faces' runs as seen from the cell, in the order of faces.
+
+    Tetrahedron (2): the first face, then the apex. Hexahedron (4): the first
+    face, then the one that shares no node with it, each node above its own.
+    Pyramid (5): the face of four nodes, then the apex. Wedge (6): the first
+    triangle, then the other as in a hexahedron. Polyhedron (7): the number of
+    faces, then of each its number of nodes and these as ``given``; faces
+    without nodes don't count. Cells that lack a face of their type have null.
+    """
+    threes, fours = F.filter(runs, lambda r: F.size(r) == 3), F.filter(runs, lambda r: F.size(r) == 4)
+    first = F.try_element_at(runs, F.lit(1))
+
+    def apex(base: Column) -> Column:
+        return F.concat(base, F.slice(F.array_except(F.array_distinct(F.flatten(runs)), base), 1, 1))
+
+    far = F.try_element_at(F.filter(runs, lambda r: ~F.arrays_overlap(r, first)), F.lit(-1))
+    beside = F.slice(runs, F.lit(2), F.greatest(F.size(runs) - 1, F.lit(0)))
+    low, high = F.try_element_at(threes, F.lit(1)), F.try_element_at(threes, F.lit(2))
+    full = F.filter(given, lambda g: F.size(g) > 0)
+    stream = F.flatten(F.transform(full, lambda g: F.concat(F.array(F.size(g).cast("long")), g)))
+    return (
+        F.when(kind == 2, apex(first))
+        .when((kind == 4) & far.isNotNull(), _prism(first, far, beside))
+        .when(kind == 5, apex(F.try_element_at(fours, F.lit(-1))))
+        .when((kind == 6) & high.isNotNull(), _prism(low, high, fours))
+        .when(kind == 7, F.concat(F.array(F.size(full).cast("long")), stream))
+    )
+
+
+def tree_closure(tree: DataFrame, most: int = 64) -> DataFrame:
+    """(cell_id, root, depth, leaf) of every cell of a forest tree(parent, child), however deep.
+
+    Each round every cell takes its ancestor's ancestor for its own, so there
+    are as many rounds as the depth has bits. A cell with two parents or a
+    circle raises an error.
+    """
+    edges = tree.where("parent IS NOT NULL AND child IS NOT NULL").distinct()
+    twice = edges.groupBy("child").agg(F.count(F.lit(1)).alias("n"))
+    checked = edges.join(twice, "child").withColumn("parent", F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("two parents of cell "), F.col("child").cast("string")))).otherwise(F.col("parent")))
+    inner = edges.select(F.col("parent").alias("cell_id")).distinct()
+    tops = inner.join(edges.select(F.col("child").alias("cell_id")), "cell_id", "left_anti")
+    up = cut(
+        checked.select(F.col("child").alias("cell_id"), F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"))
+        .unionByName(tops.select("cell_id", F.col("cell_id").alias("up"), F.lit(0).cast("long").alias("depth")))
+    )
+    for _ in range(most):
+        above = up.select(F.col("cell_id").alias("_cell"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
+        now = cut(up.join(above, F.col("up") == F.col("_cell")).select("cell_id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth")))
+        moved = now.join(up.select("cell_id", F.col("depth").alias("_before")), "cell_id").where("depth <> _before").isEmpty()
+        up = now
+        if moved:
+            break
+    else:
+        raise ValueError("cells are their own ancestors")
+    leaf = inner.withColumn("inner", F.lit(True))
+    return up.join(leaf, "cell_id", "left").select("cell_id", F.col("up").alias("root"), "depth", F.col("inner").isNull().alias("leaf"))
+
+
+def parent_values(tree: DataFrame, values: DataFrame, names: list[str]) -> DataFrame:
+    """values(cell_id, names…) of the leaves, and of each parent the mean over its children that are leaves, 0 if it has none."""
+    edges = tree.select("parent", "child").distinct()
+    inner = edges.select(F.col("parent").alias("cell_id")).distinct()
+    leaves = values.join(inner, "cell_id", "left_anti")
+    held = edges.join(leaves, F.col("child") == F.col("cell_id"), "left").groupBy("parent")
+    means = held.agg(*[F.coalesce(F.avg(n), F.lit(0.0)).alias(n) for n in names]).withColumnRenamed("parent", "cell_id")
+    return leaves.select("cell_id", *names).unionByName(means)
 
 
 def _ring(edges: Column) -> Column:
