@@ -220,7 +220,7 @@ def image_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The map's picture written as a PNG, and a window of it read back with two of its channels."""
     uri = f"{shared_folder(spark)}/map-{uuid.uuid4().hex}.png"
     strips.write_png(a.order_map(spark, sf_dir), uri, MAP_WIDTH, a.map_height(spark, sf_dir), lines=16)
-    pixels = strips.read_strips(spark, uri, "x int, y int, r short, b short").where("y BETWEEN 5 AND 40 AND x >= 20")
+    pixels = strips.read_strips(spark, uri, "x int, y int, r short, b short", x=(20, MAP_WIDTH), y=(5, 40))
     last = a.table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0]
     return pixels.where(F.col("y") * MAP_WIDTH + F.col("x") <= F.lit(last))  # the end of the last line has no orders
 

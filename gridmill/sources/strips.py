@@ -113,23 +113,12 @@ class Strip(InputPartition):
 
 
 class PngReader(DataSourceReader):
-    """Reads RGB pixels. Filters on x and y pick strips and pixels; columns are those of the schema that the reader is given."""
+    """Reads RGB pixels. Options pick strips and pixels by x and y; columns are those of the schema that the reader is given."""
 
     def __init__(self, schema: StructType, options):
         self.schema, self.uri = schema, options["path"]
-        self.low: dict[str, float] = {"x": -np.inf, "y": -np.inf}
-        self.high: dict[str, float] = {"x": np.inf, "y": np.inf}
-
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        for f in filters:
-            name = ".".join(getattr(f, "attribute", ()))
-            if name in self.low and isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual | LessThan | LessThanOrEqual):
-                if not isinstance(f, LessThan | LessThanOrEqual):
-                    self.low[name] = max(self.low[name], f.value + (1 if isinstance(f, GreaterThan) else 0))
-                if not isinstance(f, GreaterThan | GreaterThanOrEqual):
-                    self.high[name] = min(self.high[name], f.value - (1 if isinstance(f, LessThan) else 0))
-            else:
-                yield f
+        self.low = {n: float(options.get(f"low_{n}", "-inf")) for n in "xy"}
+        self.high = {n: float(options.get(f"high_{n}", "inf")) for n in "xy"}
 
     def partitions(self) -> list[InputPartition]:
         system, path = _open(self.uri)
@@ -158,7 +147,9 @@ class PngReader(DataSourceReader):
     def _wanted(self, strip: Strip) -> bool:
         return strip.height - 1 - strip.top >= self.low["y"] and strip.height - strip.top - strip.lines <= self.high["y"] and self.low["x"] < strip.width and self.high["x"] >= 0
 
-    def read(self, strip: Strip) -> Iterator[pa.RecordBatch]:
+    def read(self, strip: Strip | None) -> Iterator[pa.RecordBatch]:
+        if strip is None:  # no strip is wanted
+            return
         system, path = _open(strip.uri)
         with system.open_input_file(path) as f:
             if strip.offset is None:
@@ -177,6 +168,21 @@ class PngReader(DataSourceReader):
         yield pa.RecordBatch.from_arrays([pa.array(pixel[n]) for n in self.schema.names], self.schema.names)
 
 
+class PngFilteredReader(PngReader):
+    """Takes filters on x and y as well. Spark refuses it in sessions that don't hand filters on."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            name = ".".join(getattr(f, "attribute", ()))
+            if name in self.low and isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual | LessThan | LessThanOrEqual):
+                if not isinstance(f, LessThan | LessThanOrEqual):
+                    self.low[name] = max(self.low[name], f.value + (1 if isinstance(f, GreaterThan) else 0))
+                if not isinstance(f, GreaterThan | GreaterThanOrEqual):
+                    self.high[name] = min(self.high[name], f.value - (1 if isinstance(f, LessThan) else 0))
+            else:
+                yield f
+
+
 class PngStrips(DataSource):
     """``spark.read.format("png_strips").load(path)``: (path, x, y, r, g, b), or the columns of them that ``schema`` names."""
 
@@ -188,17 +194,24 @@ class PngStrips(DataSource):
         return _PIXELS
 
     def reader(self, schema: StructType) -> PngReader:
-        return PngReader(schema, self.options)
+        return (PngFilteredReader if self.options.get("filters") == "true" else PngReader)(schema, self.options)
 
 
 def register(spark: SparkSession) -> None:
     ship(spark)
-    spark.dataSource.register(PngStrips)
+    if not spark._jsparkSession.sessionState().dataSourceManager().dataSourceExists(PngStrips.name()):
+        spark.dataSource.register(PngStrips)
+
 
+def read_strips(spark: SparkSession, uri: str, columns: str = _PIXELS, x: tuple[int, int] | None = None, y: tuple[int, int] | None = None) -> DataFrame:
+    """The pixels of an image or a folder of images, within x and y (both ends included) if these are given.
 
-def read_strips(spark: SparkSession, uri: str, columns: str = _PIXELS) -> DataFrame:
-    """The pixels of an image or a folder of images. Its session is one of its own, in which filters reach the source."""
-    session = spark.newSession()
-    session.conf.set(*PUSHDOWN)
-    register(session)
-    return session.read.format("png_strips").schema(columns).load(uri)
+    In sessions with the setting PUSHDOWN, filters on x and y reach the source by themselves.
+    """
+    register(spark)
+    filters = spark.conf.get(PUSHDOWN[0], "false")
+    reader = spark.read.format(PngStrips.name()).schema(columns).option("filters", filters)
+    for name, ends in (("x", x), ("y", y)):
+        if ends is not None:
+            reader = reader.option(f"low_{name}", str(ends[0])).option(f"high_{name}", str(ends[1]))
+    return reader.load(uri)
