@@ -159,9 +159,9 @@ def triangles(cells: DataFrame, nodes: DataFrame, names: list[str]) -> DataFrame
 
 
 def require_complete(cells: DataFrame) -> DataFrame:
-    """Raise where a cell has another number of nodes than its type says."""
-    wanted = F.element_at(F.create_map(*[F.lit(x) for kv in CELL_NODES.items() for x in kv]), F.col("type"))
-    wrong = wanted.isNotNull() & (F.size("nodes") != wanted)
+    """Raise where a cell has no nodes, or another number of them than its type says."""
+    wanted = F.try_element_at(F.create_map(*[F.lit(x) for kv in CELL_NODES.items() for x in kv]), F.col("type"))
+    wrong = wanted.isNotNull() & ~F.coalesce(F.size("nodes") == wanted, F.lit(False))
     return cells.withColumn("nodes", F.when(wrong, F.raise_error(F.concat(F.lit("wrong nodes in cell "), F.col("cell_id").cast("string")))).otherwise(F.col("nodes")))
 
 
