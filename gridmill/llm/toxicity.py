@@ -5,17 +5,19 @@ word features and the probabilities of the categories before it. In training
 those come from models that haven't seen the row (out-of-fold), so a link
 learns from predictions as good as those that it will get.
 
-The categories are columns of the labelled table. Features are words and word
-beginnings that mark the last category, chosen by how much more often they
-occur in its documents: for each fold from the other folds alone, so that what
-a fold's models are judged by has no part in them. Fitting uses about
+The categories are columns of the labelled table. A link's features are words
+and word beginnings that mark its own category, chosen by how much more often
+they occur in its documents: for each fold from the other folds alone, so that
+what a fold's models are judged by has no part in them. Fitting uses about
 SAMPLE_ROWS labelled documents at most; whole texts are scored.
 
 Defined results: null, empty and letterless texts have no feature and get the
 intercepts' probabilities; a category without both kinds of labels has its
 share as its probability (0 without labels). A row counts as labelled where it
 has the last category's label; a missing label of an earlier one counts as 0.
-Repeated rows are scored alike and learned from once; extra columns are ignored.
+Labels of null ids aren't learned from; documents with null ids are scored like
+others. Repeated rows are scored alike and learned from once; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,29 +90,33 @@ def _link(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def fit_chain(
-    x: np.ndarray, labels: np.ndarray, folds: np.ndarray, weight: np.ndarray, columns: dict[int, list[int]] | None = None
+    x: np.ndarray, labels: np.ndarray, folds: np.ndarray, weight: np.ndarray, columns: Sequence[dict[int, list[int]]] | None = None
 ) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
     """Weights of each link, and the out-of-fold probabilities; ``labels`` has a column per category, in order.
 
-    columns: the columns of x that models without a fold may use, and under -1
-    those of the final links; all of them where it isn't given.
+    columns: for each link the columns of x that models without a fold may use,
+    and under -1 those of the final one; all of them where it isn't given. A
+    link has weight 0 on columns that it doesn't use.
     """
-    every = list(range(x.shape[1]))
-    use = {f: (columns or {}).get(f, every) for f in [-1, *np.unique(folds).tolist()]}
+    n, every = x.shape[1], list(range(x.shape[1]))
     weights, so_far = [], np.zeros((len(x), 0))
     for k in range(labels.shape[1]):
-        y = labels[:, k]
-        weights.append(_link(np.hstack([x[:, use[-1]], so_far]), y, weight))
+        y, use = labels[:, k], columns[k] if columns else {}
+        own = use.get(-1, every)
+        link = _link(np.hstack([x[:, own], so_far]), y, weight)
+        whole = np.zeros(n + k + 1)
+        whole[own], whole[n:] = link[: len(own)], link[len(own) :]
+        weights.append(whole)
         unseen = np.zeros(len(x))
         for fold in np.unique(folds).tolist():
-            out, inputs = folds == fold, np.hstack([x[:, use[fold]], so_far])
+            out, inputs = folds == fold, np.hstack([x[:, use.get(fold, every)], so_far])
             unseen[out] = apply_logistic(inputs[out], _link(inputs[~out], y[~out], weight[~out]))
         so_far = np.hstack([so_far, unseen[:, None]])
     return tuple(weights), so_far
 
 
 def _counted(known: DataFrame) -> DataFrame:
-    """(feature, t_0 …, c_0 …): marked and other documents of known(last, text, fold) with each feature, by fold.
+    """(feature, t_0 …, c_0 …): marked and other documents of known(marked, text, fold) with each feature, by fold.
 
     Features with too few marked documents are left out.
     """
@@ -119,13 +125,13 @@ def _counted(known: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = [Counter() for _ in names]
         for batch in batches:
-            for last, text, fold in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
-                counts[fold + FOLDS * (1 - last)].update(features(text))
+            for marked, text, fold in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
+                counts[fold + FOLDS * (1 - marked)].update(features(text))
         found = list(set().union(*counts))
         columns = [pa.array([c[f] for f in found], pa.int64()) for c in counts]
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *columns], ["feature", *names])
 
-    rows = map_arrow(known.select("last", "text", "fold"), count, ", ".join(["feature binary", *[f"{n} long" for n in names]]))
+    rows = map_arrow(known.select("marked", "text", "fold"), count, ", ".join(["feature binary", *[f"{n} long" for n in names]]))
     summed = rows.groupBy("feature").agg(*[F.sum(n).alias(n) for n in names])
     return checkpointed(summed.where(_total("t") >= MIN_DOCUMENTS))
 
@@ -135,7 +141,7 @@ def _total(kind: str, without: int = -1) -> Column:
 
 
 def _marks(counted: DataFrame, n1: float, n0: float, without: int) -> list[bytes]:
-    """The FEATURES features that say most for the last category, in documents outside a fold."""
+    """The FEATURES features that say most for a category, in documents outside a fold."""
     a, b = _total("t", without) / F.lit(max(1.0, n1)), _total("c", without) / F.lit(max(1.0, n0))
     both = (n1 * a + n0 * b) / (n1 + n0)
 
@@ -149,6 +155,17 @@ def _marks(counted: DataFrame, n1: float, n0: float, without: int) -> list[bytes
     return [bytes(r["feature"]) for r in told.where("worth > 0").orderBy(F.desc("worth"), "feature").limit(FEATURES).collect()]
 
 
+def _marks_of(known: DataFrame) -> dict[int, list[bytes]]:
+    """The features of a category from known(marked, text, fold): without each fold, and under -1 from all of them."""
+    sizes = {(r["marked"], r["fold"]): r["n"] for r in known.groupBy("marked", "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = _counted(known)
+    marks = {}
+    for without in (-1, *range(FOLDS)):
+        n1, n0 = (float(sum(n for (kind, k), n in sizes.items() if kind == which and k != without)) for which in (1, 0))
+        marks[without] = _marks(counted, n1, n0, without) if n1 and n0 else []
+    return marks
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -164,16 +181,10 @@ def fit(
     rows = labelled_rows(docs, usable.select(id_col, label.alias("label")), id_col, text_col)
     sample = sampled_texts(docs, rows, id_col, text_col, SAMPLE_ROWS)
     fold = F.pmod(F.xxhash64(F.col("id"), F.lit(3)), F.lit(FOLDS)).cast("int")
-    last = F.col("label") >= 1 << (len(categories) - 1)
-    # The bounded sample's texts are read twice: kept once in the shared folder.
-    known = checkpointed(sample.select(last.cast("int").alias("last"), "text", fold.alias("fold"), F.col("label").cast("int").alias("label"), "weight"))
-    sizes = {(r["last"], r["fold"]): r["n"] for r in known.groupBy("last", "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
-    counted = _counted(known)
-    marks = {}
-    for without in (-1, *range(FOLDS)):
-        n1, n0 = (float(sum(n for (kind, k), n in sizes.items() if kind == which and k != without)) for which in (1, 0))
-        marks[without] = _marks(counted, n1, n0, without) if n1 and n0 else []
-    every = {f: i for i, f in enumerate(dict.fromkeys(f for some in marks.values() for f in some))}
+    # The bounded sample's texts are read for each link: kept once in the shared folder.
+    known = checkpointed(sample.select("text", fold.alias("fold"), F.col("label").cast("int").alias("label"), "weight"))
+    marks = [_marks_of(known.withColumn("marked", F.shiftright("label", k).bitwiseAND(1))) for k in range(len(categories))]
+    every = {f: i for i, f in enumerate(dict.fromkeys(f for link in marks for some in link.values() for f in some))}
     names = tuple(name for name, _ in categories)
     shipped = docs.sparkSession.sparkContext.broadcast(Chain(names, every, ()))
 
@@ -186,11 +197,13 @@ def fit(
     found = sorted((r["label"], r["fold"], r["hits"], r["weight"]) for r in found)
     y = np.array([[r[0] >> k & 1 for k in range(len(names))] for r in found], float).reshape(len(found), len(names))
     x = Chain(names, every, ()).matrix([r[2] for r in found])
-    columns = {f: [every[m] for m in some] for f, some in marks.items()}
+    columns = [{f: [every[m] for m in some] for f, some in link.items()} for link in marks]
     weight = np.array([r[3] for r in found])
     weights, unseen = fit_chain(x, y, np.array([r[1] for r in found], int), weight, columns)
     right = float(np.average((unseen[:, -1] >= 0.5) == (y[:, -1] == 1), weights=weight)) if found else 0.0
-    return Chain(names, {f: i for i, f in enumerate(marks[-1])}, weights, right, len(found))
+    final = list(dict.fromkeys(m for link in marks for m in link[-1]))
+    used = [every[m] for m in final]
+    return Chain(names, {m: i for i, m in enumerate(final)}, tuple(np.concatenate([w[used], w[len(every) :]]) for w in weights), right, len(found))
 
 
 def score_documents(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
