@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._base import checkpointed, word_count
+from ._base import checkpointed, stored, word_count
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -173,10 +173,14 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it, columns as given."""
-    plan, n_sources = mix_plan(checkpointed(sized_documents(docs, id_col, text_col, source_col).repartition("hash")))
-    rows = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(source_col).alias("source"), row_hash(F.col(id_col), F.col(text_col)).alias("hash")
+    # Hashed once: a row keeps the hash that the plan has counted, whatever order a recomputation would give.
+    rows = stored(
+        docs.select(
+            F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(source_col).alias("source"), row_hash(F.col(id_col), F.col(text_col)).alias("hash")
+        )
     )
+    sizes = rows.select("source", word_count(F.col("row")[text_col]).alias("size"), "hash")
+    plan, n_sources = mix_plan(checkpointed(sizes.repartition("hash")))
     return (
         _by_source(rows, plan, n_sources)
         .select("row", F.explode(F.array_repeat(F.lit(1), _copies(F.col("hash")).cast("int"))).alias("copy"))
