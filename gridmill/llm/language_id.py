@@ -11,8 +11,10 @@ uses at most SAMPLE_ROWS of them, which every language shares alike, so that a
 rare one is learned from as well. Whole texts are read.
 
 Defined results: texts that are null or hold no letter are ``und`` with score
-0, and so is everything when nothing can be learned. Repeated rows are judged
-alike and extra columns are ignored.
+0, and so is everything when nothing can be learned. Rows with null ids are
+judged like others, and held out if the checksum of an empty text says so;
+they aren't learned from. Repeated rows are judged alike, an empty table gives
+no rows, and extra columns are ignored.
 """
 
 from __future__ import annotations

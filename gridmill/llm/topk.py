@@ -19,8 +19,9 @@ Defined results: vectors that are null, or hold a null or non-finite component,
 take no part. Components may be of any magnitude: sums are as wide as they need
 be, and a score among a query's best that a long can't hold raises an error.
 Shorter vectors count as padded with zeros; an empty vector scores 0. Rows that
-share a query's id are all its own. Without candidates a query has no rows.
-Rows without an id take no part. Extra columns are ignored.
+share a query's id are all its own; if several of them ask, what they find is
+ranked together. Without candidates a query has no rows, and an empty table
+gives none. Rows without an id take no part. Extra columns are ignored.
 """
 
 from __future__ import annotations

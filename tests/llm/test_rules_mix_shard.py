@@ -46,7 +46,7 @@ def test_rules_stay_native(odd):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "labels"):
+    for t in ("documents", "embeddings", "labels", "benchmark", "sale_lines", "sales", "items", "vendors", "clients"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     df = QUERIES[name](spark, sf)
     columns = sorted(df.columns)
