@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import MODELLED
-from ..functions.color import BAR, PALETTES, WATER, Rgb, category, diverging, frame_color, lookup, merge, rgb, water
+from ..functions.color import BAR, PALETTES, WATER, Blend, Rgb, category, diverging, frame_blend, frame_color, merge, painted, rgb, water
 
 #: Path index of the pixels on which a frame is shown.
 SHOWN_PATH = 1000
@@ -83,82 +83,81 @@ def _modelled() -> Column:
     return F.col("status") == MODELLED
 
 
-def _alpha() -> Column:
-    return F.col("mask").cast("double")
-
-
-def _over_water(inner: Rgb) -> Rgb:
-    return merge(water(), inner, _alpha())
-
-
-#: What a running model shows of its grid. Columns: status, the current (cvx, cvy), the last frame's mass, density,
-#: mask, jpinv, p, q, vx, vy and colours, and the forces (fx, fy) on boundaries.
-GRID_RULES: dict[str, Rule] = {
-    "v_norm": (lambda s: lookup("ANSYS", _norm("cvx", "cvy") / s), _modelled),
-    "v_u": (lambda s: lookup("ANSYS", F.col("cvx") / s + 0.5), _modelled),
-    "v_v": (lambda s: lookup("ANSYS", F.col("cvy") / s + 0.5), _modelled),
-    "grid_mass": (lambda s: lookup("P2", F.col("mass") / s), _modelled),
-    "grid_pointdensity": (lambda s: lookup("ANSYS", F.col("density") / FULL_CELL / s), _modelled),
-    "grid_colors": (lambda s: rgb(), _modelled),
-    "grid_Jpinv": (lambda s: frame_color("jpinv", s, rgb()), _modelled),
-    "grid_P": (lambda s: frame_color("p", s, rgb()), _modelled),
-    "grid_Q": (lambda s: frame_color("q", s, rgb()), _modelled),
-    "grid_vnorm": (lambda s: frame_color("speed", s, rgb()), _modelled),
-    "regions": (lambda s: lookup("Pastel", F.col("status") % 13 / 12.0), lambda: ~_modelled()),
-    "grid_force": (lambda s: lookup("ANSYS", _norm("fx", "fy") / s), lambda: ~_modelled()),
+def _full(palette: str, value: Column) -> Blend:
+    return Blend(rgb(), palette, value, F.lit(1.0))
+
+
+#: What a running model shows of its grid, and where. Columns: status, mask, the frame's fields and colours, cvx, cvy, mass, density, fx and fy.
+GRID_RULES: dict[str, tuple[Callable[[float], Blend], Callable[[], Column]]] = {
+    "v_norm": (lambda s: _full("ANSYS", _norm("cvx", "cvy") / s), _modelled),
+    "v_u": (lambda s: _full("ANSYS", F.col("cvx") / s + 0.5), _modelled),
+    "v_v": (lambda s: _full("ANSYS", F.col("cvy") / s + 0.5), _modelled),
+    "grid_mass": (lambda s: _full("P2", F.col("mass") / s), _modelled),
+    "grid_pointdensity": (lambda s: _full("ANSYS", F.col("density") / FULL_CELL / s), _modelled),
+    "grid_colors": (lambda s: Blend(rgb()), _modelled),
+    "grid_Jpinv": (lambda s: frame_blend("jpinv", s, rgb()), _modelled),
+    "grid_P": (lambda s: frame_blend("p", s, rgb()), _modelled),
+    "grid_Q": (lambda s: frame_blend("q", s, rgb()), _modelled),
+    "grid_vnorm": (lambda s: frame_blend("speed", s, rgb()), _modelled),
+    "regions": (lambda s: _full("Pastel", F.col("status") % 13 / 12.0), lambda: ~_modelled()),
+    "grid_force": (lambda s: _full("ANSYS", _norm("fx", "fy") / s), lambda: ~_modelled()),
 }
 
 
 def grid_images(cells: DataFrame, image: DataFrame, options: dict[str, float], ox: int = 0, oy: int = 0) -> DataFrame:
     """(x, y, option, r, g, b): GRID_RULES, with their scales' exponents, over the background.
 
-    Options that aren't among the rules show the background alone.
+    Options that aren't among the rules show the background alone. A row is
+    made for each option, with what its rule needs, before anything is painted:
+    then one expression paints them all.
     """
     placed = cells.withColumns({"x": F.col("i") + ox, "y": F.col("j") + oy}).drop("i", "j")
     near = _backed(image).join(placed, ["x", "y"], "left")
-    nothing = (lambda s: water(), lambda: F.lit(False))
     rows = []
     for option, exponent in options.items():
-        colours, where = GRID_RULES.get(option, nothing)
-        rows.append(F.struct(F.lit(option).alias("option"), *_painted(near, colours(scale_of(exponent)), where())))
-    return near.select("x", "y", F.inline(F.array(*rows)))
+        blend, where = GRID_RULES.get(option, (lambda s: Blend(water()), lambda: F.lit(False)))
+        rows.append(F.struct(F.lit(option).alias("option"), F.coalesce(where(), F.lit(False)).alias("shown"), *blend(scale_of(exponent)).packed()))
+    ready = near.select("x", "y", *[f"back_{n}" for n in "rgb"], F.inline(F.array(*rows)))
+    return ready.select("x", "y", "option", *_painted(ready, painted(), F.col("shown")))
 
 
-def _own(inner: Rgb, value: Column, scale: float) -> Rgb:
+def _own(palette: str, lookup_at: Column, value: Column, scale: float) -> Blend:
     """A point's own colour blended towards a palette's, the more the larger the value."""
-    return merge(rgb(), inner, F.abs(value) / scale)
+    return Blend(rgb(), palette, lookup_at, F.abs(value) / scale)
 
 
-def _plain() -> Rgb:
-    return Rgb(*[F.lit(c) for c in PLAIN_POINT])
+def _plain() -> Blend:
+    return Blend(Rgb(*[F.lit(c) for c in PLAIN_POINT]))
 
 
 #: What a running model shows of its points. Columns: jp_inv, p, q, thickness, crushed, disabled, part and colours.
-POINT_RULES: dict[str, Callable[[float], Rgb]] = {
+POINT_RULES: dict[str, Callable[[float], Blend]] = {
     "none": lambda s: _plain(),
     "regions": lambda s: _plain(),
-    "color": lambda s: rgb(),
-    "status": lambda s: lookup("NCD", F.when(F.col("disabled"), 1.0).when(F.col("crushed"), 0.5).otherwise(0.0)),
-    "Jp_inv": lambda s: _own(lookup("Pressure", (F.col("jp_inv") - 1) / s + 0.5), F.col("jp_inv") - 1, s),
-    "ridges": lambda s: merge(rgb(), lookup("Ridges", (F.col("jp_inv") - 1) / s), F.when(F.col("jp_inv") > 1, 1.0).otherwise(0.0)),
-    "P": lambda s: _own(lookup("Pressure", F.col("p") / s + 0.5), F.col("p"), s),
-    "Q": lambda s: _own(lookup("P2", F.col("q") / s + 0.5), F.col("q"), s),
-    "thickness": lambda s: lookup("ANSYS", (F.col("thickness") - 0.8) / 0.2),
-    "partitions": lambda s: lookup("NCD", F.col("part") / 8.0),
+    "color": lambda s: Blend(rgb()),
+    "status": lambda s: _full("NCD", F.when(F.col("disabled"), 1.0).when(F.col("crushed"), 0.5).otherwise(0.0)),
+    "Jp_inv": lambda s: _own("Pressure", (F.col("jp_inv") - 1) / s + 0.5, F.col("jp_inv") - 1, s),
+    "ridges": lambda s: Blend(rgb(), "Ridges", (F.col("jp_inv") - 1) / s, F.when(F.col("jp_inv") > 1, 1.0).otherwise(0.0)),
+    "P": lambda s: _own("Pressure", F.col("p") / s + 0.5, F.col("p"), s),
+    "Q": lambda s: _own("P2", F.col("q") / s + 0.5, F.col("q"), s),
+    "thickness": lambda s: _full("ANSYS", (F.col("thickness") - 0.8) / 0.2),
+    "partitions": lambda s: _full("NCD", F.col("part") / 8.0),
 }
 
 
 def point_colours(points: DataFrame, key: list[str], options: dict[str, float]) -> DataFrame:
     """(key…, option, r, g, b) of points for POINT_RULES, with their scales' exponents.
 
-    Colours are null, which hides the points, for options of the grid.
+    Colours are null, which hides the points, for options of the grid. Rows are
+    made and painted as in ``grid_images``.
     """
-    hidden = Rgb(*[F.lit(None).cast("int")] * 3)
     rows = []
     for option, exponent in options.items():
-        colours = POINT_RULES[option](scale_of(exponent)) if option in POINT_RULES else hidden
-        rows.append(F.struct(F.lit(option).alias("option"), *colours.named()))
-    return points.select(*key, F.inline(F.array(*rows)))
+        known = option in POINT_RULES
+        blend = POINT_RULES[option](scale_of(exponent)) if known else _plain()
+        rows.append(F.struct(F.lit(option).alias("option"), F.lit(known).alias("shown"), *blend.packed()))
+    ready = points.select(*key, F.inline(F.array(*rows)))
+    return ready.select(*key, "option", *[F.when(F.col("shown"), c).cast("int").alias(n) for c, n in zip(painted(), "rgb", strict=True)])
 
 
 def _ice(crushed: float, solid: float) -> Rgb:

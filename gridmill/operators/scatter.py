@@ -112,7 +112,7 @@ def rasterise(particles: DataFrame, prm: SimParams) -> DataFrame:
 
 
 def masked(frame: DataFrame, cells: DataFrame) -> DataFrame:
-    """Mask thin cells, zero what isn't modelled, and blend colours with water by density."""
+    """Mask thin cells, zero what isn't modelled, and blend colours with water by density, which stays."""
     full = frame.join(cells.select("i", "j", "status"), ["i", "j"], "left")
     mask = (F.col("density") > 0.1).cast("int")
     shown = (mask == 1) & (F.coalesce("status", F.lit(0)) == MODELLED)
@@ -122,7 +122,7 @@ def masked(frame: DataFrame, cells: DataFrame) -> DataFrame:
         for c, w in zip("rgb", WATER, strict=True)
     ]
     fields = [F.when(shown, F.col(c)).otherwise(0.0).alias(c) for c in ("jpinv", "p", "q", "vx", "vy")]
-    return full.select("i", "j", mask.alias("mask"), *fields, *blended)
+    return full.select("i", "j", "density", mask.alias("mask"), *fields, *blended)
 
 
 def points_per_cell(particles: DataFrame, wrap: bool = False) -> DataFrame:

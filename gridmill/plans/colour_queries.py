@@ -124,9 +124,8 @@ state AS (
 def live_grid_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a running model shows of its grid, for every option, one of the points' included."""
     shown = _shown(spark, sf_dir)
-    density = scatter.rasterise(a.particles(spark, sf_dir), PRM).select("i", "j", "density")
     updated = nodes.update_nodes(scatter.particles_to_grid(a.particles(spark, sf_dir), PRM), a.cells(spark), PRM, 3600.0).drop("vx", "vy", "status")
-    full = a.cells(spark).join(shown, ["i", "j"], "left").join(density, ["i", "j"], "left").join(updated, ["i", "j"], "left")
+    full = a.cells(spark).join(shown, ["i", "j"], "left").join(updated, ["i", "j"], "left")
     digits = {"mass": 0, "fx": -4, "fy": -4}
     full = full.withColumns(
         {

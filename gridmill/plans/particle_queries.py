@@ -116,7 +116,7 @@ def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " FROM masked"
 )
 def frame_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_masked(spark, sf_dir), "jpinv", "p", "q", "vx", "vy").drop("r", "g", "b")
+    return rounded(_masked(spark, sf_dir), "jpinv", "p", "q", "vx", "vy").drop("r", "g", "b", "density")
 
 
 @query(f"WITH {PARTICLES} SELECT ci, cj, count(*) AS n, count(*) % 256 AS n_byte FROM p GROUP BY ci, cj")

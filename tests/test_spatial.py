@@ -174,3 +174,17 @@ def test_tiles_of_diffusion_equal_single_steps(spark):
         assert all((g["active"], g["vx"], g["vy"]) == pytest.approx(want[g["x"], g["y"]]) for g in got)
     assert {(g["x"], g["y"]): g["vx"] for g in fields.diffuse(df, 7, 0.1, width, height).collect()} == pytest.approx({k: v[1] for k, v in want.items()})
     assert sorted(map(tuple, fields.diffuse_tiled(df, 0, 0.1, width, height).collect())) == sorted(cells)
+
+
+@pytest.mark.parametrize("name", ["live_point_colors", "live_grid_colors"])
+def test_live_colours_compile(spark, name):
+    """Without fallback, code that is too large for a method raises an error."""
+    from gridmill.plans import registry
+
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    spark.conf.set("spark.sql.codegen.factoryMode", "CODEGEN_ONLY")
+    try:
+        assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").agg(F.sum("r"), F.sum("g"), F.sum("b")).first()[0] > 0
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+        spark.conf.unset("spark.sql.codegen.factoryMode")
