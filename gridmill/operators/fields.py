@@ -35,6 +35,18 @@ def quantise(df: DataFrame, name: str, bits: int = BITS) -> DataFrame:
     return ranged.withColumn(name, level.cast("int"))
 
 
+def quantise_all(df: DataFrame, names: list[str], bits: int = BITS) -> DataFrame:
+    """``quantise`` of several fields over one pass for their ranges, which are low_<name> and high_<name>."""
+    ends = df.agg(*[f(n).alias(f"{e}_{n}") for n in names for e, f in (("low", F.min), ("high", F.max))])
+    ranged, top = df.join(F.broadcast(ends)), (1 << bits) - 1  # an aggregate without keys: one row
+
+    def level(n: str) -> Column:
+        span = F.col(f"high_{n}") - F.col(f"low_{n}")
+        return F.when(span < CONSTANT, 0.0).otherwise(F.round(F.try_divide((F.col(n) - F.col(f"low_{n}")) * top, span))).cast("int")
+
+    return ranged.withColumns({n: level(n) for n in names})
+
+
 def restore(df: DataFrame, name: str, bits: int = BITS) -> DataFrame:
     """Undo ``quantise``; a constant field is its low end."""
     span, top = F.col("high") - F.col("low"), (1 << bits) - 1

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
+from .fields import BITS, CONSTANT, quantise_all
+
+#: Fields of a frame.
+FIELDS = ("jpinv", "p", "q", "vx", "vy")
 
 
 def _replace_partitions(df: DataFrame, path: str, by: str) -> None:
@@ -23,9 +30,44 @@ def read_frame(spark: SparkSession, path: str, number: int) -> DataFrame:
     return spark.read.parquet(path).where(F.col("frame") == number)
 
 
+def _store(spark: SparkSession, path: str):
+    """The file system of a path, and the path in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def frame_numbers(spark: SparkSession, path: str) -> DataFrame:
-    """(frame) of all stored frames, from folder names alone."""
-    return spark.read.parquet(path).select("frame").distinct()
+    """(frame) of all stored frames, from the folders' names alone; no file is opened."""
+    store, at = _store(spark, path)
+    names = [f.getPath().getName() for f in store.listStatus(at) if f.isDirectory()]
+    found = sorted(int(m[1]) for n in names if (m := re.fullmatch(r"frame=(\d+)", n)))
+    return spark.createDataFrame([(n,) for n in found], "frame int")
+
+
+def write_quantised_frame(frame: DataFrame, path: str, number: int, bits: int = BITS) -> None:
+    """Store a frame whose fields are whole numbers of 0 to 2^bits - 1, with each field's range beside it.
+
+    A range is the same in every row, so Parquet keeps it once for each page. A
+    frame stored before under the number is replaced.
+    """
+    ranged = quantise_all(frame, list(FIELDS), bits)
+    ints = [F.col(c).cast("int").alias(c) for c in ("i", "j", *FIELDS)]
+    rest = [F.col(c).cast("short").alias(c) for c in ("r", "g", "b", "mask")]
+    ends = [F.col(f"{e}_{c}").cast("double").alias(f"{e}_{c}") for c in FIELDS for e in ("low", "high")]
+    narrow = ranged.select(F.lit(number).alias("frame"), *ints, *rest, *ends, F.lit(bits).alias("bits"))
+    _replace_partitions(narrow, path, "frame")
+
+
+def read_quantised_frame(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """A frame with its fields restored, each to half a step of its range; only its folder is read."""
+    stored = spark.read.parquet(path).where(F.col("frame") == number)
+    top = F.pow(F.lit(2.0), F.col("bits")) - 1
+
+    def value(c: str) -> Column:
+        low, span = F.col(f"low_{c}"), F.col(f"high_{c}") - F.col(f"low_{c}")
+        return F.when(span < CONSTANT, low).otherwise(low + F.col(c) * span / top).alias(c)
+
+    return stored.select("frame", "i", "j", *map(value, FIELDS), "r", "g", "b", "mask")
 
 
 def write_forces(forces: DataFrame, path: str, number: int) -> None:
@@ -48,12 +90,21 @@ def force_series(forces: DataFrame, regions: int) -> DataFrame:
 
 
 def write_snapshot(particles: DataFrame, path: str, number: int, step: int, time: float) -> None:
-    """Store all particles of a time with a row of metadata."""
-    rows = particles.select(*schema.PARTICLES.names)
-    rows.write.mode("overwrite").parquet(f"{path}/s{number:05d}/points")
-    count = particles.sparkSession.read.parquet(f"{path}/s{number:05d}/points").count()
-    meta = particles.sparkSession.createDataFrame([(number, step, time, count)], "snapshot int, step long, time double, n long")
-    meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/s{number:05d}/meta")
+    """Store all particles of a time with a row of metadata.
+
+    Both are written to a folder beside it and moved there together, so a crash
+    leaves the snapshot that was there before, or none, but no half of one.
+    """
+    spark, name = particles.sparkSession, f"{path}/s{number:05d}"
+    fresh = f"{path}/.s{number:05d}-{uuid.uuid4().hex}"
+    particles.select(*schema.PARTICLES.names).write.parquet(f"{fresh}/points")
+    count = spark.read.parquet(f"{fresh}/points").count()
+    meta = spark.createDataFrame([(number, step, time, count)], "snapshot int, step long, time double, n long")
+    meta.coalesce(1).write.parquet(f"{fresh}/meta")
+    store, target = _store(spark, name)
+    store.delete(target, True)
+    if not store.rename(_store(spark, fresh)[1], target):
+        raise OSError(f"the snapshot can't be moved to {name}")
 
 
 def read_snapshot(spark: SparkSession, path: str, number: int) -> tuple[DataFrame, int, float]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,15 +26,15 @@ def bezier_slope(t: Column, points: tuple[str, str, str, str]) -> Column:
 X, Y = ("x0", "x1", "x2", "x3"), ("y0", "y1", "y2", "y3")
 
 
-def sample_curves(segments: DataFrame, steps: int | Column) -> DataFrame:
-    """(path, seg, k, steps, x, y, tx, ty): points and unit tangents at t = k / steps of each segment."""
+def sample_curves(segments: DataFrame, steps: int | Column, carried: Sequence[str] = ()) -> DataFrame:
+    """(path, seg, k, steps, x, y, tx, ty, carried…): points and unit tangents at t = k / steps of each segment."""
     at = segments.withColumn("steps", F.lit(steps) if isinstance(steps, int) else steps)
     at = at.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("steps").cast("int"))))
     t = F.col("k") / F.col("steps")
     sampled = at.withColumns({"x": bezier(t, X), "y": bezier(t, Y), "sx": bezier_slope(t, X), "sy": bezier_slope(t, Y)})
     long_ = F.sqrt(F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy"))
     unit = [F.coalesce(F.try_divide(F.col(s), long_), F.lit(0.0)).alias(n) for s, n in (("sx", "tx"), ("sy", "ty"))]
-    return sampled.select("path", "seg", "k", "steps", "x", "y", *unit)
+    return sampled.select("path", "seg", "k", "steps", "x", "y", *unit, *carried)
 
 
 def steps_without_gaps() -> Column:
@@ -46,10 +48,17 @@ def steps_without_gaps() -> Column:
 
 
 def outline(segments: DataFrame) -> DataFrame:
-    """(path, seg, k, x, y): the consecutive pixels of curves, each touching the next."""
-    points = sample_curves(segments, steps_without_gaps()).select("path", "seg", "k", F.floor("x").cast("int").alias("x"), F.floor("y").cast("int").alias("y"))
-    before = F.lag(F.struct("x", "y")).over(Window.partitionBy("path").orderBy("seg", "k"))
-    return points.withColumn("before", before).where(~F.struct("x", "y").eqNullSafe(F.col("before"))).drop("before")
+    """(path, seg, k, x, y): the consecutive pixels of curves, each touching the next.
+
+    A segment's pixels are compared among themselves, and its first one with
+    the end of the segment before, so no path meets in one task as a whole.
+    """
+    ends = F.struct(F.floor("x3").cast("int").alias("x"), F.floor("y3").cast("int").alias("y"))
+    known = segments.withColumn("ended", F.lag(ends).over(Window.partitionBy("path").orderBy("seg")))
+    points = sample_curves(known, steps_without_gaps(), ["ended"]).select("path", "seg", "k", F.floor("x").cast("int").alias("x"), F.floor("y").cast("int").alias("y"), "ended")
+    within = F.lag(F.struct("x", "y")).over(Window.partitionBy("path", "seg").orderBy("k"))
+    before = F.when(F.col("k") == 0, F.col("ended")).otherwise(within)
+    return points.withColumn("before", before).where(~F.struct("x", "y").eqNullSafe(F.col("before"))).drop("before", "ended")
 
 
 def crossings(boundary: DataFrame) -> DataFrame:

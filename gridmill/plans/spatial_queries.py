@@ -9,12 +9,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import layout, nearest, thinning, tiles, walk
+from ..operators import frames, layout, nearest, thinning, tiles, walk
 from ..sources import mesh, strips
 from ..streaming import forces
 from . import adapters as a
-from .adapters import MAP_WIDTH, ORDER_MAP, sql6
-from .particle_queries import rounded
+from .adapters import CELLS, MAP_WIDTH, ORDER_MAP, PARTICLES, STENCIL, sql6
+from .particle_queries import _FRAME, _MASKED, _masked, rounded
 
 QUERIES = {}
 ORACLES = {}
@@ -288,3 +288,31 @@ def refinement_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = o.where(k > 0).select(F.when(k % 4 == 0, F.floor(k / 3)).otherwise(k - k % 4).alias("parent"), k.alias("child"))
     values = mesh.parent_values(tree, o.select(k.alias("cell_id"), F.col("o_totalprice").alias("u")), ["u"])
     return rounded(mesh.tree_closure(tree).join(values, "cell_id"), "u", digits=4)
+
+
+#: Digits to which fields are rounded before they are stored, as the order of summation shows beyond.
+_STORED = {"jpinv": 6, "p": 3, "q": 3, "vx": 6, "vy": 6}
+
+
+def _restored_sql(c: str, n: int) -> str:
+    return sql6(f"CASE WHEN high_{c} - low_{c} < 1e-9 THEN low_{c} ELSE low_{c} + round(({c} - low_{c}) * 4095 / (high_{c} - low_{c})) * (high_{c} - low_{c}) / 4095 END", n) + f" AS {c}"
+
+
+@query(
+    f"WITH {PARTICLES}, {STENCIL}, {_FRAME}, {CELLS}, {_MASKED}, f AS (SELECT i, j, mask, "
+    + ", ".join(f"{sql6(f'CASE WHEN mask = 1 AND status = 100 THEN {c} ELSE 0 END', n)} AS {c}" for c, n in _STORED.items())
+    + " FROM masked), e AS (SELECT "
+    + ", ".join(f"min({c}) AS low_{c}, max({c}) AS high_{c}" for c in _STORED)
+    + " FROM f) SELECT i, j, mask, "
+    + ", ".join(_restored_sql(c, n) for c, n in _STORED.items())
+    + " FROM f, e"
+)
+def stored_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame stored with quantised fields, and what is read back."""
+    frame = _masked(spark, sf_dir).withColumns({c: F.round(c, n) + 0.0 for c, n in _STORED.items()})
+    path = f"{shared_folder(spark)}/frames-{uuid.uuid4().hex}"
+    frames.write_quantised_frame(frame, path, 7)
+    back = frames.read_quantised_frame(spark, path, 7).select("i", "j", F.col("mask").cast("int").alias("mask"), *_STORED)
+    for c, n in _STORED.items():
+        back = rounded(back, c, digits=n)
+    return back

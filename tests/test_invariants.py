@@ -270,3 +270,44 @@ def test_fixed_colours():
         "Ridges": (11, (0, 128, 0), (64, 0, 64)),
     }
     assert color.WATER == (21, 31, 47) and color.CATEGORIES[0] == (255, 87, 51) and color.CATEGORIES[-1] == (127, 140, 141)
+
+
+def test_quantised_frames_restore_within_half_a_step(spark, tmp_path):
+    path = str(tmp_path / "frames")
+    rows = [(i, j, i * 0.37 - j, (i * j) % 7 * 1e5, 4.0, -1e-3 * i, 0.0, i % 256, j % 256, 3, (i + j) % 2) for i in range(20) for j in range(15)]
+    frame = spark.createDataFrame(rows, "i int, j int, jpinv double, p double, q double, vx double, vy double, r int, g int, b int, mask int")
+    frames.write_quantised_frame(frame, path, 4)
+    frames.write_quantised_frame(frame.withColumn("q", F.lit(8.0)), path, 11)
+    frames.write_quantised_frame(frame.withColumn("q", F.lit(9.0)), path, 11)  # replaced
+    assert [r["frame"] for r in frames.frame_numbers(spark, path).collect()] == [4, 11]
+    kinds = dict(spark.read.parquet(path).dtypes)
+    assert {kinds[c] for c in frames.FIELDS} == {"int"}
+    back = {(r["i"], r["j"]): r for r in frames.read_quantised_frame(spark, path, 4).collect()}
+    assert len(back) == len(rows)
+    for n, c in enumerate(frames.FIELDS):
+        span = max(r[2 + n] for r in rows) - min(r[2 + n] for r in rows)
+        assert all(abs(back[r[0], r[1]][c] - r[2 + n]) <= span / 4095 / 2 + 1e-12 for r in rows)
+    assert all((back[r[0], r[1]]["r"], back[r[0], r[1]]["mask"]) == (r[7], r[10]) for r in rows)
+    assert {r["q"] for r in frames.read_quantised_frame(spark, path, 11).collect()} == {9.0}
+    assert "frame" in frames.read_quantised_frame(spark, path, 11)._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1]
+
+
+def test_frame_numbers_come_from_names(spark, tmp_path):
+    for name in ("frame=3", "frame=12", "frame=x", "frames=4", "other"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part.parquet").write_bytes(b"not a table")  # never opened
+    (tmp_path / "frame=99").write_text("no folder")
+    assert [r["frame"] for r in frames.frame_numbers(spark, str(tmp_path)).collect()] == [3, 12]
+
+
+def test_a_snapshot_is_whole_or_not_there(spark, tmp_path, monkeypatch):
+    p = adapters.particles(spark, "/root/testdata/sf0.001").limit(20)
+    full = p.withColumns({c: F.lit(0).cast(t) for c, t in ((f.name, f.dataType) for f in frames.schema.PARTICLES.fields) if c not in p.columns})
+    frames.write_snapshot(full, str(tmp_path), 1, 10, 0.5)
+    broken = full.withColumn("pid", F.raise_error(F.lit("lost")).cast("long"))
+    with pytest.raises(Exception, match="lost"):
+        frames.write_snapshot(broken, str(tmp_path), 1, 11, 0.6)
+    assert frames.read_snapshot(spark, str(tmp_path), 1)[1:] == (10, 0.5)
+    frames.write_snapshot(full.limit(7), str(tmp_path), 1, 12, 0.7)
+    points, step_, time = frames.read_snapshot(spark, str(tmp_path), 1)
+    assert (points.count(), step_, time) == (7, 12, 0.7)
