@@ -58,6 +58,8 @@ ONE_WORD = 16
 BYTES_AT_ONCE, PAIRS_AT_ONCE = 1 << 19, 1 << 18
 #: Least buckets of keys in a shuffle partition, and listed lines in a bucket, about: there are as many buckets as both ask for.
 BUCKETS, BUCKET_ROWS = 8, 200_000
+#: Parts in which rows that share id and text are numbered.
+PARTS = 1024
 #: Slices in which word counts are added up.
 SLICES = 64
 #: Bits of the filters that pick lines and keys.
@@ -934,7 +936,12 @@ def dedup_documents(
         *_name(id_col, text_col),
         F.xxhash64(*[docs[c] for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]).alias("order"),
     )
-    kept = rows.join(gone, ["id", "hash", "none"], "left_anti")
-    # Where the join has put rows together anyway, of those that share id and text the first is taken.
-    first = F.row_number().over(Window.partitionBy("id", "hash", "none").orderBy("order"))
-    return kept.withColumn("first", first).where("first = 1").select("row.*")
+    name = ["id", "hash", "none"]
+    kept = rows.join(gone, name, "left_anti")
+    # Names are counted where they are read; only rows whose name occurs again are numbered, in parts first.
+    again = checkpointed(docs.select(*_name(id_col, text_col)).groupBy(*name).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*name))
+    once, many = kept.join(again, name, "left_anti"), kept.join(again, name, "left_semi")
+    many = many.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)))
+    for of in ([*name, "part"], name):
+        many = many.withColumn("first", F.row_number().over(Window.partitionBy(*of).orderBy("order"))).where("first = 1")
+    return once.select("row.*").unionByName(many.select("row.*"))

@@ -327,3 +327,12 @@ def test_more_buckets_than_the_session_asks_for(spark, monkeypatch):
     whole = sorted(map(str, line_dedup.line_report(df).collect()))
     monkeypatch.setattr(line_dedup, "BUCKET_ROWS", 1)
     assert sorted(map(str, line_dedup.line_report(df).collect())) == whole
+
+
+def test_one_row_stays_of_a_row_that_is_repeated_often(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "PARTS", 3)
+    rows = [(7, "a row that occurs again and again", k % 2) for k in range(60)] + [(None, "and one that has no id", k) for k in range(40)] + [(k, f"own text {k} x{k} y{k} z{k} w{k}", 0) for k in range(100, 120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra int").repartition(6)
+    got = line_dedup.dedup_documents(df).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted({(i or 0, t) for i, t, _ in rows})
+    assert line_dedup.dedup_documents(df).columns == df.columns
