@@ -188,9 +188,9 @@ def map_height(spark: SparkSession, sf_dir: str) -> int:
 
 ORDER_MAP = f"""
 omap AS (
-  SELECT x, y, CAST(CASE WHEN x < 3 OR y < 2 THEN -1 WHEN c % 11 = 0 THEN c // 11 % 7 WHEN c % 7 = 0 THEN 1000 + c // 7 % 9 ELSE 1000 END AS INTEGER) AS path_index,
+  SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(CASE WHEN x < 3 OR y < 2 THEN -1 WHEN c % 11 = 0 THEN c // 11 % 7 WHEN c % 7 = 0 THEN 1000 + c // 7 % 9 ELSE 1000 END AS INTEGER) AS path_index,
          price % 4 AS ice_status, 0.8e0 + (price % 5) * 0.05e0 AS ice_thickness, (c % 101 - 50) * 0.01e0 AS vx, (price % 89 - 44) * 0.02e0 AS vy,
-         c * 2 % 256 AS r, price % 256 AS g, x * y % 256 AS b
+         CAST(c * 2 % 256 AS INTEGER) AS r, CAST(price % 256 AS INTEGER) AS g, CAST(x * y % 256 AS INTEGER) AS b
   FROM (SELECT o_orderkey % {MAP_WIDTH} AS x, o_orderkey // {MAP_WIDTH} AS y, o_custkey AS c, CAST(floor(o_totalprice) AS BIGINT) AS price FROM orders)
 )"""
 

@@ -260,7 +260,7 @@ def _diffusion_sql(n: int) -> str:
         f"d{k + 1} AS MATERIALIZED (SELECT x, y, height, known, active, {moved} FROM d{k} WINDOW r AS (PARTITION BY y ORDER BY x), c AS (PARTITION BY x ORDER BY y))" for k in range(n)
     ]
     return f"""WITH {ORDER_MAP}, h AS (SELECT max(y) + 1 AS height FROM omap), every AS (
-  SELECT range % {MAP_WIDTH} AS x, range // {MAP_WIDTH} AS y, height FROM h, range((SELECT height * {MAP_WIDTH} FROM h))
+  SELECT CAST(range % {MAP_WIDTH} AS INTEGER) AS x, CAST(range // {MAP_WIDTH} AS INTEGER) AS y, height FROM h, range((SELECT height * {MAP_WIDTH} FROM h))
 ), d0 AS MATERIALIZED (
   SELECT x, y, height, path_index IS NOT NULL AS known, coalesce(path_index = 1000, FALSE) AS active, CASE WHEN path_index = 1000 THEN vx ELSE 0 END AS vx, CASE WHEN path_index = 1000 THEN vy ELSE 0 END AS vy
   FROM every LEFT JOIN omap USING (x, y)

@@ -222,7 +222,8 @@ def image_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
     strips.write_png(a.order_map(spark, sf_dir), uri, MAP_WIDTH, a.map_height(spark, sf_dir), lines=16)
     pixels = strips.read_strips(spark, uri, "x int, y int, r short, b short", x=(20, MAP_WIDTH), y=(5, 40))
     last = a.table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0]
-    return pixels.where(F.col("y") * MAP_WIDTH + F.col("x") <= F.lit(last))  # the end of the last line has no orders
+    known = pixels.where(F.col("y") * MAP_WIDTH + F.col("x") <= F.lit(last))  # the end of the last line has no orders
+    return known.select("x", "y", *[F.col(c).cast("int").alias(c) for c in "rb"])
 
 
 #: Faces of solids, outward, by the numbers of their nodes.
