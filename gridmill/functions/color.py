@@ -120,33 +120,22 @@ def category(index: Column) -> Rgb:
 
 
 class Blend(NamedTuple):
-    """A colour as values that one expression can paint: ``base`` blended towards a palette's colour, and water towards both."""
+    """A palette's colour at ``value``, of which ``part`` covers ``base`` and the rest shows it; of all that, ``over`` covers water.
+
+    Without a value the base shows, without a part or an over all is covered.
+    """
 
     base: Rgb
-    palette: str = "ANSYS"
+    palette: str = ""
     value: Column | None = None
     part: Column | None = None
     over: Column | None = None
 
-    def packed(self) -> list[Column]:
-        """The columns that ``painted`` reads."""
-        numbers = {"value": (self.value, 0.0), "part": (self.part, 0.0), "over": (self.over, 1.0)}
-        columns = [(F.lit(plain) if c is None else c).cast("double").alias(n) for n, (c, plain) in numbers.items()]
-        return [F.lit(list(PALETTES).index(self.palette)).alias("palette"), *columns, *self.base.named("base_")]
-
-
-def painted() -> Rgb:
-    """The colour of a row with the columns of a ``Blend``: one lookup, whichever palette it is."""
-    sizes = F.array(*[F.lit(len(p) - 1) for p in PALETTES.values()])
-    last = F.get(sizes, F.col("palette"))
-    at = clamp(F.col("value")) * last
-    k = F.least(F.floor(at), last - 1).cast("int")
-    out = []
-    for c in range(3):
-        tones = F.get(F.array(*[F.array(*[F.lit(float(x[c])) for x in p]) for p in PALETTES.values()]), F.col("palette"))
-        low, high = F.get(tones, k), F.get(tones, k + 1)
-        out.append(F.floor((low + (high - low) * (at - k)) * 255).cast("int"))
-    return merge(water(), merge(rgb("base_"), Rgb(*out), F.col("part")), F.col("over"))
+    def painted(self) -> Rgb:
+        out = self.base if self.value is None else lookup(self.palette, self.value)
+        if self.part is not None:
+            out = merge(self.base, out, self.part)
+        return out if self.over is None else merge(water(), out, self.over)
 
 
 def frame_blend(variable: str, scale: float, base: Rgb) -> Blend:
@@ -157,9 +146,9 @@ def frame_blend(variable: str, scale: float, base: Rgb) -> Blend:
         v = F.col("jpinv") / scale
         return Blend(ground, "Pressure", 0.5 * v + 0.5, F.abs(v * alpha))
     if variable == "p":
-        return Blend(base, "Pressure", 0.5 * F.col("p") / scale + 0.5, F.lit(1.0), alpha)
+        return Blend(base, "Pressure", 0.5 * F.col("p") / scale + 0.5, over=alpha)
     if variable == "q":
-        return Blend(base, "ANSYS", F.col("q") / scale, F.lit(1.0), alpha)
+        return Blend(base, "ANSYS", F.col("q") / scale, over=alpha)
     if variable == "speed":
         speed = F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")) / scale
         return Blend(base, "ANSYS", speed, F.least(speed, F.lit(1.0)), alpha)

@@ -8,12 +8,14 @@ are powers of ten, given by their exponent.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import MODELLED
-from ..functions.color import BAR, PALETTES, WATER, Blend, Rgb, category, diverging, frame_blend, frame_color, merge, painted, rgb, water
+from ..functions.color import BAR, PALETTES, WATER, Blend, Rgb, category, diverging, frame_blend, frame_color, merge, rgb, water
+from ..plans.lineage import cut
 
 #: Path index of the pixels on which a frame is shown.
 SHOWN_PATH = 1000
@@ -84,7 +86,7 @@ def _modelled() -> Column:
 
 
 def _full(palette: str, value: Column) -> Blend:
-    return Blend(rgb(), palette, value, F.lit(1.0))
+    return Blend(rgb(), palette, value)
 
 
 #: What a running model shows of its grid, and where. Columns: status, mask, the frame's fields and colours, cvx, cvy, mass, density, fx and fy.
@@ -107,18 +109,19 @@ GRID_RULES: dict[str, tuple[Callable[[float], Blend], Callable[[], Column]]] = {
 def grid_images(cells: DataFrame, image: DataFrame, options: dict[str, float], ox: int = 0, oy: int = 0) -> DataFrame:
     """(x, y, option, r, g, b): GRID_RULES, with their scales' exponents, over the background.
 
-    Options that aren't among the rules show the background alone. A row is
-    made for each option, with what its rule needs, before anything is painted:
-    then one expression paints them all.
+    Options that aren't among the rules show the background alone. What the
+    rules read is joined once and kept; then every option is a pass of its own
+    over the columns that it needs, as code for all of them in one would be too
+    large to be compiled.
     """
     placed = cells.withColumns({"x": F.col("i") + ox, "y": F.col("j") + oy}).drop("i", "j")
-    near = _backed(image).join(placed, ["x", "y"], "left")
-    rows = []
+    near = cut(_backed(image).join(placed, ["x", "y"], "left"))
+    nothing = (lambda s: Blend(water()), lambda: F.lit(False))
+    passes = []
     for option, exponent in options.items():
-        blend, where = GRID_RULES.get(option, (lambda s: Blend(water()), lambda: F.lit(False)))
-        rows.append(F.struct(F.lit(option).alias("option"), F.coalesce(where(), F.lit(False)).alias("shown"), *blend(scale_of(exponent)).packed()))
-    ready = near.select("x", "y", *[f"back_{n}" for n in "rgb"], F.inline(F.array(*rows)))
-    return ready.select("x", "y", "option", *_painted(ready, painted(), F.col("shown")))
+        blend, where = GRID_RULES.get(option, nothing)
+        passes.append(near.select("x", "y", F.lit(option).alias("option"), *_painted(near, blend(scale_of(exponent)).painted(), where())))
+    return reduce(DataFrame.unionByName, passes)
 
 
 def _own(palette: str, lookup_at: Column, value: Column, scale: float) -> Blend:
@@ -148,16 +151,15 @@ POINT_RULES: dict[str, Callable[[float], Blend]] = {
 def point_colours(points: DataFrame, key: list[str], options: dict[str, float]) -> DataFrame:
     """(key…, option, r, g, b) of points for POINT_RULES, with their scales' exponents.
 
-    Colours are null, which hides the points, for options of the grid. Rows are
-    made and painted as in ``grid_images``.
+    Colours are null, which hides the points, for options of the grid. Every
+    option is a pass of its own over the columns that it needs.
     """
-    rows = []
+    hidden = Rgb(*[F.lit(None).cast("int")] * 3)
+    passes = []
     for option, exponent in options.items():
-        known = option in POINT_RULES
-        blend = POINT_RULES[option](scale_of(exponent)) if known else _plain()
-        rows.append(F.struct(F.lit(option).alias("option"), F.lit(known).alias("shown"), *blend.packed()))
-    ready = points.select(*key, F.inline(F.array(*rows)))
-    return ready.select(*key, "option", *[F.when(F.col("shown"), c).cast("int").alias(n) for c, n in zip(painted(), "rgb", strict=True)])
+        colours = POINT_RULES[option](scale_of(exponent)).painted() if option in POINT_RULES else hidden
+        passes.append(points.select(*key, F.lit(option).alias("option"), *colours.named()))
+    return reduce(DataFrame.unionByName, passes)
 
 
 def _ice(crushed: float, solid: float) -> Rgb:
