@@ -69,12 +69,24 @@ def frame_image(
     cells = frame.withColumns({"x": F.col("i") + ox, "y": F.col("j") + oy})
     near = _backed(image).join(paths.select("x", "y", "path_index"), ["x", "y"], "left").join(cells, ["x", "y"], "left")
     fields = {c: F.coalesce(c, F.lit(0.0)) for c in ("jpinv", "p", "q", "vx", "vy")}
-    near = near.withColumns({**fields, "mask": F.coalesce("mask", F.lit(0)), **{n: F.coalesce(n, F.lit(w)) for n, w in zip("rgb", WATER, strict=True)}})
+    near = cut(near.withColumns({**fields, "mask": F.coalesce("mask", F.lit(0)), **{n: F.coalesce(n, F.lit(w)) for n, w in zip("rgb", WATER, strict=True)}}))
     shown = F.col("path_index") == SHOWN_PATH
-    rows = [
-        F.struct(F.lit(v).alias("variable"), *_painted(near, frame_color(v, scale_of(exponent), rgb()), shown)) for v, exponent in variables.items()
-    ]
-    return near.select("x", "y", F.inline(F.array(*rows)))
+    frames = near.where(shown)
+    passes = [frames.select("x", "y", F.lit(v).alias("variable"), *frame_color(v, scale_of(e), rgb()).named()) for v, e in variables.items()]
+    around = near.where(~F.coalesce(shown, F.lit(False))).withColumn("variable", F.explode(F.array(*map(F.lit, variables))))
+    passes.append(around.select("x", "y", "variable", *[F.col(f"back_{n}").cast("int").alias(n) for n in "rgb"]))
+    return reduce(DataFrame.unionByName, passes)
+
+
+def frame_colours(frame: DataFrame, scales: dict[str, float]) -> DataFrame:
+    """(i, j, variable, r, g, b) of a frame's cells, for variables with the values that span their palettes.
+
+    The frame is kept, and every variable is a pass of its own, as code for all
+    of them in one would be too large to be compiled.
+    """
+    kept = cut(frame)
+    passes = [kept.select("i", "j", F.lit(v).alias("variable"), *frame_color(v, scale, rgb()).named()) for v, scale in scales.items()]
+    return reduce(DataFrame.unionByName, passes)
 
 
 def _norm(x: str, y: str) -> Column:
@@ -192,6 +204,6 @@ MAP_RULES: dict[str, Rule] = {
 
 def map_images(pixels: DataFrame, image: DataFrame, options: tuple[str, ...] = tuple(MAP_RULES)) -> DataFrame:
     """(x, y, option, r, g, b) of MAP_RULES over the background."""
-    near = _backed(image).join(pixels, ["x", "y"], "left")
-    rows = [F.struct(F.lit(o).alias("option"), *_painted(near, MAP_RULES[o][0](1.0), MAP_RULES[o][1]())) for o in options]
-    return near.select("x", "y", F.inline(F.array(*rows)))
+    near = cut(_backed(image).join(pixels, ["x", "y"], "left"))
+    passes = [near.select("x", "y", F.lit(o).alias("option"), *_painted(near, MAP_RULES[o][0](1.0), MAP_RULES[o][1]())) for o in options]
+    return reduce(DataFrame.unionByName, passes)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cells as cell
 from ..functions import color, naming
-from ..operators import classify, fields, frames, raster, sampling
+from ..operators import classify, colouring, fields, frames, raster, sampling
 from ..sources import mesh
 from . import adapters as a
 from .adapters import CELLS, COLOURS, GX, GY, MAP_WIDTH, OPEN_WATER, ORDER_MAP, PARTICLES, POLYGON_SQL, SOLID, STENCIL, sql6
@@ -149,8 +151,8 @@ _VALUES = "v AS (SELECT vec_id, least(greatest(CAST(embedding[1] AS DOUBLE) * 1.
 def palette_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.least(F.greatest(F.element_at("embedding", 1).cast("double") * 1.5 + 0.5, F.lit(-1.0)), F.lit(2.0))
     base = a.table(spark, sf_dir, "embeddings").select("vec_id", v.alias("v"))
-    rows = F.array(*[F.struct(F.lit(n).alias("palette"), *color.lookup(n, F.col("v")).named()) for n in color.PALETTES])
-    return base.select("vec_id", F.inline(rows))
+    passes = [base.select("vec_id", F.lit(n).alias("palette"), *color.lookup(n, F.col("v")).named()) for n in color.PALETTES]
+    return reduce(DataFrame.unionByName, passes)  # one for each palette: code for all in one would be too large to be compiled
 
 
 @query(
@@ -228,8 +230,7 @@ def frame_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = _masked(spark, sf_dir)
     digits = {"jpinv": 6, "p": 3, "q": 3, "vx": 6, "vy": 6}
     shown = shown.withColumns({n: F.round(n, d) + _NUDGE for n, d in digits.items()})
-    rows = F.array(*[F.struct(F.lit(v).alias("variable"), *color.frame_color(v, _SCALES[v], color.rgb()).named()) for v in color.FRAME_VARIABLES])
-    return shown.select("i", "j", F.inline(rows))
+    return colouring.frame_colours(shown, {v: _SCALES[v] for v in color.FRAME_VARIABLES})
 
 
 @query(
