@@ -19,6 +19,8 @@ from ..plans.lineage import cut
 LEAF_PIECES, MOST_LEVELS = 8, 24
 #: Bounds are widened by this share, as sums of squares are rounded.
 SLACK = 1e-9
+#: What grew by pieces or pairs since its size was estimated is never broadcast.
+SHUFFLED = "merge"
 
 
 def polyline_segments(nodes: DataFrame, axes: list[str], curve: str = "curve", seq: str = "seq") -> DataFrame:
@@ -130,14 +132,14 @@ def nearest_segment(points: DataFrame, segments: DataFrame, axes: list[str], ord
         if pairs is None:
             met = p.join(s, [F.col(f"pu{x}") == F.col(f"su{x}") for x in axes])  # the first level's cells have one parent, 0
         else:
-            mine = pairs.withColumnsRenamed({f"{side}k{x}": f"_{side}{x}" for side in "ps" for x in axes})
+            mine = pairs.hint(SHUFFLED).withColumnsRenamed({f"{side}k{x}": f"_{side}{x}" for side in "ps" for x in axes})
             met = mine.join(p, [F.col(f"_p{x}") == F.col(f"pu{x}") for x in axes]).join(s, [F.col(f"_s{x}") == F.col(f"su{x}") for x in axes])
         pairs = cut(_within_bound(met, axes, p_keys).select(*p_keys, *s_keys))
 
     boxes = _level(of_places, axes, 0, step, "p").select(*p_keys, *[f"p{e}{x}" for e in "lh" for x in axes])
-    met = pairs.join(boxes, p_keys).join(pieces.withColumnsRenamed({f"k{x}": f"sk{x}" for x in axes} | {f"{e}{x}": f"s{e}{x}" for e in "lh" for x in axes}), s_keys)
+    met = pairs.hint(SHUFFLED).join(boxes, p_keys).join(pieces.hint(SHUFFLED).withColumnsRenamed({f"k{x}": f"sk{x}" for x in axes} | {f"{e}{x}": f"s{e}{x}" for e in "lh" for x in axes}), s_keys)
     near = _within_bound(met, axes, p_keys).select(*p_keys, "name", *ends).distinct()
-    met = located.join(near, [F.col(f"k{x}") == F.col(f"pk{x}") for x in axes])
+    met = located.join(near.hint(SHUFFLED), [F.col(f"k{x}") == F.col(f"pk{x}") for x in axes])
     side = [F.col(f"b{x}") - F.col(f"a{x}") for x in axes]
     along = sum_of(*[(F.col(x) - F.col(f"a{x}")) * s for x, s in zip(axes, side, strict=True)])
     long_ = sum_of(*map(square, side))

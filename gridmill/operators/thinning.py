@@ -40,11 +40,11 @@ def thin(points: DataFrame, distance: float, priority: list[Column]) -> DataFram
     while not open_.isEmpty():
         first = open_.groupBy("ci", "cj").agg(F.min("name").alias("name"))
         least = _around(first).groupBy("ci", "cj").agg(F.min("name").alias("least"))
-        chosen = cut(first.join(least, ["ci", "cj"]).where(F.col("name") == F.col("least")).select("name", "ci", "cj"))
+        chosen = cut(first.join(least.hint("merge"), ["ci", "cj"]).where(F.col("name") == F.col("least")).select("name", "ci", "cj"))
         kept = chosen.select("name") if kept is None else kept.unionByName(chosen.select("name"))
         near = _around(chosen).groupBy("ci", "cj").agg(F.collect_list(F.struct("name.x", "name.y")).alias("near"))
         apart = F.exists("near", lambda k: (F.col("x") - k.x) * (F.col("x") - k.x) + (F.col("y") - k.y) * (F.col("y") - k.y) < distance * distance)
-        open_ = cut(open_.join(near, ["ci", "cj"], "left").where(~F.coalesce(apart, F.lit(False))).drop("near"))
+        open_ = cut(open_.join(near.hint("merge"), ["ci", "cj"], "left").where(~F.coalesce(apart, F.lit(False))).drop("near"))
     if kept is None:
         return points.where(F.lit(False))
     return points.withColumn("_name", name).join(kept, F.col("_name") == F.col("name"), "left_semi").drop("_name")

@@ -9,6 +9,8 @@ from ..plans.lineage import cut
 
 #: Deepest level of tiles, and places in a tile from which on it is split.
 DEEPEST, HOT_PLACES = 24, 4096
+#: What grew by tiles since its size was estimated is never broadcast.
+SHUFFLED = "merge"
 
 _CORNERS = (("ax", "ay"), ("bx", "by"), ("cx", "cy"))
 
@@ -90,7 +92,7 @@ def probe_points(points: DataFrame, triangles: DataFrame, names: list[str], hot:
         levels = F.array(*[F.lit(r["level"]) for r in open_.select("level").distinct().collect()])  # DEEPEST at most
         at = inside.withColumn("level", F.explode(levels))
         counted = at.groupBy("level", number(F.col("x"), low_x, level).alias("i"), number(F.col("y"), low_y, level).alias("j")).agg(F.count(F.lit(1)).alias("n"))
-        full = open_.join(counted, ["level", "i", "j"])  # tiles without places hold nothing
+        full = open_.hint(SHUFFLED).join(counted, ["level", "i", "j"])  # tiles without places hold nothing
         split = (F.col("n") > hot) & (level < DEEPEST)
         full = cut(full.withColumn("split", split))
         done.append(full.where("NOT split").select("cell", "level", "i", "j"))
@@ -102,7 +104,7 @@ def probe_points(points: DataFrame, triangles: DataFrame, names: list[str], hot:
         tiles = tiles.unionByName(more)
     levels = F.array(*[F.lit(r["level"]) for r in tiles.select("level").distinct().collect()])
     at = inside.withColumn("level", F.explode(levels)).withColumns({"i": number(F.col("x"), low_x, level), "j": number(F.col("y"), low_y, level)})
-    pairs = at.join(tiles, ["level", "i", "j"]).select("x", "y", "cell.*")
+    pairs = at.join(tiles.hint(SHUFFLED), ["level", "i", "j"]).select("x", "y", "cell.*")
     det = (F.col("by") - F.col("cy")) * (F.col("ax") - F.col("cx")) + (F.col("cx") - F.col("bx")) * (F.col("ay") - F.col("cy"))
     u = F.try_divide((F.col("by") - F.col("cy")) * (F.col("x") - F.col("cx")) + (F.col("cx") - F.col("bx")) * (F.col("y") - F.col("cy")), det)
     v = F.try_divide((F.col("cy") - F.col("ay")) * (F.col("x") - F.col("cx")) + (F.col("ax") - F.col("cx")) * (F.col("y") - F.col("cy")), det)
