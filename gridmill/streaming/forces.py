@@ -112,6 +112,7 @@ def replay(spark: SparkSession, rows: DataFrame, folder: str, origin: int, late:
     """``current_series`` of rows(ts, region, seq, fx, fy) that come in ``files`` shuffled files, with the stream stopped and started again ``starts`` - 1 times."""
     session = spark.newSession()  # its settings are its own
     session.conf.set(*STORE)
+    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))  # each keeps a store of its own
     parts = rows.withColumn("part", F.pmod(F.xxhash64("region", "seq", "ts"), F.lit(files)).cast("int"))
     name = f"{folder}/forces-{uuid.uuid4().hex}"
     parts.repartition("part").write.partitionBy("part").parquet(f"{name}/all")
