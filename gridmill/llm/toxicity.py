@@ -70,10 +70,10 @@ class Chain:
             p = np.hstack([p, apply_logistic(np.hstack([x, p]), w)[:, None]])
         return p
 
-    def matrix(self, found: list[list[int]]) -> np.ndarray:
-        x = np.zeros((len(found), len(self.index)))
+    def matrix(self, found: list[list[int]], kind: type = float) -> np.ndarray:
+        x = np.zeros((len(found), len(self.index)), kind)
         for i, some in enumerate(found):
-            x[i, some] = 1.0
+            x[i, some] = 1
         return x
 
     def hits(self, text: str | None) -> list[int]:
@@ -196,7 +196,7 @@ def fit(
     found = map_arrow(known.select("text", "fold", "label", "weight"), find, "fold int, label int, weight double, hits array<int>").collect()
     found = sorted((r["label"], r["fold"], r["hits"], r["weight"]) for r in found)
     y = np.array([[r[0] >> k & 1 for k in range(len(names))] for r in found], float).reshape(len(found), len(names))
-    x = Chain(names, every, ()).matrix([r[2] for r in found])
+    x = Chain(names, every, ()).matrix([r[2] for r in found], bool)  # a byte for each feature of any link; a link makes numbers of its own
     columns = [{f: [every[m] for m in some] for f, some in link.items()} for link in marks]
     weight = np.array([r[3] for r in found])
     weights, unseen = fit_chain(x, y, np.array([r[1] for r in found], int), weight, columns)
