@@ -14,6 +14,7 @@ from ..functions.cells import at_rim
 from ..functions.material import ENTRIES, Matrix, crushed, matrix, return_map, trial
 from ..functions.stencil import STENCIL, weight2
 from ..params import SimParams
+from ..plans.lineage import apart
 
 
 #: Cells whose stencils are broadcast at most: of 19 numbers each.
@@ -55,18 +56,21 @@ def gather(particles: DataFrame, grid: DataFrame, prm: SimParams, size: tuple[in
     if size and (size[0] + 2) * (size[1] + 2) <= BROADCAST_CELLS:
         around = F.broadcast(around.where(F.col("ci").between(-1, size[0]) & F.col("cj").between(-1, size[1])))
     joined = particles.join(around, ["ci", "cj"], "left")
+    # Weights and nodes are columns of their own: written out in every sum, they make a method that is too large to be compiled.
+    used = {f"{c}_{k}": _node(c, k) for c in ("vx", "vy") for k in range(len(STENCIL))}
+    weights = {f"w_{k}": weight2(fx, fy, di, dj) for k, (di, dj) in enumerate(STENCIL)}
+    joined = apart(joined.withColumns({**used, **weights}))
     scale = 4 / prm.cellsize
 
     def total(value) -> Column:
-        terms = [weight2(fx, fy, di, dj) * value(k, di, dj) for k, (di, dj) in enumerate(STENCIL)]
+        terms = [F.col(f"w_{k}") * value(k, di, dj) for k, (di, dj) in enumerate(STENCIL)]
         return sum(terms[1:], terms[0])
 
-    out = {f"g{c}": total(lambda k, di, dj, c=c: _node(c, k)) for c in ("vx", "vy")}
+    out = {f"g{c}": total(lambda k, di, dj, c=c: F.col(f"{c}_{k}")) for c in ("vx", "vy")}
     for row, c in enumerate(("vx", "vy")):
-        out[f"gb{row}0"] = scale * total(lambda k, di, dj, c=c: _node(c, k) * (di - fx))
-        out[f"gb{row}1"] = scale * total(lambda k, di, dj, c=c: _node(c, k) * (dj - fy))
-    used = [f"{c}_{k}" for c in ("vx", "vy") for k in range(len(STENCIL))]
-    return joined.withColumns(out).drop(*used)
+        out[f"gb{row}0"] = scale * total(lambda k, di, dj, c=c: F.col(f"{c}_{k}") * (di - fx))
+        out[f"gb{row}1"] = scale * total(lambda k, di, dj, c=c: F.col(f"{c}_{k}") * (dj - fy))
+    return apart(joined.withColumns(out).drop(*used, *weights))
 
 
 def advance(gathered: DataFrame, prm: SimParams) -> DataFrame:
@@ -99,7 +103,7 @@ def leave_rim(before: DataFrame, gx: int, gy: int) -> DataFrame:
 def settle(particles: DataFrame, prm: SimParams) -> DataFrame:
     """Pressure and deviator, crush test, and plastic return of crushed particles."""
     p, q = trial(matrix("fe"), prm)
-    tested = particles.withColumns({"p": p, "q": q})
+    tested = apart(particles.withColumns({"p": p, "q": q}))
     tested = tested.withColumn("crushed", F.col("crushed") | F.coalesce(crushed(F.col("p"), F.col("q"), prm), F.lit(False)))
     back = return_map(tested, prm)
     new = {f"fe{k}": F.when(F.col("crushed"), F.col(f"r_fe{k}")).otherwise(F.col(f"fe{k}")) for k in ENTRIES}

@@ -1,4 +1,4 @@
-"""Cutting the lineage of loops."""
+"""Cutting the lineage of loops, and generated code into methods."""
 
 from __future__ import annotations
 
@@ -21,3 +21,17 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridmill-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+#: More partitions than there are: a coalesce to so many leaves them as they are.
+ALL_PARTITIONS = 1 << 20
+
+
+def apart(df: DataFrame) -> DataFrame:
+    """The same rows in the same partitions; what follows is generated as code of its own.
+
+    Spark writes a chain of projections into one method, and the JVM compiles
+    none of more than 8,000 bytes: such a one is interpreted, many times slower.
+    A coalesce ends the method; it moves nothing.
+    """
+    return df.coalesce(ALL_PARTITIONS)
