@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import SimParams
+from ..plans.lineage import apart
 
 
 class Matrix(NamedTuple):
@@ -136,7 +137,7 @@ def return_map(df: DataFrame, prm: SimParams) -> DataFrame:
     p, q = trial(f, prm)
     s = svd(f)
     one = df.withColumns({"r_p": p, "r_q": q, "r_j": f.det, "r_s0": s.s0, "r_s1": s.s1})
-    one = one.withColumns({"r_uc": s.uc, "r_us": s.us, "r_vc": s.vc, "r_vs": s.vs})
+    one = apart(one.withColumns({"r_uc": s.uc, "r_us": s.us, "r_vc": s.vc, "r_vs": s.vs}))
     ridge = prm.ridge_coeff * 9.8 * prm.ice_density * F.col("thickness") * F.col("jp_inv")
     open_ = F.col("r_p") < prm.dp_threshold
     case = (
@@ -158,7 +159,7 @@ def return_map(df: DataFrame, prm: SimParams) -> DataFrame:
         pressed = F.sqrt(F.greatest(pushed, F.lit(0.0)))
         return F.when(F.col("r_case") == 0, even).when(F.col("r_case") == 1, 1.0).when(F.col("r_case") == 2, F.col(kept_one)).otherwise(pressed)
 
-    four = three.withColumns({"r_x": value("r_s0", F.col("r_jn") + stretch), "r_y": value("r_s1", F.col("r_jn") - stretch)})
+    four = apart(three).withColumns({"r_x": value("r_s0", F.col("r_jn") + stretch), "r_y": value("r_s1", F.col("r_jn") - stretch)})
     turned = Svd(*[F.col(f"r_{n}") for n in Svd._fields]).rebuilt(F.col("r_x"), F.col("r_y"))
     new = {f"r_fe{k}": F.when(F.col("r_case") == 2, old).otherwise(n) for k, old, n in zip(ENTRIES, f, turned, strict=True)}
     jp_inv = F.col("jp_inv")
