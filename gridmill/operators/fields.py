@@ -185,7 +185,8 @@ def probe(triangles: DataFrame, width: int, height: int, names: list[str]) -> Da
 
     triangles(cell_id, ax, ay, bx, by, cx, cy, and a_n, b_n, c_n for each name n).
     Each triangle lists the pixels of its own box, so no pixel is compared with
-    a triangle far away; of several covering a pixel the lowest cell_id counts.
+    a triangle far away; of several covering a pixel the lowest cell_id counts
+    (of its triangles the one with the lowest values).
     """
     x0, x1 = F.ceil(F.least("ax", "bx", "cx")), F.floor(F.greatest("ax", "bx", "cx"))
     y0, y1 = F.ceil(F.least("ay", "by", "cy")), F.floor(F.greatest("ay", "by", "cy"))
@@ -194,10 +195,22 @@ def probe(triangles: DataFrame, width: int, height: int, names: list[str]) -> Da
         {"lx": F.greatest(x0, zero), "hx": F.least(x1, F.lit(width - 1)), "ly": F.greatest(y0, zero), "hy": F.least(y1, F.lit(height - 1))}
     ).where("lx <= hx AND ly <= hy")
     pixels = boxed.withColumn("y", F.explode(F.sequence("ly", "hy"))).withColumn("x", F.explode(F.sequence("lx", "hx")))
+    inside = pixels.where(_in_triangle()).select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "cell_id")
+    lowest = inside.groupBy("x", "y").agg(F.min("cell_id").alias("cell_id"))  # a number, so no pixel's list of triangles is sorted
+    u, v = _barycentric()
+    value = [(u * F.col(f"a_{n}") + v * F.col(f"b_{n}") + (1 - u - v) * F.col(f"c_{n}")).alias(n) for n in names]
+    picked = lowest.join(triangles, "cell_id", "left").groupBy("x", "y").agg(F.min(F.when(_in_triangle(), F.struct(*value))).alias("s"))
+    return picked.select("x", "y", "s.*")
+
+
+def _barycentric() -> tuple[Column, Column]:
+    """Weights of the corners a and b at (x, y)."""
     det = (F.col("by") - F.col("cy")) * (F.col("ax") - F.col("cx")) + (F.col("cx") - F.col("bx")) * (F.col("ay") - F.col("cy"))
     u = F.try_divide((F.col("by") - F.col("cy")) * (F.col("x") - F.col("cx")) + (F.col("cx") - F.col("bx")) * (F.col("y") - F.col("cy")), det)
     v = F.try_divide((F.col("cy") - F.col("ay")) * (F.col("x") - F.col("cx")) + (F.col("ax") - F.col("cx")) * (F.col("y") - F.col("cy")), det)
-    inside = pixels.withColumns({"u": u, "v": v}).withColumn("w", 1 - F.col("u") - F.col("v")).where("u >= 0 AND v >= 0 AND w >= 0")
-    value = [(F.col("u") * F.col(f"a_{n}") + F.col("v") * F.col(f"b_{n}") + F.col("w") * F.col(f"c_{n}")).alias(n) for n in names]
-    picked = inside.groupBy(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")).agg(F.min_by(F.struct(*value), "cell_id").alias("s"))
-    return picked.select("x", "y", "s.*")
+    return u, v
+
+
+def _in_triangle() -> Column:
+    u, v = _barycentric()
+    return (u >= 0) & (v >= 0) & (1 - u - v >= 0)

@@ -2,7 +2,7 @@
 
 import re
 
-from gridmill.operators import gather
+from gridmill.operators import fields, gather
 from gridmill.plans import adapters, registry
 
 #: Bytes of a method from which on the JVM doesn't compile it.
@@ -25,3 +25,12 @@ def test_gathering_and_settling_are_compiled(spark):
     assert sizes and max(sizes) < HUGE
     sizes = method_sizes(spark, registry.QUERIES["advect"](spark, "/root/testdata/sf0.001"))
     assert sizes and max(sizes) < HUGE
+
+
+def test_probed_pixels_keep_no_list_of_triangles(spark):
+    rows = [(k, 0.0, 0.0, 9.0, 0.0, 0.0, 9.0, float(k), float(k), float(k)) for k in range(200, 0, -1)]
+    t = spark.createDataFrame(rows, "cell_id long, ax double, ay double, bx double, by double, cx double, cy double, a_s double, b_s double, c_s double").repartition(3)
+    out = fields.probe(t, 4, 4, ["s"])
+    assert [r["s"] for r in out.collect()] == [1.0] * 16
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "min_by" not in plan and "HashAggregate(keys=[x" in plan
