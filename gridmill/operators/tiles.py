@@ -108,7 +108,13 @@ def probe_points(points: DataFrame, triangles: DataFrame, names: list[str], hot:
     det = (F.col("by") - F.col("cy")) * (F.col("ax") - F.col("cx")) + (F.col("cx") - F.col("bx")) * (F.col("ay") - F.col("cy"))
     u = F.try_divide((F.col("by") - F.col("cy")) * (F.col("x") - F.col("cx")) + (F.col("cx") - F.col("bx")) * (F.col("y") - F.col("cy")), det)
     v = F.try_divide((F.col("cy") - F.col("ay")) * (F.col("x") - F.col("cx")) + (F.col("ax") - F.col("cx")) * (F.col("y") - F.col("cy")), det)
-    held = pairs.withColumns({"u": u, "v": v}).withColumn("w", 1 - F.col("u") - F.col("v")).where("u >= 0 AND v >= 0 AND w >= 0")
+
+    def held(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({"u": u, "v": v}).withColumn("w", 1 - F.col("u") - F.col("v")).where("u >= 0 AND v >= 0 AND w >= 0")
+
+    # A least number is a hash aggregate; a least struct would sort every pair. Values are taken of one triangle alone.
+    lowest = cut(held(pairs).groupBy("x", "y").agg(F.min("cell_id").alias("cell_id")))
     value = [(F.col("u") * F.col(f"a_{n}") + F.col("v") * F.col(f"b_{n}") + F.col("w") * F.col(f"c_{n}")).alias(n) for n in names]
-    found = held.groupBy(F.col("x").alias("_x"), F.col("y").alias("_y")).agg(F.min(F.struct("cell_id", *value)).alias("found"))
+    valued = held(lowest.join(flat.select("cell.*"), "cell_id"))
+    found = valued.groupBy(F.col("x").alias("_x"), F.col("y").alias("_y")).agg(F.min(F.struct("cell_id", *value)).alias("found"))
     return points.join(found, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")), "left").select(points["*"], "found.*")
