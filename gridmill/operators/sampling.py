@@ -15,17 +15,18 @@ from ..shipping import ship
 
 #: Points wanted in a cell, and tries around an active point.
 POINTS_PER_CELL, ATTEMPTS = 5, 30
-#: Radii in a tile's side.
-TILE_RADII = 64
+#: Radii in a tile's side; tiles that are filled together at most, and groups of them wanted at least.
+TILE_RADII, TILES_TOGETHER, GROUPS = 64, 64, 48
 
 
-def _hash(seed: int) -> int:
-    """The stateless hash of ``functions.naming`` on Python integers."""
-    mask = 0xFFFFFFFF
-    i = ((seed & mask) ^ 12345391) * 2654435769 & mask
-    i ^= ((i << 6) & mask) ^ (i >> 26)
-    i = i * 2654435769 & mask
-    return (i + (((i << 5) & mask) ^ (i >> 12))) & mask
+def _hash(seed):
+    """The stateless hash of ``functions.naming`` on a Python integer, or on an array of them."""
+    i = (np.atleast_1d(seed).astype(np.int64) & 0xFFFFFFFF).astype(np.uint32) ^ np.uint32(12345391)
+    i = i * np.uint32(2654435769)
+    i ^= (i << np.uint32(6)) ^ (i >> np.uint32(26))
+    i = i * np.uint32(2654435769)
+    i = i + ((i << np.uint32(5)) ^ (i >> np.uint32(12)))
+    return i if np.ndim(seed) else int(i[0])
 
 
 def poisson_disk(
@@ -36,51 +37,77 @@ def poisson_disk(
     ``held``: points that there are already, some of them beyond the box; new
     ones keep their distance from these and grow from them as well.
     """
+    return poisson_boxes([(width, height, seed, held)], radius, attempts)[0]
+
+
+def poisson_boxes(boxes: list[tuple[float, float, int, np.ndarray | None]], radius: float, attempts: int = ATTEMPTS) -> list[np.ndarray]:
+    """``poisson_disk`` of boxes (width, height, seed, held) that don't know of each other, a step of all of them at a time."""
     side = radius / math.sqrt(2)
-    nx, ny = int(math.ceil(width / side)) + 6, int(math.ceil(height / side)) + 6  # three cells more at every side
-    cell = np.full((nx, ny), -1, np.int64)
-    state = seed
-
-    def uniform() -> float:
-        nonlocal state
-        state += 1
-        return _hash(state - 1) / 0xFFFFFFFF
-
-    points: list[tuple[float, float]] = []
-    active: list[int] = []
-
-    def place(x: float, y: float) -> None:
-        i, j = int(x // side) + 3, int(y // side) + 3
-        if 0 <= i < nx and 0 <= j < ny:
-            cell[i, j] = len(points)
-        active.append(len(points))
-        points.append((x, y))
-
-    def fits(x: float, y: float) -> bool:
-        i, j = int(x // side) + 3, int(y // side) + 3
-        for k in cell[i - 2 : i + 3, j - 2 : j + 3].ravel():
-            if k >= 0 and (points[k][0] - x) ** 2 + (points[k][1] - y) ** 2 < radius * radius:
-                return False
-        return True
-
-    for x, y in [] if held is None else held.tolist():
-        place(x, y)
-    known = len(points)
-    if not known:
-        place(uniform() * width, uniform() * height)
-    while active:
-        at = int(uniform() * len(active)) % len(active)
-        px, py = points[active[at]]
-        for _ in range(attempts):
-            r, angle = radius * (1 + uniform()), 2 * math.pi * uniform()
-            x, y = px + r * math.cos(angle), py + r * math.sin(angle)
-            if 0 <= x < width and 0 <= y < height and fits(x, y):
-                place(x, y)
-                break
-        else:
-            active[at] = active[-1]
-            active.pop()
-    return np.array(points[known:]).reshape(-1, 2)
+    n = len(boxes)
+    width, height = (np.array([b[k] for b in boxes], float) for k in (0, 1))
+    state = np.array([b[2] for b in boxes], np.int64)
+    nx, ny = (math.ceil(float(c.max()) / side) + 6 for c in (width, height))  # three cells more at every side
+    rings = [np.array([i * ny + j for i in range(-2, 3) for j in range(-2, 3) if max(abs(i), abs(j)) == k]) for k in range(3)]
+    cell = np.full((2, n * nx * ny), np.inf)  # the point in each cell
+    known = np.array([0 if b[3] is None else len(b[3]) for b in boxes])
+    most = int(known.max()) + nx * ny
+    points, active = np.empty((n, most, 2)), np.empty((n, most), np.int64)
+    count = np.zeros(n, np.int64)
+
+    def at(k, x, y) -> np.ndarray:
+        i, j = (np.floor_divide(c, side).astype(np.int64) + 3 for c in (x, y))
+        return np.where((i >= 0) & (i < nx) & (j >= 0) & (j < ny), (k * nx + i) * ny + j, -1)
+
+    for k, (w, h, _, held) in enumerate(boxes):
+        if not known[k]:
+            held = _hash(state[k] + np.arange(2))[None] / 0xFFFFFFFF * (w, h)
+            state[k] += 2
+        count[k] = len(held)
+        points[k, : count[k]], active[k, : count[k]] = held, np.arange(count[k])
+        where = at(k, *held.T)
+        cell[:, where[where >= 0]] = held[where >= 0].T
+    left, live = count.copy(), np.arange(n)
+    draws = np.arange(2 * attempts + 1)
+    while len(live):
+        drawn = _hash(state[live, None] + draws) / 0xFFFFFFFF
+        pick = (drawn[:, 0] * left[live]).astype(np.int64) % left[live]
+        px, py = points[live, active[live, pick]].T
+        far, angle = radius * (1 + drawn[:, 1::2]), 2 * math.pi * drawn[:, 2::2]
+        x, y = px[:, None] + far * np.cos(angle), py[:, None] + far * np.sin(angle)
+        row, tried = np.nonzero((x >= 0) & (x < width[live, None]) & (y >= 0) & (y < height[live, None]))
+        x, y = x[row, tried], y[row, tried]
+        own = at(live[row], x, y)
+        for ring in rings:  # most are too near to a point of their own cell or one beside it
+            near = own[:, None] + ring
+            dx, dy = cell[0].take(near), cell[1].take(near)
+            dx -= x[:, None]
+            dy -= y[:, None]
+            dx *= dx
+            dy *= dy
+            dx += dy
+            free = np.flatnonzero(dx.min(axis=1) >= radius * radius)
+            own, x, y, row, tried = own[free], x[free], y[free], row[free], tried[free]
+        first = np.diff(row, prepend=-1) > 0  # of each box the first try that fits
+        row, tried = row[first], tried[first]
+        found = live[row]
+        # The library's functions of a single number: the same on every machine.
+        x = np.array([p + r * math.cos(o) for p, r, o in zip(px[row].tolist(), far[row, tried].tolist(), angle[row, tried].tolist(), strict=True)])
+        y = np.array([p + r * math.sin(o) for p, r, o in zip(py[row].tolist(), far[row, tried].tolist(), angle[row, tried].tolist(), strict=True)])
+        points[found, count[found], 0], points[found, count[found], 1] = x, y
+        cell[:, at(found, x, y)] = x, y
+        active[found, left[found]] = count[found]
+        count[found] += 1
+        left[found] += 1
+        state[found] += 2 * tried + 3
+        none = np.ones(len(live), bool)
+        none[row] = False
+        ended = live[none]
+        active[ended, pick[none]] = active[ended, left[ended] - 1]
+        left[ended] -= 1
+        state[ended] += len(draws)
+        if len(ended) and not left[ended].all():
+            live = live[left[live] > 0]
+    return [points[k, known[k] : count[k]].copy() for k in range(n)]
 
 
 def poisson_tiles(spark: SparkSession, width: float, height: float, radius: float, seed: int = 0, side: int = TILE_RADII) -> DataFrame:
@@ -88,19 +115,25 @@ def poisson_tiles(spark: SparkSession, width: float, height: float, radius: floa
 
     Tiles are of ``side`` radii. Every second one along either axis is filled
     at a time, four times in all, so no two that are filled at once touch. A
-    task gets its tile with the points around it that there are already.
+    task gets a few tiles with the points around them that there are already.
     """
     ship(spark)
     tile = side * radius
     nx, ny = max(1, math.ceil(width / tile)), max(1, math.ceil(height / tile))
     tiles = spark.range(nx * ny).select((F.col("id") % nx).alias("tx"), F.floor(F.col("id") / nx).alias("ty"))
+    at_once = math.ceil(nx / 2) * math.ceil(ny / 2)
+    together = min(TILES_TOGETHER, math.ceil(at_once / GROUPS))
+    groups = math.ceil(at_once / together)
+    group = F.floor((F.floor(F.col("ty") / 2) * math.ceil(nx / 2) + F.floor(F.col("tx") / 2)) / together)
 
     def fill(part: pd.DataFrame) -> pd.DataFrame:
-        tx, ty = int(part["tx"].iloc[0]), int(part["ty"].iloc[0])
-        there = part.dropna()[["x", "y"]].sort_values(["x", "y"]).to_numpy()
-        low = np.array([tx * tile, ty * tile])
-        found = poisson_disk(min(tile, width - low[0]), min(tile, height - low[1]), radius, seed + (ty * nx + tx) * 7919, held=there - low if len(there) else None)
-        return pd.DataFrame(found + low, columns=["x", "y"])
+        boxes, lows = [], []
+        for (tx, ty), own in part.groupby(["tx", "ty"]):
+            low = np.array([tx * tile, ty * tile])
+            there = own.dropna()[["x", "y"]].sort_values(["x", "y"]).to_numpy()
+            boxes.append((min(tile, width - low[0]), min(tile, height - low[1]), int(seed + (ty * nx + tx) * 7919), there - low if len(there) else None))
+            lows.append(low)
+        return pd.DataFrame(np.concatenate([found + low for found, low in zip(poisson_boxes(boxes, radius), lows, strict=True)]), columns=["x", "y"])
 
     points = None
     for a, b in ((0, 0), (1, 0), (0, 1), (1, 1)):
@@ -110,10 +143,10 @@ def poisson_tiles(spark: SparkSession, width: float, height: float, radius: floa
             around = [F.struct((own[0] + i).alias("tx"), (own[1] + j).alias("ty")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
             near = points.select(F.inline(F.array(*around)), "x", "y").where((F.col("tx") % 2 == a) & (F.col("ty") % 2 == b))
             close = [(F.col(c) >= F.col(t) * tile - 2 * radius) & (F.col(c) <= (F.col(t) + 1) * tile + 2 * radius) for c, t in (("x", "tx"), ("y", "ty"))]
-            rows = rows.unionByName(near.where(close[0] & close[1]))
-            rows = rows.join(tiles, ["tx", "ty"], "left_semi")
-        new = rows.groupBy("tx", "ty").applyInPandas(fill, "x double, y double")
-        points = cut(new if points is None else points.unionByName(new))
+            rows = rows.unionByName(near.where(close[0] & close[1] & F.col("tx").between(0, nx - 1) & F.col("ty").between(0, ny - 1)))
+        # A number of partitions that is named isn't made smaller, however few bytes the tiles have.
+        new = cut(rows.withColumn("group", group).repartition(groups, "group").groupBy("group").applyInPandas(fill, "x double, y double"))
+        points = new if points is None else points.unionByName(new)
     return points
 
 

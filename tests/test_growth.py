@@ -2,7 +2,7 @@
 
 import re
 
-from gridmill.operators import fields, gather
+from gridmill.operators import fields, gather, sampling
 from gridmill.plans import adapters, registry
 
 #: Bytes of a method from which on the JVM doesn't compile it.
@@ -34,3 +34,12 @@ def test_probed_pixels_keep_no_list_of_triangles(spark):
     assert [r["s"] for r in out.collect()] == [1.0] * 16
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "min_by" not in plan and "HashAggregate(keys=[x" in plan
+
+
+def test_poisson_tiles_are_filled_side_by_side(spark):
+    """Tiles have hardly any bytes before they are filled, yet aren't put into one task."""
+    tiled = sampling.poisson_tiles(spark, 1.0, 0.5, 0.02, side=8)  # 7 x 4 tiles
+    assert sum(n > 0 for n in tiled.rdd.glom().map(len).collect()) >= 14
+    alone = [sampling.poisson_disk(1.0, w, 0.03, seed) for seed, w in enumerate((0.2, 0.6))]
+    side_by_side = sampling.poisson_boxes([(1.0, w, seed, None) for seed, w in enumerate((0.2, 0.6))], 0.03)
+    assert all((a == b).all() for a, b in zip(alone, side_by_side, strict=True))
