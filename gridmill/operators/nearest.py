@@ -76,10 +76,13 @@ def _gaps(axes: list[str]) -> tuple[Column, Column]:
 
 
 def _within_bound(pairs: DataFrame, axes: list[str], of: list[str]) -> DataFrame:
-    """Pairs whose least distance isn't beyond the least of the largest ones of their cell of points."""
+    """Pairs whose least distance isn't beyond ``bound``, the least of the largest ones of their cell of points (squares)."""
     near, far = _gaps(axes)
     bound = F.min("far").over(Window.partitionBy(*of))
-    return pairs.withColumns({"near": near, "far": far}).withColumn("bound", bound).where(F.col("near") <= F.col("bound") * (1 + SLACK)).drop("near", "far", "bound")
+    measured = pairs.withColumns({"near": near, "far": far})
+    if "bound" in pairs.columns:  # what is beyond the bound of a larger cell around isn't moved
+        measured = measured.where(F.col("near") <= F.col("bound") * (1 + SLACK))
+    return measured.withColumn("bound", bound).where(F.col("near") <= F.col("bound") * (1 + SLACK)).drop("near", "far")
 
 
 def nearest_segment(points: DataFrame, segments: DataFrame, axes: list[str], order: list[str]) -> DataFrame:
@@ -93,7 +96,7 @@ def nearest_segment(points: DataFrame, segments: DataFrame, axes: list[str], ord
     step = 1 if len(axes) > 2 else 2
     ends = [f"{e}{x}" for x in axes for e in "ab"]
     lines = segments.where(_usable(ends)).groupBy(*ends).agg(F.min(F.struct(*order)).alias("name"))
-    lines = cut(lines.select("name", *[F.col(c).cast("double") for c in ends]))
+    lines = cut(lines.select(F.monotonically_increasing_id().alias("line"), "name", *[F.col(c).cast("double") for c in ends]))
     places = cut(points.where(_usable(axes)).select(*[F.col(x).cast("double").alias(x) for x in axes]).distinct())
 
     reach = F.greatest(*[F.abs(F.col(f"b{x}") - F.col(f"a{x}")) for x in axes])
@@ -120,8 +123,9 @@ def nearest_segment(points: DataFrame, segments: DataFrame, axes: list[str], ord
         a, gap = F.col(f"a{x}"), F.col(f"b{x}") - F.col(f"a{x}")
         one, two = a + gap * (F.col("_k") / F.col("_n")), a + gap * ((F.col("_k") + 1) / F.col("_n"))
         cutting = cutting.withColumns({f"l{x}": F.least(one, two), f"h{x}": F.greatest(one, two), f"k{x}": number((one + two) / 2, lows[axes.index(x)])})
-    pieces = cut(cutting.drop("_k", "_n"))
-    located = places.withColumns({f"k{x}": number(F.col(x), low) for x, low in zip(axes, lows, strict=True)})
+    pieces = cut(cutting.drop("_k", "_n", "name", *ends))
+    numbers = {f"k{x}": number(F.col(x), low) for x, low in zip(axes, lows, strict=True)}
+    located = places.withColumns(numbers)
     of_pieces = cut(_cells(pieces, axes, "s"))
     of_places = cut(_cells(located.withColumns({f"{e}{x}": F.col(x) for x in axes for e in "lh"}), axes, "p"))
 
@@ -134,18 +138,25 @@ def nearest_segment(points: DataFrame, segments: DataFrame, axes: list[str], ord
         else:
             mine = pairs.hint(SHUFFLED).withColumnsRenamed({f"{side}k{x}": f"_{side}{x}" for side in "ps" for x in axes})
             met = mine.join(p, [F.col(f"_p{x}") == F.col(f"pu{x}") for x in axes]).join(s, [F.col(f"_s{x}") == F.col(f"su{x}") for x in axes])
-        pairs = cut(_within_bound(met, axes, p_keys).select(*p_keys, *s_keys))
+        pairs = cut(_within_bound(met, axes, p_keys).select(*p_keys, *s_keys, "bound"))
 
     boxes = _level(of_places, axes, 0, step, "p").select(*p_keys, *[f"p{e}{x}" for e in "lh" for x in axes])
     met = pairs.hint(SHUFFLED).join(boxes, p_keys).join(pieces.hint(SHUFFLED).withColumnsRenamed({f"k{x}": f"sk{x}" for x in axes} | {f"{e}{x}": f"s{e}{x}" for e in "lh" for x in axes}), s_keys)
-    near = _within_bound(met, axes, p_keys).select(*p_keys, "name", *ends).distinct()
-    met = located.join(near.hint(SHUFFLED), [F.col(f"k{x}") == F.col(f"pk{x}") for x in axes])
+    close = _within_bound(met, axes, p_keys).select(*p_keys, "line").distinct()
+    near = cut(close.hint(SHUFFLED).join(lines, "line").drop("line"))
     side = [F.col(f"b{x}") - F.col(f"a{x}") for x in axes]
     along = sum_of(*[(F.col(x) - F.col(f"a{x}")) * s for x, s in zip(axes, side, strict=True)])
     long_ = sum_of(*map(square, side))
     t = F.coalesce(F.least(F.greatest(F.try_divide(along, long_), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
-    met = met.withColumn("t", t)
-    apart = [F.col(x) - (F.col(f"a{x}") + s * F.col("t")) for x, s in zip(axes, side, strict=True)]
-    best = F.min(F.struct(F.sqrt(sum_of(*map(square, apart))).alias("distance"), "name", "t")).alias("nearest")
+    apart = sum_of(*[square(F.col(x) - (F.col(f"a{x}") + s * F.col("t"))) for x, s in zip(axes, side, strict=True)])
+
+    def compared(at: DataFrame) -> DataFrame:
+        met = at.withColumns(numbers).join(near.hint(SHUFFLED), [F.col(f"k{x}") == F.col(f"pk{x}") for x in axes])
+        return met.withColumn("t", t).withColumn("distance", F.sqrt(apart))
+
+    # A least number is a hash aggregate; a least struct would sort every place with every segment nearby.
+    least = cut(compared(places).groupBy(*axes).agg(F.min("distance").alias("least")))
+    met = compared(least).where(F.col("distance") == F.col("least"))
+    best = F.min(F.struct("distance", "name", "t")).alias("nearest")
     found = met.groupBy(*axes).agg(best).withColumnsRenamed({x: f"_{x}" for x in axes})
     return points.join(found, [F.col(x) == F.col(f"_{x}") for x in axes], "left").drop(*[f"_{x}" for x in axes])

@@ -2,8 +2,9 @@
 
 import re
 
-from gridmill.operators import fields, gather, sampling
+from gridmill.operators import fields, gather, nearest, sampling
 from gridmill.plans import adapters, registry
+from gridmill.plans.lineage import cut
 
 #: Bytes of a method from which on the JVM doesn't compile it.
 HUGE = 8000
@@ -43,3 +44,14 @@ def test_poisson_tiles_are_filled_side_by_side(spark):
     alone = [sampling.poisson_disk(1.0, w, 0.03, seed) for seed, w in enumerate((0.2, 0.6))]
     side_by_side = sampling.poisson_boxes([(1.0, w, seed, None) for seed, w in enumerate((0.2, 0.6))], 0.03)
     assert all((a == b).all() for a, b in zip(alone, side_by_side, strict=True))
+
+
+def test_places_and_segments_nearby_are_not_sorted(spark, monkeypatch):
+    """Least distances are hash aggregates; what is sorted for its struct has the least distance already."""
+    kept = []
+    monkeypatch.setattr(nearest, "cut", lambda df: kept.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    points = spark.range(300).selectExpr("id % 20 * 1.0D AS x", "id * 0.1D AS y")
+    lines = spark.range(90).selectExpr("id AS seg", "id % 9 * 3.0D AS ax", "id % 9 * 3.0D + 2 AS bx", "id * 0.3D AS ay", "id * 0.3D AS by")
+    last = nearest.nearest_segment(points, lines, ["x", "y"], ["seg"])._jdf.queryExecution().executedPlan().toString()
+    assert any("HashAggregate(keys=[x" in p and "min(distance" in p and "SortAggregate" not in p for p in kept)
+    assert "(distance" in last and "least" in last
