@@ -44,20 +44,24 @@ class FrameSeries(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         region = key[0]
         following, first = self.ends.get() if self.ends.exists() else (0, 0)
-        out: dict[int, tuple[int, float, float]] = {}
+        newest: dict[int, tuple[int, float, float]] = {}  # State is asked once for a frame, not for a row.
         for batch in rows:
-            for frame, seq, fx, fy in zip(batch["frame"].tolist(), batch["seq"].tolist(), batch["fx"].tolist(), batch["fy"].tolist(), strict=True):
-                if frame < first:
-                    continue
-                for gap in range(following, frame):
-                    out[gap] = (-1, 0.0, 0.0)
-                    self._keep(gap, -1)
-                if frame >= following:
-                    following = frame + 1
-                elif self.open.containsKey((frame,)) and self.open.getValue((frame,))[0] >= seq:
-                    continue
-                self._keep(frame, seq)
-                out[frame] = (seq, fx, fy)
+            known = batch[batch["frame"] >= first].reset_index(drop=True)
+            top = known.loc[known.groupby("frame")["seq"].idxmax()]
+            for frame, seq, fx, fy in zip(top["frame"].tolist(), top["seq"].tolist(), top["fx"].tolist(), top["fy"].tolist(), strict=True):
+                if frame not in newest or newest[frame][0] < seq:
+                    newest[frame] = (seq, fx, fy)
+        out: dict[int, tuple[int, float, float]] = {}
+        for frame, row in sorted(newest.items()):
+            for gap in range(following, frame):
+                out[gap] = (-1, 0.0, 0.0)
+                self._keep(gap, -1)
+            if frame >= following:
+                following = frame + 1
+            elif self.open.containsKey((frame,)) and self.open.getValue((frame,))[0] >= row[0]:
+                continue
+            self._keep(frame, row[0])
+            out[frame] = row
         self.ends.update((following, first))
         if out:
             yield pd.DataFrame([(region, f, *v) for f, v in sorted(out.items())], columns=["region", "frame", "seq", "fx", "fy"])

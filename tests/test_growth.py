@@ -2,9 +2,12 @@
 
 import re
 
+import pandas as pd
+
 from gridmill.operators import fields, gather, nearest, sampling
 from gridmill.plans import adapters, registry
 from gridmill.plans.lineage import cut
+from gridmill.streaming import forces
 
 #: Bytes of a method from which on the JVM doesn't compile it.
 HUGE = 8000
@@ -55,3 +58,37 @@ def test_places_and_segments_nearby_are_not_sorted(spark, monkeypatch):
     last = nearest.nearest_segment(points, lines, ["x", "y"], ["seg"])._jdf.queryExecution().executedPlan().toString()
     assert any("HashAggregate(keys=[x" in p and "min(distance" in p and "SortAggregate" not in p for p in kept)
     assert "(distance" in last and "least" in last
+
+
+def test_state_is_asked_for_frames_not_for_rows():
+    class State(dict):
+        calls = 0
+
+        def __getattr__(self, name):
+            def call(*a):
+                State.calls += 1
+                at = a[0] if len(a) and name in ("containsKey", "getValue", "updateValue") else ()
+                if name in ("exists", "containsKey"):
+                    return at in self
+                if name in ("update", "updateValue"):
+                    self[at] = a[-1]
+                return self.get(at)
+
+            return call
+
+        def update(self, value):
+            self[()] = value
+
+        get = dict.get
+
+    class Value(State):
+        def get(self, at=()):
+            return dict.get(self, at)
+
+    series = forces.FrameSeries(0)
+    series.handle, series.ends, series.open = State(), Value(), State()
+    batch = pd.DataFrame({"frame": [k % 3 * 2 for k in range(3000)], "seq": range(3000), "fx": [1.0 * k for k in range(3000)], "fy": 0.0})
+    (found,) = series.handleInputRows((5,), iter([batch, batch]), None)
+    assert found.values.tolist() == [[5, 0, 2997, 2997.0, 0.0], [5, 1, -1, 0.0, 0.0], [5, 2, 2998, 2998.0, 0.0], [5, 3, -1, 0.0, 0.0], [5, 4, 2999, 2999.0, 0.0]]
+    assert list(series.handleInputRows((5,), iter([batch]), None)) == []
+    assert State.calls < 50
