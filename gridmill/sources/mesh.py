@@ -93,30 +93,35 @@ def solid_nodes(kind: Column, runs: Column, given: Column) -> Column:
 def tree_closure(tree: DataFrame, most: int = 64) -> DataFrame:
     """(cell_id, root, depth, leaf) of every cell of a forest tree(parent, child), however deep.
 
-    Each round every cell takes its ancestor's ancestor for its own, so there
-    are as many rounds as the depth has bits. A cell with two parents or a
+    Each round every parent takes its ancestor's ancestor for its own, so there
+    are as many rounds as the depth has bits. One that has found its root is set
+    aside: else all would meet in the root's task at last. Leaves, which are
+    nobody's ancestors, then ask their parents. A cell with two parents or a
     circle raises an error.
     """
-    edges = tree.where("parent IS NOT NULL AND child IS NOT NULL").distinct()
-    twice = edges.groupBy("child").agg(F.count(F.lit(1)).alias("n"))
-    checked = edges.join(twice, "child").withColumn("parent", F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("two parents of cell "), F.col("child").cast("string")))).otherwise(F.col("parent")))
-    inner = edges.select(F.col("parent").alias("cell_id")).distinct()
-    tops = inner.join(edges.select(F.col("child").alias("cell_id")), "cell_id", "left_anti")
-    up = cut(
-        checked.select(F.col("child").alias("cell_id"), F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"))
-        .unionByName(tops.select("cell_id", F.col("cell_id").alias("up"), F.lit(0).cast("long").alias("depth")))
-    )
+    known = tree.where("parent IS NOT NULL AND child IS NOT NULL").groupBy("child").agg(F.min("parent").alias("low"), F.max("parent").alias("high"))
+    one = F.when(F.col("low") != F.col("high"), F.raise_error(F.concat(F.lit("two parents of cell "), F.col("child").cast("string")))).otherwise(F.col("low"))
+    edges = cut(known.select(F.col("child").alias("cell_id"), one.alias("up")))
+    inner = edges.select(F.col("up").alias("_inner")).distinct()
+    marked = cut(inner.join(edges, F.col("_inner") == F.col("cell_id"), "left").select(F.col("_inner").alias("cell_id"), "up"))
+    done = marked.where("up IS NULL").select("cell_id", F.col("cell_id").alias("root"), F.lit(0).cast("long").alias("depth"))
+    open_ = marked.where("up IS NOT NULL").select("cell_id", "up", F.lit(1).cast("long").alias("depth"))
     for _ in range(most):
-        above = up.select(F.col("cell_id").alias("_cell"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
-        now = cut(up.join(above, F.col("up") == F.col("_cell")).select("cell_id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth")))
-        moved = now.join(up.select("cell_id", F.col("depth").alias("_before")), "cell_id").where("depth <> _before").isEmpty()
-        up = now
-        if moved:
+        if open_.isEmpty():
             break
+        # Roots are told by a null ancestor. A cell is an ancestor of many only if it has as many descendants at one distance.
+        above = done.select(F.col("cell_id").alias("_cell"), F.lit(None).cast(open_.schema["up"].dataType).alias("_up"), F.col("root"), F.col("depth").alias("_depth"))
+        above = above.unionByName(open_.select(F.col("cell_id").alias("_cell"), F.col("up").alias("_up"), F.lit(None).cast(open_.schema["up"].dataType).alias("root"), F.col("depth").alias("_depth")))
+        now = cut(open_.join(above, F.col("up") == F.col("_cell")).select("cell_id", F.col("_up").alias("up"), "root", (F.col("depth") + F.col("_depth")).alias("depth")))
+        done = done.unionByName(now.where("up IS NULL").select("cell_id", "root", "depth"))
+        open_ = now.where("up IS NOT NULL").select("cell_id", "up", "depth")
     else:
-        raise ValueError("cells are their own ancestors")
-    leaf = inner.withColumn("inner", F.lit(True))
-    return up.join(leaf, "cell_id", "left").select("cell_id", F.col("up").alias("root"), "depth", F.col("inner").isNull().alias("leaf"))
+        if not open_.isEmpty():
+            raise ValueError("cells are their own ancestors")
+    leaves = edges.join(marked.select("cell_id"), "cell_id", "left_anti")
+    ends = done.select(F.col("cell_id").alias("up"), "root", "depth")
+    of_leaves = leaves.join(ends, "up").select("cell_id", "root", (F.col("depth") + 1).alias("depth"), F.lit(True).alias("leaf"))
+    return done.select("cell_id", "root", "depth", F.lit(False).alias("leaf")).unionByName(of_leaves)
 
 
 def parent_values(tree: DataFrame, values: DataFrame, names: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ import pandas as pd
 from gridmill.operators import fields, gather, nearest, sampling
 from gridmill.plans import adapters, registry
 from gridmill.plans.lineage import cut
+from gridmill.sources import mesh
 from gridmill.streaming import forces
 
 #: Bytes of a method from which on the JVM doesn't compile it.
@@ -92,3 +93,21 @@ def test_state_is_asked_for_frames_not_for_rows():
     assert found.values.tolist() == [[5, 0, 2997, 2997.0, 0.0], [5, 1, -1, 0.0, 0.0], [5, 2, 2998, 2998.0, 0.0], [5, 3, -1, 0.0, 0.0], [5, 4, 2999, 2999.0, 0.0]]
     assert list(series.handleInputRows((5,), iter([batch]), None)) == []
     assert State.calls < 50
+
+
+def test_cells_of_a_tree_do_not_meet_at_its_root(spark, monkeypatch):
+    """The most rows that one key brings into a round's join is far below the number of cells."""
+    hottest = []
+
+    def seen(df):
+        out = cut(df)
+        if {"cell_id", "up", "depth"} <= set(out.columns):
+            open_ = out.where("up IS NOT NULL").groupBy("up").count().agg({"count": "max"}).first()[0]
+            hottest.append(open_ or 0)
+        return out
+
+    monkeypatch.setattr(mesh, "cut", seen)
+    tree = spark.range(1, 2000).selectExpr("id DIV 2 AS parent", "id AS child")
+    got = {r["cell_id"]: (r["root"], r["depth"], r["leaf"]) for r in mesh.tree_closure(tree).collect()}
+    assert got == {k: (0, k.bit_length(), k > 0 and k * 2 > 1999) for k in range(2000)}
+    assert hottest and max(hottest) < 300
