@@ -1,18 +1,23 @@
-"""Points in cells of any size: boxes as tiles of a quadtree, each box at the depth of its own size."""
+"""Points in cells of any size: tiles of a quadtree over the points, each with the cells that may still count in it."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 
-#: Deepest level of tiles, and places in a tile from which on it is split.
-DEEPEST, HOT_PLACES = 24, 4096
-#: What grew by tiles since its size was estimated is never broadcast.
-SHUFFLED = "merge"
+#: Deepest level of tiles, levels a round, and pairs of place and triangle from which on a tile is split.
+DEEPEST, STEP, HOT_PAIRS = 24, 2, 1 << 17
+#: Rows of a counted table up to which it is broadcast; what grew by tiles since its size was estimated never is.
+FEW, SHUFFLED = 100_000, "merge"
+#: What rounding may move, as a share of lengths times coordinates.
+SLACK = 1e-12
 
 _CORNERS = (("ax", "ay"), ("bx", "by"), ("cx", "cy"))
+_BOX = ("_x0", "_y0", "_x1", "_y1")
 
 
 def _edge(px: Column, py: Column, qx: Column, qy: Column, x: Column, y: Column) -> Column:
@@ -20,101 +25,119 @@ def _edge(px: Column, py: Column, qx: Column, qy: Column, x: Column, y: Column)
     return (qx - px) * (y - py) - (qy - py) * (x - px)
 
 
-def _meets(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """Whether a triangle may share a point with a box: false only where an edge has the whole box strictly on its outer side."""
-    turn = _edge(*[F.col(c) for p in _CORNERS for c in p])
-    apart = F.lit(False)
+def _sides() -> list[tuple[list[Column], Column]]:
+    """Of each edge: on which side the corners of the tile's box lie (above 0: inside), and the scale of rounding."""
+    x0, y0, x1, y1 = (F.col(c) for c in _BOX)
+    at = {c: F.col(f"cell.{c}").cast("double") for p in _CORNERS for c in p}
+    turn = F.signum(_edge(*at.values()))
+    far = reduce(Column.__add__, [F.abs(c) for c in (x0, y0, x1, y1, *at.values())])
+    found = []
     for (px, py), (qx, qy) in zip(_CORNERS, (*_CORNERS[1:], _CORNERS[0]), strict=True):
-        sides = [_edge(F.col(px), F.col(py), F.col(qx), F.col(qy), x, y) * F.signum(turn) for x, y in ((x0, y0), (x1, y0), (x0, y1), (x1, y1))]
-        # Rounding may move a corner that lies on an edge across it.
-        scale = (F.abs(F.col(qx) - F.col(px)) + F.abs(F.col(qy) - F.col(py))) * (F.abs(x0) + F.abs(x1) + F.abs(y0) + F.abs(y1) + F.abs(F.col(px)) + F.abs(F.col(py)))
-        apart = apart | (F.greatest(*sides) < -1e-12 * scale)
-    return ~apart | (turn == 0)
+        ends = [at[c] for c in (px, py, qx, qy)]
+        sides = [_edge(*ends, x, y) * turn for x, y in ((x0, y0), (x1, y0), (x0, y1), (x1, y1))]
+        found.append((sides, (F.abs(ends[2] - ends[0]) + F.abs(ends[3] - ends[1])) * far * SLACK))
+    return found
+
+
+def _meets() -> Column:
+    """Whether a triangle may hold a place of the box: false only where an edge has the whole box on its outer side."""
+    return reduce(Column.__and__, [F.greatest(*sides) >= -scale for sides, scale in _sides()])
+
 
+def _covers() -> Column:
+    """Whether a triangle holds all places of the box, however their shares are rounded."""
+    widest = F.greatest(*[scale for _, scale in _sides()])
+    return reduce(Column.__and__, [F.least(*sides) > widest for sides, _ in _sides()])
 
-def _children(tiles: DataFrame) -> DataFrame:
-    halves = F.array(*[F.struct((F.col("i") * 2 + a).alias("i"), (F.col("j") * 2 + b).alias("j")) for a in (0, 1) for b in (0, 1)])
-    return tiles.select("cell", (F.col("level") + 1).alias("level"), F.inline(halves))
 
+def _few(table: DataFrame) -> DataFrame:
+    """To be broadcast where it is counted as small, else to be joined by shuffle."""
+    return F.broadcast(table) if table.count() <= FEW else table.hint(SHUFFLED)
 
-def probe_points(points: DataFrame, triangles: DataFrame, names: list[str], hot: int = HOT_PLACES) -> DataFrame:
+
+def probe_points(points: DataFrame, triangles: DataFrame, names: list[str], hot: int = HOT_PAIRS) -> DataFrame:
     """The points(x, y, …) with cell_id and the values ``names`` of the triangle that they lie in, by barycentric interpolation.
 
     triangles(cell_id, ax, ay, bx, by, cx, cy, and a_n, b_n, c_n for each name n).
     Edges belong to a triangle; of several that hold a point the lowest cell_id
     counts; outside all, and for points without a place, cell_id is null.
-    Triangles without an area, and such with nulls, hold nothing.
+    Triangles without an area, and such with nulls or without end, hold nothing.
 
-    A triangle lies in the few tiles of its own size that it meets. A tile in
-    which more than ``hot`` places lie is split among the triangles in it, until
-    their parts hold fewer or no longer meet them. Places are looked up at the
-    levels that triangles are at, each once.
+    Only the lowest cell counts, so a triangle that holds all places of a tile is
+    that tile's bound: those with higher numbers are neither compared with its
+    places nor taken to its parts. A tile in which more than ``hot`` pairs of place
+    and triangle are left is split, and so each place is looked up in one tile.
     """
-    area = _edge(*[F.col(c) for p in _CORNERS for c in p])
-    flat = cut(triangles.where(F.coalesce((area > 0) | (area < 0), F.lit(False))).withColumn("cell", F.struct("cell_id", *[c for p in _CORNERS for c in p], *[f"{k}_{n}" for n in names for k in "abc"])).select("cell"))
-    places = cut(points.where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)").select(F.col("x").cast("double"), F.col("y").cast("double")).distinct())
-    boxes = flat.select(
-        "cell",
-        *[f(*[F.col(f"cell.{p[k]}").cast("double") for p in _CORNERS]).alias(f"{e}{'xy'[k]}") for e, f in (("l", F.least), ("h", F.greatest)) for k in (0, 1)],
-    )
-    frame = boxes.agg(F.min("lx"), F.min("ly"), F.max("hx"), F.max("hy")).first()
-    none = points.withColumns({"cell_id": F.lit(None).cast(triangles.schema["cell_id"].dataType), **{n: F.lit(None).cast("double") for n in names}})
+    area = F.abs(_edge(*[F.col(c) for p in _CORNERS for c in p]))
+    corners = [c for p in _CORNERS for c in p]
+    whole = triangles.where((area > 0) & (area < F.lit(float("inf"))))
+    flat = cut(whole.select(F.struct("cell_id", *corners, *[f"{k}_{n}" for n in names for k in "abc"]).alias("cell")).repartition(F.col("cell.cell_id")))
+    id_type = triangles.schema["cell_id"].dataType
+    none = points.withColumns({"cell_id": F.lit(None).cast(id_type), **{n: F.lit(None).cast("double") for n in names}})
+    reach = flat.select(*[f(*[F.col(f"cell.{p[k]}").cast("double") for p in _CORNERS]).alias(f"{e}{'xy'[k]}") for e, f in (("l", F.least), ("h", F.greatest)) for k in (0, 1)])
+    frame = reach.agg(F.min("lx"), F.min("ly"), F.max("hx"), F.max("hy")).first()
     if frame[0] is None:
         return none
-    low_x, low_y = frame[0], frame[1]
-    width = max(frame[2] - low_x, frame[3] - low_y)
-
-    def side(level: Column) -> Column:
-        return F.lit(width) / F.pow(F.lit(2.0), level)
-
-    def number(at: Column, low: float, level: Column) -> Column:
-        return F.least(F.floor((at - low) / side(level)), F.pow(F.lit(2.0), level) - 1).cast("long")
-
-    largest = F.greatest(F.col("hx") - F.col("lx"), F.col("hy") - F.col("ly"))
-    sized = boxes.withColumn("level", F.least(F.floor(F.log2(F.lit(width) / largest)) + 1, F.lit(DEEPEST)).cast("int"))
-    level = F.col("level")
-    listed = (
-        sized.withColumn("i", F.explode(F.sequence(number(F.col("lx"), low_x, level), number(F.col("hx"), low_x, level))))
-        .withColumn("j", F.explode(F.sequence(number(F.col("ly"), low_y, level), number(F.col("hy"), low_y, level))))
-        .select("cell", "level", "i", "j")
-    )
-
-    def met(tiles: DataFrame) -> DataFrame:
-        """Tiles that their triangle may meet; their edges are widened, as numbers of places are rounded."""
-        s, pad = side(level), width * 1e-12
-        x0, y0 = F.lit(low_x) + F.col("i") * s, F.lit(low_y) + F.col("j") * s
-        named = tiles.select("*", *[F.col(f"cell.{c}").cast("double").alias(c) for p in _CORNERS for c in p])
-        return named.where(_meets(x0 - pad, y0 - pad, x0 + s + pad, y0 + s + pad)).select("cell", "level", "i", "j")
-
-    inside = places.where(F.col("x").between(low_x, low_x + width) & F.col("y").between(low_y, low_y + width))
-    open_, done = cut(met(listed)), []
-    while not open_.isEmpty():
-        levels = F.array(*[F.lit(r["level"]) for r in open_.select("level").distinct().collect()])  # DEEPEST at most
-        at = inside.withColumn("level", F.explode(levels))
-        counted = at.groupBy("level", number(F.col("x"), low_x, level).alias("i"), number(F.col("y"), low_y, level).alias("j")).agg(F.count(F.lit(1)).alias("n"))
-        full = open_.hint(SHUFFLED).join(counted, ["level", "i", "j"])  # tiles without places hold nothing
-        split = (F.col("n") > hot) & (level < DEEPEST)
-        full = cut(full.withColumn("split", split))
-        done.append(full.where("NOT split").select("cell", "level", "i", "j"))
-        open_ = cut(met(_children(full.where("split"))))
-    if not done:
+    pad = 1e-9 * max(abs(c) for c in frame)
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    placed = points.select(x.alias("x"), y.alias("y")).where(x.between(frame[0] - pad, frame[2] + pad) & y.between(frame[1] - pad, frame[3] + pad))
+    places = cut(placed.distinct())
+    extent = places.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    if extent[0] is None:
         return none
-    tiles = done[0]
-    for more in done[1:]:
-        tiles = tiles.unionByName(more)
-    levels = F.array(*[F.lit(r["level"]) for r in tiles.select("level").distinct().collect()])
-    at = inside.withColumn("level", F.explode(levels)).withColumns({"i": number(F.col("x"), low_x, level), "j": number(F.col("y"), low_y, level)})
-    pairs = at.join(tiles.hint(SHUFFLED), ["level", "i", "j"]).select("x", "y", "cell.*")
-    det = (F.col("by") - F.col("cy")) * (F.col("ax") - F.col("cx")) + (F.col("cx") - F.col("bx")) * (F.col("ay") - F.col("cy"))
-    u = F.try_divide((F.col("by") - F.col("cy")) * (F.col("x") - F.col("cx")) + (F.col("cx") - F.col("bx")) * (F.col("y") - F.col("cy")), det)
-    v = F.try_divide((F.col("cy") - F.col("ay")) * (F.col("x") - F.col("cx")) + (F.col("ax") - F.col("cx")) * (F.col("y") - F.col("cy")), det)
+    width = max(extent[2] - extent[0], extent[3] - extent[1]) or 1.0
+
+    def located(level: int) -> DataFrame:
+        """Places with the numbers of their tile; tiles of a level are parts of those of the level above."""
+        deep = [F.least(F.floor((F.col(c) - low) / F.lit(width) * 2.0**DEEPEST), F.lit(2**DEEPEST - 1)).cast("long") for c, low in (("x", extent[0]), ("y", extent[1]))]
+        return places.withColumns({k: F.shiftright(d, DEEPEST - level) for k, d in zip("ij", deep, strict=True)})
 
     def held(rows: DataFrame) -> DataFrame:
         return rows.withColumns({"u": u, "v": v}).withColumn("w", 1 - F.col("u") - F.col("v")).where("u >= 0 AND v >= 0 AND w >= 0")
 
-    # A least number is a hash aggregate; a least struct would sort every pair. Values are taken of one triangle alone.
-    lowest = cut(held(pairs).groupBy("x", "y").agg(F.min("cell_id").alias("cell_id")))
+    det = (F.col("by") - F.col("cy")) * (F.col("ax") - F.col("cx")) + (F.col("cx") - F.col("bx")) * (F.col("ay") - F.col("cy"))
+    u = F.try_divide((F.col("by") - F.col("cy")) * (F.col("x") - F.col("cx")) + (F.col("cx") - F.col("bx")) * (F.col("y") - F.col("cy")), det)
+    v = F.try_divide((F.col("cy") - F.col("ay")) * (F.col("x") - F.col("cx")) + (F.col("ax") - F.col("cx")) * (F.col("y") - F.col("cy")), det)
     value = [(F.col("u") * F.col(f"a_{n}") + F.col("v") * F.col(f"b_{n}") + F.col("w") * F.col(f"c_{n}")).alias(n) for n in names]
-    valued = held(lowest.join(flat.select("cell.*"), "cell_id"))
-    found = valued.groupBy(F.col("x").alias("_x"), F.col("y").alias("_y")).agg(F.min(F.struct("cell_id", *value)).alias("found"))
-    return points.join(found, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")), "left").select(points["*"], "found.*")
+
+    box = [f(c).alias(b) for b, f, c in zip(_BOX, (F.min, F.min, F.max, F.max), "xyxy", strict=True)]
+    below = F.col("bound").isNull() | (F.col("cell.cell_id") < F.col("bound"))
+    parts = F.array(*[F.struct((F.col("i") * 2**STEP + a).alias("i"), (F.col("j") * 2**STEP + b).alias("j")) for a in range(2**STEP) for b in range(2**STEP)])
+    open_, split, found, level = flat.select("cell", *[F.lit(0).cast("long").alias(k) for k in "ij"]), None, [], 0
+    # The optimizer multiplies the sizes of joined tables, round upon round; unions and semi-joins keep its numbers short.
+    while True:
+        tiles = located(level).groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), *box)
+        if split is None:
+            tiles = tiles.withColumn("bound", F.lit(None).cast(id_type))
+        else:
+            tiles = tiles.join(_few(split.select("bound", F.inline(parts))), ["i", "j"])
+            open_ = open_.select("cell", F.inline(parts))
+        tiles = cut(tiles)
+        met = open_.join(_few(tiles), ["i", "j"]).where(below & _meets())
+        least = met.where(_covers()).select("i", "j", F.lit(None).cast("long").alias("n"), F.col("cell.cell_id").alias("bound"))
+        bounds = cut(tiles.select("i", "j", "n", "bound").unionByName(least).groupBy("i", "j").agg(F.max("n").alias("n"), F.min("bound").alias("bound")))
+        lower = [F.col("i") == F.col("_i"), F.col("j") == F.col("_j"), F.col("_bound").isNull() | (F.col("cell.cell_id") < F.col("_bound"))]
+        left = cut(met.where(~_covers()).select("cell", "i", "j").join(_few(bounds.select(*[F.col(c).alias(f"_{c}") for c in ("i", "j", "bound")])), lower, "left_semi"))
+        counts = left.groupBy("i", "j").agg(F.count(F.lit(1)).alias("m")).select("i", "j", F.lit(None).cast("long").alias("n"), F.lit(None).cast(id_type).alias("bound"), "m")
+        counted = bounds.withColumn("m", F.lit(0).cast("long")).unionByName(counts).groupBy("i", "j").agg(*[F.max(c).alias(c) for c in ("n", "bound", "m")])
+        crowded = (F.col("n") > 1) & (F.col("n") * (F.col("m") + 1) > hot) & F.lit(level < DEEPEST)
+        known = cut(counted.where("m > 0 OR bound IS NOT NULL").withColumn("crowded", crowded))
+        done, split = known.where("NOT crowded"), known.where("crowded")
+        listed = left.join(_few(done.where("m > 0").select("i", "j")), ["i", "j"], "left_semi")
+        bounding = done.where("bound IS NOT NULL").join(flat, F.col("bound") == F.col("cell.cell_id")).select("cell", "i", "j")
+        found.append((level, cut(listed.select("cell", "i", "j").unionByName(bounding))))
+        if split.isEmpty():
+            break
+        open_ = left.join(_few(split.select("i", "j")), ["i", "j"], "left_semi")
+        level += STEP
+
+    def looked_up(level: int, cells: DataFrame) -> DataFrame:
+        # A least number is a hash aggregate; a least struct would sort every pair. Values are taken of one triangle alone.
+        cells = cells.select("i", "j", "cell.*")
+        pairs = held(located(level).join(_few(cells), ["i", "j"]))
+        lowest = pairs.groupBy("x", "y", "i", "j").agg(F.min("cell_id").alias("cell_id"))
+        valued = held(lowest.join(_few(cells), ["i", "j", "cell_id"]))
+        return valued.groupBy(F.col("x").alias("_x"), F.col("y").alias("_y")).agg(F.min(F.struct("cell_id", *value)).alias("found"))
+
+    values = reduce(DataFrame.unionByName, [looked_up(*f) for f in found])
+    return points.join(values, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")), "left").select(points["*"], "found.*")

@@ -4,7 +4,7 @@ import re
 
 import pandas as pd
 
-from gridmill.operators import fields, gather, nearest, sampling
+from gridmill.operators import fields, gather, nearest, sampling, tiles
 from gridmill.plans import adapters, registry
 from gridmill.plans.lineage import cut
 from gridmill.sources import mesh
@@ -111,3 +111,14 @@ def test_cells_of_a_tree_do_not_meet_at_its_root(spark, monkeypatch):
     got = {r["cell_id"]: (r["root"], r["depth"], r["leaf"]) for r in mesh.tree_closure(tree).collect()}
     assert got == {k: (0, k.bit_length(), k > 0 and k * 2 > 1999) for k in range(2000)}
     assert hottest and max(hottest) < 300
+
+
+def test_cells_above_one_that_holds_a_tile_are_not_compared(spark, monkeypatch):
+    """Many cells hold every place: only the lowest of them is met with places."""
+    kept = []
+    monkeypatch.setattr(tiles, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    points = spark.range(100).selectExpr("id % 10 * 1.0D AS x", "id * 0.1D AS y")
+    sized = spark.range(300).selectExpr("id + 7 AS cell_id", "-50.0D - id AS ax", "-50.0D AS ay", "200.0D AS bx", "-40.0D AS by", "0.0D AS cx", "300.0D + id AS cy", *[f"1.0D * id AS {k}_s" for k in "abc"])
+    found = tiles.probe_points(points, sized, ["s"])
+    assert {r["cell_id"] for r in found.collect()} == {7}
+    assert max(df.count() for df in kept[2:]) < 50  # the first two are the cells and the places
