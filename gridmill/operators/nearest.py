@@ -1,26 +1,33 @@
-"""Nearest segment of many: points against tables of curves, by two trees that are refined together.
-
-Segments are cut into pieces no longer than a leaf cell; cells of pieces and
-cells of points have bounding boxes at every level of a grid that is halved again
-and again. A round takes pairs of cells to their children: a cell of points keeps
-the cells of pieces that may hold its nearest segment, those not farther than the
-least of the farthest distances. Leaf cells' pieces are compared with the points,
-so a point meets only segments nearby, and no side is broadcast or crossed.
+"""Nearest segment of many: points against tables of curves, down a tree of the points' tiles.
+
+A tile is a box around its points. A segment stays with it if it may be the
+nearest of one of them: if the centre of the box is not farther from it than half
+the box's diagonal and the largest distance that a point of the tile needs to look.
+Crowded tiles are split and what stays goes to their parts. How far a point needs
+to look is known from its nearest among a share of the segments; among that share,
+from the segment that is nearest to the centre. Segments are whole rows at every
+level and lie only in tiles with points nearby, so neither their number nor their
+length is squared, and no side is broadcast whole or crossed.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 
-#: Pieces in a leaf cell, about; levels of the finest grid at most.
-LEAF_PIECES, MOST_LEVELS = 8, 24
-#: Bounds are widened by this share, as sums of squares are rounded.
-SLACK = 1e-9
-#: What grew by pieces or pairs since its size was estimated is never broadcast.
-SHUFFLED = "merge"
+#: Pairs of a point and a segment in a leaf, from which on it is split; levels of tiles at most.
+LEAF_PIECES, MOST_LEVELS = 1 << 18, 24
+#: Segments, about, of the share that is searched first where there are more than twice as many.
+SHARE = 1 << 17
+#: Bounds are widened by these shares of themselves and of the coordinates, as sums of squares are rounded.
+SLACK, GRAIN = 1e-9, 1e-12
+#: Rows of a counted table up to which it is broadcast; what grew by pairs since its size was estimated never is.
+FEW, SHUFFLED = 1 << 18, "merge"
 
 
 def polyline_segments(nodes: DataFrame, axes: list[str], curve: str = "curve", seq: str = "seq") -> DataFrame:
@@ -55,34 +62,94 @@ def _usable(columns: list[str]) -> Column:
     return ok
 
 
-def _cells(rows: DataFrame, axes: list[str], side: str) -> DataFrame:
-    """Leaf cells: (k<axis>, l<axis>, h<axis>) of rows(k<axis>, and the box l<axis>, h<axis>)."""
-    box = [F.min(f"l{x}").alias(f"l{x}") for x in axes] + [F.max(f"h{x}").alias(f"h{x}") for x in axes]
-    return rows.groupBy(*[f"k{x}" for x in axes]).agg(*box)
-
-
-def _level(leaves: DataFrame, axes: list[str], up: int, step: int, side: str) -> DataFrame:
-    """The cells ``up`` levels above the leaves: numbers <side>k, their parents' <side>u, and boxes <side>l, <side>h."""
-    box = [F.min(f"l{x}").alias(f"{side}l{x}") for x in axes] + [F.max(f"h{x}").alias(f"{side}h{x}") for x in axes]
-    cells = leaves.groupBy(*[F.shiftright(f"k{x}", up).alias(f"{side}k{x}") for x in axes]).agg(*box)
-    return cells.withColumns({f"{side}u{x}": F.shiftright(f"{side}k{x}", step) for x in axes})
-
+def _few(table: DataFrame) -> DataFrame:
+    """To be broadcast where it is counted as small, else to be joined by shuffle."""
+    return F.broadcast(table) if table.count() <= FEW else table.hint(SHUFFLED)
 
-def _gaps(axes: list[str]) -> tuple[Column, Column]:
-    """Squares of the least and the largest distance between a point of box p and one of box s."""
-    near = [F.greatest(F.col(f"sl{x}") - F.col(f"ph{x}"), F.col(f"pl{x}") - F.col(f"sh{x}"), F.lit(0.0)) for x in axes]
-    far = [F.greatest(F.col(f"sh{x}") - F.col(f"pl{x}"), F.col(f"ph{x}") - F.col(f"sl{x}")) for x in axes]
-    return sum_of(*map(square, near)), sum_of(*map(square, far))
 
-
-def _within_bound(pairs: DataFrame, axes: list[str], of: list[str]) -> DataFrame:
-    """Pairs whose least distance isn't beyond ``bound``, the least of the largest ones of their cell of points (squares)."""
-    near, far = _gaps(axes)
-    bound = F.min("far").over(Window.partitionBy(*of))
-    measured = pairs.withColumns({"near": near, "far": far})
-    if "bound" in pairs.columns:  # what is beyond the bound of a larger cell around isn't moved
-        measured = measured.where(F.col("near") <= F.col("bound") * (1 + SLACK))
-    return measured.withColumn("bound", bound).where(F.col("near") <= F.col("bound") * (1 + SLACK)).drop("near", "far")
+def _to_segment(at: list[Column], axes: list[str]) -> tuple[Column, Column]:
+    """The place of a<axis> to b<axis> that is nearest to ``at``, 0 to 1, and its distance."""
+    side = [F.col(f"b{x}") - F.col(f"a{x}") for x in axes]
+    along = sum_of(*[(c - F.col(f"a{x}")) * s for c, x, s in zip(at, axes, side, strict=True)])
+    t = F.coalesce(F.least(F.greatest(F.try_divide(along, sum_of(*map(square, side))), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+    return t, F.sqrt(sum_of(*[square(c - (F.col(f"a{x}") + s * t)) for c, x, s in zip(at, axes, side, strict=True)]))
+
+
+class _Tiles:
+    """Tiles of places(axes…): cubes of a grid that is halved level by level."""
+
+    def __init__(self, axes: list[str], lows: list[float], width: float, largest: float) -> None:
+        self.axes, self.lows, self.width, self.pad = axes, lows, width, largest * GRAIN
+        self.keys = [f"k{x}" for x in axes]
+        self.step = 1 if len(axes) > 2 else 2
+
+    def of(self, places: DataFrame, level: int) -> DataFrame:
+        deep = [F.least(F.floor((F.col(x) - low) / F.lit(self.width) * 2.0**MOST_LEVELS), F.lit(2**MOST_LEVELS - 1)).cast("long") for x, low in zip(self.axes, self.lows, strict=True)]
+        return places.withColumns({k: F.shiftright(d, MOST_LEVELS - level) for k, d in zip(self.keys, deep, strict=True)})
+
+    def parts(self) -> Column:
+        """Inlined: the numbers of a tile's parts of the next round within it, p<axis>; a constant, so that its code is short."""
+        return F.inline(F.array(*[F.struct(*[F.lit(d).alias(f"p{x}") for d, x in zip(w, self.axes, strict=True)]) for w in product(range(2**self.step), repeat=len(self.axes))]))
+
+    def split(self, rows: DataFrame) -> DataFrame:
+        """Rows of tiles as those of all their parts of the next round."""
+        inner = [(F.col(k) * 2**self.step + F.col(f"p{x}")).alias(k) for k, x in zip(self.keys, self.axes, strict=True)]
+        return rows.select("*", self.parts()).select(*[c for c in rows.columns if c not in self.keys], *inner)
+
+    def reaches(self, far: Column, distance: Column, radius: Column) -> Column:
+        return distance <= (radius + far) * (1 + SLACK) + self.pad
+
+    def nearby(self, places: DataFrame, lines: DataFrame) -> list[tuple[int, DataFrame]]:
+        """By level: the leaf tiles with those of lines(line, a<axis>, b<axis>) that may be the nearest of a place.
+
+        places(axes…) may have ``least``, a distance within which a segment is known to lie.
+        """
+        known, axes, keys = "least" in places.columns, self.axes, self.keys
+        centre = [(F.col(f"l{x}") + F.col(f"h{x}")) / 2 for x in axes]
+        radius = F.sqrt(sum_of(*[square((F.col(f"h{x}") - F.col(f"l{x}")) / 2) for x in axes]))
+        box = [f(x).alias(f"{e}{x}") for e, f in (("l", F.min), ("h", F.max)) for x in axes]
+        kept = ["line", *[f"{e}{x}" for e in "ab" for x in axes], *keys]
+        open_, split, found, level = lines.select(*kept[: -len(keys)], *[F.lit(0).cast("long").alias(k) for k in keys]), None, [], 0
+        # The optimizer multiplies the sizes of joined tables, round upon round; unions and semi-joins keep its numbers short.
+        while True:
+            tiles = self.of(places, level).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *box, *([F.max("least").alias("far")] if known else []))
+            if split is not None:
+                tiles, open_ = tiles.join(_few(self.split(split)), keys, "left_semi"), self.split(open_)
+            tiles = cut(tiles)
+            if known and split is not None:
+                if tiles.count() > FEW:  # before rows are moved to the tile: by its whole cube
+                    side = self.width / 2**level
+                    cube = [F.lit(low) + (F.col(k) + 0.5) * side for k, low in zip(keys, self.lows, strict=True)]
+                    open_ = open_.where(self.reaches(F.col("above"), _to_segment(cube, axes)[1], F.lit(side * len(axes) ** 0.5 / 2)))
+                open_ = open_.drop("above")
+            met = open_.join(_few(tiles.select(*keys, *[c.alias(f"c{x}") for c, x in zip(centre, axes, strict=True)], radius.alias("radius"), *(["far"] if known else []))), keys)
+            met = met.withColumn("apart", _to_segment([F.col(f"c{x}") for x in axes], axes)[1])
+            if known:
+                left = cut(met.where(self.reaches(F.col("far"), F.col("apart"), F.col("radius"))).select(*kept, F.col("far").alias("above")))
+            else:
+                limits = cut(met.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min(F.col("apart") + F.col("radius")).alias("far")))
+                near = [*[F.col(k) == F.col(f"_{k}") for k in keys], self.reaches(F.col("far"), F.col("apart"), F.col("radius"))]
+                left = cut(met.join(_few(limits), near, "left_semi").select(*kept))
+            counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")).select(*keys, F.lit(0).cast("long").alias("n"), "m")
+            counted = tiles.select(*keys, "n", F.lit(0).cast("long").alias("m")).unionByName(counts).groupBy(*keys).agg(F.max("n").alias("n"), F.max("m").alias("m"))
+            crowded = (F.col("n") > 1) & (F.col("n") * F.col("m") > LEAF_PIECES) & F.lit(level + self.step <= MOST_LEVELS)
+            decided = cut(counted.select(*keys, crowded.alias("crowded")))
+            split = decided.where("crowded").select(*keys)
+            if split.isEmpty():
+                return [*found, (level, left.select(*kept))]
+            found.append((level, left.join(_few(decided.where("NOT crowded").select(*keys)), keys, "left_semi").select(*kept)))
+            open_ = left.join(_few(split), keys, "left_semi")
+            level += self.step
+
+    def compared(self, places: DataFrame, nearby: list[tuple[int, DataFrame]]) -> list[DataFrame]:
+        """By level: places with the segments near their tile, ``t`` and ``distance``."""
+        t, distance = _to_segment([F.col(x) for x in self.axes], self.axes)
+        return [_few(lines).join(self.of(places, level), self.keys).withColumn("t", t).withColumn("distance", distance) for level, lines in nearby]
+
+    def least(self, places: DataFrame, nearby: list[tuple[int, DataFrame]]) -> DataFrame:
+        """Places with the distance of their nearest segment: least numbers are hash aggregates, least structs would sort all."""
+        rows = [met.groupBy(*self.axes).agg(F.min("distance").alias("least")) for met in self.compared(places.select(*self.axes), nearby)]
+        return cut(reduce(DataFrame.unionByName, rows))
 
 
 def nearest_segment(points: DataFrame, segments: DataFrame, axes: list[str], order: list[str]) -> DataFrame:
@@ -93,70 +160,31 @@ def nearest_segment(points: DataFrame, segments: DataFrame, axes: list[str], ord
     as all have where there are no segments; segments that aren't finite are left
     out. Points at one place are looked up once.
     """
-    step = 1 if len(axes) > 2 else 2
     ends = [f"{e}{x}" for x in axes for e in "ab"]
     lines = segments.where(_usable(ends)).groupBy(*ends).agg(F.min(F.struct(*order)).alias("name"))
     lines = cut(lines.select(F.monotonically_increasing_id().alias("line"), "name", *[F.col(c).cast("double") for c in ends]))
     places = cut(points.where(_usable(axes)).select(*[F.col(x).cast("double").alias(x) for x in axes]).distinct())
 
-    reach = F.greatest(*[F.abs(F.col(f"b{x}") - F.col(f"a{x}")) for x in axes])
-    extent = [f(c).alias(f"{f.__name__}_{k}") for f in (F.min, F.max) for k, c in enumerate(ends)]
-    shape = lines.agg(F.count(F.lit(1)).alias("n"), F.sum(reach).alias("reach"), *extent).first()
+    shape = lines.agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest(*map(F.abs, ends))).alias("largest")).first()
     spread = places.agg(*[f(x).alias(f"{f.__name__}_{x}") for x in axes for f in (F.min, F.max)]).first()
     if not shape["n"] or spread[0] is None:
         named = lines.schema["name"].dataType.simpleString()
         return points.withColumn("nearest", F.lit(None).cast(f"struct<distance:double,name:{named},t:double>"))
-    lows = [min(shape[f"min_{2 * k}"], shape[f"min_{2 * k + 1}"], spread[f"min_{x}"]) for k, x in enumerate(axes)]
-    highs = [max(shape[f"max_{2 * k}"], shape[f"max_{2 * k + 1}"], spread[f"max_{x}"]) for k, x in enumerate(axes)]
+    lows, highs = [spread[f"min_{x}"] for x in axes], [spread[f"max_{x}"] for x in axes]
     width = max(h - l for l, h in zip(lows, highs, strict=True)) or 1.0
-    levels = step
-    while levels < MOST_LEVELS and 2 ** (len(axes) * levels) * LEAF_PIECES < shape["n"] + shape["reach"] * 2**levels / width:
-        levels += step
-    leaf = width / 2**levels
-
-    def number(at: Column, low: float) -> Column:
-        return F.least(F.greatest(F.floor((at - low) / leaf), F.lit(0)), F.lit(2**levels - 1)).cast("long")
-
-    pieces = F.greatest(F.ceil(reach / leaf), F.lit(1))
-    cutting = lines.withColumn("_n", pieces).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-    for x in axes:
-        a, gap = F.col(f"a{x}"), F.col(f"b{x}") - F.col(f"a{x}")
-        one, two = a + gap * (F.col("_k") / F.col("_n")), a + gap * ((F.col("_k") + 1) / F.col("_n"))
-        cutting = cutting.withColumns({f"l{x}": F.least(one, two), f"h{x}": F.greatest(one, two), f"k{x}": number((one + two) / 2, lows[axes.index(x)])})
-    pieces = cut(cutting.drop("_k", "_n", "name", *ends))
-    numbers = {f"k{x}": number(F.col(x), low) for x, low in zip(axes, lows, strict=True)}
-    located = places.withColumns(numbers)
-    of_pieces = cut(_cells(pieces, axes, "s"))
-    of_places = cut(_cells(located.withColumns({f"{e}{x}": F.col(x) for x in axes for e in "lh"}), axes, "p"))
-
-    p_keys, s_keys = [f"pk{x}" for x in axes], [f"sk{x}" for x in axes]
-    pairs = None
-    for up in range(levels - step, -1, -step):
-        p, s = _level(of_places, axes, up, step, "p"), _level(of_pieces, axes, up, step, "s")
-        if pairs is None:
-            met = p.join(s, [F.col(f"pu{x}") == F.col(f"su{x}") for x in axes])  # the first level's cells have one parent, 0
-        else:
-            mine = pairs.hint(SHUFFLED).withColumnsRenamed({f"{side}k{x}": f"_{side}{x}" for side in "ps" for x in axes})
-            met = mine.join(p, [F.col(f"_p{x}") == F.col(f"pu{x}") for x in axes]).join(s, [F.col(f"_s{x}") == F.col(f"su{x}") for x in axes])
-        pairs = cut(_within_bound(met, axes, p_keys).select(*p_keys, *s_keys, "bound"))
-
-    boxes = _level(of_places, axes, 0, step, "p").select(*p_keys, *[f"p{e}{x}" for e in "lh" for x in axes])
-    met = pairs.hint(SHUFFLED).join(boxes, p_keys).join(pieces.hint(SHUFFLED).withColumnsRenamed({f"k{x}": f"sk{x}" for x in axes} | {f"{e}{x}": f"s{e}{x}" for e in "lh" for x in axes}), s_keys)
-    close = _within_bound(met, axes, p_keys).select(*p_keys, "line").distinct()
-    near = cut(close.hint(SHUFFLED).join(lines, "line").drop("line"))
-    side = [F.col(f"b{x}") - F.col(f"a{x}") for x in axes]
-    along = sum_of(*[(F.col(x) - F.col(f"a{x}")) * s for x, s in zip(axes, side, strict=True)])
-    long_ = sum_of(*map(square, side))
-    t = F.coalesce(F.least(F.greatest(F.try_divide(along, long_), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
-    apart = sum_of(*[square(F.col(x) - (F.col(f"a{x}") + s * F.col("t"))) for x, s in zip(axes, side, strict=True)])
-
-    def compared(at: DataFrame) -> DataFrame:
-        met = at.withColumns(numbers).join(near.hint(SHUFFLED), [F.col(f"k{x}") == F.col(f"pk{x}") for x in axes])
-        return met.withColumn("t", t).withColumn("distance", F.sqrt(apart))
-
-    # A least number is a hash aggregate; a least struct would sort every place with every segment nearby.
-    least = cut(compared(places).groupBy(*axes).agg(F.min("distance").alias("least")))
-    met = compared(least).where(F.col("distance") == F.col("least"))
-    best = F.min(F.struct("distance", "name", "t")).alias("nearest")
-    found = met.groupBy(*axes).agg(best).withColumnsRenamed({x: f"_{x}" for x in axes})
+    tiles = _Tiles(axes, lows, width, max(shape["largest"], *map(abs, lows + highs)))
+    session = points.sparkSession
+    parts = min(int(session.conf.get("spark.sql.shuffle.partitions")), shape["n"] // 1000 + 1)  # few bytes, but much work
+    dealt = lines.drop("name").repartition(parts, "line")
+    bounded = places
+    if shape["n"] > 2 * SHARE:
+        share = cut(dealt.where(F.pmod(F.xxhash64(*ends), F.lit(shape["n"] // SHARE)) == 0))
+        if not share.isEmpty():  # any share will do, as it only bounds the search
+            bounded = tiles.least(places, tiles.nearby(places, share))
+    near = tiles.nearby(bounded, dealt)
+    least = tiles.least(bounded, near)
+    first = [met.where(F.col("distance") == F.col("least")).select(*axes, "distance", "t", "line") for met in tiles.compared(least, near)]
+    names = lines.select("line", "name")
+    met = reduce(DataFrame.unionByName, first).join(F.broadcast(names) if shape["n"] <= FEW else names.hint(SHUFFLED), "line")
+    found = met.groupBy(*axes).agg(F.min(F.struct("distance", "name", "t")).alias("nearest")).withColumnsRenamed({x: f"_{x}" for x in axes})
     return points.join(found, [F.col(x) == F.col(f"_{x}") for x in axes], "left").drop(*[f"_{x}" for x in axes])

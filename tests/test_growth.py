@@ -3,6 +3,8 @@
 import re
 
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
 from gridmill.operators import fields, gather, nearest, sampling, tiles
 from gridmill.plans import adapters, registry
@@ -122,3 +124,28 @@ def test_cells_above_one_that_holds_a_tile_are_not_compared(spark, monkeypatch):
     found = tiles.probe_points(points, sized, ["s"])
     assert {r["cell_id"] for r in found.collect()} == {7}
     assert max(df.count() for df in kept[2:]) < 50  # the first two are the cells and the places
+
+
+def test_segments_are_not_cut_by_their_number(spark, monkeypatch):
+    """Long segments that lie close together: what is kept grows with their number, not with its square."""
+    kept = []
+    monkeypatch.setattr(nearest, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    points = spark.range(40).selectExpr("id * 2.5D AS x", "id % 7 * 10.0D AS y")
+    lines = spark.range(400).selectExpr("id AS seg", "0.0D AS ax", "100.0D AS bx", "id * 0.2D AS ay", "id * 0.2D + 1 AS by")
+    nearest.nearest_segment(points, lines, ["x", "y"], ["seg"]).collect()
+    assert max(df.count() for df in kept) <= 2 * 400
+
+
+@pytest.mark.parametrize("few", [5, 100_000])
+def test_search_bounded_by_a_share_equals_all_pairs(spark, monkeypatch, few):
+    """Joined by shuffle and by broadcast."""
+    for name, value in (("SHARE", 30), ("LEAF_PIECES", 50), ("FEW", few)):
+        monkeypatch.setattr(nearest, name, value)
+    points = spark.range(200).selectExpr("id", "id * 7919 % 1009 / 10 AS x", "id * 104729 % 997 / 20 AS y").cache()
+    lines = spark.range(300).selectExpr("id AS seg", "id * 31 % 211 / 2 AS ax", "id * 17 % 101 / 2 AS ay").selectExpr("*", "ax + seg % 9 - 4 AS bx", "ay + seg % 5 * 6 - 12 AS by").cache()
+    found = nearest.nearest_segment(points, lines, ["x", "y"], ["seg"]).select("id", "nearest.distance", "nearest.name.seg")
+    t = F.expr("coalesce(least(greatest(try_divide((x - ax) * (bx - ax) + (y - ay) * (by - ay), (bx - ax) * (bx - ax) + (by - ay) * (by - ay)), 0), 1), 0)")
+    apart = F.expr("sqrt((x - (ax + (bx - ax) * t)) * (x - (ax + (bx - ax) * t)) + (y - (ay + (by - ay) * t)) * (y - (ay + (by - ay) * t)))")
+    pairs = points.crossJoin(lines).withColumn("t", t).withColumn("distance", apart)
+    want = pairs.groupBy("id").agg(F.min(F.struct("distance", "seg")).alias("b")).select("id", "b.distance", "b.seg")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
