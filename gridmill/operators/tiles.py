@@ -17,7 +17,10 @@ FEW, SHUFFLED = 100_000, "merge"
 SLACK = 1e-12
 
 _CORNERS = (("ax", "ay"), ("bx", "by"), ("cx", "cy"))
-_BOX = ("_x0", "_y0", "_x1", "_y1")
+#: Of a tile: the middle of the box around its places, and half its width and height.
+_BOX = ("_x", "_y", "_w", "_h")
+#: Of a triangle: its edges, and the size of its coordinates.
+_EDGES = ("_far", *[f"_{c}{k}" for k in range(3) for c in "abc"])
 
 
 def _edge(px: Column, py: Column, qx: Column, qy: Column, x: Column, y: Column) -> Column:
@@ -25,29 +28,40 @@ def _edge(px: Column, py: Column, qx: Column, qy: Column, x: Column, y: Column)
     return (qx - px) * (y - py) - (qy - py) * (x - px)
 
 
-def _sides() -> list[tuple[list[Column], Column]]:
-    """Of each edge: on which side the corners of the tile's box lie (above 0: inside), and the scale of rounding."""
-    x0, y0, x1, y1 = (F.col(c) for c in _BOX)
+def _lines() -> dict[str, Column]:
+    """Of the triangle's edges: side = _a x + _b y + _c, above 0 inside; and how large its coordinates are."""
     at = {c: F.col(f"cell.{c}").cast("double") for p in _CORNERS for c in p}
     turn = F.signum(_edge(*at.values()))
-    far = reduce(Column.__add__, [F.abs(c) for c in (x0, y0, x1, y1, *at.values())])
-    found = []
-    for (px, py), (qx, qy) in zip(_CORNERS, (*_CORNERS[1:], _CORNERS[0]), strict=True):
-        ends = [at[c] for c in (px, py, qx, qy)]
-        sides = [_edge(*ends, x, y) * turn for x, y in ((x0, y0), (x1, y0), (x0, y1), (x1, y1))]
-        found.append((sides, (F.abs(ends[2] - ends[0]) + F.abs(ends[3] - ends[1])) * far * SLACK))
-    return found
+    found = {"_far": reduce(Column.__add__, map(F.abs, at.values()))}
+    for k, ((px, py), (qx, qy)) in enumerate(zip(_CORNERS, (*_CORNERS[1:], _CORNERS[0]), strict=True)):
+        a, b = (at[py] - at[qy]) * turn, (at[qx] - at[px]) * turn
+        found |= {f"_a{k}": a, f"_b{k}": b, f"_c{k}": -(a * at[px] + b * at[py])}
+    return {name: F.coalesce(c, F.lit(0.0)) for name, c in found.items()}  # never null, so that code is short
+
+
+def _sides() -> list[tuple[Column, Column, Column]]:
+    """Of each edge: the side of the middle of the tile's box, how far its corners differ from that, and the scale of rounding."""
+    x, y, w, h = (F.col(c) for c in _BOX)
+    far = (F.abs(x) + F.abs(y) + w + h + F.col("_far")) * SLACK
+    lines = [[F.col(f"_{c}{k}") for c in "abc"] for k in range(3)]
+    return [(a * x + b * y + c, F.abs(a) * w + F.abs(b) * h, (F.abs(a) + F.abs(b)) * far) for a, b, c in lines]
 
 
 def _meets() -> Column:
     """Whether a triangle may hold a place of the box: false only where an edge has the whole box on its outer side."""
-    return reduce(Column.__and__, [F.greatest(*sides) >= -scale for sides, scale in _sides()])
+    return reduce(Column.__and__, [middle + corners >= -scale for middle, corners, scale in _sides()])
 
 
 def _covers() -> Column:
     """Whether a triangle holds all places of the box, however their shares are rounded."""
-    widest = F.greatest(*[scale for _, scale in _sides()])
-    return reduce(Column.__and__, [F.least(*sides) > widest for sides, _ in _sides()])
+    widest = F.greatest(*[scale for _, _, scale in _sides()])
+    return reduce(Column.__and__, [(middle - corners > widest) & (middle < F.lit(float("inf"))) for middle, corners, _ in _sides()])
+
+
+def _split(rows: DataFrame) -> DataFrame:
+    """Rows of tiles as those of all their parts of the next round; what is inlined is a constant, so that its code is short."""
+    within = F.inline(F.array(*[F.struct(F.lit(a).alias("_a"), F.lit(b).alias("_b")) for a in range(2**STEP) for b in range(2**STEP)]))
+    return rows.select("*", within).withColumns({"i": F.col("i") * 2**STEP + F.col("_a"), "j": F.col("j") * 2**STEP + F.col("_b")}).drop("_a", "_b")
 
 
 def _few(table: DataFrame) -> DataFrame:
@@ -100,24 +114,25 @@ def probe_points(points: DataFrame, triangles: DataFrame, names: list[str], hot:
     v = F.try_divide((F.col("cy") - F.col("ay")) * (F.col("x") - F.col("cx")) + (F.col("ax") - F.col("cx")) * (F.col("y") - F.col("cy")), det)
     value = [(F.col("u") * F.col(f"a_{n}") + F.col("v") * F.col(f"b_{n}") + F.col("w") * F.col(f"c_{n}")).alias(n) for n in names]
 
-    box = [f(c).alias(b) for b, f, c in zip(_BOX, (F.min, F.min, F.max, F.max), "xyxy", strict=True)]
+    ends = {f"{e}{c}": f(c) for c in "xy" for e, f in (("l", F.min), ("h", F.max))}
+    middle = [(F.col(f"l{c}") + F.col(f"h{c}")) / 2 for c in "xy"] + [(F.col(f"h{c}") - F.col(f"l{c}")) / 2 for c in "xy"]
+    box = [F.coalesce(c, F.lit(0.0)).alias(b) for b, c in zip(_BOX, middle, strict=True)]
     below = F.col("bound").isNull() | (F.col("cell.cell_id") < F.col("bound"))
-    parts = F.array(*[F.struct((F.col("i") * 2**STEP + a).alias("i"), (F.col("j") * 2**STEP + b).alias("j")) for a in range(2**STEP) for b in range(2**STEP)])
-    open_, split, found, level = flat.select("cell", *[F.lit(0).cast("long").alias(k) for k in "ij"]), None, [], 0
+    open_, split, found, level = flat.select("cell", *[c.alias(e) for e, c in _lines().items()], *[F.lit(0).cast("long").alias(k) for k in "ij"]), None, [], 0
     # The optimizer multiplies the sizes of joined tables, round upon round; unions and semi-joins keep its numbers short.
     while True:
-        tiles = located(level).groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), *box)
+        tiles = located(level).groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), *[c.alias(e) for e, c in ends.items()]).select("i", "j", "n", *box)
         if split is None:
             tiles = tiles.withColumn("bound", F.lit(None).cast(id_type))
         else:
-            tiles = tiles.join(_few(split.select("bound", F.inline(parts))), ["i", "j"])
-            open_ = open_.select("cell", F.inline(parts))
+            tiles = tiles.join(_few(_split(split.select("bound", "i", "j"))), ["i", "j"])
+            open_ = _split(open_)
         tiles = cut(tiles)
         met = open_.join(_few(tiles), ["i", "j"]).where(below & _meets())
         least = met.where(_covers()).select("i", "j", F.lit(None).cast("long").alias("n"), F.col("cell.cell_id").alias("bound"))
         bounds = cut(tiles.select("i", "j", "n", "bound").unionByName(least).groupBy("i", "j").agg(F.max("n").alias("n"), F.min("bound").alias("bound")))
         lower = [F.col("i") == F.col("_i"), F.col("j") == F.col("_j"), F.col("_bound").isNull() | (F.col("cell.cell_id") < F.col("_bound"))]
-        left = cut(met.where(~_covers()).select("cell", "i", "j").join(_few(bounds.select(*[F.col(c).alias(f"_{c}") for c in ("i", "j", "bound")])), lower, "left_semi"))
+        left = cut(met.where(~_covers()).select("cell", *_EDGES, "i", "j").join(_few(bounds.select(*[F.col(c).alias(f"_{c}") for c in ("i", "j", "bound")])), lower, "left_semi"))
         counts = left.groupBy("i", "j").agg(F.count(F.lit(1)).alias("m")).select("i", "j", F.lit(None).cast("long").alias("n"), F.lit(None).cast(id_type).alias("bound"), "m")
         counted = bounds.withColumn("m", F.lit(0).cast("long")).unionByName(counts).groupBy("i", "j").agg(*[F.max(c).alias(c) for c in ("n", "bound", "m")])
         crowded = (F.col("n") > 1) & (F.col("n") * (F.col("m") + 1) > hot) & F.lit(level < DEEPEST)
